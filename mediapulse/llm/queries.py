@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .classlm import class_model_scores
 from .common import scratch_path, table
 from .decontaminate import decontaminate
 from .html import extract_text
@@ -27,6 +28,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_archive(table(spark, sf_dir, "pages"), scratch_path(spark, "archives"))
 
