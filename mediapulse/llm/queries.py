@@ -12,6 +12,8 @@ from .classlm import class_model_scores
 from .common import scratch_path, table
 from .decontaminate import decontaminate
 from .html import extract_text
+from .licenses import license_scan
+from .neighbours import near_vectors
 from .quality import held_out, score_quality
 from .simhash import simhash_dedup
 from .substring import substring_dedup
@@ -28,6 +30,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_model_scores(table(spark, sf_dir, "documents"))
 
@@ -44,6 +50,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), digests=True)
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
