@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -11,8 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
 WINDOW = 10
 #: A broadcast set holds at most so many item words; larger benchmarks are scanned in several passes.
 MAX_WORDS = 2_000_000
@@ -104,23 +101,48 @@ def cut_spans(text: bytes, hit: np.ndarray) -> bytes:
     return b"".join(keep)
 
 
-def _scan(windows, extra: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: WindowSet = windows.value
+def _found(texts: list[bytes], hits: list[tuple[np.ndarray, list[str]]], clean: bool) -> dict[str, pa.Array]:
+    """Output columns from each text's spans and items."""
+    words = [len(words_of(t)) for t in texts]
+    marks = [covered(spans, n) if len(spans) else None for (spans, _), n in zip(hits, words)]
+    out = {
+        "n_words": pa.array(words, pa.int64()),
+        "n_hit": pa.array([0 if m is None else int(m.sum()) for m in marks], pa.int64()),
+        "items": pa.array([items for _, items in hits], pa.list_(pa.string())),
+    }
+    if clean:
+        out["text"] = pa.array([(t if m is None else cut_spans(t, m)).decode("utf-8", "replace") for t, m in zip(texts, marks)], pa.string())
+    return out
+
+
+def _batch(b: pa.RecordBatch, without: tuple[str, ...], new: dict[str, pa.Array]) -> pa.RecordBatch:
+    kept = {c: b.column(c) for c in b.schema.names if c not in without and c not in new}
+    return pa.RecordBatch.from_pydict(kept | new)
+
+
+def _scan(windows, clean: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+        got = [windows.value.scan(words_of(t)) for t in texts]
+        yield _batch(b, ("text",), _found(texts, [(spans, sorted(map(str, items))) for spans, items in got], clean))
+
+
+def _more(windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add one set's spans and items to those found before."""
+    for b in batches:
+        spans, items = [], []
+        for t, old, had in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), b.column("items").to_pylist()):
+            new, own = windows.value.scan(words_of(t))
+            spans.append([*old, *new.ravel().tolist()])
+            items.append(sorted({*had, *map(str, own)}))
+        yield _batch(b, (), {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))})
+
+
+def _close(clean: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for t in b.column("text").cast(pa.binary()):
-            text = t.as_py() or b""
-            words = words_of(text)
-            spans, items = found.scan(words)
-            hit = covered(spans, len(words)) if len(spans) else None
-            out.append((len(words), 0 if hit is None else int(hit.sum()), sorted(map(str, items)), text if hit is None else cut_spans(text, hit)))
-        cols = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.string()))]
-        names = ["n_words", "n_hit", "items"]
-        if "clean_text" in extra:
-            cols.append(pa.array([x[3].decode("utf-8", "replace") for x in out], pa.string()))
-            names.append("clean_text")
-        kept = [c for c in b.schema.names if c in extra or c == "doc_id"]
-        yield pa.RecordBatch.from_arrays([b.column(c) for c in kept] + cols, names=[*kept, *names])
+        texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
+        hits = [(np.array(s, np.int64).reshape(-1, 2), i) for s, i in zip(b.column("spans").to_pylist(), b.column("items").to_pylist())]
+        yield _batch(b, ("text", "spans"), _found(texts, hits, clean))
 
 
 def window_set(benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WORDS) -> list[WindowSet]:
@@ -136,53 +158,23 @@ def window_set(benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WO
     return [WindowSet([(r.item_id, bytes(r.text or b"")) for r in s.collect()], size) for s in slices]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, clean: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_hit, items[, clean_text]) per document.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, clean: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
+    """The columns of docs but text, then n_words, n_hit, items; with `clean` also text without its hit words.
 
     A window is `size` consecutive item words; a shorter item is one window; null, empty and wordless texts
     have none. Every window that a document holds is verified word by word after its hash matches, and all
-    words inside any occurrence are hit. Rows with a null doc_id or repeated rows are scanned like others;
-    an empty benchmark hits nothing. With `clean`, clean_text is the text without its hit words.
+    words inside any occurrence are hit. Rows with a null doc_id and repeated rows are scanned like others;
+    an empty benchmark hits nothing. Columns named n_words, n_hit, items or spans are replaced.
     """
-    spark = docs.sparkSession
-    sets = window_set(benchmark, size)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = ["clean_text"] if clean else []
-    shape = f"doc_id {kind}, n_words long, n_hit long, items array<string>" + ", clean_text string" * clean
+    docs = docs.drop("n_words", "n_hit", "items", "spans")
+    share = docs.sparkSession.sparkContext.broadcast
+    sets = window_set(benchmark, size, max_words)
+    shape = lambda names: [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
+    others = [c for c in docs.columns if c != "text"]
+    last = ", ".join([*shape(others), "n_words long", "n_hit long", "items array<string>", *(["text string"] * clean)])
     if len(sets) == 1:
-        return docs.select("doc_id", "text").mapInArrow(partial(_scan, spark.sparkContext.broadcast(sets[0]), extra), shape)
-    return _many(docs, sets, kind)
-
-
-def _spans(windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [x.as_py() or b"" for x in b.column("text").cast(pa.binary())]
-        spans, items, counts = [], [], []
-        for t, old, had in zip(texts, b.column("spans").to_pylist(), b.column("items").to_pylist()):
-            words = words_of(t)
-            new, own = windows.value.scan(words)
-            spans.append([*old, *new.ravel().tolist()])
-            items.append(sorted({*had, *map(str, own)}))
-            counts.append(len(words))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
-
-
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n_hit, clean = [], []
-        for t, n, s in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("n_words").to_pylist(), b.column("spans").to_pylist()):
-            hit = covered(np.array(s, np.int64).reshape(-1, 2), n)
-            n_hit.append(int(hit.sum()))
-            clean.append((cut_spans(t or b"", hit) if hit.any() else t or b"").decode("utf-8", "replace"))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(n_hit, pa.int64()), b.column("items"), pa.array(clean, pa.string())], names=["doc_id", "n_words", "n_hit", "items", "clean_text"])
-
-
-def _many(docs: DataFrame, sets: list[WindowSet], kind: str) -> DataFrame:
-    at = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+        return docs.mapInArrow(partial(_scan, share(sets[0]), clean), last)
+    at = docs.withColumn("spans", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
     for s in sets:
-        at = at.mapInArrow(partial(_spans, docs.sparkSession.sparkContext.broadcast(s)), f"doc_id {kind}, text string, n_words long, spans array<long>, items array<string>")
-    return at.mapInArrow(_close, f"doc_id {kind}, n_words long, n_hit long, items array<string>, clean_text string")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+        at = at.mapInArrow(partial(_more, share(s)), ", ".join([*shape(docs.columns), "spans array<long>", "items array<string>"]))
+    return at.mapInArrow(partial(_close, clean), last)

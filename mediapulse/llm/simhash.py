@@ -173,3 +173,15 @@ def simhash_dedup(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     found = connected_components(near_links(reps, distance))
     groups = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of docs that stand for their near-duplicate group: those with its smallest doc_id.
+
+    Of repeated rows with that doc_id one stays. Rows with a null doc_id cannot stand for a group, nor be
+    named as members of one, and all stay.
+    """
+    groups = simhash_dedup(docs, size, distance)
+    keep = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    rows = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
