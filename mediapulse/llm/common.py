@@ -2,83 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: ASCII white space as bytes.split() and the regular expression [\x20\x09-\x0D] see it.
-ASCII_UPPER = bytes(range(65, 91))
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of its own only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="mediapulse-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
+from ..operators.graph import connected_components, discard, scratch_path, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that written() made, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_scratch", None)
-    if path:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+__all__ = ["connected_components", "discard", "scratch_path", "table", "united", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component) for every node of edges(a, b); component is the smallest node reachable.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014), which takes a number of rounds
-    that grows with the square of the logarithm of the nodes, whatever the diameter. Each round is plain
-    grouping and joins, so a node with many links is split by the skew-join rule, and its edges are
-    written to the shared folder.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = written(pairs, "edges")
-    seen = None
-    for _ in range(max_rounds):
-        both = pairs.union(pairs.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = written(small.where("u <> v").distinct(), "edges")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(pairs)
-        pairs = after
-        if seen == mark:
-            break
-        seen = mark
-    else:
-        raise RuntimeError("components did not settle")
-    nodes = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
 def united(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Merge the components of i and j in an array of smallest-member labels."""
     while len(i):
