@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Fixed: elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -155,6 +157,18 @@ def host_paths(pages: DataFrame) -> DataFrame:
     return total.groupBy("host").agg(F.max(F.struct("pages", F.round("score", 3), "path")).alias("top")).select("host", F.col("top.path").alias("path"))
 
 
+#: Up to so many hosts' paths are broadcast; above, the paths are copied over SALTS parts of each host.
+MAX_HOSTS, SALTS = 100_000, 64
+
+
+def with_host_path(rows: DataFrame, winners: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
+    """rows(host, html, ...) with their host's path; no task gets all pages of a host."""
+    if winners.count() <= max_hosts:
+        return rows.join(F.broadcast(winners), "host", "left")
+    copies = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"], "left").drop("salt")
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
@@ -162,7 +176,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     Pages without a host (null or odd url) vote together. Repeated rows are extracted alike; other columns
     are ignored; an empty table gives an empty result.
     """
-    winners = host_paths(pages)
-    rows = pages.select("page_id", "url", "html", host_of().alias("host")).join(winners, "host", "left").select("page_id", "url", "html", "path")
+    winners = written(host_paths(pages), "host_paths")
+    rows = with_host_path(pages.select("page_id", "url", "html", host_of().alias("host")), winners).select("page_id", "url", "html", "path")
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
