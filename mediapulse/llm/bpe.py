@@ -185,7 +185,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataF
 
     ids are the whole text's token ids without added tokens; strings of special tokens in the text become
     those tokens. A null or empty text has no ids and decodes to an empty text. Rows are taken one by one,
-    so repeated rows, null ids and other columns make no difference. The vocabulary is a file on every worker.
+    so repeated rows, null ids and other columns make no difference. The vocabulary is a file on every
+    worker. Characters that Unicode has assigned since version 16 may be split in other places than by a
+    library with other tables.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"

@@ -32,7 +32,8 @@ class WindowSet:
             codes = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
             n = min(size, len(codes))
             for k in range(len(codes) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(codes[k : k + n]), set()).add(item)
+                owners = found.setdefault(n, {}).setdefault(tuple(codes[k : k + n]), set())
+                owners.update([] if item is None else [item])
         self.by_length = {}
         for n, windows in found.items():
             grid = np.array(list(windows), np.int64).reshape(len(windows), n)
@@ -163,8 +164,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cle
 
     A window is `size` consecutive item words; a shorter item is one window; null, empty and wordless texts
     have none. Every window that a document holds is verified word by word after its hash matches, and all
-    words inside any occurrence are hit. Rows with a null doc_id and repeated rows are scanned like others;
-    an empty benchmark hits nothing. Columns named n_words, n_hit, items or spans are replaced.
+    words inside any occurrence are hit; items with a null id hit words but are not listed. Rows with a null
+    doc_id and repeated rows are scanned like others; an empty benchmark hits nothing. Columns named n_words,
+    n_hit, items or spans are replaced.
     """
     docs = docs.drop("n_words", "n_hit", "items", "spans")
     share = docs.sparkSession.sparkContext.broadcast

@@ -130,7 +130,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, counts, removed = [], [], []
-        for t, numbers in zip(b.column("text").cast(pa.binary()), b.column("repeats")):
+        for t, numbers in zip(b.column("text").cast(pa.binary()), b.column("__repeats")):
             text, places = t.as_py(), numbers.values
             if not text or places is None or not len(places):
                 texts.append(text)
@@ -154,7 +154,7 @@ def _cut(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             texts.append(b"".join([*keep, text[last:]]).strip() if runs else text)
             counts.append(runs)
             removed.append(gone)
-        names = [c for c in b.schema.names if c not in ("text", "repeats")]
+        names = [c for c in b.schema.names if c not in ("text", "__repeats")]
         new = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), new, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "text", "n_removed_runs", "n_removed_words"])
 
@@ -178,7 +178,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left, right = docs.withColumn("__hash", mark).alias("l"), found.alias("r")
     joined = left.join(right, (F.col("l.__hash") == F.col("r.text_hash")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
     names = [f.name for f in docs.schema if f.name != "text"]
-    ready = joined.select(*(F.col(f"l.`{c}`") for c in names), F.col("l.text"), F.col("r.repeats"))
+    ready = joined.select(*(F.col(f"l.`{c}`") for c in names), F.col("l.text"), F.col("r.repeats").alias("__repeats"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     out = ready.mapInArrow(partial(_cut, min_words), f"{shape}, text string, n_removed_runs long, n_removed_words long")
     return out.select(*(f"`{c}`" for c in docs.columns), "n_removed_runs", "n_removed_words")
