@@ -16,32 +16,34 @@ from mediapulse.llm.queries import vocabulary
 from mediapulse.llm.simhash import keep_one
 from mediapulse.llm.substring import substring_dedup
 
+#: All stages but the last return these columns of documents, and no others.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot express these stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    return score_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return keep_one(docs)
+    return keep_one(docs.select(*COLUMNS))
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier document holds; n_chars follows the text."""
-    cut = substring_dedup(docs)
+    cut = substring_dedup(docs.select(*COLUMNS))
     n_chars = F.when(F.col("n_removed_runs") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
+    return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that benchmark windows cover; those that are half benchmark or more go."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), clean=True).where("n_hit = 0 or 2 * n_hit < n_words")
+    found = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True).where("n_hit = 0 or 2 * n_hit < n_words")
     n_chars = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+    return found.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
