@@ -1,6 +1,6 @@
 """Imports every module of queries, so that the registry is full."""
 
-from . import stream_queries, text_queries, theme_queries, volume_queries  # noqa: F401
+from . import source_queries, stream_queries, text_queries, theme_queries, volume_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
