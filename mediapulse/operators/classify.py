@@ -83,5 +83,5 @@ def narrative_scores(rows: DataFrame, key: str = "doc_id", column: str = "text",
 
 def with_mapped_codes(scores: DataFrame, codes: DataFrame, mapping: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adds themes that an article's codes(key, code) map to (code, theme) at 0.60, where not scored already."""
-    mapped = codes.join(F.broadcast(mapping), "code").select(key, "theme").distinct()
+    mapped = codes.join(mapping, "code").select(key, "theme").distinct()
     return scores.unionByName(mapped.join(scores.select(key, "theme"), [key, "theme"], "left_anti").withColumn("confidence", F.lit(0.60)))

@@ -31,17 +31,19 @@ def title_vectors(articles: DataFrame, key: str = "id", title: str = "title", fe
 def similar_pairs(vectors: DataFrame, times: DataFrame, least: float, hours: int = 24, key: str = "id") -> DataFrame:
     """(a, b, sim) of all pairs at most `hours` apart whose cosine is `least` or more.
 
-    Terms stand from rare to frequent. What follows a vector's prefix has a norm below `least`, so a pair
-    that reaches it shares a term of one side's prefix: only prefixes are joined, in neighbouring time
-    buckets, and the pairs found take the exact product.
+    times(key, at[, until]) gives moments, or spans no longer than `hours`, whose distance is that of their
+    nearest ends. Terms stand from rare to frequent. What follows a vector's prefix has a norm below `least`,
+    so a pair that reaches it shares a term of both sides' prefixes: only prefixes are joined, in
+    neighbouring time buckets, and the pairs found take the exact product.
     """
     order = Window.partitionBy(key).orderBy("df", "term")
     rest = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    marked = vectors.withColumn("prefix", rest >= least * least - 1e-9).join(times.select(key, "at"), key)
-    bucket = F.floor(F.unix_timestamp("at") / (hours * 3600))
-    left = marked.where("prefix").select(F.col(key).alias("a"), "term", F.col("at").alias("at_a"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
-    right = marked.where("prefix").select(F.col(key).alias("b"), "term", F.col("at").alias("at_b"), bucket.alias("bucket"))
-    near = F.abs(F.unix_timestamp("at_a") - F.unix_timestamp("at_b")) <= hours * 3600
+    spans = times.select(key, F.unix_timestamp("at").alias("lo"), F.unix_timestamp("until" if "until" in times.columns else "at").alias("hi"))
+    marked = vectors.withColumn("prefix", rest >= least * least - 1e-9).where("prefix").join(spans, key)
+    bucket = F.floor(F.col("lo") / (hours * 3600))
+    left = marked.select(F.col(key).alias("a"), "term", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: bucket + k)).alias("bucket"))
+    right = marked.select(F.col(key).alias("b"), "term", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), bucket.alias("bucket"))
+    near = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a")) <= hours * 3600
     pairs = left.join(right, ["term", "bucket"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
     listed = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
     both = pairs.join(listed.toDF("a", "va"), "a").join(listed.toDF("b", "vb"), "b")
@@ -54,16 +56,26 @@ def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3,
 
     An edge is a title cosine plus `boost` times the entities' overlap of `least` or more; the overlap alone
     never makes one, so pairs below least - boost need no look. Clusters are components of two or more,
-    named by their smallest id.
+    named by their smallest id. Articles with one title and the same entities inside half the time band are
+    one vertex, a span from the first to the last of them, so a headline that everybody prints adds one
+    vertex per half band and not a pair for every two articles.
     """
-    vectors = written(title_vectors(articles, features=features), "title_vectors")
-    pairs = similar_pairs(vectors, articles, least - boost, hours)
-    entities = articles.select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("e"))
-    both = pairs.join(entities.toDF("a", "ea"), "a").join(entities.toDF("b", "eb"), "b")
-    union = F.size(F.array_union("ea", "eb"))
-    overlap = F.when((F.size("ea") > 0) & (F.size("eb") > 0), F.size(F.array_intersect("ea", "eb")) / union).otherwise(0.0)
+    rows = articles.select("id", "title", "at", F.array_sort(F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))).alias("e"))
+    half = F.floor(F.unix_timestamp("at") / (hours * 1800))
+    rows = rows.select("id", "title", "at", "e", half.alias("half"))
+    groups = rows.groupBy("title", "e", "half").agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.max("at").alias("until"), F.count("*").alias("n"))
+    groups = written(groups, "headlines")
+    vectors = title_vectors(articles, features=features).join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    vectors = written(vectors, "title_vectors")
+    pairs = similar_pairs(vectors, groups.select(F.col("rep").alias("id"), "at", "until"), least - boost, hours)
+    both = pairs.join(groups.select(F.col("rep").alias("a"), F.col("e").alias("ea")), "a").join(groups.select(F.col("rep").alias("b"), F.col("e").alias("eb")), "b")
+    overlap = F.when((F.size("ea") > 0) & (F.size("eb") > 0), F.size(F.array_intersect("ea", "eb")) / F.size(F.array_union("ea", "eb"))).otherwise(0.0)
     edges = both.where(F.col("sim") + overlap * boost >= least).select("a", "b")
-    return connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    found = connected_components(edges)
+    worded = groups.where("n > 1").join(vectors.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", F.col("rep").alias("own"))
+    named = found.join(worded, found["node"] == worded["rep"], "full_outer").select(F.coalesce("node", "rep").alias("rep"), F.coalesce("component", "own").alias("cluster"))
+    members = rows.join(groups, (rows["title"].eqNullSafe(groups["title"])) & (rows["e"] == groups["e"]) & (rows["half"] == groups["half"])).select("id", "rep")
+    return members.join(named, "rep").select("id", "cluster")
 
 
 def contradictions(rows: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def detect_48h(counts: DataFrame, baselines: DataFrame, specificity: DataFrame |
     groups = hot.groupBy("date", "theme").agg(F.array_sort(F.collect_set("country")).alias("countries")).where(F.size("countries") >= least_countries)
     weight = F.lit(0.5)
     if specificity is not None:
-        groups = groups.join(F.broadcast(specificity), "theme", "left")
+        groups = groups.join(specificity, "theme", "left")
         weight = F.coalesce("specificity", F.lit(0.5))
     exact = F.coalesce(F.element_at(text.literal_map(fixed.PAIR_BONUSES), F.array_join("countries", ",")), F.lit(0.0))
     total = exact + F.least((F.size("countries") - 1) * 0.15, F.lit(0.45)) + weight * 0.2

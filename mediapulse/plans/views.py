@@ -50,7 +50,7 @@ def headlines(articles: DataFrame, outlets: DataFrame | None = None, top: int =
     rows = rows.withColumn("audience_type", shown).withColumn("themes", F.slice("themes", 1, 6))
     if outlets is None:
         return rows
-    return rows.join(F.broadcast(outlets.select("domain", "outlet_name")), "domain", "left").withColumn("outlet_name", F.coalesce("outlet_name", "domain"))
+    return rows.join(outlets.select("domain", "outlet_name"), "domain", "left").withColumn("outlet_name", F.coalesce("outlet_name", "domain"))
 
 
 def theme_history(rows: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def start_surges(rows: DataFrame, baselines: DataFrame, table: str, checkpoint:
     counts = rows.withWatermark("date", late).select("date", "country", F.explode("themes").alias("theme")).groupBy(F.window("date", window, slide).alias("w"), "country", "theme").count()
 
     def put(batch: DataFrame, number: int) -> None:
-        hot = batch.join(F.broadcast(baselines), ["country", "theme"]).withColumn("ratio", F.col("count") / F.col("baseline_mean"))
+        hot = batch.join(baselines, ["country", "theme"]).withColumn("ratio", F.col("count") / F.col("baseline_mean"))
         hot = hot.where((F.col("baseline_mean") > 0) & (F.col("ratio") >= surge))
         hot.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "country", "theme", F.col("count").alias("article_count"), "baseline_mean", "ratio", F.lit(number).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 

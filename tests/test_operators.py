@@ -227,21 +227,24 @@ def test_similar_pairs_against_all_pairs(spark):
     words = "summit leaders border talks grain export missile drill election court".split()
     rng = random.Random(2)
     titles = [(k, " ".join(rng.choice(words[: 4 + k % 7]) for _ in range(4 + k % 3)), dt.datetime(2026, 1, 1) + dt.timedelta(hours=5 * k), ["x", f"e{k % 3}"] if k % 4 else []) for k in range(40)]
+    titles += [(40 + k, titles[k % 3][1], titles[k % 3][2] + dt.timedelta(hours=7 * k), titles[k % 3][3]) for k in range(12)] + [(60 + k, "the of and", titles[0][2], ["x"]) for k in range(2)]
+    at = {t[0]: t for t in titles}
     table = spark.createDataFrame(titles, "id long, title string, at timestamp, entities array<string>")
     vectors = clusters.title_vectors(table)
     v = {}
     for r in vectors.collect():
         v.setdefault(r.id, {})[r.term] = r.w
     dot = lambda a, b: sum(w * v[b].get(t, 0) for t, w in v[a].items())
-    near = lambda a, b: abs((titles[a][2] - titles[b][2]).total_seconds()) <= 86400
+    near = lambda a, b: abs((at[a][2] - at[b][2]).total_seconds()) <= 86400
     want = {(a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.3}
     assert {(r.a, r.b) for r in clusters.similar_pairs(vectors, table, 0.3).collect()} == want and want
-    edges = [(a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.05 and dot(a, b) + 0.3 * (len(set(titles[a][3]) & set(titles[b][3])) / len(set(titles[a][3]) | set(titles[b][3])) if titles[a][3] and titles[b][3] else 0) >= 0.35]
+    overlap = lambda a, b: len(set(at[a][3]) & set(at[b][3])) / len(set(at[a][3]) | set(at[b][3])) if at[a][3] and at[b][3] else 0
+    edges = [(a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.05 and dot(a, b) + 0.3 * overlap(a, b) >= 0.35]
     low = {x: x for e in edges for x in e}
-    for _ in range(40):
+    for _ in range(60):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
-    assert {r.id: r.cluster for r in clusters.event_clusters(table).collect()} == low
+    assert {r.id: r.cluster for r in clusters.event_clusters(table).collect()} == low and len(set(low.values())) > 1
 
 
 def test_contradiction_score(spark):
