@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ ROOT = Path(__file__).resolve().parent.parent
 
 def canonical(frame):
     def one(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "~"
         if isinstance(v, float):
             return f"{v:.6g}"
