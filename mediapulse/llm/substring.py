@@ -68,12 +68,16 @@ def _ranked(ids: pa.Array) -> np.ndarray:
     return rank
 
 
+#: The sign bit of a place marks an occurrence that is certain to be a repeat.
+_SURE, _PLACE = np.int64(-(2**63)), np.int64(2**63 - 1)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(route, digest, doc_id, place, sure): place is the text's hash and the chunk's number.
+    """(digest, doc_id, place): place is the text's hash and the chunk's number.
 
     Inside a batch only the first occurrence of a digest is sent to be compared; later ones are certain to
-    be repeats and are dealt out by a route of their own, so that a passage which a third of all documents
-    share arrives once per batch.
+    be repeats and are dealt out by their own place, so that a passage which a third of all documents share
+    arrives once per batch.
     """
     digest_of = xxhash.xxh3_64_intdigest
     for b in batches:
@@ -88,30 +92,27 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = np.concatenate(digests).view(np.int64)
         n = np.array(counts)
         row = np.repeat(np.arange(len(n)), n)
-        number = np.arange(len(digest)) - np.repeat(np.cumsum(n) - n, n)
-        place = (keys[row] << 32) | number
+        place = (keys[row] << 32) | (np.arange(len(digest)) - np.repeat(np.cumsum(n) - n, n))
         ids = b.column("doc_id")
-        rank = _ranked(ids)
-        order = np.lexsort((place, rank[row], digest))
-        d, r, p = digest[order], rank[row][order], place[order]
+        rank = _ranked(ids)[row]
+        order = np.lexsort((place, rank, digest))
+        d, r, p = digest[order], rank[order], place[order]
         head = np.r_[True, d[1:] != d[:-1]]
         first = np.maximum.accumulate(np.where(head, np.arange(len(d)), 0))
         sure = (r != r[first]) | (p != p[first])
-        send = head | sure  # repeated rows of the first occurrence say nothing new
-        order, d, sure = order[send], d[send], sure[send]
-        mix = d ^ (place[order] * np.int64(-7046029254386353131)) ^ (rank[row][order] << 17)
-        route = np.where(sure, mix, d)
-        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(d), ids.take(pa.array(row[order])), pa.array(place[order]), pa.array(sure)], names=["route", "digest", "doc_id", "place", "sure"])
+        send = np.sort(order[head | sure])  # repeated rows of the first occurrence say nothing new
+        place[order[sure]] |= _SURE
+        yield pa.RecordBatch.from_arrays([pa.array(digest[send]), ids.take(pa.array(row[send])), pa.array(place[send])], names=["digest", "doc_id", "place"])
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (route, sure, digest, doc_id, place): all but each digest's first occurrence."""
+    """From rows in order of (sure, digest, doc_id, place): all but each digest's first occurrence."""
     last = None
     for b in batches:
         if not b.num_rows:
             continue
-        digest, place = b.column("digest").to_numpy(), b.column("place").to_numpy()
-        sure, ids = b.column("sure").to_numpy(zero_copy_only=False), b.column("doc_id")
+        digest, place, ids = b.column("digest").to_numpy(), b.column("place").to_numpy(), b.column("doc_id")
+        sure = place < 0
         head = np.r_[last is None or last[0] != digest[0], digest[1:] != digest[:-1]] & ~sure
         at = np.maximum.accumulate(np.where(head, np.arange(len(digest)), -1))
         own = _equal(ids, ids.take(pa.array(np.maximum(at, 0)))) & (place == place[np.maximum(at, 0)])
@@ -120,7 +121,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             old = np.array([x == last[1] for x in ids.filter(pa.array(before)).to_pylist()], bool)
             own[before] = old & (place[before] == last[2])
         repeat = sure | ~own
-        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(repeat)), pa.array(place[repeat])], names=["doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(repeat)), pa.array(place[repeat] & _PLACE)], names=["doc_id", "place"])
         open_rows = np.flatnonzero(~sure)
         if len(open_rows):
             k = open_rows[-1]
@@ -171,8 +172,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.drop("n_removed_runs", "n_removed_words")
     mark = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("long")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = docs.where("text <> ''").select("doc_id", "text", mark.alias("text_hash")).mapInArrow(_chunks, f"route long, digest long, doc_id {kind}, place long, sure boolean")
-    dealt = chunks.repartition(F.col("route")).sortWithinPartitions("sure", "digest", "doc_id", "place").drop("route")
+    chunks = docs.where("text <> ''").select("doc_id", "text", mark.alias("text_hash")).mapInArrow(_chunks, f"digest long, doc_id {kind}, place long")
+    sure = F.col("place") < 0
+    dealt = chunks.repartition(F.when(sure, F.xxhash64("place")).otherwise(F.col("digest"))).sortWithinPartitions(sure, "digest", "doc_id", "place")
     repeats = dealt.mapInArrow(_repeats, f"doc_id {kind}, place long")
     found = repeats.groupBy("doc_id", F.shiftright("place", 32).alias("text_hash")).agg(F.collect_list("place").alias("repeats"))
     left, right = docs.withColumn("__hash", mark).alias("l"), found.alias("r")
