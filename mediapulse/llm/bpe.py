@@ -33,7 +33,7 @@ def byte_letters() -> dict[int, str]:
 class WordBpe:
     """A vocabulary with word ends: encodes words in batches and keeps what it has encoded, up to a bound."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
