@@ -21,32 +21,36 @@ def ranked(rows: DataFrame, by: list[str], order: list, most: int, name: str = "
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= most)
 
 
-def day_partials(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Additive counts per day: (theme counts and tone sums, bucket totals).
+def day_partials(articles: DataFrame) -> DataFrame:
+    """Additive counts per (country, audience_type, day, theme): articles, tone sum and number of tones.
 
-    Totals are taken before themes are unnested, so rows without themes count. Weeks and months are sums of
-    days, which leaves one wide shuffle for all granularities.
+    Each article also counts under a null theme, so these rows hold the bucket's total, articles without
+    themes included, and the facts are read and deduplicated once. Nulls inside a theme list are ignored.
+    Weeks and months are sums of days, which leaves one wide shuffle for all granularities.
     """
-    rows = articles.withColumn("day", F.to_date("date"))
-    keys = ["country", "audience_type", "day"]
-    themes = rows.select(*keys, F.explode("themes").alias("theme"), "tone").groupBy(*keys, "theme").agg(F.count("*").alias("article_count"), F.sum("tone").alias("tone_sum"), F.count("tone").alias("tone_n"))
-    return themes, rows.groupBy(*keys).agg(F.count("*").alias("bucket_total"))
+    named = F.filter(F.coalesce("themes", F.array().cast("array<string>")), lambda x: x.isNotNull())
+    rows = articles.select("country", "audience_type", F.to_date("date").alias("day"), "tone", F.explode(F.concat(F.array(F.lit(None).cast("string")), named)).alias("theme"))
+    return rows.groupBy("country", "audience_type", "day", "theme").agg(F.count("*").alias("article_count"), F.sum("tone").alias("tone_sum"), F.count("tone").alias("tone_n"))
 
 
-def rollup_partials(themes: DataFrame, totals: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50) -> DataFrame:
+def rollup_partials(partials: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50) -> DataFrame:
     """Theme rows per (country, audience, period): counts, share, mean tone; the minimum and the top N of
-    the whole period, not of its days."""
+    the whole period, not of its days.
+
+    The total's row ranks first in its bucket and hands its count to the others inside the same partition,
+    so no join is needed.
+    """
     spread = F.explode(F.array(*[text.period_struct(F.col("day"), p) for p in periods])).alias("p")
-    counts = themes.select("country", "audience_type", "theme", "article_count", "tone_sum", "tone_n", spread).select("*", "p.*").groupBy(*BUCKET, "theme").agg(
+    counts = partials.select("country", "audience_type", "theme", "article_count", "tone_sum", "tone_n", spread).select("*", "p.*").groupBy(*BUCKET, "theme").agg(
         F.sum("article_count").alias("article_count"), F.sum("tone_sum").alias("tone_sum"), F.sum("tone_n").alias("tone_n")
     )
-    whole = totals.select("country", "audience_type", "bucket_total", spread).select("*", "p.*").groupBy(*BUCKET).agg(F.sum("bucket_total").alias("bucket_total"))
-    kept = ranked(counts.where(F.col("article_count") >= min_count), BUCKET, [F.desc("article_count"), "theme"], top)
-    return kept.join(whole, BUCKET).select(
-        *BUCKET, "theme", "article_count", "bucket_total", F.round(F.col("article_count") / F.col("bucket_total"), 4).alias("share"), F.try_divide("tone_sum", "tone_n").alias("avg_tone"), "rank"
+    kept = ranked(counts.where(F.col("theme").isNull() | (F.col("article_count") >= min_count)), BUCKET, [F.col("theme").isNotNull(), F.desc("article_count"), "theme"], top + 1)
+    total = F.max(F.when(F.col("theme").isNull(), F.col("article_count"))).over(Window.partitionBy(*BUCKET))
+    return kept.withColumn("bucket_total", total).where("theme is not null").select(
+        *BUCKET, "theme", "article_count", "bucket_total", F.round(F.col("article_count") / F.col("bucket_total"), 4).alias("share"), F.try_divide("tone_sum", "tone_n").alias("avg_tone"), (F.col("rank") - 1).alias("rank")
     )
 
 
 def theme_rollup(articles: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50) -> DataFrame:
     """Rollup of deduplicated articles(country, audience_type, date, themes, tone)."""
-    return rollup_partials(*day_partials(articles), periods, min_count, top)
+    return rollup_partials(day_partials(articles), periods, min_count, top)
