@@ -106,26 +106,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (sure, digest, doc_id, place): all but each digest's first occurrence."""
+    """From rows in order of (digest, doc_id, place): certain repeats, and all but each digest's first of the others."""
     last = None
     for b in batches:
-        if not b.num_rows:
+        sure = b.column("place").to_numpy() < 0
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(sure)), pa.array(b.column("place").to_numpy()[sure] & _PLACE)], names=["doc_id", "place"])
+        rest = b.filter(pa.array(~sure))
+        if not rest.num_rows:
             continue
-        digest, place, ids = b.column("digest").to_numpy(), b.column("place").to_numpy(), b.column("doc_id")
-        sure = place < 0
-        head = np.r_[last is None or last[0] != digest[0], digest[1:] != digest[:-1]] & ~sure
+        digest, place, ids = rest.column("digest").to_numpy(), rest.column("place").to_numpy(), rest.column("doc_id")
+        head = np.r_[last is None or last[0] != digest[0], digest[1:] != digest[:-1]]
         at = np.maximum.accumulate(np.where(head, np.arange(len(digest)), -1))
         own = _equal(ids, ids.take(pa.array(np.maximum(at, 0)))) & (place == place[np.maximum(at, 0)])
-        before = at < 0
-        if before.any() and last is not None:
-            old = np.array([x == last[1] for x in ids.filter(pa.array(before)).to_pylist()], bool)
-            own[before] = old & (place[before] == last[2])
-        repeat = sure | ~own
-        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(repeat)), pa.array(place[repeat] & _PLACE)], names=["doc_id", "place"])
-        open_rows = np.flatnonzero(~sure)
-        if len(open_rows):
-            k = open_rows[-1]
-            last = (digest[k], ids[at[k]].as_py(), place[at[k]]) if at[k] >= 0 else last
+        before = at < 0  # rows of the digest that the batch before ended with
+        if before.any():
+            own[before] = np.array([x == last[1] for x in ids.filter(pa.array(before)).to_pylist()], bool) & (place[before] == last[2])
+        yield pa.RecordBatch.from_arrays([ids.filter(pa.array(~own)), pa.array(place[~own])], names=["doc_id", "place"])
+        if at[-1] >= 0:
+            last = (digest[-1], ids[at[-1]].as_py(), place[at[-1]])
 
 
 def _cut(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +172,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = docs.where("text <> ''").select("doc_id", "text", mark.alias("text_hash")).mapInArrow(_chunks, f"digest long, doc_id {kind}, place long")
     sure = F.col("place") < 0
-    dealt = chunks.repartition(F.when(sure, F.xxhash64("place")).otherwise(F.col("digest"))).sortWithinPartitions(sure, "digest", "doc_id", "place")
+    dealt = chunks.repartition(F.when(sure, F.xxhash64("place")).otherwise(F.col("digest"))).sortWithinPartitions("digest", "doc_id", "place")
     repeats = dealt.mapInArrow(_repeats, f"doc_id {kind}, place long")
     found = repeats.groupBy("doc_id", F.shiftright("place", 32).alias("text_hash")).agg(F.collect_list("place").alias("repeats"))
     left, right = docs.withColumn("__hash", mark).alias("l"), found.alias("r")
