@@ -14,6 +14,7 @@ from mediapulse.functions import fixed, text
 from mediapulse.operators import activity, claims, classify, clusters, coordination, gates, resolve, rollup, trends
 from mediapulse.operators.graph import connected_components, scratch_path
 from mediapulse.plans import driver, views
+from mediapulse.plans.stream_queries import write_drop
 from mediapulse.sources import articles, dims, gkg, schemas, sinks
 from mediapulse.streaming import jobs
 
@@ -283,7 +284,7 @@ def test_views_and_json(spark):
 def test_late_duplicates_do_not_change_the_stream(spark, sf):
     folder = scratch_path(spark, "late")
     rows = driver.raw_articles(spark, sf).where("country <> 'UK'")
-    rows.repartitionByRange(4, "date").write.parquet(f"{folder}/drop")
+    write_drop(rows, f"{folder}/drop", 4)
     rows.sample(0.2, seed=1).coalesce(1).write.mode("append").parquet(f"{folder}/drop")  # read a second time, late
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
     jobs.start_rollup(jobs.deduplicated(stream), f"{folder}/store", f"{folder}/table", f"{folder}/check").awaitTermination()
