@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 #: Fixed: the pre-tokenizer's pattern, with \s spelt as the White_Space property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 _NONE = np.int64(1 << 40)
@@ -33,7 +35,7 @@ def byte_letters() -> dict[int, str]:
 class WordBpe:
     """A vocabulary with word ends: encodes words in batches and keeps what it has encoded, up to a bound."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -157,7 +159,7 @@ def _groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
 
 def _encode(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bpe = loaded(path)
-    for b in batches:
+    for b in sliced(batches, 1000):
         texts = [t or "" for t in b.column("text").to_pylist()]
         counts, left, right = [], [], []
         for a, z in _groups(texts):

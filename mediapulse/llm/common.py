@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import connected_components, discard, scratch_path, written
 
-__all__ = ["connected_components", "discard", "scratch_path", "table", "united", "written"]
+__all__ = ["connected_components", "discard", "scratch_path", "sliced", "table", "united", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`: bounds what a worker holds beside its input."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def united(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Merge the components of i and j in an array of smallest-member labels."""
     while len(i):

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 WINDOW = 10
 #: A broadcast set holds at most so many item words; larger benchmarks are scanned in several passes.
 MAX_WORDS = 2_000_000
@@ -122,7 +124,7 @@ def _batch(b: pa.RecordBatch, without: tuple[str, ...], new: dict[str, pa.Array]
 
 
 def _scan(windows, clean: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2000):
         texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
         got = [windows.value.scan(words_of(t)) for t in texts]
         yield _batch(b, ("text",), _found(texts, [(spans, sorted(map(str, items))) for spans, items in got], clean))

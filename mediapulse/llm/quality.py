@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: Bound of the sample that the classifier is fitted on, per label.
 MAX_LABELLED = 2048
 TERMS, RATES, DIMS, NEIGHBOURS, POWER = 1024, 6, 48, 25, 12
@@ -99,7 +101,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(voter, block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2000):
         texts, scores = b.column("text").cast(pa.binary()), []
         for a in range(0, len(texts), block):
             x = np.stack([features(t.as_py() or b"") for t in texts[a : a + block]])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, united, written
+from .common import connected_components, sliced, united, written
 
 SEED = 42
 FANOUT = 8
@@ -46,7 +46,7 @@ def fingerprint(text: bytes | None, size: int = 3, step: int = 1 << 20) -> int:
 
 
 def _fingerprints(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2000):
         texts = b.column("text").cast(pa.binary())
         fp = np.array([fingerprint(t.as_py(), size) for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 #: A cut falls before one word in WORDS_PER_CHUNK; a stretch without cuts is cut at every LONGEST bytes.
 WORDS_PER_CHUNK, LONGEST = 4, 4096
 #: A run of repeated chunks goes if it holds at least so many words.
@@ -80,7 +82,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrives once per batch.
     """
     digest_of = xxhash.xxh3_64_intdigest
-    for b in batches:
+    for b in sliced(batches, 4000):
         digests, counts, keys = [], [], b.column("text_hash").to_numpy(zero_copy_only=False).astype(np.int64)
         for t in b.column("text").cast(pa.binary()):
             text = t.as_py() or b""
@@ -127,7 +129,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(min_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2000):
         texts, counts, removed = [], [], []
         for t, numbers in zip(b.column("text").cast(pa.binary()), b.column("__repeats")):
             text, places = t.as_py(), numbers.values
