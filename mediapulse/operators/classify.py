@@ -61,9 +61,11 @@ def classified(rows: DataFrame, countries: DataFrame) -> DataFrame:
     official = F.broadcast(countries.select(F.col("iso2").alias("_iso"), F.col("official_languages").alias("_official")))
     own = [F.col(c) if c in rows.columns else F.lit(None) for c in ("outlet_audience", "outlet_confidence")]
     joined = rows.join(official, F.upper("source_country") == F.col("_iso"), "left")
-    host = text.host(F.col("source_domain"))
-    got = combined(own[0].cast("string"), own[1].cast("double"), by_language(F.col("source_language"), F.col("source_country"), F.col("_official")), by_platform(host), by_tld(host))
-    return joined.withColumn("_got", got).withColumn("audience_type", F.col("_got.audience")).withColumn("confidence", F.col("_got.confidence")).drop("_got", "_iso", "_official")
+    # each signal is a column of its own, so that it is computed once and not wherever the combination reads it
+    signals = joined.withColumn("_host", text.host(F.col("source_domain")))
+    signals = signals.withColumn("_language", by_language(F.col("source_language"), F.col("source_country"), F.col("_official"))).withColumn("_platform", by_platform(F.col("_host"))).withColumn("_tld", by_tld(F.col("_host")))
+    got = signals.withColumn("_got", combined(own[0].cast("string"), own[1].cast("double"), F.col("_language"), F.col("_platform"), F.col("_tld")))
+    return got.withColumn("audience_type", F.col("_got.audience")).withColumn("confidence", F.col("_got.confidence")).drop("_got", "_iso", "_official", "_host", "_language", "_platform", "_tld")
 
 
 def narrative_scores(rows: DataFrame, key: str = "doc_id", column: str = "text", narratives: dict[str, list[str]] | None = None, least: float = 0.2) -> DataFrame:
