@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, sliced, united, written
+from .nearcopies import SIMILARITY, SIZE, near_copies
 
 SEED = 42
 FANOUT = 8
@@ -175,13 +176,15 @@ def simhash_dedup(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     return prints.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of docs that stand for their near-duplicate group: those with its smallest doc_id.
+def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stand for their group of near copies: those with its smallest doc_id.
 
-    Of repeated rows with that doc_id one stays. Rows with a null doc_id cannot stand for a group, nor be
-    named as members of one, and all stay.
+    Texts link if the Jaccard similarity of their sets of `size`-word shingles reaches `similarity`. Of repeated
+    rows with the smallest doc_id one stays. Rows with a null doc_id cannot stand for a group, nor be named as
+    members of one, and all stay.
     """
-    groups = simhash_dedup(docs, size, distance)
-    keep = written(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    reps, groups = near_copies(docs, size, similarity)
+    later = groups.where("node <> component").select(F.col("node").alias("rep"))
+    keep = written(reps.join(later, "rep", "left_anti").select(F.col("rep").alias("doc_id")).distinct(), "kept")
     rows = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mediapulse.llm import bpe, classlm, decontaminate, licenses, quality, queries, simhash, substring
+from mediapulse.llm import bpe, classlm, decontaminate, licenses, nearcopies, quality, queries, simhash, substring
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score string, items string, repeats int, fp string, n_words string"
 LONG = "very " * 40_000 + "long"
@@ -112,6 +112,35 @@ def test_hot_bucket_in_blocks(spark):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def slow_shingles(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_one_of_near_copies_stays(spark, texts):
+    # copies with single words changed: at 400 words 8 changes leave a similarity of about 0.82, 11 one of 0.76
+    rng, rows = np.random.default_rng(6), dict(texts)
+    for g in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 400)]
+        rows[100_000 + 10 * g] = " ".join(words)
+        for k in range(1, 6):
+            changed = words.copy()
+            for x in rng.choice(400, 2 * k + 1, replace=False):
+                changed[x] = f"v{x}"
+            rows[100_000 + 10 * g + k] = " ".join(changed)
+    sets = {i: slow_shingles(t) for i, t in rows.items()}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components(list(sets), linked)
+    far = [(a, b) for a, b in linked if bin(slow_fingerprint(rows[a]) ^ slow_fingerprint(rows[b])).count("1") > 3]
+    assert len(far) > 50
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == sorted(i for i in want if want[i] == i)
+    # blocks of about two documents decide the same pairs
+    reps, groups = nearcopies.near_copies(frame, block=800)
+    later = {r.node for r in groups.collect() if r.node != r.component}
+    assert sorted(r.rep for r in reps.collect() if r.rep not in later) == sorted(i for i in want if want[i] == i)
+
+
 def slow_words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
