@@ -21,9 +21,9 @@ from .common import written
 #: Fixed: elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside form menu button select textarea dialog iframe object svg canvas audio video head title noscript template script style datalist option".split())
+DROPPED = frozenset("nav header footer aside menu button select textarea dialog iframe object svg canvas audio video head title noscript template script style datalist option".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
-#: Fixed: words in a class, id or role that mark what is not the article.
+#: Fixed: classes, ids and roles that mark what is not the article, unless the article stands inside.
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation navigator menu menubar header masthead footer sidebar sidenav side rail widget widgets "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social comment comments disqus reply replies respond "
@@ -33,18 +33,53 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>?")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "number")
+    __slots__ = ("tag", "path", "dropped", "number", "marked")
 
-    def __init__(self, tag: str, path: str, dropped: bool, number: int):
-        self.tag, self.path, self.dropped, self.number = tag, path, dropped, number
+    def __init__(self, tag: str, path: str, dropped: bool, number: int, marked: bool = False):
+        self.tag, self.path, self.dropped, self.number, self.marked = tag, path, dropped, number, marked
 
 
-def blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
-    """(text, characters in links, open elements) of every block that is not boilerplate, in page order."""
+def is_boilerplate(value: str) -> bool:
+    """Whether a whole token of a class, id or role is such a word, or joins nothing but such words."""
+    return any(parts and BOILERPLATE.issuperset(parts) for parts in (list(filter(None, _PART.split(t))) for t in value.split()))
+
+
+def blocks(html: str) -> list[tuple[str, int, list[Node]]]:
+    """(text, characters in links, open elements) of every block that is not boilerplate, in page order.
+
+    A marked element (a form too) is boilerplate unless it holds the page's main or only article, or, on a page
+    without either, most of the text outside links (nine tenths if it is not a form, as long comments are not the
+    article). A page that has no other blocks keeps those of marked ones.
+    """
+    every = list(_blocks(html))
+    if not any(n.marked for _, _, around in every for n in around):
+        return every
+    size, marks, forms, heads = defaultdict(int), set(), set(), {"main": set(), "article": set()}
+    for text, linked, around in every:
+        for n in around:
+            size[n.number] += max(0, len(text) - linked)
+            if n.marked:
+                marks.add(n.number)
+                if n.tag == "form":
+                    forms.add(n.number)
+            if n.tag in heads:
+                heads[n.tag].add(n.number)
+    body = heads["main"] or (heads["article"] if len(heads["article"]) == 1 else set())
+    if body:
+        holds = {n.number for _, _, around in every for k, n in enumerate(around) if any(x.number in body for x in around[k:])}
+    else:
+        whole = sum(max(0, len(text) - linked) for text, linked, _ in every)
+        holds = {k for k in marks if size[k] > whole * (0.5 if k in forms else 0.9)}
+    marks -= holds
+    return [x for x in every if not any(n.number in marks for n in x[2])] or every
+
+
+def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
+    """Blocks outside dropped elements, those of marked elements among them."""
     html = _RAW.sub(" ", html)
     stack, parts, linked, number = [Node("", "", False, 0)], [], 0, 0
     at, in_link = 0, 0
@@ -90,9 +125,10 @@ def blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
             for a in _ATTR.finditer(m[3]):
                 names.setdefault(a[1].lower(), (a[2] or a[3] or a[4] or "").lower())
         shown = re.sub(r"\d+", "#", " ".join(names.get("class", "").split()[:2]))
-        drop = stack[-1].dropped or tag in DROPPED or (tag not in ("html", "body", "article", "main") and any(not BOILERPLATE.isdisjoint(_WORD.findall(v)) for v in names.values()))
+        drop = stack[-1].dropped or tag in DROPPED
+        marked = tag == "form" or (tag not in ("html", "body", "article", "main") and any(map(is_boilerplate, names.values())))
         number += 1
-        stack.append(Node(tag, f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else ""), drop, number))
+        stack.append(Node(tag, f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else ""), drop, number, marked))
     parts.append(html[at:])
     if (done := flush()) is not None:
         yield done

@@ -80,6 +80,23 @@ def test_article_text():
     assert path == ">html>body>div.story s#" and html.text_at(PAGE, path) == TEXT
 
 
+def test_marked_containers_around_the_article():
+    body = "<article><p>First words of the story.</p><p>More of it.</p></article>"
+    ad = '<div class="ad-banner"><p>Buy this now, and that as well.</p></div>'
+    for page in (
+        f'<body><div class="layout has-sidebar">{ad}{body}</div></body>',
+        f'<body><div class="sidebar search">{ad}{body}</div></body>',
+        f'<body><form action="/p.aspx">{ad}{body}</form><div class="related"><p>Another long story, with very many words to read, out of the way.</p></div></body>',
+    ):
+        assert html.text_at(page, html.best_path(page)[0]) == "First words of the story.\n\nMore of it."
+        assert not any("Buy this" in text or "Another" in text for text, _, _ in html.blocks(page))
+    # without article or main: most of the text, then whatever there is
+    page = f'<body><form>{ad}<div><p>A story of some more words than all adverts have.</p><p>And an end to it.</p></div></form></body>'
+    assert html.text_at(page, html.best_path(page)[0]).startswith("A story") and "Buy" not in html.text_at(page, html.best_path(page)[0])
+    page = '<body><div class="notice"><p>One one.</p></div><div class="alert"><p>Two two.</p></div></body>'
+    assert [text for text, _, _ in html.blocks(page)] == ["One one.", "Two two."]
+
+
 def test_host_consensus(spark):
     # the short page alone would be read from its longer teaser box; its host's other pages outvote it
     short = '<html><body><div class="teaser"><p>A long teaser about something else, in many words, of no use.</p></div><div class="story s9"><p>Brief.</p></div></body></html>'
