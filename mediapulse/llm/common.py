@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.graph import connected_components, discard, scratch_path, written
+from ..operators.graph import clear_scratch, connected_components, discard, scratch_path, written
 
-__all__ = ["connected_components", "discard", "scratch_path", "sliced", "table", "united", "written"]
+__all__ = ["clear_scratch", "connected_components", "discard", "scratch_path", "sliced", "table", "united", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

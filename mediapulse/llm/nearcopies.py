@@ -117,7 +117,7 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     equal = written(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("digest", "first.doc_id", "first.bands"), "sets")
     keyed = equal.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b"))
     star = keyed.select(F.min("b").over(Window.partitionBy("key")).alias("a"), "b").where("a <> b")
-    found = written(connected_components(star), "candidates").withColumnRenamed("node", "doc_id")
+    found = connected_components(star).withColumnRenamed("node", "doc_id")
     sets = written(docs.join(found, "doc_id").select("component", "doc_id", "text").mapInArrow(partial(_sets, size), f"component {kind}, doc_id {kind}, n long, shingles binary"), "shingles")
     blocks = sets.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
@@ -125,4 +125,4 @@ def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     pair = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
     spread = dealt.select(pair.alias("pair"), "doc_id", "shingles").repartition(F.col("pair")).sortWithinPartitions("pair")
     links = spread.mapInArrow(partial(_links, similarity), f"a {kind}, b {kind}")
-    return equal.select(F.col("doc_id").alias("rep")), written(connected_components(links), "groups")
+    return equal.select(F.col("doc_id").alias("rep")), connected_components(links)
