@@ -244,27 +244,40 @@ def test_quality_odd_rows(spark, odd, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def slow_windows_of(raw):
+    """(first byte, byte after, word spans) of every window of a text, by the definition."""
+    words = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)]
+    padded = b" " * 16 + raw
+    h = [sum(int(substring._GEAR[padded[15 + a - k]]) << k for k in range(16)) % 65536 for a, _ in words]
+    cut = [k for k in range(len(h)) if k == 0 or all(h[k] < h[x] for x in range(max(0, k - 3), k)) and all(h[k] <= h[x] for x in range(k + 1, min(len(h), k + 4)))]
+    starts = sorted({x for a, z in zip(cut, [*cut[1:], len(h)]) for x in range(a, z, 64)})
+    edges, found = [*starts, len(h)], []
+    for k in starts:
+        if ends := [e for e in edges if e - k >= 20]:
+            found.append((k, ends[0]))
+    late = [k for k in starts if len(h) - k >= 20]
+    if late and (late[-1], len(h)) not in found:
+        found.append((late[-1], len(h)))
+    return words, found
+
+
 def slow_substring(rows):
-    """Keep the first occurrence of each chunk; cut runs of at least 20 words of later ones."""
-    place, first = {}, {}
+    """Of equal windows the first stays; words under later ones go, with the blanks behind them."""
+    seen, out = set(), {}
     for i, t in sorted(rows.items()):
-        at = substring.cuts((t or "").encode())
-        for k, (a, b) in enumerate(zip(at, at[1:])):
-            chunk = (t or "").encode()[a:b]
-            place.setdefault(i, []).append((a, b, first.setdefault(chunk, (i, k)) != (i, k)))
-    out = {}
-    for i, t in rows.items():
-        raw, keep, run = (t or "").encode(), [], []
-        for a, b, again in [*place.get(i, []), (0, 0, False)]:
-            if again:
-                run.append((a, b))
-                continue
-            if run and len(raw[run[0][0] : run[-1][1]].split()) < 20:
-                keep += run
-            run = []
-            keep.append((a, b))
-        text = b"".join(raw[a:b] for a, b in keep)
-        out[i] = t if text == raw else text.strip().decode()
+        raw = (t or "").encode()
+        words, found = slow_windows_of(raw)
+        gone = set()
+        for a, z in found:
+            piece = raw[words[a][0] : words[z - 1][1]]
+            if piece in seen:
+                gone.update(range(a, z))
+            seen.add(piece)
+        if not gone:
+            out[i] = t
+            continue
+        ends = [words[k + 1][0] if k + 1 < len(words) else len(raw) for k in range(len(words))]
+        out[i] = (raw[: words[0][0]] + b"".join(raw[words[k][0] : ends[k]] for k in range(len(words)) if k not in gone)).strip().decode()
     return out
 
 
@@ -286,14 +299,41 @@ def test_substring_shifts_and_odd_rows(spark, odd, empty):
     assert substring.substring_dedup(empty).count() == 0
 
 
+def test_mosaics_of_short_phrases_stay(spark):
+    # every phrase of eight words occurred before, but no passage of twenty words did
+    rng = np.random.default_rng(4)
+    phrases = [" ".join(f"w{x}" for x in rng.integers(0, 500, 8)) for _ in range(40)]
+    rows = [(k, " ".join(rng.permutation(phrases)[:12])) for k in range(60)]
+    got = {r.doc_id: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    again = {i for i, r in got.items() if r.n_removed_runs}
+    pieces = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 19):
+            pieces.setdefault(tuple(w[k : k + 20]), i)
+    true = {i for i, t in rows for k in range(len(t.split()) - 19) if pieces[tuple(t.split()[k : k + 20])] < i}
+    assert again <= true
+
+
+def test_every_occurrence_but_the_first_of_a_hot_passage_goes(spark):
+    passage = " ".join(f"hot{k}" for k in range(60))
+    rows = [(k, " ".join(f"own{k}_{x}" for x in range(k % 30)) + " " + passage + f" tail{k}") for k in range(600)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert [r.doc_id for r in got if not r.n_removed_runs] == [0] and all(len(r.text.split()) < len(rows[r.doc_id][1].split()) - 30 for r in got if r.doc_id)
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.text("ab cde\n é", max_size=300))
-def test_cuts_are_ordered_and_whole(text):
-    raw = text.encode()
-    at = substring.cuts(raw)
-    assert at[0] == 0 and at[-1] == len(raw) and (np.diff(at) > 0).all()
-    for a, b in zip(at, at[1:]):
-        raw[a:b].decode()
+@given(st.lists(st.text("ab cde\n é", max_size=200), max_size=4), st.integers(1, 6))
+def test_layouts_are_ordered_and_whole(found, least):
+    raw = [t.encode() for t in found]
+    layout = substring.Layout(raw, least)
+    for k, t in enumerate(raw):
+        none = np.zeros(layout.chunks[k + 1] - layout.chunks[k], bool)
+        assert layout.without(k, none) == (t.strip(), 0, 0)
+        assert layout.without(k, ~none)[2] == len(t.split())
+    for text, place, a, z in zip(*layout.windows()):
+        assert len(layout.buffer[a:z].split()) >= least and layout.buffer[a:z] in raw[text] and place >= 0
+    assert np.diff(layout.word).max(initial=0) <= 64
 
 
 def test_class_model(docs, texts):
