@@ -23,11 +23,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("nav header footer aside menu button select textarea dialog iframe object svg canvas audio video head title noscript template script style datalist option".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Fixed: classes, ids and roles that mark what is not the article, unless the article stands inside.
 BOILERPLATE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation navigator menu menubar header masthead footer sidebar sidenav side rail widget widgets "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social comment comments disqus reply replies respond "
-    "related recommended recommendations breadcrumb breadcrumbs pagination pager tags toolbar skip copyright complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
+    "nav navbar navigation navigator menu menubar header masthead footer sidebar sidenav side rail widget widgets "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
+    "login form search share sharing social comment comments disqus reply replies respond "
+    "related recommended recommendations breadcrumb breadcrumbs pagination pager tags toolbar skip copyright "
+    "complementary contentinfo".split()
 )
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
@@ -37,10 +41,13 @@ _PART = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "number", "marked")
+    """An open element; `titles` is set in an article's header, of which only the headings count."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, number: int, marked: bool = False):
-        self.tag, self.path, self.dropped, self.number, self.marked = tag, path, dropped, number, marked
+    __slots__ = ("tag", "path", "dropped", "number", "marked", "titles")
+
+    def __init__(self, tag: str, path: str, dropped: bool, number: int, marked: bool = False, titles: bool = False):
+        self.tag, self.path, self.dropped, self.number = tag, path, dropped, number
+        self.marked, self.titles = marked, titles
 
 
 def is_boilerplate(value: str) -> bool:
@@ -88,7 +95,9 @@ def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
         nonlocal parts, linked
         text, n = " ".join(unescape("".join(parts)).split()), linked
         parts, linked = [], 0
-        return (text, n, stack[1:]) if text and not stack[-1].dropped else None
+        here = stack[-1]
+        shown = not here.dropped and (not here.titles or here.tag in HEADINGS)
+        return (text, n, stack[:]) if text and shown else None
 
     for m in _TAG.finditer(html):
         if m.start() > at:
@@ -125,35 +134,71 @@ def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
             for a in _ATTR.finditer(m[3]):
                 names.setdefault(a[1].lower(), (a[2] or a[3] or a[4] or "").lower())
         shown = re.sub(r"\d+", "#", " ".join(names.get("class", "").split()[:2]))
-        drop = stack[-1].dropped or tag in DROPPED
+        titles = stack[-1].titles or (tag == "header" and any(n.tag in ("article", "main") for n in stack))
+        drop = stack[-1].dropped or (tag in DROPPED and not (titles and tag == "header"))
         marked = tag == "form" or (tag not in ("html", "body", "article", "main") and any(map(is_boilerplate, names.values())))
         number += 1
-        stack.append(Node(tag, f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else ""), drop, number, marked))
+        path = f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else "")
+        stack.append(Node(tag, path, drop, number, marked, titles))
     parts.append(html[at:])
     if (done := flush()) is not None:
         yield done
 
 
+def is_container(node: Node) -> bool:
+    return node.tag in CONTAINERS or node.number == 0
+
+
+def _belongs(block: tuple[str, int, list[Node]], node: Node, before: bool, small: bool) -> bool:
+    """Whether a block of `node` beside the article's container is part of the article: text of `node` itself, a
+    heading, or what stands in a small part before it."""
+    around = block[2]
+    if around[-1].tag in HEADINGS:
+        return True
+    inner = next(n for n in reversed(around) if is_container(n))
+    return node.tag not in ("body", "") and (inner is node or (before and small))
+
+
+def _widened(found: list[tuple[str, int, list[Node]]], top: Node) -> Node:
+    """The container around `top`, or around that one and so on, whose other blocks belong to the article too."""
+    chain = next(around for _, _, around in found if top in around)
+    for node in [n for n in reversed(chain[: chain.index(top)]) if is_container(n)]:
+        at = [k for k, (_, _, around) in enumerate(found) if top in around]
+        more = [k for k, (_, _, around) in enumerate(found) if node in around and top not in around]
+        if not more:
+            continue
+        size = sum(len(found[k][0]) for k in at)
+        extra, linked = sum(len(found[k][0]) for k in more), sum(found[k][1] for k in more)
+        small, heads = extra < size / 3, any(found[k][2][-1].tag in HEADINGS for k in more)
+        own = node.tag in ("article", "main") or all(_belongs(found[k], node, k < at[0], small and heads) for k in more)
+        if not own or 2 * linked >= extra:
+            break
+        top = node
+    return top
+
+
 def best_path(html: str) -> tuple[str, float] | None:
     """The page's best container and its share of the score: blocks count for the containers around them,
-    half as much for each further one out."""
-    score, path = defaultdict(float), {}
-    for text, linked, around in blocks(html):
+    half as much for each further one out. The page itself is the outermost container. From the best one it
+    goes outwards while what is added is text, headings or an opening of the same article."""
+    found = blocks(html)
+    score, nodes = defaultdict(float), {}
+    for text, linked, around in found:
         value, gain = len(text) * max(0.0, 1 - linked / len(text)), 1.0
         for node in reversed(around):
-            if node.tag in CONTAINERS:
+            if is_container(node):
                 score[node.number] += value * gain * (1.5 if node.tag in ("article", "main") else 1.0)
-                path[node.number] = node.path
+                nodes[node.number] = node
                 gain /= 2
     if not score:
         return None
     top = max(score, key=lambda k: (score[k], -k))
-    return path[top], score[top] / sum(score.values())
+    return _widened(found, nodes[top]).path, score[top] / (sum(score.values()) or 1.0)
 
 
 def text_at(html: str, path: str | None) -> str:
     """Text of the blocks inside all containers with the path."""
-    if not path:
+    if path is None:
         return ""
     return "\n\n".join(text for text, _, around in blocks(html) if any(n.path == path for n in around))
 
@@ -208,9 +253,10 @@ def with_host_path(rows: DataFrame, winners: DataFrame, max_hosts: int = MAX_HOS
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
-    Null or empty html, and pages without any block outside menus, adverts and the like, have an empty text.
-    Pages without a host (null or odd url) vote together. Repeated rows are extracted alike; other columns
-    are ignored; an empty table gives an empty result.
+    Null or empty html, and pages without any block outside menus, adverts and the like, have an empty text; text
+    without any markup is one block. Pages without a host (null or odd url) vote together; equal votes go to the
+    greater score, then to the path that sorts last. Very long pages are read whole, repeated rows are extracted
+    alike, other columns are ignored, and an empty table gives an empty result.
     """
     winners = written(host_paths(pages), "host_paths")
     rows = with_host_path(pages.select("page_id", "url", "html", host_of().alias("host")), winners).select("page_id", "url", "html", "path")

@@ -103,10 +103,45 @@ def test_host_consensus(spark):
     rows = [(k, "https://News.example:80/p", PAGE) for k in range(3)] + [(9, "https://news.example/q", short), (10, "https://other.example/", short), (11, None, None), (12, "x", ""), (13, "https://news.example/r", "<p>bare"), (14, "https://news.example/s", "no markup")]
     got = {r.page_id: r for r in html.extract_text(spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], PAGES)).collect()}
     assert got[0].text == TEXT and got[9].text == "Brief." and got[10].text.startswith("A long teaser")
-    assert [got[k].text for k in (11, 12)] == ["", ""] and all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(rows)
+    assert [got[k].text for k in (11, 12, 13, 14)] == ["", "", "bare", "no markup"] and all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(rows)
     assert html.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+WORDS = "Long words of the story that go on and on. " * 8
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p>bare", "bare"), ("no markup &amp; all", "no markup & all"), ("<nav>menu</nav>", ""),
+    (f'<div class="layout has-sidebar"><nav>x</nav><article><h1>T</h1><p>{WORDS}</p></article></div>', f"T\n\n{WORDS.strip()}"),
+    (f'<body><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body"><p>{WORDS}</p></div></div><div class="teaser"><p>Other story</p></div></body>', f"Title\n\n{WORDS.strip()}"),
+    (f"<body><header>Site</header><article><header><h1>Title</h1><p>By me</p></header><p>{WORDS}</p><footer>f</footer></article></body>", f"Title\n\n{WORDS.strip()}"),
+    (f"<body><article><h1>Title</h1><p>Short intro.</p><section><p>{WORDS}</p><p>{WORDS}</p></section></article><div><p>Other</p></div></body>", f"Title\n\nShort intro.\n\n{WORDS.strip()}\n\n{WORDS.strip()}"),
+    (f"<body><h1>Title</h1><div class='c'><p>{WORDS}</p></div><footer>x</footer></body>", f"Title\n\n{WORDS.strip()}"),
+])
+def test_page_shapes(page, text):
+    path = html.best_path(page)
+    assert (html.text_at(page, path[0]) if path else "") == text
+
+
+def test_very_long_pages_are_read_whole(spark):
+    body = "<article>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(30_000)) + "</article>"
+    (r,) = html.extract_text(spark.createDataFrame([(1, "http://long.example/", body, "a", "b", "c", "d")], PAGES)).collect()
+    assert r.text == "\n\n".join(f"Paragraph {k} of a very long page." for k in range(30_000))
+
+
+def test_votes_against_a_plain_count(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("url", "html").collect()
+    votes = {}
+    for r in rows:
+        host = (r.url or "").split("/")[2].split("@")[-1].split(":")[0].lower()
+        if (got := html.best_path(r.html or "")) is not None:
+            n = votes.setdefault(host, {}).setdefault(got[0], [0, 0.0])
+            n[0] += 1
+            n[1] += round(got[1], 6)
+    want = {h: max((n, round(s, 3), p) for p, (n, s) in v.items())[2] for h, v in votes.items()}
+    assert {r.host: r.path for r in html.host_paths(spark.read.parquet(f"{sf}/pages.parquet")).collect()} == want
+
+
 def test_salted_paths_equal_broadcast_ones(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html", html.host_of().alias("host"))
     winners = html.host_paths(pages)
