@@ -2,7 +2,10 @@
 
 All archives are written by Spark's text writer, whose line separator is the archive's record separator, so
 they land in whatever store the path names and a lost executor's files are written again; they are gzip
-files. They are read as binary files and cut into records by their declared lengths.
+files of at most PER_FILE records. They are read as binary files, decompressed step by step and cut into records
+by their declared lengths; a task holds one compressed archive and some records. What cannot be read (a header
+line of another shape, a length that is no number, a broken gzip member, a wrong digest) is reported in the
+column `problem`, and reading goes on behind it.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
+#: Records in an archive that is written here.
+PER_FILE = 20_000
 #: Fixed: the header fields of URL records in version 1 and 2 of the ARC format.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
@@ -26,7 +34,14 @@ ARC_FIELDS = {
 #: Fixed: the WARC profile of records that repeat an earlier payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-PARSED = "uri string, ip string, captured string, mime string, http string, payload string, payload_bytes long, payload_digest string, record_id string, truncated boolean"
+PARSED = (
+    "uri string, ip string, captured string, mime string, http string, payload string, payload_bytes long, "
+    "payload_digest string, record_id string, truncated boolean, problem string"
+)
+READ = (
+    "record_type string, record_id string, refers_to_id string, uri string, http string, payload_bytes long, "
+    "payload_digest string, problem string"
+)
 
 
 class Stream:
@@ -34,6 +49,7 @@ class Stream:
 
     def __init__(self, data: bytes, step: int = 1 << 18):
         self.data, self.at, self.step, self.buffer, self.offset = memoryview(data), 0, step, bytearray(), 0
+        self.broken = False
         self.zip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
@@ -45,7 +61,11 @@ class Stream:
             self.buffer += part
             return True
         while part:
-            self.buffer += self.zip.decompress(part)
+            try:
+                self.buffer += self.zip.decompress(part)
+            except zlib.error:  # what was read before it stays
+                self.at, self.broken = len(self.data), True
+                return True
             part = self.zip.unused_data
             if self.zip.eof:
                 self.zip = zlib.decompressobj(31)
@@ -86,33 +106,59 @@ def split_http(block: bytes) -> tuple[bytes, bytes]:
     return (block[: end.end()], block[end.end() :]) if end else (block, b"")
 
 
+def _number(value: bytes | str | None) -> int | None:
+    """A declared length; None if it is none."""
+    text = value.decode("ascii", "replace") if isinstance(value, bytes) else (value or "")
+    return int(text) if text.isascii() and text.isdigit() else None
+
+
+def _unread(problem: str) -> dict:
+    return {"uri": None, "ip": None, "captured": None, "mime": None, "http": b"", "payload": b"", "payload_bytes": 0} | {
+        "payload_digest": None, "record_id": None, "truncated": False, "problem": problem,
+    }
+
+
 def arc_records(name: str, data: bytes) -> Iterator[dict]:
-    """URL records of an ARC file: the version block names the version, and so the fields of the header lines."""
-    stream, fields = Stream(data), ARC_FIELDS["1"]
+    """URL records of an ARC file: the version block names the version, and so the fields of the header lines.
+
+    A run of lines that are no header gives one row whose problem is "header", a broken gzip member ends the file
+    with a row "gzip", and a record that the file's end cuts off is marked as truncated.
+    """
+    stream, fields, lost = Stream(data), ARC_FIELDS["1"], False
     while (line := stream.line()) is not None:
         if not line.strip():
             continue
         offset = stream.offset
-        if line.startswith(b"filedesc://"):
-            block = stream.read(int(line.rsplit(b" ", 1)[1]))
-            version = block.split(b"\n", 1)[0].split(b" ")[0].decode("ascii", "replace")
-            fields = ARC_FIELDS.get(version, fields)
+        if line.startswith(b"filedesc://") and (size := _number(line.rsplit(b" ", 1)[-1])) is not None:
+            version = stream.read(size).split(b"\n", 1)[0].split(b" ")[0].decode("ascii", "replace")
+            fields, lost = ARC_FIELDS.get(version, fields), False
             continue
         parts = line.rsplit(b" ", len(fields) - 1)
-        if len(parts) != len(fields) or not parts[-1].isdigit():
-            continue  # not a header line: go on until one follows
+        size = _number(parts[-1]) if len(parts) == len(fields) else None
+        if size is None:
+            if not lost:
+                yield _unread("header")
+            lost = True
+            continue
+        lost = False
         head = {k: v.decode("utf-8", "replace") for k, v in zip(fields, parts)}
-        size = int(head["Archive-length"])
         block = stream.read(size)
         http, payload = split_http(block)
         yield {
-            "uri": head["URL"], "ip": head["IP-address"], "captured": head["Archive-date"], "mime": head["Content-type"], "http": http, "payload": payload,
-            "payload_bytes": len(payload), "payload_digest": base32_sha1(payload), "record_id": str(uuid.uuid5(_SPACE, f"{name}#{offset}")), "truncated": len(block) < size,
-        }
+            "uri": head["URL"], "ip": head["IP-address"], "captured": head["Archive-date"], "mime": head["Content-type"],
+            "http": http, "payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload),
+            "record_id": str(uuid.uuid5(_SPACE, f"{name}#{offset}")), "truncated": len(block) < size, "problem": None,
+        }
+    if stream.broken:
+        yield _unread("gzip")
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of every record of a WARC file."""
+    """(named fields in lower case, block) of every record of a WARC file.
+
+    A record whose length is no number has the field "problem" and an empty block; reading goes on at the next
+    version line. A broken gzip member ends the file with such a record.
+    """
     stream = Stream(data)
     while (line := stream.line()) is not None:
         if not line.startswith(b"WARC/"):
@@ -121,7 +167,12 @@ def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         while line := stream.line():
             key, _, value = line.decode("utf-8", "replace").partition(":")
             fields[key.strip().lower()] = value.strip()
-        yield fields, stream.read(int(fields.get("content-length") or 0))
+        if (size := _number(fields.get("content-length"))) is None:
+            yield fields | {"problem": "length"}, b""
+            continue
+        yield fields, stream.read(size)
+    if stream.broken:
+        yield {"problem": "gzip"}, b""
 
 
 def _text(values: list[bytes]) -> pa.Array:
@@ -140,120 +191,158 @@ def _bounded(rows: Iterator[dict], size: int = 8 << 20) -> Iterator[list[dict]]:
         yield held
 
 
-def _parse_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _relative(path: str, root: str) -> str:
+    """The path below the root that is read, which names a file wherever the whole folder lies."""
+    bare = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
+    return path.split(bare, 1)[-1]
+
+
+def _parse_arc(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
             for path, data in zip(b.column("path"), b.column("content")):
-                yield from arc_records(path.as_py().rsplit("/", 1)[-1], data.as_py())
+                yield from arc_records(_relative(path.as_py(), root), data.as_py())
 
+    strings = ("uri", "ip", "captured", "mime", "payload_digest", "record_id", "problem")
     for held in _bounded(rows()):
-        column = lambda k: [r[k] for r in held]
-        plain = [pa.array(column(k), pa.string()) for k in ("uri", "ip", "captured", "mime")]
-        yield pa.RecordBatch.from_arrays(
-            [*plain, _text(column("http")), _text(column("payload")), pa.array(column("payload_bytes"), pa.int64()), *(pa.array(column(k), pa.string()) for k in ("payload_digest", "record_id")), pa.array(column("truncated"), pa.bool_())],
-            names=list(held[0]),
-        )
+        new = {k: pa.array([r[k] for r in held], pa.string()) for k in strings}
+        new |= {k: _text([r[k] for r in held]) for k in ("http", "payload")}
+        new["payload_bytes"] = pa.array([r["payload_bytes"] for r in held], pa.int64())
+        new["truncated"] = pa.array([r["truncated"] for r in held], pa.bool_())
+        yield pa.RecordBatch.from_pydict({k: new[k] for k in held[0]})
+
+
+def _read_row(fields: dict[str, str], block: bytes) -> tuple:
+    """The row of a WARC record in the order of READ."""
+    http, payload = split_http(block)
+    digest, size, problem = base32_sha1(payload), len(payload), fields.get("problem")
+    declared = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    if fields.get("warc-type") == "revisit":
+        told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        digest, size = declared, int(told[1]) if told else _number(fields.get("x-payload-length")) or 0
+    elif declared and declared != digest:
+        problem = problem or "digest"
+    ids = (fields.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri"))
+    return (*ids, http.decode("utf-8", "replace"), size, digest, problem)
 
 
 def _parse_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["record_type", "record_id", "refers_to_id", "uri", "http", "payload_bytes", "payload_digest"]
-
     def rows():
         for b in batches:
             for data in b.column("content"):
                 for fields, block in warc_records(data.as_py()):
-                    if fields.get("warc-type") not in ("response", "resource", "revisit"):
-                        continue
-                    http, payload = split_http(block)
-                    digest, size = base32_sha1(payload), len(payload)
-                    declared = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    if fields["warc-type"] == "revisit":
-                        told = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-                        digest, size = declared, int(told[1]) if told else int(fields.get("x-payload-length", 0))
-                    elif declared and declared != digest:
-                        raise ValueError(f"payload digest of {fields.get('warc-record-id')} is {digest}, declared {declared}")
-                    yield {"row": (fields["warc-type"], fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), http.decode("utf-8", "replace"), size, digest)}
-
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.string()]
+                    if "problem" in fields or fields.get("warc-type") in ("response", "resource", "revisit"):
+                        yield {"row": _read_row(fields, block)}
+
+    names = [c.split()[0] for c in READ.split(", ")]
+    kinds = [pa.int64() if n == "payload_bytes" else pa.string() for n in names]
     for held in _bounded(rows()):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*(r["row"] for r in held)), kinds)], names=names)
+        columns = zip(*(r["row"] for r in held))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 def write_arc(pages: DataFrame, path: str, captured: str = "20240101000000") -> None:
-    """ARC files of pages(page_id, url, html), version 1 and 2 in turn: one file a partition, one record a row."""
-    html = F.coalesce("html", F.lit(""))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"))
+    """ARC files of pages(page_id, url, html), version 1 and 2 in turn, one record a row."""
+    html, page_id = F.coalesce("html", F.lit("")), F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    http = F.concat(
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), page_id,
+        F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
+    )
     url = F.regexp_replace(F.coalesce("url", F.lit("urn:none")), "[\\x00-\\x20]", "%20")
     size = (F.octet_length(http) + F.octet_length(html)).cast("string")
     second = F.spark_partition_id() % 2 == 1
-    line = F.when(second, F.concat_ws(" ", url, F.lit("0.0.0.0"), F.lit(captured), F.lit("text/html"), F.lit("200"), F.lit("-"), F.lit("-"), F.lit("0"), F.lit("-"), size)).otherwise(
-        F.concat_ws(" ", url, F.lit("0.0.0.0"), F.lit(captured), F.lit("text/html"), size)
-    )
+    told = [url, F.lit("0.0.0.0"), F.lit(captured), F.lit("text/html")]
+    more = [F.lit(x) for x in ("200", "-", "-", "0", "-")]
+    line = F.when(second, F.concat_ws(" ", *told, *more, size)).otherwise(F.concat_ws(" ", *told, size))
 
     def block(version: str) -> str:
         body = f"{version} 0 mediapulse\n{' '.join(ARC_FIELDS[version])}\n"
-        return f"filedesc://part.arc 0.0.0.0 {captured} text/plain " + "200 - - 0 part.arc " * (version == "2") + f"{len(body)}\n{body}\n"
+        extra = "200 - - 0 part.arc " * (version == "2")
+        return f"filedesc://part.arc 0.0.0.0 {captured} text/plain {extra}{len(body)}\n{body}\n"
 
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    lead = F.when(~first, F.lit("")).when(second, F.lit(block("2"))).otherwise(F.lit(block("1")))
-    pages.select(F.concat(lead, line, F.lit("\n"), http, html).alias("value")).write.option("compression", "gzip").text(path)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lead = F.when(at % PER_FILE != 0, F.lit("")).when(second, F.lit(block("2"))).otherwise(F.lit(block("1")))
+    rows = pages.select(F.concat(lead, line, F.lit("\n"), http, html).alias("value"))
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "content")
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all ARC files under a path, of either version, gzipped or not."""
-    return _files(spark, path).mapInArrow(_parse_arc, PARSED)
+def read_arc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Records of all ARC files under a path whose names match, of either version, gzipped or not."""
+    return _files(spark, path, pattern).mapInArrow(partial(_parse_arc, path), PARSED)
 
 
-def arc_to_warc(spark: SparkSession, arc: str, warc: str, order: str, least: int = 0) -> None:
-    """Convert the ARC files under `arc` into WARC files under `warc`.
+def arc_to_warc(spark: SparkSession, arc: str, warc: str, order: str, least: int = 0, pattern: str = "*") -> DataFrame:
+    """Convert the ARC files under `arc` into WARC files under `warc`; returns (problem, n) of what could not be read.
 
     Of records with equal payloads of at least `least` bytes the one with the largest value of the SQL
     expression `order` (over the parsed columns) becomes a response and the others revisits of it; ties fall
     to the largest record id. Header lines that do not fit the file's version are skipped; a record cut off
-    by the file's end keeps what is there, marked as truncated. Empty archives give no records.
+    by the file's end keeps what is there, marked as truncated. Empty archives give no records. Every archive is
+    parsed once.
     """
-    parsed = read_arc(spark, arc).withColumn("ord", F.expr(order))
-    top = parsed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(F.struct("ord", "record_id", "uri", "captured")).alias("top"), F.count("*").alias("copies")).where("copies > 1")
-    rows = parsed.join(top.select("payload_digest", "top"), "payload_digest", "left")
-    again = F.coalesce((F.col("payload_bytes") >= least) & (F.col("top.record_id") != F.col("record_id")), F.lit(False))
+    every = written(read_arc(spark, arc, pattern).withColumn("ord", F.expr(order)), "records")
+    problems = written(every.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n")), "problems")
+    parsed = every.where("problem is null")
+    best = F.max(F.struct("ord", "record_id", "uri", "captured")).alias("top")
+    top = parsed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(best, F.count("*").alias("copies"))
+    rows = parsed.join(top.where("copies > 1").select("payload_digest", "top"), "payload_digest", "left")
+    again = (F.col("payload_bytes") >= least) & (F.col("top.record_id") != F.col("record_id"))
+    again = F.coalesce(again, F.lit(False))
     iso = lambda c: F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
     body = F.when(again, F.col("http")).otherwise(F.concat("http", "payload"))
     message = F.col("http") != ""
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
+    kind = F.when(again, F.lit("revisit")).when(message, F.lit("response")).otherwise(F.lit("resource"))
+    refers = F.concat(
+        field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", urn(F.col("top.record_id"))),
+        field("WARC-Refers-To-Target-URI", F.col("top.uri")), field("WARC-Refers-To-Date", iso(F.col("top.captured"))),
+        field("X-Payload-Length", F.col("payload_bytes").cast("string")),
+    )
+    mime = F.when(message, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))
     head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        field("WARC-Type", F.when(again, F.lit("revisit")).when(message, F.lit("response")).otherwise(F.lit("resource"))),
-        field("WARC-Record-ID", urn(F.col("record_id"))), field("WARC-Date", iso(F.col("captured"))), field("WARC-Target-URI", F.col("uri")), field("WARC-IP-Address", F.col("ip")),
-        F.when(again, F.concat(field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", urn(F.col("top.record_id"))), field("WARC-Refers-To-Target-URI", F.col("top.uri")), field("WARC-Refers-To-Date", iso(F.col("top.captured"))), field("X-Payload-Length", F.col("payload_bytes").cast("string")))).otherwise(F.lit("")),
+        F.lit("WARC/1.1\r\n"), field("WARC-Type", kind), field("WARC-Record-ID", urn(F.col("record_id"))),
+        field("WARC-Date", iso(F.col("captured"))), field("WARC-Target-URI", F.col("uri")),
+        field("WARC-IP-Address", F.col("ip")), F.when(again, refers).otherwise(F.lit("")),
         F.when(F.col("truncated"), field("WARC-Truncated", F.lit("unspecified"))).otherwise(F.lit("")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")),
-        field("Content-Type", F.when(message, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))),
+        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), field("Content-Type", mime),
         field("Content-Length", F.octet_length(body).cast("string")),
-    )
-    rows.select(F.concat(head, F.lit("\r\n"), body).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc)
+    )
+    out = rows.select(F.concat(head, F.lit("\r\n"), body).alias("value")).write.option("lineSep", "\r\n\r\n")
+    out.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(warc)
+    discard(every)
+    return problems
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(record_type, record_id, refers_to_id, uri, http, payload_bytes, payload_digest); digests are checked."""
-    return _files(spark, path).mapInArrow(_parse_warc, "record_type string, record_id string, refers_to_id string, uri string, http string, payload_bytes long, payload_digest string")
+def read_warc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The columns of READ for every response, resource and revisit; digests are computed again and compared."""
+    return _files(spark, path, pattern).mapInArrow(_parse_warc, READ)
 
 
 def page_archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Archive pages as ARC, convert to WARC, read back: one row per page with its digest and type.
 
     A null html is an empty payload, a null page_id stays null and counts as the smallest; repeated rows are
-    records of their own, the later ones revisits. An empty table gives an empty result.
+    records of their own, the later ones revisits. A very long html is one record like any other. Columns but
+    page_id, url and html are ignored. An empty table gives an empty result. Records that do not come back as
+    they were written raise an error.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
     number = f"try_cast(nullif(regexp_extract(http, 'X-Page-Id: ([^\\\\r\\\\n]*)', 1), '') as {kind})"
     write_arc(pages, f"{folder}/arc")
-    arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc", number, least)
+    lost = arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc", number, least)
     back = read_warc(spark, f"{folder}/warc").withColumn("page_id", F.expr(number))
-    targets = back.where("record_type <> 'revisit'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    return back.join(targets, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = written(back.drop("http", "uri"), "warc_rows")
+    bad = lost.select("problem").union(back.where("problem is not null").select("problem")).limit(1).collect()
+    if bad:
+        raise RuntimeError(f"the archives under {folder} have records with a wrong {bad[0].problem}")
+    targets = back.where("record_type <> 'revisit'")
+    targets = targets.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    found = back.join(targets, "refers_to_id", "left")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -51,11 +51,41 @@ def test_both_arc_versions_are_read():
     for data in (one, gzip.compress(one), gzip.compress(one[:80]) + gzip.compress(one[80:])):
         (r,) = warc.arc_records("x", data)
         assert (r["uri"], r["captured"], r["payload"], r["truncated"]) == ("http://h/a b", "19990102030405", b"abc", False)
-    a, b = warc.arc_records("y", two)
+    a, lost, b = warc.arc_records("y", two)
+    assert lost["problem"] == "header" and lost["uri"] is None
     assert (a["uri"], a["payload"], a["http"][:8]) == ("http://h/c", b"abc", b"HTTP/1.1") and (b["payload"], b["http"], b["truncated"]) == (b"short", b"", True)
     assert len({x["record_id"] for x in (a, b)}) == 2
 
 
+def test_any_file_names_and_bad_records(spark, tmp_path):
+    lead = b"filedesc://x.arc 0.0.0.0 19990101000000 text/plain 20\n1 0 someone\nURL ...\n\n"
+    record = lambda url, body: b"%s 1.2.3.4 19990102030405 text/html %d\n%s\n" % (url, len(body), body)
+    for k, sub in enumerate(("a", "b")):
+        (tmp_path / "arc" / sub).mkdir(parents=True)
+        body = record(b"http://h/%d" % k, b"payload %d" % k)
+        (tmp_path / "arc" / sub / "crawl-1999.arc.gz").write_bytes(gzip.compress(lead + body))
+    bad = lead + b"http://h/x 1.2.3.4 19990102030405 text/html many\n\xff\xfe garbage\n" + record(b"http://h/2", b"payload 2")
+    (tmp_path / "arc" / "plain.arc").write_bytes(b"filedesc://foo\n" + bad)
+    (tmp_path / "arc" / "cut.arc.gz").write_bytes(gzip.compress(lead + record(b"http://h/3", b"payload 3"))[:-20] + b"\0" * 30)
+    rows = warc.read_arc(spark, str(tmp_path / "arc")).collect()
+    good = [r for r in rows if not r.problem]
+    assert {r.uri for r in good} >= {"http://h/0", "http://h/1", "http://h/2"} and len({r.record_id for r in good}) == len(good)
+    assert {r.problem for r in rows if r.problem} == {"header", "gzip"}
+    lost = {r.problem: r.n for r in warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), "uri").collect()}
+    assert lost == {"header": 2, "gzip": 1}
+    back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert {r.uri for r in back} == {r.uri for r in good} and not any(r.problem for r in back)
+    text = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha1:WRONG\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: x\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 2\r\n\r\nde\r\n\r\n"
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "x.warc.gz").write_bytes(gzip.compress(text))
+    assert [r.problem for r in warc.read_warc(spark, str(tmp_path / "other"), "*.warc.gz").collect()] == ["digest", "length", None]
+
+
+def test_archives_of_many_files(spark, pages, monkeypatch):
+    monkeypatch.setattr(warc, "PER_FILE", 2)
+    assert warc.page_archive(pages, scratch_path(spark, "archive")).count() == pages.count()
+
+
 def test_warc_fields(spark, pages):
     folder = scratch_path(spark, "archive")
     warc.write_arc(pages.where("page_id in (1, 2)"), f"{folder}/arc")
