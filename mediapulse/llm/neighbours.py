@@ -139,7 +139,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
             continue
         rows = pa.Table.from_batches(held)
         keys = rows.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left"))
+        cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
         yield rows.slice(0, cut)
         held = rows.slice(cut).combine_chunks().to_batches()
     if held:
