@@ -236,6 +236,29 @@ def test_quality_separates_labels(spark, sf):
     assert held and np.mean([(r.score >= 0.3) == r.y for r in held]) > 0.9
 
 
+def test_votes_against_brute_force(spark, sf, docs, texts):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    voter = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    assert len(voter.y) > 25
+    for i, t in texts.items():
+        x = quality.features((t or "").encode()) * voter.idf
+        v = (x / max(np.linalg.norm(x), 1e-12)) @ voter.axes
+        v = v / max(np.linalg.norm(v), 1e-12)
+        ranked = sorted(((float(v @ voter.known[:, k]), k) for k in range(len(voter.y))), reverse=True)
+        last = ranked[24][0]
+        weigh = [(max(0.0, min(1.0, s)) ** quality.POWER * voter.weight[k], voter.y[k]) for s, k in ranked if s >= last - 1e-6]
+        want = (sum(w * y for w, y in weigh) + 0.05 * voter.prior) / (sum(w for w, _ in weigh) + 0.05)
+        assert got[i].score == pytest.approx(want, abs=2e-3) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_neighbours_that_tie_all_vote():
+    x = np.zeros((40, quality.TERMS + quality.RATES), np.float32)
+    x[:, 5] = 1
+    y = np.r_[np.zeros(20, int), np.ones(20, int)]
+    assert quality.Voter(x, y, {0: 20, 1: 20}).score(x[:1])[0] == pytest.approx(0.5)
+
+
 def test_quality_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, 1), (None, 1, 0), (8, None, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.score_quality(odd, labels).collect()
