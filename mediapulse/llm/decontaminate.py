@@ -1,4 +1,9 @@
-"""Benchmark decontamination: a set of hashed item windows against every document's token windows."""
+"""Benchmark decontamination: a set of hashed item windows against every document's token windows.
+
+The set is broadcast and holds at most MAX_WORDS item words. A larger benchmark is scanned in slices, one set at a
+time: a slice's hits are written before the next one is read, so neither the driver nor an executor ever holds
+more than one set, and only documents with hits leave a row behind.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import sliced, written
 
 WINDOW = 10
-#: A broadcast set holds at most so many item words; larger benchmarks are scanned in several passes.
+#: A broadcast set holds at most so many item words; larger benchmarks are scanned in several passes over the texts.
 MAX_WORDS = 2_000_000
 #: Fixed: bytes that are no ASCII letter or digit become blanks, A-Z become lower case.
 _FOLD = bytes((b + 32) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -130,55 +135,76 @@ def _scan(windows, clean: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         yield _batch(b, ("text",), _found(texts, [(spans, sorted(map(str, items))) for spans, items in got], clean))
 
 
-def _more(windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add one set's spans and items to those found before."""
-    for b in batches:
-        spans, items = [], []
-        for t, old, had in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("spans").to_pylist(), b.column("items").to_pylist()):
-            new, own = windows.value.scan(words_of(t))
-            spans.append([*old, *new.ravel().tolist()])
-            items.append(sorted({*had, *map(str, own)}))
-        yield _batch(b, (), {"spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))})
+def _hits(windows, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_hash, spans, items) of the documents that hold windows of one set."""
+    for b in sliced(batches, 2000):
+        got = [windows.value.scan(words_of(t)) for t in b.column("text").cast(pa.binary()).to_pylist()]
+        at = [k for k, (spans, _) in enumerate(got) if len(spans)]
+        spans = pa.array([got[k][0].ravel().tolist() for k in at], pa.list_(pa.int64()))
+        items = pa.array([sorted(map(str, got[k][1])) for k in at], pa.list_(pa.string()))
+        ids = [b.column(c).take(pa.array(at, pa.int64())) for c in ("doc_id", "text_hash")]
+        yield pa.RecordBatch.from_arrays([*ids, spans, items], names=["doc_id", "text_hash", "spans", "items"])
 
 
 def _close(clean: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = [x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()]
-        hits = [(np.array(s, np.int64).reshape(-1, 2), i) for s, i in zip(b.column("spans").to_pylist(), b.column("items").to_pylist())]
+        found = zip(b.column("spans").to_pylist(), b.column("items").to_pylist())
+        hits = [(np.array(s or [], np.int64).reshape(-1, 2), sorted(set(i or []))) for s, i in found]
         yield _batch(b, ("text", "spans"), _found(texts, hits, clean))
 
 
-def window_set(benchmark: DataFrame, size: int = WINDOW, max_words: int = MAX_WORDS) -> list[WindowSet]:
-    """The benchmark's windows, as sets of at most `max_words` words each (an item is never split).
+def slices(benchmark: DataFrame, max_words: int = MAX_WORDS) -> list[DataFrame]:
+    """The benchmark in parts of about `max_words` words, by hashed items; an item is never split.
 
-    Benchmarks are a small, fixed table; its size is summed before anything is collected, and a benchmark
-    above the bound is read in slices that are scanned one after the other.
+    The bytes of all texts are summed before anything is collected.
     """
     n = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-n // (2 * max_words)))
     rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
-    slices = [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
-    return [WindowSet([(r.item_id, bytes(r.text or b"")) for r in s.collect()], size) for s in slices]
+    if parts == 1:
+        return [rows]
+    return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def window_set(rows: DataFrame, size: int = WINDOW) -> WindowSet:
+    """The windows of one slice."""
+    return WindowSet([(r.item_id, bytes(r.text or b"")) for r in rows.collect()], size)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, clean: bool = False, max_words: int = MAX_WORDS) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, clean: bool = False, max_words: int = MAX_WORDS
+) -> DataFrame:
     """The columns of docs but text, then n_words, n_hit, items; with `clean` also text without its hit words.
 
     A window is `size` consecutive item words; a shorter item is one window; null, empty and wordless texts
     have none. Every window that a document holds is verified word by word after its hash matches, and all
-    words inside any occurrence are hit; items with a null id hit words but are not listed. Rows with a null
-    doc_id and repeated rows are scanned like others; an empty benchmark hits nothing. Columns named n_words,
-    n_hit, items or spans are replaced.
+    words inside any occurrence are hit; items with a null id hit words but are not listed. Very long texts are
+    scanned whole, rows with a null doc_id and repeated rows like others; an empty benchmark hits nothing, and an
+    empty table of documents gives an empty result. Columns named n_words, n_hit, items, spans or text_hash are
+    replaced.
     """
-    docs = docs.drop("n_words", "n_hit", "items", "spans")
+    docs = docs.drop("n_words", "n_hit", "items", "spans", "text_hash")
     share = docs.sparkSession.sparkContext.broadcast
-    sets = window_set(benchmark, size, max_words)
-    shape = lambda names: [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    others = [c for c in docs.columns if c != "text"]
-    last = ", ".join([*shape(others), "n_words long", "n_hit long", "items array<string>", *(["text string"] * clean)])
-    if len(sets) == 1:
-        return docs.mapInArrow(partial(_scan, share(sets[0]), clean), last)
-    at = docs.withColumn("spans", F.array().cast("array<long>")).withColumn("items", F.array().cast("array<string>"))
-    for s in sets:
-        at = at.mapInArrow(partial(_more, share(s)), ", ".join([*shape(docs.columns), "spans array<long>", "items array<string>"]))
-    return at.mapInArrow(partial(_close, clean), last)
+    parts = slices(benchmark, max_words)
+    shape = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
+    last = ", ".join([*shape, "n_words long", "n_hit long", "items array<string>", *(["text string"] * clean)])
+    if len(parts) == 1:
+        return docs.mapInArrow(partial(_scan, share(window_set(parts[0], size)), clean), last)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keyed, found = docs.withColumn("text_hash", F.xxhash64("text")), None
+    for rows in parts:
+        windows = share(window_set(rows, size))
+        hits = keyed.where("text is not null").select("doc_id", "text_hash", "text").mapInArrow(
+            partial(_hits, windows), f"doc_id {kind}, text_hash long, spans array<long>, items array<string>"
+        )
+        hits = written(hits, "hits")
+        found = hits if found is None else found.union(hits)
+        windows.destroy()
+    merged = found.groupBy("doc_id", "text_hash").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    k, m = keyed.alias("k"), merged.alias("m")
+    same = (F.col("k.text_hash") == F.col("m.text_hash")) & F.col("k.doc_id").eqNullSafe(F.col("m.doc_id"))
+    rows = k.join(m, same, "left").select(*(F.col(f"k.`{c}`") for c in docs.columns), "m.spans", "m.items")
+    return rows.mapInArrow(partial(_close, clean), last)

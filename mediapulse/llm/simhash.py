@@ -1,9 +1,10 @@
 """SimHash near-duplicate detection with a Gray-order hierarchical index.
 
 Fingerprints at most `distance` bits apart are linked; every link is found. Two fingerprints that differ
-in d bits agree on at least one of d + 1 bands of bits, so each distinct fingerprint goes to one bucket for
-every band: these shared, masked bit patterns are the top nodes of the index. Inside a bucket fingerprints
-stand in Gray order, and runs of `FANOUT` neighbours are factored into nodes that hold the bits which all
+in d bits agree on at least two of d + 2 bands of bits, so each distinct fingerprint goes to one bucket for
+every pair of bands: these shared, masked bit patterns are the top nodes of the index. At 3 bits there are ten of
+them with 25 or 26 bits each, so buckets stay small: 30 billion fingerprints fill them with about 600 each.
+Inside a bucket fingerprints stand in Gray order, and runs of `FANOUT` neighbours are factored into nodes that hold the bits which all
 members share (mask and pattern). A search goes down level by level, adds up the differences in the bits
 that each level fixes, and drops whole groups once the sum exceeds the distance.
 """
@@ -135,27 +136,35 @@ def _forest(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield links(np.concatenate(held, axis=1))
 
 
+def band_masks(distance: int) -> list[int]:
+    """Masks, as signed 64-bit integers, of every pair of distance + 2 bands of bits."""
+    bands = distance + 2
+    cuts = [64 * k // bands for k in range(bands + 1)]
+    mask = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    both = [mask[i] | mask[j] for j in range(bands) for i in range(j)]
+    return [m - (1 << 64) if m >> 63 else m for m in both]
+
+
 def near_links(reps: DataFrame, distance: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between reps(fp, rep) whose transitive closure is that of all pairs within `distance`.
 
     A bucket sends out a forest of at most its own size, never its pairs. Buckets above `block` are split
     into blocks by hash, and every pair of blocks is a task of its own, so that no task holds a hot bucket.
     """
-    bands = distance + 1
-    cuts = [64 * k // bands for k in range(bands + 1)]
-    parts = F.array(*[
-        F.shiftrightunsigned("fp", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1 if cuts[k + 1] - cuts[k] < 63 else -1)).cast("long") * bands + k
-        for k in range(bands)
-    ])
+    parts = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in band_masks(distance)])
     gray = F.col("fp")
     for k in (1, 2, 4, 8, 16, 32):
         gray = gray.bitwiseXOR(F.shiftrightunsigned(gray, k))
-    keyed = reps.select("fp", "rep", gray.alias("gray"), F.explode(parts).alias("key"))
-    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = keyed.join(hot, "key", "left").select("fp", "rep", "gray", "key", "blocks", own.alias("own"), other.alias("other"))
-    bucket = F.when(F.col("blocks").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    keyed = reps.select("fp", "rep", gray.alias("gray"), F.posexplode(parts).alias("band", "bits"))
+    keyed = keyed.select("fp", "rep", "gray", F.xxhash64("band", "bits").alias("key"))
+    blocks = F.ceil(F.col("count") / block).cast("int").alias("blocks")
+    hot = keyed.groupBy("key").count().where(F.col("count") > block).select("key", blocks)
+    cold, last = F.col("blocks").isNull(), F.col("blocks") - 1
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int").alias("own")
+    other = F.explode(F.when(cold, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), last))).alias("other")
+    dealt = keyed.join(hot, "key", "left").select("fp", "rep", "gray", "key", "blocks", own, other)
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    bucket = F.when(cold, F.xxhash64("key")).otherwise(pair)
     dealt = dealt.select(bucket.alias("bucket"), "fp", "rep", "gray")
     spread = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "gray").drop("gray")
     return spread.mapInArrow(partial(_forest, distance), "a long, b long")

@@ -101,6 +101,15 @@ def gray_rank(x):
     return x
 
 
+def test_any_three_bits_leave_two_bands():
+    masks = [m % 2**64 for m in simhash.band_masks(3)]
+    assert len(masks) == 10 and {bin(m).count("1") for m in masks} <= {25, 26}
+    rng = np.random.default_rng(3)
+    for bits in rng.integers(0, 64, (500, 3)):
+        far = sum(1 << int(b) for b in set(bits))
+        assert any(not far & m for m in masks)
+
+
 def test_hot_bucket_in_blocks(spark):
     # fingerprints that share three bands: their buckets exceed the block size and are dealt out in pairs
     rng = np.random.default_rng(1)
