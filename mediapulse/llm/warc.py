@@ -36,7 +36,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 PARSED = (
     "uri string, ip string, captured string, mime string, http string, payload string, payload_bytes long, "
-    "payload_digest string, record_id string, truncated boolean, problem string"
+    "payload_digest string, record_id string, truncated boolean, problem string, path string"
 )
 READ = (
     "record_type string, record_id string, refers_to_id string, uri string, http string, payload_bytes long, "
@@ -201,9 +201,10 @@ def _parse_arc(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     def rows():
         for b in batches:
             for path, data in zip(b.column("path"), b.column("content")):
-                yield from arc_records(_relative(path.as_py(), root), data.as_py())
+                for r in arc_records(_relative(path.as_py(), root), data.as_py()):
+                    yield r | {"path": path.as_py()}
 
-    strings = ("uri", "ip", "captured", "mime", "payload_digest", "record_id", "problem")
+    strings = ("uri", "ip", "captured", "mime", "payload_digest", "record_id", "problem", "path")
     for held in _bounded(rows()):
         new = {k: pa.array([r[k] for r in held], pa.string()) for k in strings}
         new |= {k: _text([r[k] for r in held]) for k in ("http", "payload")}
@@ -276,44 +277,69 @@ def read_arc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return _files(spark, path, pattern).mapInArrow(partial(_parse_arc, path), PARSED)
 
 
+def _field(name: str, value: str | None) -> bytes:
+    return f"{name}: {value or ''}\r\n".encode()
+
+
+def _iso(captured: str) -> str:
+    return re.sub(r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", r"\1-\2-\3T\4:\5:\6Z", captured)
+
+
+def warc_record(r: dict, again: dict | None) -> bytes:
+    """The WARC record of an ARC record: a revisit of `again`, else a response, or a resource if it is no message."""
+    body = r["http"] if again else r["http"] + r["payload"]
+    head = [b"WARC/1.1\r\n", _field("WARC-Type", "revisit" if again else "response" if r["http"] else "resource")]
+    head += [_field("WARC-Record-ID", f"<urn:uuid:{r['record_id']}>"), _field("WARC-Date", _iso(r["captured"]))]
+    head += [_field("WARC-Target-URI", r["uri"]), _field("WARC-IP-Address", r["ip"])]
+    if again:
+        head += [_field("WARC-Profile", REVISIT_PROFILE), _field("WARC-Refers-To", f"<urn:uuid:{again['to']}>")]
+        head += [_field("WARC-Refers-To-Target-URI", again["uri"]), _field("WARC-Refers-To-Date", _iso(again["captured"]))]
+        head += [_field("X-Payload-Length", str(r["payload_bytes"]))]
+    if r["truncated"]:
+        head += [_field("WARC-Truncated", "unspecified")]
+    mime = "application/http; msgtype=response" if r["http"] else r["mime"]
+    head += [_field("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), _field("Content-Type", mime)]
+    return b"".join([*head, _field("Content-Length", str(len(body))), b"\r\n", body])
+
+
+def _convert(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WARC records of files, with the records that each file's revisits refer to."""
+
+    def rows():
+        for b in batches:
+            for k in range(b.num_rows):
+                path, again = b.column("path")[k].as_py(), {r["record_id"]: r for r in b.column("again")[k].as_py() or ()}
+                for r in arc_records(_relative(path, root), b.column("content")[k].as_py()):
+                    if r["problem"] is None:
+                        yield {"payload": warc_record(r, again.get(r["record_id"]))}
+
+    for held in _bounded(rows()):
+        yield pa.RecordBatch.from_arrays([_text([r["payload"] for r in held])], names=["value"])
+
+
 def arc_to_warc(spark: SparkSession, arc: str, warc: str, order: str, least: int = 0, pattern: str = "*") -> DataFrame:
     """Convert the ARC files under `arc` into WARC files under `warc`; returns (problem, n) of what could not be read.
 
     Of records with equal payloads of at least `least` bytes the one with the largest value of the SQL
     expression `order` (over the parsed columns) becomes a response and the others revisits of it; ties fall
     to the largest record id. Header lines that do not fit the file's version are skipped; a record cut off
-    by the file's end keeps what is there, marked as truncated. Empty archives give no records. Every archive is
-    parsed once.
+    by the file's end keeps what is there, marked as truncated. Empty archives give no records.
+
+    A first reading gathers digests and identifiers only; the second one writes each file's records beside the list
+    of its revisits. So no payload is ever shuffled, only the compressed files are.
     """
-    every = written(read_arc(spark, arc, pattern).withColumn("ord", F.expr(order)), "records")
+    every = read_arc(spark, arc, pattern).withColumn("ord", F.expr(order))
+    narrow = ("path", "record_id", "uri", "captured", "payload_digest", "payload_bytes", "ord", "problem")
+    every = written(every.select(*narrow), "records")
     problems = written(every.where("problem is not null").groupBy("problem").agg(F.count("*").alias("n")), "problems")
-    parsed = every.where("problem is null")
+    parsed = every.where((F.col("payload_bytes") >= least) & F.col("problem").isNull())
     best = F.max(F.struct("ord", "record_id", "uri", "captured")).alias("top")
-    top = parsed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(best, F.count("*").alias("copies"))
-    rows = parsed.join(top.where("copies > 1").select("payload_digest", "top"), "payload_digest", "left")
-    again = (F.col("payload_bytes") >= least) & (F.col("top.record_id") != F.col("record_id"))
-    again = F.coalesce(again, F.lit(False))
-    iso = lambda c: F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3T$4:$5:$6Z")
-    body = F.when(again, F.col("http")).otherwise(F.concat("http", "payload"))
-    message = F.col("http") != ""
-    field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    urn = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
-    kind = F.when(again, F.lit("revisit")).when(message, F.lit("response")).otherwise(F.lit("resource"))
-    refers = F.concat(
-        field("WARC-Profile", F.lit(REVISIT_PROFILE)), field("WARC-Refers-To", urn(F.col("top.record_id"))),
-        field("WARC-Refers-To-Target-URI", F.col("top.uri")), field("WARC-Refers-To-Date", iso(F.col("top.captured"))),
-        field("X-Payload-Length", F.col("payload_bytes").cast("string")),
-    )
-    mime = F.when(message, F.lit("application/http; msgtype=response")).otherwise(F.col("mime"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), field("WARC-Type", kind), field("WARC-Record-ID", urn(F.col("record_id"))),
-        field("WARC-Date", iso(F.col("captured"))), field("WARC-Target-URI", F.col("uri")),
-        field("WARC-IP-Address", F.col("ip")), F.when(again, refers).otherwise(F.lit("")),
-        F.when(F.col("truncated"), field("WARC-Truncated", F.lit("unspecified"))).otherwise(F.lit("")),
-        field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), field("Content-Type", mime),
-        field("Content-Length", F.octet_length(body).cast("string")),
-    )
-    out = rows.select(F.concat(head, F.lit("\r\n"), body).alias("value")).write.option("lineSep", "\r\n\r\n")
+    top = parsed.groupBy("payload_digest").agg(best, F.count("*").alias("copies")).where("copies > 1")
+    later = parsed.select("path", "record_id", "payload_digest").join(top, "payload_digest").where("record_id <> top.record_id")
+    told = F.struct("record_id", F.col("top.record_id").alias("to"), "top.uri", "top.captured")
+    again = later.groupBy("path").agg(F.collect_list(told).alias("again"))
+    rows = _files(spark, arc, pattern).join(again, "path", "left").select("path", "content", "again")
+    out = rows.mapInArrow(partial(_convert, arc), "value string").write.option("lineSep", "\r\n\r\n")
     out.option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(warc)
     discard(every)
     return problems
