@@ -6,6 +6,7 @@ from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from .graph import connected_components, written
 
 
@@ -15,7 +16,7 @@ def title_vectors(articles: DataFrame, key: str = "id", title: str = "title", fe
     With `features` only the most frequent terms count; ties go to the smaller term.
     """
     words = articles.select(key, F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1).alias("words"))
-    clean = StopWordsRemover(inputCol="words", outputCol="clean", locale="en_US").transform(words)
+    clean = StopWordsRemover(inputCol="words", outputCol="clean", stopWords=fixed.STOP_WORDS, locale="en_US").transform(words)
     pairs = NGram(n=2, inputCol="clean", outputCol="pairs").transform(clean)
     counts = pairs.select(key, F.explode(F.concat("clean", "pairs")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = articles.agg(F.count("*").alias("n"))
@@ -28,34 +29,79 @@ def title_vectors(articles: DataFrame, key: str = "id", title: str = "title", fe
     return raw.select(key, "term", "df", (F.col("w") / norm).alias("w"))
 
 
-def similar_pairs(vectors: DataFrame, times: DataFrame, least: float, hours: int = 24, key: str = "id") -> DataFrame:
-    """(a, b, sim) of all pairs at most `hours` apart whose cosine is `least` or more.
+#: A (term, bucket) with more vectors than this is dealt as pairs of parts of that size.
+HOT = 2048
 
-    times(key, at[, until]) gives moments, or spans no longer than `hours`, whose distance is that of their
-    nearest ends. Terms stand from rare to frequent. What follows a vector's prefix has a norm below `least`,
-    so a pair that reaches it shares a term of both sides' prefixes: only prefixes are joined, in
-    neighbouring time buckets, and the pairs found take the exact product.
+
+def _spans(times: DataFrame, hours: int, key: str) -> DataFrame:
+    """(key, lo, hi, bucket): the span of each vector in seconds and the time bucket it begins in."""
+    hi = F.unix_timestamp("until" if "until" in times.columns else "at")
+    spans = times.select(key, F.unix_timestamp("at").alias("lo"), hi.alias("hi"))
+    return spans.withColumn("bucket", F.floor(F.col("lo") / (hours * 3600)))
+
+
+def _meeting(rows: DataFrame, on: list[str], hours: int, key: str) -> DataFrame:
+    """(a, b) of rows(key, *on, lo, hi, bucket) that agree in `on` and lie at most `hours` apart, each pair once.
+
+    Spans reach at most two buckets ahead, so one side goes to five buckets and the other to its own. A group that
+    holds more than HOT of the latter is cut into parts by hash, which the former go to as copies: no task gets
+    a whole group, and every pair still meets in one place.
     """
+    at = rows.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: F.col("bucket") + k)))
+    parts = F.ceil(F.count("*") / HOT).cast("int").alias("parts")
+    hot = rows.groupBy(*on, "bucket").agg(parts).where("parts > 1")
+    n = F.coalesce("parts", F.lit(1))
+    own = rows.join(hot, [*on, "bucket"], "left").withColumn("part", F.pmod(F.xxhash64(key), n).cast("int"))
+    all_parts = F.explode(F.sequence(F.lit(0), n - 1))
+    copied = at.join(hot, [*on, "bucket"], "left").withColumn("part", all_parts)
+    side = lambda df, k: df.select(F.col(key).alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"), *on, "bucket", "part")
+    near = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a")) <= hours * 3600
+    pairs = side(copied, "a").join(side(own, "b"), [*on, "bucket", "part"])
+    return pairs.where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+
+
+def _prefixes(vectors: DataFrame, least: float, key: str) -> DataFrame:
+    """The terms of each vector up to the point where the rest has a norm below `least`, from rare to frequent."""
     order = Window.partitionBy(key).orderBy("df", "term")
     rest = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    spans = times.select(key, F.unix_timestamp("at").alias("lo"), F.unix_timestamp("until" if "until" in times.columns else "at").alias("hi"))
-    marked = vectors.withColumn("prefix", rest >= least * least - 1e-9).where("prefix").join(spans, key)
-    bucket = F.floor(F.col("lo") / (hours * 3600))
-    left = marked.select(F.col(key).alias("a"), "term", F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: bucket + k)).alias("bucket"))
-    right = marked.select(F.col(key).alias("b"), "term", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), bucket.alias("bucket"))
-    near = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a")) <= hours * 3600
-    pairs = left.join(right, ["term", "bucket"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return vectors.withColumn("_rest", rest).where(F.col("_rest") >= least * least - 1e-9).select(key, "term")
+
+
+def _with_cosine(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     listed = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
     both = pairs.join(listed.toDF("a", "va"), "a").join(listed.toDF("b", "vb"), "b")
-    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, t: s + F.coalesce(F.element_at("va", t) * F.element_at("vb", t), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("sim")).where(F.col("sim") >= least)
+    value = lambda t: F.coalesce(F.element_at("va", t) * F.element_at("vb", t), F.lit(0.0))
+    dot = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda s, t: s + value(t))
+    return both.select("a", "b", dot.alias("sim"))
+
+
+def similar_pairs(
+    vectors: DataFrame, times: DataFrame, least: float, hours: int = 24, key: str = "id",
+    entities: DataFrame | None = None, lower: float | None = None,
+) -> DataFrame:
+    """(a, b, sim) of all pairs at most `hours` apart whose cosine is `least` or more, and of those with a common
+    entity, entities(key, entity), from `lower` on.
+
+    times(key, at[, until]) gives moments, or spans no longer than `hours`, whose distance is that of their
+    nearest ends. Terms stand from rare to frequent. What follows a vector's prefix has a norm below the bound,
+    so a pair that reaches it shares a term of both sides' prefixes: only prefixes are joined, in neighbouring
+    time buckets, and the pairs found take the exact product. The prefixes for `lower` are long; they are only joined
+    together with an entity.
+    """
+    spans = _spans(times, hours, key)
+    pairs = _meeting(_prefixes(vectors, least, key).join(spans, key), ["term"], hours, key)
+    if entities is not None and lower is not None:
+        long = _prefixes(vectors, lower, key).join(entities.select(key, "entity"), key).join(spans, key)
+        pairs = pairs.union(_meeting(long, ["entity", "term"], hours, key)).distinct()
+    floor = least if lower is None else lower
+    return _with_cosine(pairs, vectors, key).where(F.col("sim") >= floor)
 
 
-def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3, hours: int = 24, features: int | None = 10_000) -> DataFrame:
+def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3, hours: int = 24, features: int | None = None) -> DataFrame:
     """(id, cluster) of articles(id, title, at, entities) that share an event with another one.
 
     An edge is a title cosine plus `boost` times the entities' overlap of `least` or more; the overlap alone
-    never makes one, so pairs below least - boost need no look. Clusters are components of two or more,
+    never makes one: a pair reaches `least` by its titles alone, or has a common entity and a cosine of least - boost. Clusters are components of two or more,
     named by their smallest id. Articles with one title and the same entities inside half the time band are
     one vertex, a span from the first to the last of them, so a headline that everybody prints adds one
     vertex per half band and not a pair for every two articles.
@@ -67,7 +113,9 @@ def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3,
     groups = written(groups, "headlines")
     vectors = title_vectors(articles, features=features).join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
     vectors = written(vectors, "title_vectors")
-    pairs = similar_pairs(vectors, groups.select(F.col("rep").alias("id"), "at", "until"), least - boost, hours)
+    entities = groups.select(F.col("rep").alias("id"), F.explode("e").alias("entity"))
+    times = groups.select(F.col("rep").alias("id"), "at", "until")
+    pairs = similar_pairs(vectors, times, least, hours, "id", entities, least - boost)
     both = pairs.join(groups.select(F.col("rep").alias("a"), F.col("e").alias("ea")), "a").join(groups.select(F.col("rep").alias("b"), F.col("e").alias("eb")), "b")
     overlap = F.when((F.size("ea") > 0) & (F.size("eb") > 0), F.size(F.array_intersect("ea", "eb")) / F.size(F.array_union("ea", "eb"))).otherwise(0.0)
     edges = both.where(F.col("sim") + overlap * boost >= least).select("a", "b")
@@ -89,7 +137,7 @@ def contradictions(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     sides = rows.where(F.col("audience_type").isin("DOMESTIC", "INTERNATIONAL"))
     base = sides.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("tone").alias("tone"))
     weights = sides.select("id", *keys).join(vectors.select("id", "term", "w"), "id").groupBy(*keys, "term").agg(F.sum("w").alias("w"))
-    best = weights.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("w"), "term"))).where("_r <= 10").groupBy(*keys).agg(F.collect_set("term").alias("top"))
+    best = weights.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 9)), "term"))).where("_r <= 10").groupBy(*keys).agg(F.collect_set("term").alias("top"))
     d, i = weights.where("audience_type = 'DOMESTIC'").alias("d"), weights.where("audience_type = 'INTERNATIONAL'").alias("i")
     same = (F.col("d.cluster") == F.col("i.cluster")) & (F.col("d.country") == F.col("i.country")) & (F.col("d.term") == F.col("i.term"))
     dots = d.join(i, same).groupBy(F.col("d.cluster").alias("cluster"), F.col("d.country").alias("country")).agg(F.sum(F.col("d.w") * F.col("i.w")).alias("dot"))

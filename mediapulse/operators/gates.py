@@ -32,6 +32,28 @@ def theme_rules() -> dict[str, Column]:
     }
 
 
+def daily_theme_rules() -> dict[str, Column]:
+    """The rules of theme rows, and that a day's period is that day."""
+    same = F.when(F.col("period_type") == "daily", _no(F.col("period_start") == F.col("period_end"))).otherwise(False)
+    return theme_rules() | {"one_day": same}
+
+
+def outlet_rules() -> dict[str, Column]:
+    """Limits of the outlet table: audience, bytes of name, notes and domain (the longest DNS name)."""
+    return {
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "name_size": F.octet_length("outlet_name") > 1024,
+        "notes_size": F.octet_length("notes") > 4096, "domain_size": _no(F.octet_length("domain") <= 253),
+    }
+
+
+def article_rules() -> dict[str, Column]:
+    """Limits of the article table: audience, bytes of title and url."""
+    return {
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "title_size": F.octet_length("title") > 65536,
+        "url_size": _no(F.octet_length("url") <= 8192),
+    }
+
+
 def excluded() -> Column:
     return F.coalesce(F.upper("country").isin(fixed.EXCLUDED_COUNTRIES), F.lit(False))
 

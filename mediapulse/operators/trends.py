@@ -10,11 +10,62 @@ from .rollup import ranked
 THEME = ["country", "theme"]
 
 
-def daily_snapshot(activity: DataFrame, themes: DataFrame) -> DataFrame:
-    """Per date: articles, active countries, spikes, and the counts of countries and themes as maps."""
-    main = activity.groupBy("date").agg(F.sum("today_count").alias("total_articles"), F.count_distinct("country").alias("active_countries"), F.count_if(F.col("level").isin("red", "orange")).alias("spikes"), F.count_if(F.col("level").isin("deepBlue", "steelBlue")).alias("silences"))
-    per = lambda rows, key, value, name: rows.groupBy("date", key).agg(F.sum(value).alias("n")).groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
-    return main.join(per(activity, "country", "today_count", "countries"), "date", "left").join(per(themes, "theme", "n", "themes"), "date", "left")
+def daily_snapshot(activity: DataFrame, themes: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Per date: articles, active countries, spikes, the counts of countries and themes as maps, and with `events`
+    the day's coordination events and its silent countries as lists."""
+    main = activity.groupBy("date").agg(
+        F.sum("today_count").alias("total_articles"), F.count_distinct("country").alias("active_countries"),
+        F.count_if(F.col("level").isin("red", "orange")).alias("spikes"),
+        F.count_if(F.col("level").isin("deepBlue", "steelBlue")).alias("silences"),
+        F.array_sort(F.collect_set(F.when(F.col("level").isin("deepBlue", "steelBlue"), F.col("country")))).alias("silent_countries"),
+    )
+
+    def per(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        sums = rows.groupBy("date", key).agg(F.sum(value).alias("n"))
+        return sums.groupBy("date").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+
+    out = main.join(per(activity, "country", "today_count", "countries"), "date", "left")
+    out = out.join(per(themes, "theme", "n", "themes"), "date", "left")
+    if events is None:
+        return out.drop("silent_countries")
+    entry = F.struct("theme", "countries", "coordination_score")
+    found = events.groupBy("date").agg(F.array_sort(F.collect_list(entry)).alias("coordinations"))
+    return out.join(found, "date", "left")
+
+
+def weekly_report(
+    daily: DataFrame, activity: DataFrame, contradictions: DataFrame, silences: DataFrame, events: DataFrame, week: str
+) -> DataFrame:
+    """One row: all sections of the digest of the week that starts on `week`, as arrays of rows, with its totals.
+
+    contradictions(date, cluster, country, score), silences(date, country, audience_type, severity) and
+    events(date, theme, coordination_score) are cut to the week, to what is significant, and to the section's length.
+    """
+    start = F.lit(week).cast("date")
+    inside = F.col("date").between(start, F.date_add(start, 6))
+
+    def section(rows: DataFrame, name: str, *columns: str | F.Column) -> DataFrame:
+        return rows.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    found = contradictions.where(inside & (F.col("score") >= 0.4)).orderBy(F.desc("score"), "date", "cluster", "country").limit(10)
+    quiet = silences.where(inside & F.col("severity").isin("SIGNIFICANT", "TOTAL"))
+    joint = events.where(inside & (F.col("coordination_score") >= 0.3)).orderBy(F.desc("coordination_score"), "date", "theme").limit(5)
+    totals = activity.where(inside).agg(
+        F.coalesce(F.sum("today_count"), F.lit(0)).alias("total_articles"),
+        F.count_distinct(F.when(F.col("today_count") > 0, F.col("country"))).alias("countries_active"),
+    )
+    minus = lambda c: (-F.col(c)).alias("k")
+    parts = [
+        section(weekly_digest(daily, week), "top_themes", minus("this_week"), "theme", "this_week", "last_week", "direction"),
+        section(peak_ratios(activity, week), "spikes", minus("peak_ratio"), "country", "audience_type", "peak_ratio", "peak_date"),
+        section(found, "contradictions", minus("score"), "date", "cluster", "country", "score"),
+        section(quiet, "silences", "date", "country", "audience_type", "severity"),
+        section(joint, "coordinations", minus("coordination_score"), "date", "theme", "coordination_score"),
+    ]
+    out = totals.select(start.alias("week_start"), F.date_add(start, 6).alias("week_end"), "total_articles", "countries_active")
+    for part in parts:
+        out = out.join(part, F.lit(True))
+    return out
 
 
 def weekly_digest(daily: DataFrame, week: str, top: int = 20) -> DataFrame:

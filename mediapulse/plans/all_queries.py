@@ -1,6 +1,15 @@
 """Imports every module of queries, so that the registry is full."""
 
-from . import source_queries, stream_queries, text_queries, theme_queries, volume_queries  # noqa: F401
+from . import (  # noqa: F401
+    cluster_queries,
+    report_queries,
+    sink_queries,
+    source_queries,
+    stream_queries,
+    text_queries,
+    theme_queries,
+    volume_queries,
+)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -38,14 +38,14 @@ def landed_volumes(spark, sf):
     return article_lists.volume_rows(rows)
 
 
-_FALL = """rows AS (SELECT o_orderkey, 'u' || (o_orderkey % 3000) AS url, 'N' || (o_custkey % 40) AS query_country, CASE WHEN o_orderstatus = 'F' AND o_custkey % 40 < 30 THEN 'primary' ELSE 'fallback' END AS source_kind, o_orderdate AS pub_date FROM orders WHERE o_orderkey < 12000),
+_FALL = """rows AS (SELECT o_orderkey, 'u' || (o_orderkey % 3000) AS url, 'N' || (o_custkey % 40) AS query_country, CASE WHEN o_orderstatus = 'F' AND o_custkey % 40 < 30 THEN 'primary' ELSE 'fallback' END AS source_kind, o_orderdate AS pub_date FROM orders),
  n AS (SELECT query_country, count(*) AS n FROM rows WHERE source_kind = 'primary' GROUP BY 1), k AS (SELECT rows.*, row_number() OVER (PARTITION BY rows.query_country, url ORDER BY source_kind DESC, pub_date, o_orderkey) AS nth
  FROM rows LEFT JOIN n USING (query_country) WHERE source_kind = 'primary' OR query_country IN ('N35', 'N36', 'N1', 'N2') AND coalesce(n, 0) < 3)"""
 
 
 @query(f"WITH {_FALL} SELECT query_country, url, source_kind, o_orderkey AS title FROM k WHERE nth = 1")
 def fallback_rows(spark, sf):
-    o = d.table(spark, sf, "orders").where("o_orderkey < 12000")
+    o = d.table(spark, sf, "orders")
     kind = F.when((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 40 < 30), "primary").otherwise("fallback")
     rows = o.select(F.col("o_orderkey").alias("title"), F.concat(F.lit("u"), (F.col("o_orderkey") % 3000).cast("string")).alias("url"), F.concat(F.lit("N"), (F.col("o_custkey") % 40).cast("string")).alias("query_country"), kind.alias("source_kind"), F.col("o_orderdate").alias("pub_date"))
     return article_lists.with_fallback(rows, ["N35", "N36", "N1", "N2"]).select("query_country", "url", "source_kind", "title")

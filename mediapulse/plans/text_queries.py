@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
-from ..operators import classify, claims, clusters, gates, resolve
+from ..operators import classify, claims, gates, resolve
 from ..sources import articles as article_lists
 from ..sources import gkg
 from . import driver as d
@@ -124,7 +124,7 @@ def narrative_scores_with_codes(spark, sf):
     return classify.with_mapped_codes(classify.narrative_scores(docs, narratives=_WORDS), docs.select("doc_id", F.col("lang").alias("code")), mapping)
 
 
-def gkg_lines(spark, sf):
+def gkg_lines(spark, sf, *more):
     """Lines of a theme file made of the events; every 11th is short, every 13th has no readable time."""
     e = d.table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
     k = F.get_json_object("props", "$.k")
@@ -135,7 +135,7 @@ def gkg_lines(spark, sf):
     extras = F.concat(F.lit("<PAGE_LINKS></PAGE_LINKS><page_title> A &amp; &lt;"), F.col("event_type"), F.lit("&gt; &quot;x&#39; </page_title>"))
     fields = [rid, date, F.lit("1"), F.concat(F.lit("U"), F.col("user_id").cast("string"), F.lit(".Example.com")), F.concat(F.lit("https://e/"), F.col("event_id").cast("string")), F.lit(""), F.lit(""), themes, *[F.lit("")] * 7, tone, *[F.lit("")] * 10, extras]
     short = F.concat_ws("\t", *fields[:10])
-    return e.select(F.when(F.col("event_id") % 11 == 0, short).otherwise(F.concat_ws("\t", *fields)).alias("value"))
+    return e.select(F.when(F.col("event_id") % 11 == 0, short).otherwise(F.concat_ws("\t", *fields)).alias("value"), *more)
 
 
 @query("""SELECT 'u' || user_id || '.example.com' AS raw_domain, 'https://e/' || event_id AS url, date_trunc('second', ts) AS date, 'A & <' || event_type || '> "x''' AS title,
@@ -179,29 +179,3 @@ def theme_and_tone_classes(spark, sf):
     theme = F.concat(d.pick(["NATURAL_DISASTER_FLOOD_", "WB_2024_ANTI_", "ELECTION_", "ELECTIONS_", "TAX_WORLDMAMMALS_"], F.col("p_partkey") % 5), F.col("p_type"))
     rows = d.table(spark, sf, "part").select("p_partkey", theme.alias("theme"), (F.col("p_size") / 5.0 - 5).alias("tone"), F.when(F.col("p_size") % 2 == 0, "red").otherwise("purple").alias("raw"))
     return rows.select("p_partkey", "theme", text.is_generic(F.col("theme")).alias("generic"), text.tone_class(F.col("tone")).alias("tone_class"), text.bar_class(F.col("tone")).alias("bar"), text.known_level(F.col("raw")).alias("level"))
-
-
-@query()
-def event_clusters(spark, sf):
-    """Clusters of documents by their first 12 words; a document's time is its number in minutes."""
-    return clusters.event_clusters(_titled(spark, sf))
-
-
-@query()
-def contradictions(spark, sf):
-    titled = _titled(spark, sf)
-    found = clusters.event_clusters(titled)
-    rows = found.join(titled, "id").select("id", "cluster", F.lit("XX").alias("country"), d.pick(d.AUDIENCES, F.col("id") % 2).alias("audience_type"), (F.col("id") % 10 - 5).cast("double").alias("tone"))
-    return clusters.contradictions(rows, clusters.title_vectors(titled, features=10_000))
-
-
-@query()
-def desk_comparison(spark, sf):
-    titled = _titled(spark, sf)
-    rows = clusters.event_clusters(titled).join(titled, "id").select("cluster", F.lit("XX").alias("country"), d.pick(["en", "fr", "es"], F.col("id") % 3).alias("language"))
-    return clusters.desk_comparison(rows)
-
-
-def _titled(spark, sf):
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ")
-    return d.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), F.timestamp_seconds(F.col("doc_id") * 60).alias("at"), F.array("source", "lang").alias("entities"))

@@ -245,11 +245,6 @@ def narrative_classes(spark, sf):
     return views.narratives(_rollup(spark, sf)).drop("narrative")
 
 
-@query()
-def narrative_paragraphs(spark, sf):
-    return views.narratives(_rollup(spark, sf))
-
-
 @query(f"""{_ROLL} SELECT 'audience_type' AS rule, 0::BIGINT AS rows UNION ALL SELECT 'negative_count', count(*) FILTER (WHERE article_count < 0 OR bucket_total < 0) FROM rolled UNION ALL SELECT 'share', count(*) FILTER (WHERE share > 1 OR share < 0) FROM rolled
  UNION ALL SELECT 'date_format', 0 UNION ALL SELECT 'date_order', count(*) FILTER (WHERE period_end < period_start) FROM rolled UNION ALL SELECT 'excluded_country', count(*) FILTER (WHERE country = 'UK') FROM rolled
  UNION ALL SELECT 'alignment', count(*) FILTER (WHERE period_type = 'monthly' AND day(period_start) <> 1 OR period_type = 'weekly' AND isodow(period_start) <> 1) FROM rolled UNION ALL SELECT 'theme_size', count(*) FILTER (WHERE strlen(theme) > 256) FROM rolled""")
@@ -278,16 +273,6 @@ def known_event_lookup(spark, sf):
     return gates.known_events(act, events).select("date", "country", "audience_type", "today_count", "deviation_ratio", "z_score", "level")
 
 
-@query(f"""{_ACT}, {_TOP}, c AS (SELECT date, CAST(sum(today_count) AS BIGINT) AS total_articles, count(DISTINCT country) AS active_countries, count(*) FILTER (WHERE level IN ('red', 'orange')) AS spikes, count(*) FILTER (WHERE level IN ('deepBlue', 'steelBlue')) AS silences FROM act GROUP BY date),
- k AS (SELECT date, string_agg(country || '=' || n, ',' ORDER BY country) AS countries FROM (SELECT date, country, CAST(sum(today_count) AS BIGINT) AS n FROM act GROUP BY ALL) GROUP BY date),
- t AS (SELECT date, string_agg(theme || '=' || n, ',' ORDER BY theme) AS themes FROM (SELECT date, theme, CAST(sum(n) AS BIGINT) AS n FROM tops WHERE rank <= 10 GROUP BY ALL) GROUP BY date)
- SELECT * FROM c JOIN k USING (date) JOIN t USING (date)""")
-def daily_snapshot(spark, sf):
-    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias(c)
-    rows = trends.daily_snapshot(_activity(spark, sf), activity.top_themes(d.articles(spark, sf)))
-    return rows.select("date", "total_articles", "active_countries", "spikes", "silences", flat("countries"), flat("themes"))
-
-
 @query("""WITH s AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS slice FROM events), w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:45:00', INTERVAL 15 MINUTE)) AS slice)
  SELECT strftime(slice, '%Y%m%d%H%M%S') || '.gkg.csv' AS file_name FROM w WHERE slice NOT IN (SELECT slice FROM s)""")
 def missing_slices(spark, sf):

@@ -69,9 +69,9 @@ def baseline_by_day_type(spark, sf):
     return activity.with_baseline(_filled(spark, sf).withColumn("weekend", F.weekday("date") >= 5), ["country", "audience_type", "weekend"])
 
 
-@query(f"{_V}, k AS (SELECT *, lag(date) OVER (PARTITION BY country, audience_type ORDER BY date) AS before FROM daily WHERE day(date) <= 20) SELECT country, audience_type, before AS from_date, date AS to_date, date - before AS days FROM k WHERE date - before > 7")
+@query(f"{_V}, k AS (SELECT *, lag(date) OVER (PARTITION BY country, audience_type ORDER BY date) AS before FROM daily) SELECT country, audience_type, before AS from_date, date AS to_date, date - before AS days FROM k WHERE date - before > 1")
 def date_gaps(spark, sf):
-    return activity.gaps(d.daily_volume(spark, sf).where(F.dayofmonth("date") <= 20)).withColumn("days", F.col("days").cast("long"))
+    return activity.gaps(d.daily_volume(spark, sf), most=1).withColumn("days", F.col("days").cast("long"))
 
 
 @query(f"""{_V}, {_THEMES}, s AS (SELECT theme, CAST(sum(CASE WHEN date BETWEEN DATE '1998-03-02' AND DATE '1998-03-08' THEN n ELSE 0 END) AS BIGINT) AS this_week, CAST(sum(CASE WHEN date BETWEEN DATE '1998-02-23' AND DATE '1998-03-01' THEN n ELSE 0 END) AS BIGINT) AS last_week FROM themes GROUP BY theme)
@@ -117,24 +117,28 @@ def cyclic_months(spark, sf):
     return trends.cyclic_months(_themes(spark, sf), factor=1.02)
 
 
-@query(f"""{_V}, y AS (SELECT country, domain AS theme, CAST(date_trunc('month', date) AS DATE) AS month, count(*) FILTER (WHERE audience_type = 'DOMESTIC') AS dom, count(*) FILTER (WHERE audience_type = 'INTERNATIONAL') AS intl FROM volumes WHERE date >= DATE '2001-01-01' GROUP BY ALL),
+@query(f"""{_V}, y AS (SELECT country, domain AS theme, CAST(date_trunc('month', date) AS DATE) AS month, count(*) FILTER (WHERE audience_type = 'DOMESTIC') AS dom, count(*) FILTER (WHERE audience_type = 'INTERNATIONAL') AS intl FROM volumes GROUP BY ALL),
  i AS (SELECT country, theme, month, intl / (dom + intl) AS share, row_number() OVER (PARTITION BY country, theme ORDER BY month) - 1 AS idx FROM y WHERE dom + intl > 0),
  f AS (SELECT country, theme, count(*) AS months, regr_slope(share, idx) AS slope, arg_min(share, month) AS a, arg_max(share, month) AS b FROM i GROUP BY ALL)
- SELECT country, theme, months, round(slope * 100, 4) AS slope_pct, CASE WHEN slope > 0 THEN 'INTERNATIONAL' ELSE 'DOMESTIC' END AS toward, round(a, 4) AS first_share, round(b, 4) AS last_share FROM f WHERE months >= 3 AND abs(slope) > 0.03""")
+ SELECT country, theme, months, round(slope * 100, 4) AS slope_pct, CASE WHEN slope > 0 THEN 'INTERNATIONAL' ELSE 'DOMESTIC' END AS toward, round(a, 4) AS first_share, round(b, 4) AS last_share FROM f WHERE months >= 3 AND abs(slope) > 0.002""")
 def audience_shift(spark, sf):
-    rows = d.volume_rows(spark, sf).where("date >= '2001-01-01'").groupBy("country", F.col("domain").alias("theme"), "audience_type", F.to_date("date").alias("date")).agg(F.count("*").alias("n"))
-    return trends.audience_shift(rows)
+    rows = d.volume_rows(spark, sf).groupBy("country", F.col("domain").alias("theme"), "audience_type", F.to_date("date").alias("date")).agg(F.count("*").alias("n"))
+    return trends.audience_shift(rows, least=0.002)
 
 
-@query(f"""{_V}, o AS (SELECT domain, date, count(*) AS volume FROM volumes WHERE date < DATE '1995-01-10' GROUP BY ALL), s AS (SELECT domain, count(*) AS rows, count(DISTINCT date) AS days, CAST(sum(volume) AS BIGINT) AS volume FROM o GROUP BY domain)
- SELECT u.domain, coalesce(rows, 0) AS rows, coalesce(days, 0) AS days, coalesce(volume, 0) AS volume, rows IS NOT NULL AS has_data FROM (SELECT 'c' || i || '.example.com' AS domain FROM range(60) t(i)) u LEFT JOIN s USING (domain)""")
+@query(f"""{_V}, o AS (SELECT domain, date, count(*) AS volume FROM volumes GROUP BY ALL),
+ s AS (SELECT domain, count(*) AS rows, count(DISTINCT date) AS days, CAST(sum(volume) AS BIGINT) AS volume FROM o GROUP BY domain),
+ u AS (SELECT DISTINCT 'c' || (c_custkey % 60) || '.example.com' AS domain FROM customer)
+ SELECT u.domain, coalesce(rows, 0) AS rows, coalesce(days, 0) AS days, coalesce(volume, 0) AS volume, rows IS NOT NULL AS has_data
+ FROM u LEFT JOIN s USING (domain)""")
 def source_coverage(spark, sf):
-    outlets = spark.range(60).select(F.concat(F.lit("c"), F.col("id").cast("string"), F.lit(".example.com")).alias("domain"))
-    volumes = d.volume_rows(spark, sf).where("date < '1995-01-10'").groupBy("domain", F.to_date("date").alias("date")).agg(F.count("*").alias("volume"))
+    number = (F.col("c_custkey") % 60).cast("string")
+    outlets = d.table(spark, sf, "customer").select(F.concat(F.lit("c"), number, F.lit(".example.com")).alias("domain")).distinct()
+    volumes = d.volume_rows(spark, sf).groupBy("domain", F.to_date("date").alias("date")).agg(F.count("*").alias("volume"))
     return gates.source_coverage(outlets, volumes)
 
 
-@query(f"""{_V}, f AS (SELECT country, audience_type AS theme, date, today_count AS n FROM filled WHERE date >= DATE '2001-06-01'),
+@query(f"""{_V}, f AS (SELECT country, audience_type AS theme, date, today_count AS n FROM filled),
  k AS (SELECT *, row_number() OVER p AS k, count(*) OVER (PARTITION BY country, theme) AS days FROM f WINDOW p AS (PARTITION BY country, theme ORDER BY date)),
  s AS (SELECT *, avg(n) OVER (PARTITION BY country, theme ORDER BY date ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s, days - 2 AS points, max(CASE WHEN k > days - 14 THEN n END) OVER (PARTITION BY country, theme) AS late_max FROM k),
  q AS (SELECT *, s > max(s) OVER (PARTITION BY country, theme ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND s > max(s) OVER (PARTITION BY country, theme ORDER BY k ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS peak,
@@ -144,7 +148,7 @@ def source_coverage(spark, sf):
  SELECT country, theme, days, CASE WHEN days < 14 OR points < 7 THEN 'INSUFFICIENT_DATA' WHEN mean < 1 AND recent > 3 THEN 'EMERGING' WHEN slope > 0.5 AND recent > mean * 1.5 THEN 'SURGING' WHEN last_k - 1 >= points - 4 THEN 'PEAKED' WHEN slope < -0.5 AND recent < mean * 0.7 THEN 'DECLINING'
    WHEN peaks >= 2 AND last_s > mean * 2 AND len(list_filter(troughs, lambda t: t.k > before_k AND t.s < mean * 0.3)) > 0 THEN 'RESURGENT' WHEN recent < mean * 0.3 AND late_max < mean * 0.5 THEN 'FADED' ELSE 'STABLE' END AS stage, round(mean, 4) AS mean, round(recent, 4) AS recent, round(slope, 4) + 0.0 AS slope FROM a""")
 def theme_lifecycle(spark, sf):
-    rows = _filled(spark, sf).where("date >= '2001-06-01'").select("country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n"))
+    rows = _filled(spark, sf).select("country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n"))
     return trends.lifecycle(rows).withColumn("slope", F.col("slope") + 0.0)
 
 
@@ -153,11 +157,11 @@ def theme_trend(spark, sf):
     return _filled(spark, sf).where("country = 'ASIA' and date > date'2001-08-01' - 90").select("country", "audience_type", "date", F.col("today_count").alias("n"))
 
 
-@query(f"""{_V}, dom AS (SELECT country, domain AS theme, date, count(*) AS today_count FROM volumes WHERE date >= DATE '2000-01-01' GROUP BY ALL), b AS (SELECT DISTINCT country, theme FROM dom),
+@query(f"""{_V}, dom AS (SELECT country, domain AS theme, date, count(*) AS today_count FROM volumes GROUP BY ALL), b AS (SELECT DISTINCT country, theme FROM dom),
  days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM dom), (SELECT max(date) FROM dom), INTERVAL 1 DAY)) AS DATE) AS date), g AS (SELECT b.country, b.theme, days.date, coalesce(d.today_count, 0) AS today_count FROM b CROSS JOIN days LEFT JOIN dom d ON d.country = b.country AND d.theme = b.theme AND d.date = days.date),
  {d.baseline_sql('g', 'based', 'country, theme')}, {d.deviation_sql('based', 'act')} SELECT country, theme, date, today_count, baseline_mean, deviation_ratio, level FROM act WHERE level IN ('red', 'orange', 'amber')""")
 def theme_deviation(spark, sf):
-    rows = d.volume_rows(spark, sf).where("date >= '2000-01-01'").groupBy("country", F.col("domain").alias("theme"), F.to_date("date").alias("date")).agg(F.count("*").alias("today_count"))
+    rows = d.volume_rows(spark, sf).groupBy("country", F.col("domain").alias("theme"), F.to_date("date").alias("date")).agg(F.count("*").alias("today_count"))
     act = activity.activity(rows, ["country", "theme"], zero_fill=True)
     return act.where("level in ('red', 'orange', 'amber')").select("country", "theme", "date", "today_count", "baseline_mean", "deviation_ratio", "level")
 
@@ -185,10 +189,9 @@ def keyed_upsert(spark, sf):
     return sinks.upserted(daily.where("date < '2001-01-01'"), new, sinks.KEYS["country_activity"])
 
 
-@query(f"{_ACT} SELECT country, audience_type, date, cold_start AND NOT date < DATE '1995-01-15' AS cold_start, cold_start AND date < DATE '1995-01-15' AS cleared FROM act WHERE date < DATE '1995-02-15'")
+@query(f"{_ACT} SELECT country, audience_type, date, cold_start AND NOT date < DATE '1995-01-15' AS cold_start, cold_start AND date < DATE '1995-01-15' AS cleared FROM act")
 def clear_cold_start(spark, sf):
-    rows = _backfill(spark, sf).where("date < '1995-02-15'")
-    return sinks.clear_cold_start(rows, "1995-01-15").select("country", "audience_type", "date", "cold_start", "cleared")
+    return sinks.clear_cold_start(_backfill(spark, sf), "1995-01-15").select("country", "audience_type", "date", "cold_start", "cleared")
 
 
 @query(f"{_V} SELECT country, audience_type, date, today_count FROM daily WHERE date >= DATE '2001-08-01' - 30")

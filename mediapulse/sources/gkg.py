@@ -45,7 +45,12 @@ def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
     """(path, value, skipped) of the first member of every zip; a bad or empty zip is one skipped row."""
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.zip").load(path)
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.zip")
+    return unzipped(files.load(path))
+
+
+def unzipped(files: DataFrame) -> DataFrame:
+    """The lines of archives(path, content) as read_zips() gives them."""
     return files.select("path", "content").mapInPandas(_unzip, "path string, value string, skipped boolean")
 
 

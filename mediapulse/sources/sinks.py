@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.graph import discard, written
+
 KEYS = {
     "articles": ["url"], "country_activity": ["country", "date", "audience_type"], "themes": ["country", "audience_type", "period_type", "period_start", "theme"],
     "outlets": ["domain"], "snapshots": ["date"],
@@ -37,12 +39,14 @@ def write_upsert(new: DataFrame, path: str, keys: list[str], partition: str, ord
             raise
         old = spark.createDataFrame([], new.schema)
     # the partitions are read and overwritten by one job, so the new state is written beside them first
-    staged = f"{path}_staged"
-    upserted(old, new, keys, order).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    staged = written(upserted(old, new, keys, order), "staged")
+    writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition).parquet(path)
+    discard(staged)
 
 
 def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a table; repeats are the reader's to tell apart."""
     rows.write.mode("append").parquet(path)
 
 

@@ -268,9 +268,19 @@ def test_lifecycle_stages(spark):
 
 
 def test_narrative_paragraph(spark):
-    rows = spark.createDataFrame([("RU", "DOMESTIC", "monthly", dt.date(2026, 4, 1), t, n, n / 20, -5.0) for t, n in (("ARMED_CONFLICT", 8), ("TAX", 4), ("OIL", 2), ("GAS", 1))], "country string, audience_type string, period_type string, period_start date, theme string, article_count long, share double, avg_tone double")
-    said = views.narratives(rows).first().narrative
-    assert said == "In 2026-04-01, RU coverage for domestic audiences was dominated by Armed Conflict, Tax, and Oil (70%). Average tone was hostile. 1 more themes followed."
+    shape = "country string, audience_type string, period_type string, period_start date, theme string, article_count long, share double, avg_tone double"
+    themes = (("ARMED_CONFLICT", 8), ("TAX", 4), ("OIL", 2), ("GAS", 1), ("ART", 1))
+    rows = spark.createDataFrame([("RU", "DOMESTIC", "monthly", dt.date(2026, 4, 1), t, n, n / 20, -5.0) for t, n in themes], shape)
+    rows = rows.union(spark.createDataFrame([("CN", "INTERNATIONAL", "monthly", dt.date(2026, 4, 1), t, 1, 0.05, None) for t in ("A", "B", "C", "D")], shape))
+    empty = spark.createDataFrame([("SY", "DOMESTIC", "monthly", dt.date(2025, 1, 1))], "country string, audience_type string, period_type string, period_start date")
+    said = {r.country: r.narrative for r in views.narratives(rows, rows.select(*empty.columns).union(empty)).collect()}
+    assert said["RU"] == (
+        "In 2026-04-01, RU's state outlets that address people at home were dominated by Armed Conflict, Tax, and Oil (70% of articles). "
+        "The tone of these themes was openly hostile: crisis, conflict, threats. 2 more themes followed, among them Art and Gas."
+    )
+    assert said["CN"].endswith("ranged over A, B, and C (15% of articles). Their tone is not known. 1 more theme followed: D.")
+    assert "foreign languages" in said["CN"] and said["SY"] == "No domestic themes were found for SY in 2025-01-01."
+    assert views.narratives(rows).count() == 2
 
 
 def test_views_and_json(spark):
