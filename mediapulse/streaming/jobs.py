@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import rollup
+from ..operators.graph import discard, written
 from ..sources import sinks
 
 
@@ -23,36 +26,96 @@ def deduplicated(rows: DataFrame, keys: tuple[str, ...] = ("domain", "url", "dat
     return rows.withWatermark("date", late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def start_rollup(rows: DataFrame, store: str, table: str, checkpoint: str, periods: tuple[str, ...] = ("daily", "weekly", "monthly"), min_count: int = 2, top: int = 50, frozen_before: str | None = None) -> StreamingQuery:
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _days(spark: SparkSession, table: str, days: list[dt.date], like: DataFrame) -> DataFrame:
+    """The rows of some days of a table that is partitioned by day; only these days' folders are listed."""
+    found = []
+    for day in days:
+        path, fs = _path(spark, f"{table}/day={day}")
+        if fs.exists(path):
+            found.append(f"{table}/day={day}")
+    if not found:
+        return like.limit(0)
+    rows = spark.read.schema(like.schema).option("basePath", table).parquet(*found)
+    return rows.withColumn("day", F.to_date("day"))
+
+
+def _put_days(rows: DataFrame, table: str, days: list[dt.date]) -> None:
+    """Overwrite whole days; one that has no rows any more keeps a row of nulls, which readers leave out."""
+    empty = rows.sparkSession.createDataFrame([(x,) for x in days], "day date")
+    whole = rows.unionByName(empty, allowMissingColumns=True).repartition(F.col("day"))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+
+
+def _span(days: list[dt.date]) -> list[dt.date]:
+    """All days of the months of some days, and of the weeks that reach into them."""
+    first = min(days).replace(day=1) - dt.timedelta(days=6)
+    last = (max(days).replace(day=28) + dt.timedelta(days=4)).replace(day=1) + dt.timedelta(days=5)
+    return [first + dt.timedelta(days=k) for k in range((last - first).days + 1)]
+
+
+def start_rollup(
+    rows: DataFrame, store: str, table: str, checkpoint: str, periods: tuple[str, ...] = ("daily", "weekly", "monthly"),
+    min_count: int = 2, top: int = 50, frozen_before: str | None = None,
+) -> StreamingQuery:
     """Keep the theme table up to date from a stream of resolved rows.
 
-    Each batch appends its new rows to a day-partitioned store and recomputes the months it touches (and
-    with them their days and the weeks that reach into them) from that store, where the first row of each
-    key in those months counts, so late copies beyond the watermark do no harm. A replayed batch gives the same table. Rows of days
-    before `frozen_before` go to a side table instead.
+    The store holds one folder a day: its articles, each (domain, url) once in the months around it, and the day's
+    additive counts. A batch finds earlier and later copies of its articles in these months, rewrites the days that
+    change, counts those again, and sums the periods it touches from day counts; so late copies beyond the watermark
+    do no harm, a replayed batch gives the same table, and the files that are listed and read do not grow with the
+    number of batches. Rows of days before `frozen_before` go to a side table instead.
     """
     spark = rows.sparkSession
+    facts, counts = f"{store}/articles", f"{store}/counts"
 
     def put(batch: DataFrame, number: int) -> None:
         fresh = batch.withColumn("day", F.to_date("date"))
         if frozen_before:
             old = F.col("day") < F.lit(frozen_before).cast("date")
-            fresh.where(old).write.mode("append").parquet(f"{store}_late")
+            late = fresh.where(old).withColumn("batch", F.lit(number)).write.mode("overwrite")
+            late.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}_late")
             fresh = fresh.where(~old)
-        fresh.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(store)
-        days = [r.day for r in spark.read.parquet(store).where(F.col("batch") == number).select("day").distinct().collect()]
-        if not days:
+        fresh = written(rollup.dedup(fresh), "fresh")
+        own = [r.day for r in fresh.select("day").distinct().collect()]
+        if not own:
             return
-        first = F.date_sub(F.trunc(F.lit(min(days)), "MM"), 6)
-        last = F.date_add(F.last_day(F.lit(max(days))), 6)
-        kept = rollup.dedup(spark.read.parquet(store).where(F.col("day").between(first, last)))
-        whole = rollup.theme_rollup(kept, periods, min_count, top)
-        near = whole.where((F.col("period_end") >= F.trunc(F.lit(min(days)), "MM")) & (F.col("period_start") <= F.last_day(F.lit(max(days)))))
-        near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period_type", "period_start").parquet(table)
+        stored = _days(spark, facts, _span(own), fresh).where("url is not null")
+        keys = fresh.select("domain", "url")
+        copies = stored.join(keys, ["domain", "url"], "left_semi")
+        days = sorted({*own, *(r.day for r in copies.select("day").distinct().collect())})
+        rest = stored.where(F.col("day").isin(days)).join(keys, ["domain", "url"], "left_anti")
+        now = written(rest.unionByName(rollup.dedup(copies.unionByName(fresh))), "days")
+        _put_days(now, facts, days)
+        _put_days(rollup.day_partials(now), counts, days)
+        partials = rollup.day_partials(now)
+        near = _days(spark, counts, _span(days), partials).where("country is not null")
+        whole = rollup.rollup_partials(near, periods, min_count, top)
+        month, after = min(days).replace(day=1), _span(days)[-1] - dt.timedelta(days=6)
+        whole = written(whole.where((F.col("period_end") >= F.lit(month)) & (F.col("period_start") <= F.lit(after))), "periods")
+        writer = whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("period_type", "period_start").parquet(table)
+        _drop_empty(whole, days, periods, table)
+        discard(fresh, now, whole)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _drop_empty(whole: DataFrame, days: list[dt.date], periods: tuple[str, ...], table: str) -> None:
+    """Delete the folders of periods that changed and have no rows any more."""
+    spark = whole.sparkSession
+    kept = {(r.period_type, str(r.period_start)) for r in whole.select("period_type", "period_start").distinct().collect()}
+    starts = {"daily": lambda x: x, "weekly": lambda x: x - dt.timedelta(days=x.weekday()), "monthly": lambda x: x.replace(day=1)}
+    for kind, start in sorted({(p, str(starts[p](day))) for day in days for p in periods} - kept):
+        path, fs = _path(spark, f"{table}/period_type={kind}/period_start={start}")
+        if fs.exists(path):
+            fs.delete(path, True)
+
+
 def start_daily_counts(rows: DataFrame, table: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Articles per day, country and audience in update mode, upserted by key; late rows raise their day."""
     spark = rows.sparkSession

@@ -313,5 +313,20 @@ def test_frozen_days_go_aside(spark, sf):
     assert str(spark.read.parquet(f"{folder}/table").agg(F.min(F.col("period_start").cast("date"))).first()[0]) >= "2024-01-10"
 
 
+def test_the_store_holds_a_folder_a_day_whatever_the_batches(spark, sf):
+    folder = scratch_path(spark, "store")
+    rows = driver.raw_articles(spark, sf).where("country <> 'UK'")
+    write_drop(rows, f"{folder}/drop", 3)
+    days = rows.select(F.to_date("date")).distinct().count()
+    for k in (1, 2):  # a second stream over the same files replays every batch
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
+        jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check{k}").awaitTermination()
+        facts = spark.read.parquet(f"{folder}/store/articles")
+        assert len(facts.inputFiles()) <= days and facts.where("url is not null").count() == rows.select("domain", "url").distinct().count()
+    key = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*key).collect()))
+    assert got == sorted(map(tuple, rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()))
+
+
 def test_fixed_values_are_consistent():
     assert set(fixed.DIASPORA_LANGUAGES["RU"]) == {"de", "fr", "es", "he"} and len(fixed.LEVELS) == 7 and all(len(v) == 2 for v in fixed.LANGUAGES.values())
