@@ -1,6 +1,9 @@
 """The corpus pipeline: documents that pass five stages become token ids.
 
-Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Null, empty and blank texts are
+scored like others and are copies of each other, so at most one of them is left; rows with a null doc_id pass the
+near-dedup stage; of repeated rows one passes it. Columns beyond those of documents are left behind, so names cannot
+clash. An empty table runs through to an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediapulse.llm.bpe import bpe_encode
-from mediapulse.llm.common import table, written
+from mediapulse.llm.common import discard, table, written
 from mediapulse.llm.decontaminate import decontaminate
 from mediapulse.llm.quality import score_quality
 from mediapulse.llm.queries import vocabulary
@@ -24,7 +27,8 @@ ORACLE_SQL = None
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
-    return score_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
+    scored = score_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,8 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words that benchmark windows cover; those that are half benchmark or more go."""
-    found = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True).where("n_hit = 0 or 2 * n_hit < n_words")
+    found = decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), clean=True)
+    found = found.where("n_hit = 0 or 2 * n_hit < n_words")
     n_chars = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return found.withColumn("n_chars", n_chars).select(*COLUMNS)
 
@@ -61,8 +66,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each one's result is written and read again."""
+    """Apply all stages to documents; each one's result is written, read again, and deleted after its successor's."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        discard(before)
     return docs

@@ -1,15 +1,17 @@
 """Near copies of documents by the Jaccard similarity of their word shingles.
 
-Documents are sets of 64-bit hashes of shingles; equal sets are one vertex. A SimHash cannot reach a similarity
-of 0.8: such pairs differ in about 10 of 64 bits, and an index for that radius has bands of a few bits that
-hold everything. So candidates agree in one of BANDS bands of ROWS MinHash values (a pair at 0.8 is missed
-with a probability of (1 - 0.8 ** ROWS) ** BANDS, 5 in a million), a bucket links its members to its smallest
-one, and inside each component of these links all pairs are decided by their sets, block by block.
+Documents are sets of 64-bit hashes of shingles; equal sets are one vertex. Candidates come from two indexes: the
+SimHash fingerprints of the sets that the Gray-order index finds within 3 bits, and bands of MinHash values. The
+first alone does not reach a similarity of 0.8, where fingerprints differ in about 10 of 64 bits, and an index of
+that radius has bands of a few bits that hold everything. So candidates also agree in one of BANDS bands of ROWS
+MinHash values (a pair at 0.8 is missed with a probability of (1 - 0.8 ** ROWS) ** BANDS, 5 in a million), where a
+bucket links its members to its smallest one. Inside each component of these links all pairs are decided by their
+sets, block by block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -18,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, sliced, united, written
+from .common import connected_components, discard, sliced, united, written
 from .neighbours import _groups
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
@@ -55,13 +57,24 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return key.T
 
 
+def simhash_of(shingles: np.ndarray, step: int = 1 << 20) -> int:
+    """The bits that more than half of the shingle hashes have, as a signed 64-bit integer."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(shingles), step):
+        part = shingles[a : a + step]
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
 def _prints(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, 500):
         sets = [shingle_set(t.as_py(), size) for t in b.column("text").cast(pa.binary())]
         digest = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+        fp = pa.array([simhash_of(s) for s in sets], pa.int64())
         keys = pa.array(band_keys(sets).astype(np.uint64).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), keys)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, bands], names=["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, fp, bands], names=["doc_id", "digest", "fp", "bands"])
 
 
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,24 +118,39 @@ def _links(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[apart])), ids.take(pa.array(apart))], names=["a", "b"])
 
 
-def near_copies(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def near_copies(
+    docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, block: int = BLOCK,
+    near_prints: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(reps of equal shingle sets, components of reps whose sets reach the similarity): rep and (node, component).
 
-    A bucket sends a link for each member, never its pairs. Components of candidates above `block` shingles are
-    split into blocks by hash, and every pair of blocks is decided apart. Rows with a null doc_id are left out.
+    `near_prints` links fingerprints, reps(fp, rep) to (a, b). A bucket sends a link for each member, never its pairs.
+    Components of candidates above `block` shingles are split into blocks by hash, and every pair of blocks is
+    decided apart. Rows with a null doc_id are left out.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = written(docs.mapInArrow(partial(_prints, size), f"doc_id {kind}, digest binary, bands array<long>"), "prints")
-    equal = written(prints.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("first")).select("digest", "first.doc_id", "first.bands"), "sets")
+    shape = f"doc_id {kind}, digest binary, fp long, bands array<long>"
+    prints = written(docs.mapInArrow(partial(_prints, size), shape), "prints")
+    first = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "fp", "bands")).alias("first"))
+    equal = written(first.select("first.doc_id", "first.fp", "first.bands"), "sets")
+    discard(prints)
     keyed = equal.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b"))
     star = keyed.select(F.min("b").over(Window.partitionBy("key")).alias("a"), "b").where("a <> b")
+    if near_prints is not None:
+        reps = equal.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        same = equal.join(reps, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+        star = star.union(same).union(near_prints(reps))
     found = connected_components(star).withColumnRenamed("node", "doc_id")
-    sets = written(docs.join(found, "doc_id").select("component", "doc_id", "text").mapInArrow(partial(_sets, size), f"component {kind}, doc_id {kind}, n long, shingles binary"), "shingles")
+    sets = docs.join(found, "doc_id").select("component", "doc_id", "text")
+    shape = f"component {kind}, doc_id {kind}, n long, shingles binary"
+    sets = written(sets.mapInArrow(partial(_sets, size), shape), "shingles")
     blocks = sets.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = sets.join(blocks, "component").select("component", "doc_id", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pair = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other"))
-    spread = dealt.select(pair.alias("pair"), "doc_id", "shingles").repartition(F.col("pair")).sortWithinPartitions("pair")
-    links = spread.mapInArrow(partial(_links, similarity), f"a {kind}, b {kind}")
-    return equal.select(F.col("doc_id").alias("rep")), connected_components(links)
+    own = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("blocks")).cast("int").alias("own")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = sets.join(blocks, "component").select("component", "doc_id", "shingles", own, other)
+    pair = F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+    spread = dealt.select(pair, "doc_id", "shingles").repartition(F.col("pair")).sortWithinPartitions("pair")
+    groups = connected_components(spread.mapInArrow(partial(_links, similarity), f"a {kind}, b {kind}"))
+    discard(sets)
+    return equal.select(F.col("doc_id").alias("rep")), groups

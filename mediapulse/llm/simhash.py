@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, sliced, united, written
+from .common import connected_components, discard, sliced, united, written
 from .nearcopies import SIMILARITY, SIZE, near_copies
 
 SEED = 42
@@ -174,9 +174,10 @@ def simhash_dedup(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     """(doc_id, fingerprint, component_id): near-duplicate groups of documents.
 
     component_id is the smallest doc_id that links reach, the document itself included. Null, empty and blank
-    texts have fingerprint zero and link like any other; repeated rows stay rows of their own; rows with a
-    null doc_id keep a fingerprint and take the component of equal fingerprints, null if none has an id.
-    An empty table gives an empty result; other columns are ignored.
+    texts have fingerprint zero and link like any other; very long texts count whole; repeated rows stay rows of
+    their own; rows with a null doc_id keep a fingerprint and take the component of equal fingerprints, null if none
+    has an id. A bit that exactly half of the shingles have is 0. An empty table gives an empty result; other columns
+    are ignored.
     """
     prints = written(fingerprints(docs, size), "fingerprints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
@@ -188,12 +189,14 @@ def simhash_dedup(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
 def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that stand for their group of near copies: those with its smallest doc_id.
 
-    Texts link if the Jaccard similarity of their sets of `size`-word shingles reaches `similarity`. Of repeated
-    rows with the smallest doc_id one stays. Rows with a null doc_id cannot stand for a group, nor be named as
-    members of one, and all stay.
+    Texts link if the Jaccard similarity of their sets of `size`-word shingles reaches `similarity`; candidates are
+    found by this module's index over the sets' fingerprints and by MinHash bands. Of repeated rows with the smallest
+    doc_id one stays. Rows with a null doc_id cannot stand for a group, nor be named as members of one, and all stay.
+    Null, empty and blank texts are copies of each other; very long texts count whole; an empty table stays empty.
     """
-    reps, groups = near_copies(docs, size, similarity)
+    reps, groups = near_copies(docs, size, similarity, near_prints=near_links)
     later = groups.where("node <> component").select(F.col("node").alias("rep"))
     keep = written(reps.join(later, "rep", "left_anti").select(F.col("rep").alias("doc_id")).distinct(), "kept")
+    discard(reps, groups)
     rows = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -224,31 +225,71 @@ def test_near_vectors_odd_rows(spark):
     assert neighbours.near_vectors(spark.createDataFrame([], shape)).count() == 0
 
 
-def test_pipeline_against_brute_force(spark, sf):
-    import corpus_pipeline
-    from mediapulse.llm import quality, queries
-    from tests.llm.test_text_operators import components, slow_fingerprint, slow_hits, slow_substring, slow_windows, tokenizer
+def slow_pipeline(docs, labels, benchmark):
+    """Token ids of every document that is left, stage by stage from the definitions; only the fitted voter is shared."""
+    from mediapulse.llm import quality
+    from tests.llm.test_text_operators import components, slow_hits, slow_shingles, slow_substring, slow_windows, tokenizer
 
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     marks = {}
-    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
-        marks[r.doc_id] = max(r.quality, marks.get(r.doc_id, 0))
+    for i, q in labels:
+        marks[i] = max(q, marks.get(i, 0))
     train = [i for i in sorted(marks) if zlib.crc32(str(i).encode()) % 5 and i in docs]
     share = {c: sum(marks[i] == c for i in marks if zlib.crc32(str(i).encode()) % 5) for c in (0, 1)}
-    voter = quality.Voter(np.stack([quality.features(docs[i].encode()) for i in train]), np.array([marks[i] for i in train]), share)
-    good = {i: t for i, t in docs.items() if voter.score(quality.features(t.encode())[None])[0] >= 0.3}
-    fp = {i: slow_fingerprint(t) for i, t in good.items()}
-    group = components(list(fp), [(a, b) for a in fp for b in fp if a < b and bin(fp[a] ^ fp[b]).count("1") <= 3])
+    raw = {i: (t or "").encode() for i, t in docs.items()}
+    voter = quality.Voter(np.stack([quality.features(raw[i]) for i in train]), np.array([marks[i] for i in train]), share)
+    good = {i: t for i, t in docs.items() if voter.score(quality.features(raw[i])[None])[0] >= 0.3}
+    sets = {i: slow_shingles(t) for i, t in good.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    group = components(list(sets), alike)
     once = slow_substring({i: t for i, t in good.items() if group[i] == i})
-    windows = slow_windows([(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()])
-    t, want = tokenizer(), {}
+    windows, t, left = slow_windows(benchmark), tokenizer(), {}
     for i, text in once.items():
-        words, hit, _ = slow_hits(text, windows)
-        if not hit:
-            want[i] = t.encode(text, add_special_tokens=False).ids
-        elif 2 * len(hit) < len(words):
-            want[i] = None
-    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got.keys() == want.keys() and 100 < len(got) < len(docs)
-    assert all(got[i] == ids for i, ids in want.items() if ids is not None)
-    assert queries.vocabulary() and [n for n, _ in corpus_pipeline.STAGES][0].startswith("quality")
+        words, hit, _ = slow_hits(text or "", windows)
+        if hit:
+            if 2 * len(hit) >= len(words):
+                continue
+            spans, cut, last = [m.span() for m in WORD.finditer((text or "").encode())], [], 0
+            for k in sorted(hit):  # blanks and marks between two hit words go with them
+                a, z = spans[k]
+                if k - 1 not in hit:
+                    cut.append((text or "").encode()[last:a])
+                last = z
+            text = b"".join([*cut, (text or "").encode()[last:]]).decode()
+        left[i] = t.encode(text or "", add_special_tokens=False).ids
+    return left
+
+
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    import corpus_pipeline
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    benchmark = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = slow_pipeline(docs, labels, benchmark)
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and 100 < len(got) < len(docs)
+    assert [n for n, _ in corpus_pipeline.STAGES][0].startswith("quality")
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string"
+    story = " ".join(f"word{k % 97} and{k}" for k in range(80))
+    rows = [(1, story), (2, story + " end"), (2, story + " end"), (3, None), (4, ""), (5, " \n "), (None, "no id"), (None, None), (6, "very " * 50_000)]
+    frame = spark.createDataFrame([(i, t, None, None, None, "s", "p") for i, t in rows], shape)
+    for name, docs in (("odd", frame), ("empty", frame.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1), (2, 1), (2, None), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        spark.createDataFrame([("a", "ten words of an item that no document here has"), ("b", None), (None, "")], "item_id string, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        at = docs
+        for stage, f in corpus_pipeline.STAGES:
+            at = f(spark, at, str(tmp_path / name))
+            assert stage.startswith("bpe") or at.columns == corpus_pipeline.COLUMNS
+        left = sorted(((r.doc_id, r.n_tokens) for r in at.collect()), key=str)
+        ids = [i for i, _ in left if i is not None]
+        assert ids == ([] if name == "empty" else sorted(set(ids))) and not {2, 4, 5} & set(ids)
+        assert name == "empty" or (1 in ids and sum(i is None for i, _ in left) == 2)
