@@ -17,24 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
 from .decontaminate import words_of
+from .templates import TEMPLATES
 
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 32
 #: The broadcast templates hold at most so many words in all.
 MAX_TEMPLATE_WORDS = 2_000_000
-#: Fixed: notices as their licences or the usual practice word them.
-NOTICES = [
-    ("mit-notice", "Released under the MIT License."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0-notice", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-grant", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-4.0-notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc-4.0-notice", "Licensed under CC BY-NC 4.0."),
-    ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced without prior written permission."),
-]
 _SEEDS = np.random.default_rng(5).integers(1, 1 << 32, size=(BANDS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -169,20 +158,27 @@ def _groups(texts: list[bytes | None], most: int = 1 << 16) -> Iterator[tuple[in
 
 
 def _scan(templates, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, 2000):
         texts = b.column("text").cast(pa.binary()).to_pylist()
         got = [(start + x[0], *x[1:]) for start, words in _groups(texts) for x in templates.value.scan(words, containment)]
         cols = list(zip(*got)) if got else [[], [], [], [], []]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["doc_id", "template", "containment", "first_word", "end_word"])
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
+        found = [pa.array(c, k) for c, k in zip(cols[1:], kinds)]
+        ids = b.column("doc_id").take(pa.array(cols[0], pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *found], names=["doc_id", "template", "containment", "first_word", "end_word"])
 
 
-def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def license_scan(
+    docs: DataFrame, notices: list[tuple[str, str]] | DataFrame | None = None, containment: float = CONTAINMENT
+) -> DataFrame:
     """(doc_id, template, containment, first_word, end_word) of every place where a template occurs.
 
     A window matches if it holds at least `containment` of the template's distinct word shingles; overlapping
-    windows are one place. Null, empty and wordless texts match nothing, repeated rows match alike, and rows
-    with a null doc_id keep it. Templates are a small table (template, text); one above MAX_TEMPLATE_WORDS is
-    refused before it is collected. Without templates the result is empty.
+    windows are one place. Where several templates match (a text and its first sentence, say), each is reported.
+    Null, empty and wordless texts match nothing, very long texts are scanned whole, repeated rows match alike, and
+    rows with a null doc_id keep it. Templates are a small table (template, text); one above MAX_TEMPLATE_WORDS is
+    refused before it is collected. Without templates, or without documents, the result is empty; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     if isinstance(notices, DataFrame):
@@ -190,6 +186,8 @@ def license_scan(docs: DataFrame, notices: list[tuple[str, str]] | DataFrame | N
         if size > 2 * MAX_TEMPLATE_WORDS:
             raise ValueError(f"templates of {size} bytes are above the bound; scan them in parts")
         notices = [(r[0], r[1] or "") for r in notices.select("template", "text").collect()]
-    known = Templates([(k, t.encode()) for k, t in (NOTICES if notices is None else notices)])
+    known = Templates([(k, t.encode()) for k, t in (TEMPLATES if notices is None else notices)])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(partial(_scan, spark.sparkContext.broadcast(known), containment), f"doc_id {kind}, template string, containment double, first_word long, end_word long")
+    shape = f"doc_id {kind}, template string, containment double, first_word long, end_word long"
+    scan = partial(_scan, spark.sparkContext.broadcast(known), containment)
+    return docs.select("doc_id", "text").mapInArrow(scan, shape)

@@ -213,6 +213,58 @@ def test_near_vectors(spark, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def around(rng, centre, n, noise):
+    return unit(centre + noise * unit(rng.standard_normal((n, len(centre)))))
+
+
+def big_group(kind):
+    """Vectors of one label with many links: tight groups, and pairs of groups that few links hold together."""
+    rng = np.random.default_rng(1)
+    a, b = unit(rng.standard_normal((2, 64)))
+    b = unit(b - (a @ b) * a)
+    tilted = lambda cosine: cosine * a + np.sqrt(1 - cosine**2) * b
+    if kind == "two groups":
+        return np.concatenate([around(rng, a, 200, 0.005), around(rng, tilted(0.984), 200, 0.005)])
+    if kind == "loose groups":
+        return np.concatenate([around(rng, a, 300, 0.12), around(rng, tilted(0.975), 300, 0.12)])
+    return around(rng, a, kind, 0.005)
+
+
+@pytest.mark.parametrize("kind", [200, 1000, 5000, "two groups", "loose groups"])
+def test_large_groups_lose_no_link(spark, kind):
+    v = big_group(kind).astype(np.float32)
+    u = unit(v.astype(np.float64))
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    label = np.arange(len(v))
+    while True:
+        low = np.minimum(label, np.where(near, label[None], len(v)).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    got = neighbours.near_vectors(neighbours.written(rows.repartition(4), "vectors")).orderBy("vec_id").toPandas()
+    assert (got.n_links.to_numpy() == near.sum(axis=1)).all() and (got.component_id.to_numpy() == label).all()
+    assert (got.audit_recall == 1.0).all()
+
+
+def test_low_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_recall", lambda links, true: (0.5, 0.5))
+    with pytest.raises(RuntimeError, match="0.500"):
+        neighbours.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [1.0, 2.1], 1)], "vec_id long, embedding array<float>, label int"), most=1, rounds=1)
+
+
+def test_ties_and_ids_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2), (1, [1.0, 0.0], 2)]
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1)]
+
+
 def test_near_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], 2), (4, [1.0, 2.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [inf, 1.0], 1), (None, [1.0, 2.0], 1), (11, [1e-30, 2e-30], 1), (12, [1.0, 2.0, 0.0], 1), (13, [-1.0, -2.0], 1)]

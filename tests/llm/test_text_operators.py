@@ -12,7 +12,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mediapulse.llm import bpe, classlm, decontaminate, licenses, nearcopies, quality, queries, simhash, substring
+from mediapulse.llm import bpe, classlm, decontaminate, licenses, nearcopies, quality, queries, simhash, substring, templates
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score string, items string, repeats int, fp string, n_words string"
 LONG = "very " * 40_000 + "long"
@@ -506,7 +506,7 @@ def test_class_model_odd_rows(odd, empty):
 def test_license_scan(docs, texts):
     got = {(r.doc_id, r.template) for r in licenses.license_scan(docs).collect()}
     want = set()
-    for name, notice in licenses.NOTICES:
+    for name, notice in templates.TEMPLATES:
         w = slow_words(notice)
         own = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
         for i, t in texts.items():
@@ -516,6 +516,24 @@ def test_license_scan(docs, texts):
     assert got == want and got
 
 
+def test_whole_licences_and_edited_copies(spark):
+    rng, rows, want = np.random.default_rng(5), [], {}
+    filler = " ".join(f"filler{k}" for k in range(400))
+    for k, (name, text) in enumerate(templates.TEMPLATES):
+        w = text.split()
+        if len(w) < 60:
+            continue
+        for x in rng.choice(len(w), len(w) // 60, replace=False):  # an edit spoils five shingles
+            w[x] = f"edited{x}"
+        rows += [(2 * k, f"{filler} {text} {filler}"), (2 * k + 1, f"{filler} {' '.join(w)} {filler}")]
+        want |= {2 * k: name, 2 * k + 1: name}
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.template): r for r in got}
+    assert len(want) > 12 and all((i, name) in found for i, name in want.items())
+    assert all(abs(found[i, name].first_word - 400) <= 5 for i, name in want.items())
+    assert not any(r.template == "bsd-2-clause" and want[r.doc_id] == "mit" for r in got)
+
+
 def test_license_scan_odd_rows(spark, odd, empty):
     long = " ".join(f"term{k}" for k in range(100))
     changed = long.replace("term50 ", "other ")
