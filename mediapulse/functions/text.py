@@ -38,7 +38,9 @@ def mixed_theme_list(*columns: Column) -> Column:
     """Themes of several fields split at semicolons, else commas; upper case, distinct, in order."""
     def split(c: Column) -> Column:
         s = F.coalesce(c, F.lit(""))
-        return F.when(F.contains(s, F.lit(";")), F.split(s, ";")).when(F.contains(s, F.lit(",")), F.split(s, ",")).otherwise(F.array(s))
+        return F.when(
+            F.contains(s, F.lit(";")), F.split(s, ";")
+        ).when(F.contains(s, F.lit(",")), F.split(s, ",")).otherwise(F.array(s))
 
     every = F.transform(F.concat(*map(split, columns)), lambda x: F.upper(F.trim(x)))
     return F.array_distinct(F.filter(every, lambda x: x != ""))
@@ -49,7 +51,9 @@ def first_tone(c: Column) -> Column:
 
 
 def page_title(c: Column) -> Column:
-    title = F.nullif(F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), "(?i)<PAGE_TITLE>([^<]*)</PAGE_TITLE>", 1)), F.lit(""))
+    title = F.nullif(
+        F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), "(?i)<PAGE_TITLE>([^<]*)</PAGE_TITLE>", 1)), F.lit("")
+    )
     for entity, mark in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'")):
         title = F.replace(title, F.lit(entity), F.lit(mark))
     return title
@@ -67,13 +71,17 @@ def publication_time(c: Column) -> Column:
 
 def language_code(c: Column) -> Column:
     s = F.lower(F.trim(c))
-    return F.when(s.rlike(r"^\p{L}{2}$"), s).otherwise(F.element_at(literal_map(fixed.LANGUAGES), F.nullif(s, F.lit(""))))
+    return F.when(s.rlike(r"^\p{L}{2}$"), s).otherwise(
+        F.element_at(literal_map(fixed.LANGUAGES), F.nullif(s, F.lit("")))
+    )
 
 
 def period_struct(day: Column, kind: str) -> Column:
     """(period_type, period_start, period_end) of a day: its month, its week from Monday, or itself."""
     start = {"monthly": F.trunc(day, "MM"), "weekly": F.date_trunc("week", day).cast("date"), "daily": day}[kind]
-    end = {"monthly": F.last_day(day), "weekly": F.date_add(F.date_trunc("week", day).cast("date"), 6), "daily": day}[kind]
+    end = {
+        "monthly": F.last_day(day), "weekly": F.date_add(F.date_trunc("week", day).cast("date"), 6), "daily": day
+    }[kind]
     return F.struct(F.lit(kind).alias("period_type"), start.alias("period_start"), end.alias("period_end"))
 
 
@@ -84,16 +92,22 @@ def theme_label(theme: Column, label: Column | None = None) -> Column:
 
 
 def tone_class(tone: Column) -> Column:
-    return F.when(tone.isNull(), "unknown").when(tone < -4, "hostile").when(tone < -1, "negative").when(tone <= 1, "neutral").when(tone <= 4, "positive").otherwise("celebratory")
+    return F.when(
+        tone.isNull(), "unknown"
+    ).when(tone < -4, "hostile").when(tone < -1, "negative").when(tone <= 1, "neutral").when(tone <= 4, "positive").otherwise("celebratory")
 
 
 def bar_class(tone: Column) -> Column:
     """Colour class of a timeline bar."""
-    return F.when(tone.isNull(), "none").when(tone < -3, "hostile").when(tone < -1, "negative").when(tone <= 1, "neutral").otherwise("positive")
+    return F.when(
+        tone.isNull(), "none"
+    ).when(tone < -3, "hostile").when(tone < -1, "negative").when(tone <= 1, "neutral").otherwise("positive")
 
 
 def concentration_class(top_share: Column) -> Column:
-    return F.when(top_share > 0.45, "dominated").when(top_share > 0.30, "led").when(top_share > 0.15, "anchored").otherwise("scattered")
+    return F.when(
+        top_share > 0.45, "dominated"
+    ).when(top_share > 0.30, "led").when(top_share > 0.15, "anchored").otherwise("scattered")
 
 
 def known_level(level: Column) -> Column:
@@ -129,6 +143,14 @@ def json_outlets(c: Column, most: int = 5) -> Column:
 
 def json_themes(c: Column, most: int = 10) -> Column:
     """Themes of a JSON object, by count; or of an array, as it stands."""
-    by_count = F.array_sort(F.map_entries(F.from_json(c, "map<string,bigint>")), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
-    listed = F.transform(F.from_json(c, "array<struct<theme:string,count:bigint>>"), lambda x: F.struct(x["theme"].alias("key"), x["count"].alias("value")))
+    by_count = F.array_sort(
+        F.map_entries(F.from_json(c, "map<string,bigint>")), lambda a,
+        b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(
+            a["key"] < b["key"], -1
+        ).otherwise(1)
+    )
+    listed = F.transform(
+        F.from_json(c, "array<struct<theme:string,count:bigint>>"),
+        lambda x: F.struct(x["theme"].alias("key"), x["count"].alias("value"))
+    )
     return F.slice(F.when(F.ltrim(c).startswith("{"), by_count).otherwise(listed), 1, most)

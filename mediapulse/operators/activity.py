@@ -16,7 +16,9 @@ def daily_counts(articles: DataFrame, keys: list[str] = BUCKET) -> DataFrame:
 
 def daily_volumes(volumes: DataFrame, outlets: DataFrame) -> DataFrame:
     """Outlet volumes(domain, date, volume) summed per bucket; negative volumes are skipped."""
-    return volumes.where("volume >= 0").join(outlets.select("domain", *BUCKET), "domain").groupBy(*BUCKET, "date").agg(F.sum("volume").alias("today_count"))
+    return volumes.where("volume >= 0").join(
+        outlets.select("domain", *BUCKET), "domain"
+    ).groupBy(*BUCKET, "date").agg(F.sum("volume").alias("today_count"))
 
 
 def top_outlets(articles: DataFrame, most: int = 10) -> DataFrame:
@@ -25,21 +27,30 @@ def top_outlets(articles: DataFrame, most: int = 10) -> DataFrame:
 
 
 def top_themes(articles: DataFrame, most: int = 10) -> DataFrame:
-    rows = articles.select(*BUCKET, F.to_date("date").alias("date"), F.explode("themes").alias("theme")).groupBy(*BUCKET, "date", "theme").agg(F.count("*").alias("n"))
+    rows = articles.select(
+        *BUCKET, F.to_date("date").alias("date"), F.explode("themes").alias("theme")
+    ).groupBy(*BUCKET, "date", "theme").agg(F.count("*").alias("n"))
     return ranked(rows, [*BUCKET, "date"], [F.desc("n"), "theme"], most)
 
 
-def zero_filled(daily: DataFrame, keys: list[str] = BUCKET, first: str | None = None, last: str | None = None) -> DataFrame:
+def zero_filled(
+    daily: DataFrame, keys: list[str] = BUCKET, first: str | None = None, last: str | None = None
+) -> DataFrame:
     """Every bucket on every day between the first and the last date (of all rows, or as given).
 
     Buckets are those that occur; each unnests its own calendar, so there is no cross join.
     """
     ends = daily.agg(F.min("date").alias("first"), F.max("date").alias("last"))
     if first or last:
-        ends = ends.select(F.lit(first).cast("date").alias("first") if first else "first", F.lit(last).cast("date").alias("last") if last else "last")
+        ends = ends.select(
+            F.lit(first).cast("date").alias("first") if first else "first",
+            F.lit(last).cast("date").alias("last") if last else "last"
+        )
     buckets = daily.select(*keys).distinct().join(F.broadcast(ends), F.lit(True))
     days = buckets.select(*keys, F.explode(F.sequence("first", "last")).alias("date"))
-    return days.join(daily, [*keys, "date"], "left").withColumn("today_count", F.coalesce("today_count", F.lit(0)).cast("long"))
+    return days.join(daily, [*keys, "date"], "left").withColumn(
+        "today_count", F.coalesce("today_count", F.lit(0)).cast("long")
+    )
 
 
 def with_baseline(daily: DataFrame, keys: list[str] = BUCKET, days: int = 30) -> DataFrame:
@@ -50,8 +61,11 @@ def with_baseline(daily: DataFrame, keys: list[str] = BUCKET, days: int = 30) ->
     before = Window.partitionBy(*keys).orderBy(number).rangeBetween(-days, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return daily.select(
-        "*", F.round(zero(F.avg("today_count").over(before)), 2).alias("baseline_mean"), F.round(zero(F.stddev_pop("today_count").over(before)), 2).alias("baseline_std"),
-        F.coalesce(F.min("today_count").over(before), F.lit(0)).alias("min_count"), F.coalesce(F.max("today_count").over(before), F.lit(0)).alias("max_count"), F.count("today_count").over(before).alias("days_sampled"),
+        "*", F.round(zero(F.avg("today_count").over(before)), 2).alias("baseline_mean"),
+        F.round(zero(F.stddev_pop("today_count").over(before)), 2).alias("baseline_std"),
+        F.coalesce(F.min("today_count").over(before), F.lit(0)).alias("min_count"),
+        F.coalesce(F.max("today_count").over(before), F.lit(0)).alias("max_count"),
+        F.count("today_count").over(before).alias("days_sampled"),
     )
 
 
@@ -63,7 +77,9 @@ def level(ratio: Column, z: Column) -> Column:
     """Extreme scores first, then spikes, then silences, each by ratio and score together."""
     return (
         F.when(z >= 2.5, "red").when((ratio <= 4.0) & (z >= 2.0), "orange").when((ratio <= 2.5) & (z >= 1.5), "amber")
-        .when((ratio < 0.3) & (z < -2.0), "deepBlue").when((ratio < 0.5) & (z < -1.5), "steelBlue").when(ratio < 0.75, "coolGray").otherwise("neutral")
+        .when((ratio < 0.3) & (z < -2.0), "deepBlue").when(
+            (ratio < 0.5) & (z < -1.5), "steelBlue"
+        ).when(ratio < 0.75, "coolGray").otherwise("neutral")
     )
 
 
@@ -75,17 +91,24 @@ def with_deviation(rows: DataFrame, least: int = 7, warm: int = 21, extreme: flo
     """
     today, mean, std = F.col("today_count"), F.col("baseline_mean"), F.col("baseline_std")
     usable, silent, flat = F.col("days_sampled") >= least, F.col("baseline_mean") == 0, F.col("baseline_std") == 0
-    ratio = F.when(~usable, 1.0).when(silent, today.cast("double")).when(flat & (today == mean), 1.0).otherwise(F.try_divide(today, mean))
+    ratio = F.when(~usable, 1.0).when(silent, today.cast("double")).when(flat & (today == mean), 1.0).otherwise(
+        F.try_divide(today, mean)
+    )
     z = (
-        F.when(~usable | (silent & (today == 0)), 0.0).when(silent, extreme).when(flat & (today == mean), 0.0).when(flat & (today > mean), extreme).when(flat, -extreme)
+        F.when(
+            ~usable | (silent & (today == 0)), 0.0
+        ).when(silent, extreme).when(flat & (today == mean), 0.0).when(flat & (today > mean), extreme).when(flat, -extreme)
         .otherwise(F.try_divide(today - mean, std))
     )
     of_level = (
-        F.when(~usable | (silent & (today == 0)), "neutral").when(silent, "red").when(flat & (today == mean), "neutral").when(flat & (today > mean), "red").when(flat, "deepBlue")
+        F.when(
+            ~usable | (silent & (today == 0)), "neutral"
+        ).when(silent, "red").when(flat & (today == mean), "neutral").when(flat & (today > mean), "red").when(flat, "deepBlue")
         .otherwise(level(ratio, z))
     )
     return rows.select(
-        "*", F.round(ratio, 3).alias("deviation_ratio"), F.round(z, 3).alias("z_score"), of_level.alias("level"), confidence(F.col("days_sampled"), least).alias("confidence"),
+        "*", F.round(ratio, 3).alias("deviation_ratio"), F.round(z, 3).alias("z_score"), of_level.alias("level"),
+        confidence(F.col("days_sampled"), least).alias("confidence"),
         (F.col("days_sampled") < warm).alias("cold_start"),
     )
 
@@ -98,7 +121,9 @@ def activity(daily: DataFrame, keys: list[str] = BUCKET, zero_fill: bool = False
 def gaps(rows: DataFrame, keys: list[str] = BUCKET, most: int = 7) -> DataFrame:
     """Consecutive dates of a bucket more than `most` days apart."""
     last = F.lag("date").over(Window.partitionBy(*keys).orderBy("date"))
-    return rows.select(*keys, last.alias("from_date"), F.col("date").alias("to_date"), F.datediff("date", last).alias("days")).where(F.col("days") > most)
+    return rows.select(
+        *keys, last.alias("from_date"), F.col("date").alias("to_date"), F.datediff("date", last).alias("days")
+    ).where(F.col("days") > most)
 
 
 def silences(rows: DataFrame, holidays: DataFrame | None = None, keys: list[str] = BUCKET) -> DataFrame:
@@ -108,8 +133,15 @@ def silences(rows: DataFrame, holidays: DataFrame | None = None, keys: list[str]
     number = F.datediff("date", F.lit("1970-01-01").cast("date"))
     before = Window.partitionBy(*keys, weekend).orderBy(number).rangeBetween(-30, -1)
     own = rows.withColumn("segment_mean", F.round(F.coalesce(F.avg("today_count").over(before), F.lit(0.0)), 2))
-    quiet = own.where((F.col("deviation_ratio") <= 0.5) & (F.col("days_sampled") >= 7) & ~(weekend & (F.col("today_count") >= F.col("segment_mean") * 0.5)))
+    quiet = own.where(
+        (F.col("deviation_ratio") <= 0.5) & (F.col("days_sampled") >= 7) & ~(
+            weekend & (F.col("today_count") >= F.col("segment_mean") * 0.5)
+        )
+    )
     if holidays is not None:
         quiet = quiet.join(holidays, ["country", "date"], "left_anti")
     ratio = F.col("deviation_ratio")
-    return quiet.withColumn("severity", F.when(ratio == 0, "TOTAL").when(ratio < 0.2, "SIGNIFICANT").when(ratio < 0.5, "NOTABLE").otherwise("MINOR"))
+    return quiet.withColumn(
+        "severity",
+        F.when(ratio == 0, "TOTAL").when(ratio < 0.2, "SIGNIFICANT").when(ratio < 0.5, "NOTABLE").otherwise("MINOR")
+    )

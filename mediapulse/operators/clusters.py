@@ -15,15 +15,26 @@ def title_vectors(articles: DataFrame, key: str = "id", title: str = "title", fe
 
     With `features` only the most frequent terms count; ties go to the smaller term.
     """
-    words = articles.select(key, F.filter(F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1).alias("words"))
-    clean = StopWordsRemover(inputCol="words", outputCol="clean", stopWords=fixed.STOP_WORDS, locale="en_US").transform(words)
+    words = articles.select(
+        key,
+        F.filter(
+            F.split(F.lower(F.coalesce(title, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 1
+        ).alias("words")
+    )
+    clean = StopWordsRemover(
+        inputCol="words", outputCol="clean", stopWords=fixed.STOP_WORDS, locale="en_US"
+    ).transform(words)
     pairs = NGram(n=2, inputCol="clean", outputCol="pairs").transform(clean)
-    counts = pairs.select(key, F.explode(F.concat("clean", "pairs")).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = pairs.select(key, F.explode(F.concat("clean", "pairs")).alias("term")).groupBy(key, "term").agg(
+        F.count("*").alias("tf")
+    )
     n = articles.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("_total"))
     if features:
         df = df.orderBy(F.desc("_total"), "term").limit(features)
-    idf = df.join(F.broadcast(n), F.lit(True)).select("term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.join(F.broadcast(n), F.lit(True)).select(
+        "term", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
+    )
     raw = counts.join(idf, "term").select(key, "term", "df", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "df", (F.col("w") / norm).alias("w"))
@@ -47,14 +58,18 @@ def _meeting(rows: DataFrame, on: list[str], hours: int, key: str) -> DataFrame:
     holds more than HOT of the latter is cut into parts by hash, which the former go to as copies: no task gets
     a whole group, and every pair still meets in one place.
     """
-    at = rows.withColumn("bucket", F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: F.col("bucket") + k)))
+    at = rows.withColumn(
+        "bucket", F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: F.col("bucket") + k))
+    )
     parts = F.ceil(F.count("*") / HOT).cast("int").alias("parts")
     hot = rows.groupBy(*on, "bucket").agg(parts).where("parts > 1")
     n = F.coalesce("parts", F.lit(1))
     own = rows.join(hot, [*on, "bucket"], "left").withColumn("part", F.pmod(F.xxhash64(key), n).cast("int"))
     all_parts = F.explode(F.sequence(F.lit(0), n - 1))
     copied = at.join(hot, [*on, "bucket"], "left").withColumn("part", all_parts)
-    side = lambda df, k: df.select(F.col(key).alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"), *on, "bucket", "part")
+    side = lambda df, k: df.select(
+        F.col(key).alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"), *on, "bucket", "part"
+    )
     near = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a")) <= hours * 3600
     pairs = side(copied, "a").join(side(own, "b"), [*on, "bucket", "part"])
     return pairs.where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
@@ -97,7 +112,9 @@ def similar_pairs(
     return _with_cosine(pairs, vectors, key).where(F.col("sim") >= floor)
 
 
-def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3, hours: int = 24, features: int | None = None) -> DataFrame:
+def event_clusters(
+    articles: DataFrame, least: float = 0.35, boost: float = 0.3, hours: int = 24, features: int | None = None
+) -> DataFrame:
     """(id, cluster) of articles(id, title, at, entities) that share an event with another one.
 
     An edge is a title cosine plus `boost` times the entities' overlap of `least` or more; the overlap alone
@@ -106,23 +123,42 @@ def event_clusters(articles: DataFrame, least: float = 0.35, boost: float = 0.3,
     one vertex, a span from the first to the last of them, so a headline that everybody prints adds one
     vertex per half band and not a pair for every two articles.
     """
-    rows = articles.select("id", "title", "at", F.array_sort(F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))).alias("e"))
+    rows = articles.select(
+        "id", "title", "at",
+        F.array_sort(F.array_distinct(F.coalesce("entities", F.array().cast("array<string>")))).alias("e")
+    )
     half = F.floor(F.unix_timestamp("at") / (hours * 1800))
     rows = rows.select("id", "title", "at", "e", half.alias("half"))
-    groups = rows.groupBy("title", "e", "half").agg(F.min("id").alias("rep"), F.min("at").alias("at"), F.max("at").alias("until"), F.count("*").alias("n"))
+    groups = rows.groupBy("title", "e", "half").agg(
+        F.min("id").alias("rep"), F.min("at").alias("at"), F.max("at").alias("until"), F.count("*").alias("n")
+    )
     groups = written(groups, "headlines")
-    vectors = title_vectors(articles, features=features).join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    vectors = title_vectors(articles, features=features).join(
+        groups.select(F.col("rep").alias("id")), "id", "left_semi"
+    )
     vectors = written(vectors, "title_vectors")
     entities = groups.select(F.col("rep").alias("id"), F.explode("e").alias("entity"))
     times = groups.select(F.col("rep").alias("id"), "at", "until")
     pairs = similar_pairs(vectors, times, least, hours, "id", entities, least - boost)
-    both = pairs.join(groups.select(F.col("rep").alias("a"), F.col("e").alias("ea")), "a").join(groups.select(F.col("rep").alias("b"), F.col("e").alias("eb")), "b")
-    overlap = F.when((F.size("ea") > 0) & (F.size("eb") > 0), F.size(F.array_intersect("ea", "eb")) / F.size(F.array_union("ea", "eb"))).otherwise(0.0)
+    both = pairs.join(groups.select(F.col("rep").alias("a"), F.col("e").alias("ea")), "a").join(
+        groups.select(F.col("rep").alias("b"), F.col("e").alias("eb")), "b"
+    )
+    overlap = F.when(
+        (F.size("ea") > 0) & (F.size("eb") > 0),
+        F.size(F.array_intersect("ea", "eb")) / F.size(F.array_union("ea", "eb"))
+    ).otherwise(0.0)
     edges = both.where(F.col("sim") + overlap * boost >= least).select("a", "b")
     found = connected_components(edges)
-    worded = groups.where("n > 1").join(vectors.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("rep", F.col("rep").alias("own"))
-    named = found.join(worded, found["node"] == worded["rep"], "full_outer").select(F.coalesce("node", "rep").alias("rep"), F.coalesce("component", "own").alias("cluster"))
-    members = rows.join(groups, (rows["title"].eqNullSafe(groups["title"])) & (rows["e"] == groups["e"]) & (rows["half"] == groups["half"])).select("id", "rep")
+    worded = groups.where("n > 1").join(
+        vectors.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi"
+    ).select("rep", F.col("rep").alias("own"))
+    named = found.join(worded, found["node"] == worded["rep"], "full_outer").select(
+        F.coalesce("node", "rep").alias("rep"), F.coalesce("component", "own").alias("cluster")
+    )
+    members = rows.join(
+        groups,
+        (rows["title"].eqNullSafe(groups["title"])) & (rows["e"] == groups["e"]) & (rows["half"] == groups["half"])
+    ).select("id", "rep")
     return members.join(named, "rep").select("id", "cluster")
 
 
@@ -136,23 +172,49 @@ def contradictions(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     keys = ["cluster", "country", "audience_type"]
     sides = rows.where(F.col("audience_type").isin("DOMESTIC", "INTERNATIONAL"))
     base = sides.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("tone").alias("tone"))
-    weights = sides.select("id", *keys).join(vectors.select("id", "term", "w"), "id").groupBy(*keys, "term").agg(F.sum("w").alias("w"))
-    best = weights.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 9)), "term"))).where("_r <= 10").groupBy(*keys).agg(F.collect_set("term").alias("top"))
-    d, i = weights.where("audience_type = 'DOMESTIC'").alias("d"), weights.where("audience_type = 'INTERNATIONAL'").alias("i")
-    same = (F.col("d.cluster") == F.col("i.cluster")) & (F.col("d.country") == F.col("i.country")) & (F.col("d.term") == F.col("i.term"))
-    dots = d.join(i, same).groupBy(F.col("d.cluster").alias("cluster"), F.col("d.country").alias("country")).agg(F.sum(F.col("d.w") * F.col("i.w")).alias("dot"))
+    weights = sides.select("id", *keys).join(vectors.select("id", "term", "w"), "id").groupBy(*keys, "term").agg(
+        F.sum("w").alias("w")
+    )
+    best = weights.withColumn(
+        "_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("w", 9)), "term"))
+    ).where("_r <= 10").groupBy(*keys).agg(F.collect_set("term").alias("top"))
+    d, i = weights.where("audience_type = 'DOMESTIC'").alias("d"), weights.where(
+        "audience_type = 'INTERNATIONAL'"
+    ).alias("i")
+    same = (F.col("d.cluster") == F.col("i.cluster")) & (F.col("d.country") == F.col("i.country")) & (
+        F.col("d.term") == F.col("i.term")
+    )
+    dots = d.join(i, same).groupBy(F.col("d.cluster").alias("cluster"), F.col("d.country").alias("country")).agg(
+        F.sum(F.col("d.w") * F.col("i.w")).alias("dot")
+    )
     side = base.join(best, keys, "left")
-    pick = lambda a, p: side.where(F.col("audience_type") == a).select("cluster", "country", F.col("n").alias(f"{p}_n"), F.col("tone").alias(f"{p}_tone"), F.coalesce("top", F.array().cast("array<string>")).alias(f"{p}_top"))
-    both = pick("DOMESTIC", "d").join(pick("INTERNATIONAL", "i"), ["cluster", "country"]).join(dots, ["cluster", "country"], "left")
-    overlap = F.coalesce(F.try_divide(F.size(F.array_intersect("d_top", "i_top")), F.size(F.array_union("d_top", "i_top"))), F.lit(0.0))
+    pick = lambda a, p: side.where(F.col("audience_type") == a).select(
+        "cluster", "country", F.col("n").alias(f"{p}_n"), F.col("tone").alias(f"{p}_tone"),
+        F.coalesce("top", F.array().cast("array<string>")).alias(f"{p}_top")
+    )
+    both = pick("DOMESTIC", "d").join(pick("INTERNATIONAL", "i"), ["cluster", "country"]).join(
+        dots, ["cluster", "country"], "left"
+    )
+    overlap = F.coalesce(
+        F.try_divide(F.size(F.array_intersect("d_top", "i_top")), F.size(F.array_union("d_top", "i_top"))), F.lit(0.0)
+    )
     sim = F.coalesce(F.col("dot"), F.lit(0.0)) / (F.col("d_n") * F.col("i_n"))
     ratio = F.greatest("d_n", "i_n") / F.least("d_n", "i_n")
-    points = F.when(overlap < 0.3, 0.25).otherwise(0.0) + F.when(F.abs(F.col("d_tone") - F.col("i_tone")) > 3, 0.25).otherwise(0.0) + F.when(ratio > 3, 0.20).otherwise(0.0) + F.when(sim < 0.25, 0.20).otherwise(0.0)
+    points = F.when(overlap < 0.3, 0.25).otherwise(0.0) + F.when(
+        F.abs(F.col("d_tone") - F.col("i_tone")) > 3, 0.25
+    ).otherwise(0.0) + F.when(ratio > 3, 0.20).otherwise(0.0) + F.when(sim < 0.25, 0.20).otherwise(0.0)
     s = F.round(F.least(points, F.lit(1.0)), 2)
-    severity = F.when(s < 0.2, "NONE").when(s < 0.4, "MINOR").when(s < 0.6, "SIGNIFICANT").when(s < 0.8, "MAJOR").otherwise("DIRECT")
-    return both.select("cluster", "country", F.col("d_n").alias("domestic"), F.col("i_n").alias("international"), s.alias("score"), (s >= 0.4).alias("significant"), severity.alias("severity"))
+    severity = F.when(s < 0.2, "NONE").when(s < 0.4, "MINOR").when(
+        s < 0.6, "SIGNIFICANT"
+    ).when(s < 0.8, "MAJOR").otherwise("DIRECT")
+    return both.select(
+        "cluster", "country", F.col("d_n").alias("domestic"), F.col("i_n").alias("international"), s.alias("score"),
+        (s >= 0.4).alias("significant"), severity.alias("severity")
+    )
 
 
 def desk_comparison(rows: DataFrame) -> DataFrame:
     """Events that several language desks of one country cover: rows(cluster, country, language)."""
-    return rows.groupBy("cluster", "country").agg(F.count_distinct("language").alias("languages"), F.count("*").alias("articles")).where("languages > 1")
+    return rows.groupBy("cluster", "country").agg(
+        F.count_distinct("language").alias("languages"), F.count("*").alias("articles")
+    ).where("languages > 1")

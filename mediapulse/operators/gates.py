@@ -17,17 +17,27 @@ def _no(c: Column) -> Column:
 
 def activity_rules() -> dict[str, Column]:
     return {
-        "today_count": _no(F.col("today_count") >= 0), "baseline_mean": _no(F.col("baseline_mean") >= 0), "baseline_std": _no(F.col("baseline_std") >= 0), "level": _no(F.col("level").isin(fixed.LEVELS)),
-        "confidence": _no(F.col("confidence").isin(fixed.CONFIDENCES)), "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "cold_start": F.col("cold_start").isNull(), "excluded_country": excluded(),
+        "today_count": _no(F.col("today_count") >= 0), "baseline_mean": _no(F.col("baseline_mean") >= 0),
+        "baseline_std": _no(F.col("baseline_std") >= 0), "level": _no(F.col("level").isin(fixed.LEVELS)),
+        "confidence": _no(F.col("confidence").isin(fixed.CONFIDENCES)),
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)),
+        "cold_start": F.col("cold_start").isNull(), "excluded_country": excluded(),
     }
 
 
 def theme_rules() -> dict[str, Column]:
-    start, end = F.col("period_start").cast("string").try_cast("date"), F.col("period_end").cast("string").try_cast("date")
+    start, end = F.col(
+        "period_start"
+    ).cast("string").try_cast("date"), F.col("period_end").cast("string").try_cast("date")
     return {
-        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "negative_count": _no((F.col("article_count") >= 0) & (F.col("bucket_total") >= 0)), "share": _no(F.col("share").between(0, 1)),
-        "date_format": start.isNull() | end.isNull(), "date_order": F.coalesce(end < start, F.lit(False)), "excluded_country": excluded(),
-        "alignment": F.when(F.col("period_type") == "monthly", _no(F.dayofmonth(start) == 1)).when(F.col("period_type") == "weekly", _no(F.weekday(start) == 0)).otherwise(False),
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)),
+        "negative_count": _no((F.col("article_count") >= 0) & (F.col("bucket_total") >= 0)),
+        "share": _no(F.col("share").between(0, 1)),
+        "date_format": start.isNull() | end.isNull(), "date_order": F.coalesce(end < start, F.lit(False)),
+        "excluded_country": excluded(),
+        "alignment": F.when(F.col("period_type") == "monthly", _no(F.dayofmonth(start) == 1)).when(
+            F.col("period_type") == "weekly", _no(F.weekday(start) == 0)
+        ).otherwise(False),
         "theme_size": F.octet_length("theme") > 256,
     }
 
@@ -41,7 +51,8 @@ def daily_theme_rules() -> dict[str, Column]:
 def outlet_rules() -> dict[str, Column]:
     """Limits of the outlet table: audience, bytes of name, notes and domain (the longest DNS name)."""
     return {
-        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "name_size": F.octet_length("outlet_name") > 1024,
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)),
+        "name_size": F.octet_length("outlet_name") > 1024,
         "notes_size": F.octet_length("notes") > 4096, "domain_size": _no(F.octet_length("domain") <= 253),
     }
 
@@ -49,7 +60,8 @@ def outlet_rules() -> dict[str, Column]:
 def article_rules() -> dict[str, Column]:
     """Limits of the article table: audience, bytes of title and url."""
     return {
-        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)), "title_size": F.octet_length("title") > 65536,
+        "audience_type": _no(F.col("audience_type").isin(fixed.AUDIENCES)),
+        "title_size": F.octet_length("title") > 65536,
         "url_size": _no(F.octet_length("url") <= 8192),
     }
 
@@ -61,7 +73,9 @@ def excluded() -> Column:
 def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, rows) for every rule, those without a violation too."""
     counts = rows.agg(*[F.count_if(c).alias(name) for name, c in rules.items()])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules])).alias("r")).select("r.*")
+    return counts.select(
+        F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("rows")) for n in rules])).alias("r")
+    ).select("r.*")
 
 
 def samples(rows: DataFrame, rules: dict[str, Column], most: int = 10) -> DataFrame:
@@ -87,30 +101,46 @@ def known_events(rows: DataFrame, events: DataFrame) -> DataFrame:
 def run_checks(rows: DataFrame, expected: DataFrame) -> DataFrame:
     """One row: rows, null keys, invalid enums and expected countries that are missing."""
     main = rows.agg(
-        F.count("*").alias("rows"), F.count_if(F.col("country").isNull() | F.col("date").isNull() | F.col("audience_type").isNull()).alias("null_keys"),
-        F.count_if(~F.coalesce(F.col("level").isin(fixed.LEVELS) & F.col("audience_type").isin(fixed.AUDIENCES), F.lit(False))).alias("bad_enums"),
+        F.count("*").alias("rows"),
+        F.count_if(
+            F.col("country").isNull() | F.col("date").isNull() | F.col("audience_type").isNull()
+        ).alias("null_keys"),
+        F.count_if(
+            ~F.coalesce(
+                F.col("level").isin(fixed.LEVELS) & F.col("audience_type").isin(fixed.AUDIENCES), F.lit(False)
+            )
+        ).alias("bad_enums"),
+    )
+    absent = expected.join(rows.select("country").distinct(), "country", "left_anti").agg(
+        F.count("*").alias("missing_countries")
     )
-    absent = expected.join(rows.select("country").distinct(), "country", "left_anti").agg(F.count("*").alias("missing_countries"))
     return main.join(absent, F.lit(True))
 
 
 def outlet_checks(outlets: DataFrame, spots: DataFrame) -> DataFrame:
     """(domain, expected, found, passed) of the spot checks (domain, audience_type)."""
     found = outlets.select("domain", F.col("audience_type").alias("found"))
-    return spots.select("domain", F.col("audience_type").alias("expected")).join(found, "domain", "left").withColumn("passed", F.coalesce(F.col("expected") == F.col("found"), F.lit(False)))
+    return spots.select("domain", F.col("audience_type").alias("expected")).join(found, "domain", "left").withColumn(
+        "passed", F.coalesce(F.col("expected") == F.col("found"), F.lit(False))
+    )
 
 
 def activity_summary(rows: DataFrame) -> DataFrame:
     """One row: rows, countries, dates, cold starts, range, rows per audience and level."""
     return rows.agg(
-        F.count("*").alias("rows"), F.count_distinct("country").alias("countries"), F.count_distinct("date").alias("dates"), F.count_if("cold_start").alias("cold_starts"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        *[F.count_if(F.col("audience_type") == a).alias(f"n_{a.lower()}") for a in fixed.AUDIENCES], *[F.count_if(F.col("level") == x).alias(f"n_{x.lower()}") for x in fixed.LEVELS],
+        F.count("*").alias("rows"), F.count_distinct("country").alias("countries"),
+        F.count_distinct("date").alias("dates"), F.count_if("cold_start").alias("cold_starts"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        *[F.count_if(F.col("audience_type") == a).alias(f"n_{a.lower()}") for a in fixed.AUDIENCES],
+        *[F.count_if(F.col("level") == x).alias(f"n_{x.lower()}") for x in fixed.LEVELS],
     )
 
 
 def theme_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(
-        F.count("*").alias("rows"), F.count_distinct("country").alias("countries"), F.count_distinct("period_type", "period_start").alias("periods"), F.sum("article_count").alias("articles"), F.count_distinct("theme").alias("themes"),
+        F.count("*").alias("rows"), F.count_distinct("country").alias("countries"),
+        F.count_distinct("period_type", "period_start").alias("periods"), F.sum("article_count").alias("articles"),
+        F.count_distinct("theme").alias("themes"),
         *[F.count_if(F.col("audience_type") == a).alias(f"n_{a.lower()}") for a in fixed.AUDIENCES],
     )
 
@@ -118,17 +148,25 @@ def theme_summary(rows: DataFrame) -> DataFrame:
 def run_counters(classified: DataFrame) -> DataFrame:
     """One row of received, classified, suppressed and per-audience counts."""
     return classified.agg(
-        F.count("*").alias("received"), F.count_if(F.col("audience_type") != "UNKNOWN").alias("classified"), F.count_if(F.col("verdict") == "SUPPRESS").alias("suppressed"), F.count_if(F.col("verdict") == "ESCALATE").alias("escalated"),
+        F.count("*").alias("received"), F.count_if(F.col("audience_type") != "UNKNOWN").alias("classified"),
+        F.count_if(F.col("verdict") == "SUPPRESS").alias("suppressed"),
+        F.count_if(F.col("verdict") == "ESCALATE").alias("escalated"),
         *[F.count_if(F.col("audience_type") == a).alias(f"n_{a.lower()}") for a in fixed.AUDIENCES],
     )
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("country", "audience_type").agg(F.count("*").alias("rows"), F.max("period_start").alias("latest"))
+    return rows.groupBy("country", "audience_type").agg(
+        F.count("*").alias("rows"), F.max("period_start").alias("latest")
+    )
 
 
 def source_coverage(outlets: DataFrame, volumes: DataFrame) -> DataFrame:
     """Per outlet of the dimension: days, rows and total volume; one without data has zeros."""
-    sums = volumes.groupBy("domain").agg(F.count("*").alias("rows"), F.count_distinct("date").alias("days"), F.sum("volume").alias("volume"))
+    sums = volumes.groupBy("domain").agg(
+        F.count("*").alias("rows"), F.count_distinct("date").alias("days"), F.sum("volume").alias("volume")
+    )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return outlets.select("domain").join(sums, "domain", "left").select("domain", zero("rows"), zero("days"), zero("volume"), F.col("rows").isNotNull().alias("has_data"))
+    return outlets.select("domain").join(sums, "domain", "left").select(
+        "domain", zero("rows"), zero("days"), zero("volume"), F.col("rows").isNotNull().alias("has_data")
+    )

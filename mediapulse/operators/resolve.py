@@ -10,11 +10,17 @@ from ..functions import text
 
 def resolved_hosts(hosts: DataFrame, outlets: DataFrame, column: str = "host", least: int = 2) -> DataFrame:
     """(host, domain) for the distinct hosts that have a registered parent of at least `least` labels."""
-    candidates = hosts.select(column).distinct().select(column, F.posexplode(text.parents(F.col(column), least)).alias("place", "domain"))
-    return candidates.join(outlets.select("domain"), "domain").groupBy(column).agg(F.min_by("domain", "place").alias("domain"))
+    candidates = hosts.select(column).distinct().select(
+        column, F.posexplode(text.parents(F.col(column), least)).alias("place", "domain")
+    )
+    return candidates.join(outlets.select("domain"), "domain").groupBy(column).agg(
+        F.min_by("domain", "place").alias("domain")
+    )
 
 
-def with_outlet(rows: DataFrame, outlets: DataFrame, column: str = "raw_domain", least: int = 2, keep_all: bool = False) -> DataFrame:
+def with_outlet(
+    rows: DataFrame, outlets: DataFrame, column: str = "raw_domain", least: int = 2, keep_all: bool = False
+) -> DataFrame:
     """Rows with their outlet's domain, country and audience; the others go unless `keep_all`.
 
     Hosts are resolved once each: the fact table itself takes one equi-join on the host.
@@ -31,7 +37,10 @@ def outlet_coverage(outlets: DataFrame, floors: DataFrame | None = None) -> Data
     counts = outlets.groupBy("country").agg(F.count("*").alias("outlets"))
     if floors is None:
         return counts
-    return floors.join(counts, "country", "left").select("country", "floor", F.coalesce("outlets", F.lit(0)).cast("long").alias("outlets"), (F.coalesce("outlets", F.lit(0)) >= F.col("floor")).alias("covered"))
+    return floors.join(counts, "country", "left").select(
+        "country", "floor", F.coalesce("outlets", F.lit(0)).cast("long").alias("outlets"),
+        (F.coalesce("outlets", F.lit(0)) >= F.col("floor")).alias("covered")
+    )
 
 
 def from_domain(outlets: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:

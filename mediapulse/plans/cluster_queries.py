@@ -51,11 +51,16 @@ def contradictions(spark, sf):
     titled = _titled(spark, sf)
     side = d.pick(d.AUDIENCES, F.col("id") % 2)
     rows = clusters.event_clusters(titled).join(titled, "id")
-    rows = rows.select("id", "cluster", F.lit("XX").alias("country"), side.alias("audience_type"), (F.col("id") % 10 - 5).cast("double").alias("tone"))
+    rows = rows.select(
+        "id", "cluster", F.lit("XX").alias("country"), side.alias("audience_type"),
+        (F.col("id") % 10 - 5).cast("double").alias("tone")
+    )
     return clusters.contradictions(rows, clusters.title_vectors(titled))
 
 
-@query(f"{_SQL} SELECT cluster, 'XX' AS country, count(DISTINCT id % 3) AS languages, count(*) AS articles FROM found GROUP BY cluster HAVING count(DISTINCT id % 3) > 1")
+@query(
+    f"{_SQL} SELECT cluster, 'XX' AS country, count(DISTINCT id % 3) AS languages, count(*) AS articles FROM found GROUP BY cluster HAVING count(DISTINCT id % 3) > 1"
+)
 def desk_comparison(spark, sf):
     titled = _titled(spark, sf)
     language = d.pick(["en", "fr", "es"], F.col("id") % 3)

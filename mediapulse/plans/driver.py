@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed: a country for each user number modulo 25; the last one is excluded from monitoring.
-CODES = ["RU", "CN", "IR", "VE", "CU", "BY", "TR", "EG", "SA", "QA", "AE", "SY", "KP", "VN", "UZ", "KZ", "IN", "BR", "ZA", "RS", "DE", "FR", "ES", "JP", "UK"]
+CODES = [
+    "RU", "CN", "IR", "VE", "CU", "BY", "TR", "EG", "SA", "QA", "AE", "SY", "KP", "VN", "UZ", "KZ", "IN", "BR", "ZA",
+    "RS", "DE", "FR", "ES", "JP", "UK"
+]
 AUDIENCES = ["DOMESTIC", "INTERNATIONAL", "DIASPORA"]
 _CODES = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
 
@@ -61,9 +64,16 @@ def deviation_sql(source: str, name: str) -> str:
 
 
 def rollup_sql(kinds: list[str]) -> str:
-    start = {"monthly": "CAST(date_trunc('month', day) AS DATE)", "weekly": "CAST(date_trunc('week', day) AS DATE)", "daily": "day"}
-    end = {"monthly": "last_day(day)", "weekly": "CAST(date_trunc('week', day) + INTERVAL 6 DAY AS DATE)", "daily": "day"}
-    spread = lambda t: " UNION ALL ".join(f"SELECT *, '{k}' AS period_type, {start[k]} AS period_start, {end[k]} AS period_end FROM {t}" for k in kinds)
+    start = {
+        "monthly": "CAST(date_trunc('month', day) AS DATE)", "weekly": "CAST(date_trunc('week', day) AS DATE)",
+        "daily": "day"
+    }
+    end = {
+        "monthly": "last_day(day)", "weekly": "CAST(date_trunc('week', day) + INTERVAL 6 DAY AS DATE)", "daily": "day"
+    }
+    spread = lambda t: " UNION ALL ".join(
+        f"SELECT *, '{k}' AS period_type, {start[k]} AS period_start, {end[k]} AS period_end FROM {t}" for k in kinds
+    )
     keys = "country, audience_type, period_type, period_start, period_end"
     return f"""
 p_mentions AS ({spread('mentions')}),
@@ -88,8 +98,11 @@ def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".example.com"))
     k = (F.get_json_object("props", "$.k").cast("int") % 10).cast("string")
     return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("date"), host.alias("domain"), F.concat(F.lit("https://"), host, F.lit("/"), (F.col("event_id") % 997).cast("string")).alias("url"),
-        pick(CODES, F.col("user_id") % 25).alias("country"), pick(AUDIENCES, F.col("user_id") % 3).alias("audience_type"), F.array("event_type", F.concat(F.lit("K"), k)).alias("themes"), ((F.col("value") - 50) / 50).alias("tone"),
+        F.col("event_id").alias("record_id"), F.col("ts").cast("timestamp").alias("date"), host.alias("domain"),
+        F.concat(F.lit("https://"), host, F.lit("/"), (F.col("event_id") % 997).cast("string")).alias("url"),
+        pick(CODES, F.col("user_id") % 25).alias("country"),
+        pick(AUDIENCES, F.col("user_id") % 3).alias("audience_type"),
+        F.array("event_type", F.concat(F.lit("K"), k)).alias("themes"), ((F.col("value") - 50) / 50).alias("tone"),
     )
 
 
@@ -109,9 +122,17 @@ def outlets_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volume_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is one article of a customer group's outlet; its bucket is region and order status."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
-    place = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("country"))
-    status = F.when(F.col("o_orderstatus") == "F", "DOMESTIC").when(F.col("o_orderstatus") == "O", "INTERNATIONAL").otherwise("DIASPORA")
-    return o.join(place, F.col("o_custkey") == F.col("c_custkey")).select("country", status.alias("audience_type"), F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string"), F.lit(".example.com")).alias("domain"), F.col("o_orderdate").cast("timestamp").alias("date"))
+    place = c.join(
+        F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")
+    ).join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", F.col("r_name").alias("country"))
+    status = F.when(F.col("o_orderstatus") == "F", "DOMESTIC").when(
+        F.col("o_orderstatus") == "O", "INTERNATIONAL"
+    ).otherwise("DIASPORA")
+    return o.join(place, F.col("o_custkey") == F.col("c_custkey")).select(
+        "country", status.alias("audience_type"),
+        F.concat(F.lit("c"), (F.col("o_custkey") % 50).cast("string"), F.lit(".example.com")).alias("domain"),
+        F.col("o_orderdate").cast("timestamp").alias("date")
+    )
 
 
 def daily_volume(spark: SparkSession, sf_dir: str) -> DataFrame:

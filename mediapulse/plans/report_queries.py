@@ -29,7 +29,10 @@ def _buckets(spark, sf):
     spans = F.array(
         *[
             F.struct(F.lit(kind).alias("period_type"), start.cast("date").alias("period_start"))
-            for kind, start in (("monthly", F.trunc("date", "MM")), ("weekly", F.trunc("date", "WEEK")), ("daily", F.to_date("date")))
+            for kind,
+            start in (
+                ("monthly", F.trunc("date", "MM")), ("weekly", F.trunc("date", "WEEK")), ("daily", F.to_date("date"))
+            )
         ]
     )
     return d.articles(spark, sf).select("country", "audience_type", F.inline(spans)).distinct()
@@ -51,7 +54,9 @@ def narrative_paragraphs(spark, sf):
     return views.narratives(_rollup(spark, sf), _buckets(spark, sf))
 
 
-@query(f"""{_ROLL} SELECT {_KEYS}, count(*) FILTER (WHERE contains(lower(theme), 'ur')) AS shown, count(*) FILTER (WHERE NOT contains(lower(theme), 'ur')) AS hidden FROM rolled GROUP BY ALL""")
+@query(
+    f"""{_ROLL} SELECT {_KEYS}, count(*) FILTER (WHERE contains(lower(theme), 'ur')) AS shown, count(*) FILTER (WHERE NOT contains(lower(theme), 'ur')) AS hidden FROM rolled GROUP BY ALL"""
+)
 def theme_search_hidden(spark, sf):
     return views.theme_search_hidden(_rollup(spark, sf), " UR ")
 
@@ -65,14 +70,20 @@ def theme_search_hidden(spark, sf):
  SELECT c.*, countries, themes, coalesce(coordinations, '') AS coordinations FROM c JOIN k USING (date) JOIN t USING (date) LEFT JOIN e USING (date)""")
 def daily_snapshot(spark, sf):
     def flat(c: str):
-        return F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",").alias(c)
+        return F.array_join(
+            F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ","
+        ).alias(c)
 
     rows = trends.daily_snapshot(_activity(spark, sf), activity.top_themes(d.articles(spark, sf)), _events(spark, sf))
     said = F.transform(
-        "coordinations", lambda x: F.concat_ws(":", x["theme"], F.array_join(x["countries"], "+"), F.format_string("%.3f", x["coordination_score"]))
+        "coordinations",
+        lambda x: F.concat_ws(
+            ":", x["theme"], F.array_join(x["countries"], "+"), F.format_string("%.3f", x["coordination_score"])
+        )
     )
     return rows.select(
-        "date", "total_articles", "active_countries", "spikes", "silences", F.array_join("silent_countries", ",").alias("silent_countries"),
+        "date", "total_articles", "active_countries", "spikes", "silences",
+        F.array_join("silent_countries", ",").alias("silent_countries"),
         flat("countries"), flat("themes"), F.coalesce(F.array_join(said, ","), F.lit("")).alias("coordinations"),
     )
 
@@ -96,8 +107,13 @@ _WEEK = "date BETWEEN DATE '2024-01-15' AND DATE '2024-01-21'"
 def weekly_report(spark, sf):
     act, tops = _activity(spark, sf), activity.top_themes(d.articles(spark, sf))
     daily = tops.groupBy("date", "theme").agg(F.sum("n").alias("n"))
-    told = act.select("date", F.concat_ws("/", "country", "audience_type").alias("cluster"), "country", (F.col("today_count") % 10 / 10).alias("score"))
-    severity = F.when(F.col("deviation_ratio") == 0, "TOTAL").when(F.col("deviation_ratio") < 0.2, "SIGNIFICANT").otherwise("MINOR")
+    told = act.select(
+        "date", F.concat_ws("/", "country", "audience_type").alias("cluster"), "country",
+        (F.col("today_count") % 10 / 10).alias("score")
+    )
+    severity = F.when(F.col("deviation_ratio") == 0, "TOTAL").when(
+        F.col("deviation_ratio") < 0.2, "SIGNIFICANT"
+    ).otherwise("MINOR")
     quiet = act.where("days_sampled >= 7").select("date", "country", "audience_type", severity.alias("severity"))
     r = trends.weekly_report(daily, act, told, quiet, _events(spark, sf), "2024-01-15")
 
@@ -107,9 +123,20 @@ def weekly_report(spark, sf):
 
     return r.select(
         "week_start", "week_end", "total_articles", "countries_active",
-        joined("top_themes", lambda x: F.concat(x["theme"], F.lit("="), x["this_week"].cast("string"), F.lit("/"), x["last_week"].cast("string"))),
-        joined("spikes", lambda x: F.concat(x["country"], F.lit("/"), x["audience_type"], F.format_string("=%.3f", x["peak_ratio"]))),
-        joined("contradictions", lambda x: F.concat(x["cluster"], F.format_string("=%.1f", x["score"]))), F.size("silences").cast("long").alias("silences"),
+        joined(
+            "top_themes",
+            lambda x: F.concat(
+                x["theme"], F.lit("="), x["this_week"].cast("string"), F.lit("/"), x["last_week"].cast("string")
+            )
+        ),
+        joined(
+            "spikes",
+            lambda x: F.concat(
+                x["country"], F.lit("/"), x["audience_type"], F.format_string("=%.3f", x["peak_ratio"])
+            )
+        ),
+        joined("contradictions", lambda x: F.concat(x["cluster"], F.format_string("=%.1f", x["score"]))),
+        F.size("silences").cast("long").alias("silences"),
         joined("coordinations", lambda x: F.concat(x["theme"], F.format_string("=%.3f", x["coordination_score"]))),
     )
 
@@ -119,14 +146,19 @@ def weekly_report(spark, sf):
  UNION ALL SELECT 'notes_size', count(*) FILTER (WHERE strlen(html) > 4096) FROM p UNION ALL SELECT 'domain_size', count(*) FILTER (WHERE url IS NULL OR strlen(url) > 253) FROM p""")
 def outlet_gates(spark, sf):
     kind = F.when(F.col("page_id") % 7 == 0, "ALL").otherwise("DOMESTIC")
-    rows = d.table(spark, sf, "pages").select(kind.alias("audience_type"), F.col("html").alias("outlet_name"), F.col("html").alias("notes"), F.col("url").alias("domain"))
+    rows = d.table(spark, sf, "pages").select(
+        kind.alias("audience_type"), F.col("html").alias("outlet_name"), F.col("html").alias("notes"),
+        F.col("url").alias("domain")
+    )
     return gates.violations(rows, gates.outlet_rules())
 
 
 @query("""SELECT 'audience_type' AS rule, count(*) AS rows FROM documents WHERE source IS NULL OR source NOT IN ('DOMESTIC', 'INTERNATIONAL', 'DIASPORA') UNION ALL
  SELECT 'title_size', count(*) FILTER (WHERE strlen(text) > 65536) FROM documents UNION ALL SELECT 'url_size', count(*) FILTER (WHERE text IS NULL OR strlen(text) > 8192) FROM documents""")
 def article_gates(spark, sf):
-    rows = d.table(spark, sf, "documents").select(F.col("source").alias("audience_type"), F.col("text").alias("title"), F.col("text").alias("url"))
+    rows = d.table(spark, sf, "documents").select(
+        F.col("source").alias("audience_type"), F.col("text").alias("title"), F.col("text").alias("url")
+    )
     return gates.violations(rows, gates.article_rules())
 
 
@@ -134,7 +166,9 @@ def article_gates(spark, sf):
  SELECT 'one_day' AS rule, count(*) FILTER (WHERE period_type = 'daily' AND pe <> period_start) AS rows FROM bad UNION ALL SELECT unnest(['audience_type', 'negative_count', 'share', 'date_format', 'date_order', 'excluded_country', 'alignment', 'theme_size']), 0""")
 def daily_theme_gates(spark, sf):
     late = (F.col("period_type") == "daily") & (F.col("article_count") % 2 == 0)
-    rows = _rollup(spark, sf).withColumn("period_end", F.when(late, F.date_add("period_end", 1)).otherwise(F.col("period_end")))
+    rows = _rollup(spark, sf).withColumn(
+        "period_end", F.when(late, F.date_add("period_end", 1)).otherwise(F.col("period_end"))
+    )
     return gates.violations(rows, gates.daily_theme_rules())
 
 

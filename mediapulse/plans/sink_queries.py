@@ -36,11 +36,16 @@ def exported_rows(spark, sf):
 
 @query("SELECT event_id, left(repeat(event_type, 600), 4096) AS verdict_reason FROM events")
 def public_claim_columns(spark, sf):
-    rows = d.table(spark, sf, "events").select("event_id", F.repeat("event_type", 600).alias("verdict_reason"), F.lit(1).alias("_inner"), F.lit(2).alias("days_sampled"))
+    rows = d.table(spark, sf, "events").select(
+        "event_id", F.repeat("event_type", 600).alias("verdict_reason"), F.lit(1).alias("_inner"),
+        F.lit(2).alias("days_sampled")
+    )
     return sinks.public_columns(rows)
 
 
-@query(f"""{_ACT} SELECT missing, count(*) AS rows FROM act, (VALUES ('confidence'), ('none')) v(missing) GROUP BY ALL""")
+@query(
+    f"""{_ACT} SELECT missing, count(*) AS rows FROM act, (VALUES ('confidence'), ('none')) v(missing) GROUP BY ALL"""
+)
 def required_columns(spark, sf):
     """Rows of an input that has all columns of the activity table, and of one that lacks one of them."""
     act, out = _activity(spark, sf), None
@@ -80,12 +85,18 @@ def zipped_slices(spark, sf):
     return gkg.file_counters(raw, gkg.parse_lines(raw.where("not skipped")))
 
 
-@query(f"""WITH {d.ARTICLES_SQL} SELECT CAST(date AS DATE) AS day, count(*) AS rows FROM raw WHERE country <> 'UK' AND date < TIMESTAMP '2024-01-10' GROUP BY ALL""")
+@query(
+    f"""WITH {d.ARTICLES_SQL} SELECT CAST(date AS DATE) AS day, count(*) AS rows FROM raw WHERE country <> 'UK' AND date < TIMESTAMP '2024-01-10' GROUP BY ALL"""
+)
 def frozen_days(spark, sf):
     """Rows of days before the first open one go to the side table of the streaming rollup."""
     folder, rows = scratch_path(spark, "frozen"), d.raw_articles(spark, sf).where("country <> 'UK'")
     rows.write.parquet(f"{folder}/drop")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/drop")
-    run = jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check", ("daily",), frozen_before="2024-01-10")
+    run = jobs.start_rollup(
+        stream, f"{folder}/store", f"{folder}/table", f"{folder}/check", ("daily",), frozen_before="2024-01-10"
+    )
     run.awaitTermination()
-    return spark.read.parquet(f"{folder}/store_late").groupBy(F.to_date("date").alias("day")).agg(F.count("*").alias("rows"))
+    return spark.read.parquet(f"{folder}/store_late").groupBy(F.to_date("date").alias("day")).agg(
+        F.count("*").alias("rows")
+    )

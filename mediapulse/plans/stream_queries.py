@@ -34,26 +34,45 @@ def _drop(spark, sf, name: str, closing: bool = False):
     rows = d.raw_articles(spark, sf).where("country <> 'UK'")
     write_drop(rows, f"{folder}/drop")
     if closing:
-        end = rows.agg((F.max("date") + F.expr("interval 31 days")).alias("date"), F.array(F.lit("end")).alias("themes"))
-        empty = end.select(*[F.col(f.name) if f.name in end.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+        end = rows.agg(
+            (F.max("date") + F.expr("interval 31 days")).alias("date"), F.array(F.lit("end")).alias("themes")
+        )
+        empty = end.select(
+            *[
+                F.col(f.name) if f.name in end.columns else F.lit(None).cast(
+                    f.dataType
+                ).alias(f.name) for f in rows.schema
+            ]
+        )
         for _ in range(4):  # windows close in the batch after the one that ends them
             empty.write.mode("append").parquet(f"{folder}/drop")
     return folder, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/drop")
 
 
-@query(f"{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count, bucket_total, share FROM rolled")
+@query(
+    f"{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count, bucket_total, share FROM rolled"
+)
 def stream_theme_rollup(spark, sf):
     folder, rows = _drop(spark, sf, "rollup")
-    jobs.start_rollup(jobs.deduplicated(rows), f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    jobs.start_rollup(
+        jobs.deduplicated(rows), f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint"
+    ).awaitTermination()
     table = spark.read.parquet(f"{folder}/table")
-    return table.select("country", "audience_type", "period_type", F.col("period_start").cast("date").alias("period_start"), "theme", "article_count", "bucket_total", "share")
+    return table.select(
+        "country", "audience_type", "period_type", F.col("period_start").cast("date").alias("period_start"), "theme",
+        "article_count", "bucket_total", "share"
+    )
 
 
-@query(f"WITH {d.ARTICLES_SQL} SELECT country, audience_type, day AS date, count(*) AS today_count FROM raw WHERE country <> 'UK' GROUP BY ALL")
+@query(
+    f"WITH {d.ARTICLES_SQL} SELECT country, audience_type, day AS date, count(*) AS today_count FROM raw WHERE country <> 'UK' GROUP BY ALL"
+)
 def stream_daily_counts(spark, sf):
     folder, rows = _drop(spark, sf, "counts")
     jobs.start_daily_counts(rows, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("country", "audience_type", F.col("date").cast("date").alias("date"), "today_count")
+    return spark.read.parquet(f"{folder}/table").select(
+        "country", "audience_type", F.col("date").cast("date").alias("date"), "today_count"
+    )
 
 
 @query(f"""WITH {d.ARTICLES_SQL}, m AS (SELECT country, date, unnest([t1, t2]) AS theme FROM raw WHERE country <> 'UK'), b AS (SELECT country, theme, count(*) / 30.0 AS baseline_mean FROM m GROUP BY ALL),
@@ -61,6 +80,11 @@ def stream_daily_counts(spark, sf):
  SELECT country, theme, window_start, article_count, round(article_count / baseline_mean, 6) AS ratio FROM c JOIN b USING (country, theme) WHERE article_count / baseline_mean >= 3.0""")
 def stream_surges(spark, sf):
     folder, rows = _drop(spark, sf, "surges", closing=True)
-    counts = spark.read.parquet(f"{folder}/drop").select("country", F.explode("themes").alias("theme")).groupBy("country", "theme").agg((F.count("*") / 30.0).alias("baseline_mean"))
+    counts = spark.read.parquet(f"{folder}/drop").select(
+        "country", F.explode("themes").alias("theme")
+    ).groupBy("country", "theme").agg((F.count("*") / 30.0).alias("baseline_mean"))
     jobs.start_surges(rows, counts, f"{folder}/table", f"{folder}/checkpoint", surge=3.0).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count", F.round("ratio", 6).alias("ratio"))
+    return spark.read.parquet(f"{folder}/table").select(
+        "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
+        F.round("ratio", 6).alias("ratio")
+    )

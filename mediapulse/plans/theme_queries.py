@@ -22,7 +22,10 @@ _SPIKE = """spikes AS (SELECT t.country, t.audience_type, t.date, theme, n AS ar
 
 def _bonus_sql(names: str = "names") -> str:
     exact = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.PAIR_BONUSES.items())
-    pairs = ", ".join(f"CASE WHEN list_contains({names}, '{k[:2]}') AND list_contains({names}, '{k[3:]}') THEN {v} ELSE 0 END" for k, v in fixed.PAIR_BONUSES.items() if len(k) == 5)
+    pairs = ", ".join(
+        f"CASE WHEN list_contains({names}, '{k[:2]}') AND list_contains({names}, '{k[3:]}') THEN {v} ELSE 0 END" for k,
+        v in fixed.PAIR_BONUSES.items() if len(k) == 5
+    )
     return f"CASE array_to_string({names}, ',') {exact} ELSE greatest({pairs}) END"
 
 
@@ -57,9 +60,14 @@ def theme_rollup_all_periods(spark, sf):
     return _rollup(spark, sf).withColumn("avg_tone", F.round("avg_tone", 9) + 0.0)
 
 
-@query(f"WITH {d.ARTICLES_SQL} SELECT record_id, domain, url, country, audience_type, day, t1 || ',' || t2 AS themes FROM articles")
+@query(
+    f"WITH {d.ARTICLES_SQL} SELECT record_id, domain, url, country, audience_type, day, t1 || ',' || t2 AS themes FROM articles"
+)
 def dedup_articles(spark, sf):
-    return d.articles(spark, sf).select("record_id", "domain", "url", "country", "audience_type", F.to_date("date").alias("day"), F.array_join("themes", ",").alias("themes"))
+    return d.articles(spark, sf).select(
+        "record_id", "domain", "url", "country", "audience_type", F.to_date("date").alias("day"),
+        F.array_join("themes", ",").alias("themes")
+    )
 
 
 @query(f"WITH {d.ARTICLES_SQL}, {_DAILY} SELECT * FROM daily")
@@ -94,18 +102,29 @@ def activity_live(spark, sf):
 def activity_rows_with_themes(spark, sf):
     keys = ["country", "audience_type", "date"]
     entry = F.concat_ws("=", "theme", F.col("n").cast("string"))
-    best = activity.top_themes(d.articles(spark, sf)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("t")).select(*keys, F.array_join(F.transform("t", lambda x: x["e"]), ",").alias("top_themes"))
-    return _activity(spark, sf).join(best, keys).select("country", "date", "audience_type", "today_count", "deviation_ratio", "z_score", "level", "top_themes")
+    best = activity.top_themes(d.articles(spark, sf)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("e")))).alias("t")).select(
+        *keys, F.array_join(F.transform("t", lambda x: x["e"]), ",").alias("top_themes")
+    )
+    return _activity(spark, sf).join(best, keys).select(
+        "country", "date", "audience_type", "today_count", "deviation_ratio", "z_score", "level", "top_themes"
+    )
 
 
-@query(f"{_ACT}, {_TOP}, {_SPIKE} SELECT country, audience_type, date, theme, article_count, baseline, round(ratio, 6) AS ratio FROM spikes")
+@query(
+    f"{_ACT}, {_TOP}, {_SPIKE} SELECT country, audience_type, date, theme, article_count, baseline, round(ratio, 6) AS ratio FROM spikes"
+)
 def theme_spikes(spark, sf):
     return _spikes(spark, sf).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"{_ACT}, {_TOP}, {_SPIKE}, {_EVENTS} SELECT date, theme, array_to_string(names, ',') AS countries, coordination_score, entries FROM found WHERE coordination_score >= 0.3")
+@query(
+    f"{_ACT}, {_TOP}, {_SPIKE}, {_EVENTS} SELECT date, theme, array_to_string(names, ',') AS countries, coordination_score, entries FROM found WHERE coordination_score >= 0.3"
+)
 def coordination_events(spark, sf):
-    return _events(spark, sf).select("date", "theme", F.array_join("countries", ",").alias("countries"), "coordination_score", F.size("details").cast("long").alias("entries"))
+    return _events(spark, sf).select(
+        "date", "theme", F.array_join("countries", ",").alias("countries"), "coordination_score",
+        F.size("details").cast("long").alias("entries")
+    )
 
 
 @query(f"""{_ACT}, {_TOP}, {_SPIKE}, {_EVENTS}, ends AS (SELECT date, theme, coordination_score, unnest(names) AS country FROM found WHERE coordination_score >= 0.3)
@@ -123,14 +142,19 @@ def coordination_arcs(spark, sf):
    round(least(1.0, coordination_score * (0.7 + 0.1 * least(len(names), 3))), 3) AS quality_score, CASE WHEN strong THEN 5 ELSE 4 END AS n_hypotheses, CASE WHEN len(names) >= 4 THEN 'MANY_COUNTRIES' ELSE '' END AS flags FROM v""")
 def coordination_verdicts(spark, sf):
     rows = claims.coordination_verdicts(_events(spark, sf))
-    return rows.select("date", "theme", F.array_join("countries", ",").alias("countries"), "verdict", "claim_confidence", "quality_score", F.size("hypotheses").alias("n_hypotheses"), F.array_join("flags", ",").alias("flags"))
+    return rows.select(
+        "date", "theme", F.array_join("countries", ",").alias("countries"), "verdict", "claim_confidence",
+        "quality_score", F.size("hypotheses").alias("n_hypotheses"), F.array_join("flags", ",").alias("flags")
+    )
 
 
 @query(f"""{_ACT}, {_TOP}, {_SPIKE}, {_EVENTS}
  SELECT date, theme, array_to_string(names, ',') AS countries, coordination_score, CASE WHEN len(names) >= 4 THEN 'URGENT' ELSE 'HIGH' END AS severity, 'PENDING' AS review_status
  FROM found WHERE len(names) >= 3 AND coordination_score >= 0.6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-26')""")
 def escalation_rows(spark, sf):
-    return claims.escalations(claims.coordination_verdicts(_events(spark, sf))).withColumn("countries", F.array_join("countries", ","))
+    return claims.escalations(claims.coordination_verdicts(_events(spark, sf))).withColumn(
+        "countries", F.array_join("countries", ",")
+    )
 
 
 @query(f"""WITH {d.ARTICLES_SQL}, c AS (SELECT country, theme, day AS date, count(*) AS n FROM mentions GROUP BY ALL),
@@ -139,7 +163,9 @@ def escalation_rows(spark, sf):
  g AS (SELECT date, theme, list_sort(list(DISTINCT country)) AS names FROM t JOIN b USING (country, theme) WHERE n2 / baseline_mean > 2.0 GROUP BY ALL HAVING count(DISTINCT country) >= 2)
  SELECT date, theme, array_to_string(names, ',') AS countries, round(least(CASE array_to_string(names, ',') {" ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.PAIR_BONUSES.items())} ELSE 0 END + least((len(names) - 1) * 0.15, 0.45) + 0.1, 1.0), 3) AS coordination_score FROM g""")
 def coordination_two_days(spark, sf):
-    counts = d.articles(spark, sf).select("country", F.to_date("date").alias("date"), F.explode("themes").alias("theme")).groupBy("country", "theme", "date").agg(F.count("*").alias("n"))
+    counts = d.articles(spark, sf).select(
+        "country", F.to_date("date").alias("date"), F.explode("themes").alias("theme")
+    ).groupBy("country", "theme", "date").agg(F.count("*").alias("n"))
     base = counts.groupBy("country", "theme").agg(F.avg("n").alias("baseline_mean"))
     return coordination.detect_48h(counts, base).withColumn("countries", F.array_join("countries", ","))
 
@@ -151,7 +177,10 @@ def coordination_two_days(spark, sf):
   concat_ws(',', CASE WHEN days_sampled < 14 THEN 'SMALL_SAMPLE' END, CASE WHEN abs(z_score) >= 10 THEN 'SENTINEL_Z' END, CASE WHEN deviation_ratio > 2 AND abs(z_score) < 2 THEN 'HIGH_RATIO_LOW_Z' END,
     CASE WHEN baseline_std = 0 AND baseline_mean > 0 THEN 'ZERO_VARIANCE' END, CASE WHEN days_sampled < 7 THEN 'COLD_START' END) AS flags, days_sampled < 21 AS warming FROM act""")
 def deviation_verdicts(spark, sf):
-    return claims.deviation_verdicts(_activity(spark, sf)).select("country", "audience_type", "date", "verdict", "claim_confidence", F.array_join("flags", ",").alias("flags"), "warming")
+    return claims.deviation_verdicts(_activity(spark, sf)).select(
+        "country", "audience_type", "date", "verdict", "claim_confidence", F.array_join("flags", ",").alias("flags"),
+        "warming"
+    )
 
 
 @query(f"""{_ACT} SELECT 'DEVIATION' AS claim_type, country || '/' || audience_type || '/' || CAST(date AS VARCHAR) AS claim_key,
@@ -159,7 +188,9 @@ def deviation_verdicts(spark, sf):
   CASE WHEN confidence = 'HIGH' THEN 0.95 WHEN confidence = 'MEDIUM' THEN 0.65 ELSE 0.3 END AS quality_score FROM act""")
 def claim_rows(spark, sf):
     key = F.concat_ws("/", "country", "audience_type", F.col("date").cast("string"))
-    return claims.claim_rows(claims.deviation_verdicts(_activity(spark, sf)), "DEVIATION", key).select("claim_type", "claim_key", "verdict", "quality_score")
+    return claims.claim_rows(claims.deviation_verdicts(_activity(spark, sf)), "DEVIATION", key).select(
+        "claim_type", "claim_key", "verdict", "quality_score"
+    )
 
 
 @query(f"{_ACT} SELECT count(*) AS rows, count(DISTINCT country) AS countries, count(DISTINCT date) AS dates, count(*) FILTER (WHERE cold_start) AS cold_starts, min(date) AS first_date, max(date) AS last_date, "
@@ -193,7 +224,9 @@ def country_view(spark, sf):
     return views.country_view(_activity(spark, sf))
 
 
-@query(f"{_VIEW} SELECT *, greatest(abs(domestic_z), abs(international_z)) AS score FROM both_view ORDER BY score DESC, articles DESC, country LIMIT 5")
+@query(
+    f"{_VIEW} SELECT *, greatest(abs(domestic_z), abs(international_z)) AS score FROM both_view ORDER BY score DESC, articles DESC, country LIMIT 5"
+)
 def top_movers(spark, sf):
     return views.movers(views.country_view(_activity(spark, sf)))
 
@@ -201,13 +234,17 @@ def top_movers(spark, sf):
 @query(f"""WITH {d.ARTICLES_SQL} SELECT country, record_id, url, CASE WHEN audience_type = 'DIASPORA' THEN 'INTERNATIONAL' ELSE audience_type END AS audience_type, upper(split_part(domain, '.', 1)) AS outlet_name, rank
  FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date DESC, record_id) AS rank FROM articles) WHERE rank <= 20""")
 def headlines(spark, sf):
-    return views.headlines(d.articles(spark, sf), d.outlets_of_users(spark, sf)).select("country", "record_id", "url", "audience_type", "outlet_name", "rank")
+    return views.headlines(d.articles(spark, sf), d.outlets_of_users(spark, sf)).select(
+        "country", "record_id", "url", "audience_type", "outlet_name", "rank"
+    )
 
 
 @query(f"""{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count, round(article_count / max(article_count) OVER (PARTITION BY country, audience_type, period_type, theme), 4) AS height,
  CASE WHEN avg_tone < -3 THEN 'hostile' WHEN avg_tone < -1 THEN 'negative' WHEN avg_tone <= 1 THEN 'neutral' ELSE 'positive' END AS bar FROM rolled""")
 def theme_history(spark, sf):
-    return views.theme_history(_rollup(spark, sf)).select("country", "audience_type", "period_type", "period_start", "theme", "article_count", "height", "bar")
+    return views.theme_history(_rollup(spark, sf)).select(
+        "country", "audience_type", "period_type", "period_start", "theme", "article_count", "height", "bar"
+    )
 
 
 @query(f"""{_ROLL}, k AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY period_start DESC, article_count DESC, audience_type, period_type, theme) AS nth FROM rolled)
@@ -222,9 +259,13 @@ def period_totals(spark, sf):
     return views.period_totals(_rollup(spark, sf))
 
 
-@query(f"{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count FROM rolled WHERE contains(lower(theme), 'ur')")
+@query(
+    f"{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count FROM rolled WHERE contains(lower(theme), 'ur')"
+)
 def theme_search(spark, sf):
-    return views.theme_search(_rollup(spark, sf), "UR").select("country", "audience_type", "period_type", "period_start", "theme", "article_count")
+    return views.theme_search(_rollup(spark, sf), "UR").select(
+        "country", "audience_type", "period_type", "period_start", "theme", "article_count"
+    )
 
 
 @query(f"{_ROLL} SELECT country, audience_type, count(*) AS rows, max(period_start) AS latest FROM rolled GROUP BY ALL")
@@ -232,7 +273,9 @@ def bucket_counts(spark, sf):
     return gates.bucket_counts(_rollup(spark, sf))
 
 
-@query(f"WITH {d.ARTICLES_SQL} SELECT country, audience_type, day AS date, count(DISTINCT domain) AS outlets, 2 * count(*) AS mentions FROM articles GROUP BY ALL")
+@query(
+    f"WITH {d.ARTICLES_SQL} SELECT country, audience_type, day AS date, count(DISTINCT domain) AS outlets, 2 * count(*) AS mentions FROM articles GROUP BY ALL"
+)
 def transparency(spark, sf):
     return trends.transparency(d.articles(spark, sf))
 
@@ -255,11 +298,15 @@ def theme_gates(spark, sf):
 @query(f"""{_ACT}, bad AS (SELECT *, CASE WHEN today_count % 5 = 0 THEN -1 ELSE today_count END AS t, CASE WHEN country = 'RU' THEN 'purple' ELSE level END AS l FROM act)
  SELECT 'today_count' AS rule, count(*) FILTER (WHERE t < 0) AS rows FROM bad UNION ALL SELECT 'level', count(*) FILTER (WHERE l = 'purple') FROM bad UNION ALL SELECT unnest(['baseline_mean', 'baseline_std', 'confidence', 'audience_type', 'cold_start', 'excluded_country']), 0""")
 def activity_gates(spark, sf):
-    bad = _activity(spark, sf).withColumn("level", F.when(F.col("country") == "RU", "purple").otherwise(F.col("level"))).withColumn("today_count", F.when(F.col("today_count") % 5 == 0, -1).otherwise(F.col("today_count")))
+    bad = _activity(spark, sf).withColumn("level", F.when(F.col("country") == "RU", "purple").otherwise(F.col("level"))).withColumn(
+        "today_count", F.when(F.col("today_count") % 5 == 0, -1).otherwise(F.col("today_count"))
+    )
     return gates.violations(bad, gates.activity_rules())
 
 
-@query(f"""{_ACT} SELECT count(*) AS rows, 0::BIGINT AS null_keys, 0::BIGINT AS bad_enums, (SELECT count(*) FROM (SELECT unnest({d._CODES}) AS c) WHERE c NOT IN (SELECT country FROM act)) AS missing_countries FROM act""")
+@query(
+    f"""{_ACT} SELECT count(*) AS rows, 0::BIGINT AS null_keys, 0::BIGINT AS bad_enums, (SELECT count(*) FROM (SELECT unnest({d._CODES}) AS c) WHERE c NOT IN (SELECT country FROM act)) AS missing_countries FROM act"""
+)
 def post_run_checks(spark, sf):
     expected = spark.range(1).select(F.explode(F.array(*map(F.lit, d.CODES))).alias("country"))
     return gates.run_checks(_activity(spark, sf), expected)
@@ -269,8 +316,12 @@ def post_run_checks(spark, sf):
  SELECT date, country, audience_type, today_count, deviation_ratio, z_score, level FROM e LEFT JOIN act USING (date, country, audience_type)""")
 def known_event_lookup(spark, sf):
     act = _activity(spark, sf)
-    events = act.where("today_count > 2 * baseline_mean").select("date", "country", "audience_type").union(spark.sql("select date'2030-01-01', 'RU', 'DOMESTIC'"))
-    return gates.known_events(act, events).select("date", "country", "audience_type", "today_count", "deviation_ratio", "z_score", "level")
+    events = act.where("today_count > 2 * baseline_mean").select("date", "country", "audience_type").union(
+        spark.sql("select date'2030-01-01', 'RU', 'DOMESTIC'")
+    )
+    return gates.known_events(act, events).select(
+        "date", "country", "audience_type", "today_count", "deviation_ratio", "z_score", "level"
+    )
 
 
 @query("""WITH s AS (SELECT DISTINCT time_bucket(INTERVAL 15 MINUTE, ts) AS slice FROM events), w AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:45:00', INTERVAL 15 MINUTE)) AS slice)
@@ -278,5 +329,9 @@ def known_event_lookup(spark, sf):
 def missing_slices(spark, sf):
     from ..sources import gkg
 
-    have = d.table(spark, sf, "events").select(F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).alias("slice")).distinct()
-    return gkg.missing(gkg.slices(spark, "2024-01-01 00:00:00", "2024-01-31 23:45:00"), have, "slice").select("file_name")
+    have = d.table(spark, sf, "events").select(
+        F.timestamp_seconds(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900) * 900).alias("slice")
+    ).distinct()
+    return gkg.missing(
+        gkg.slices(spark, "2024-01-01 00:00:00", "2024-01-31 23:45:00"), have, "slice"
+    ).select("file_name")

@@ -22,24 +22,55 @@ def country_view(activity: DataFrame) -> DataFrame:
     """
     day = latest(activity)
     side = lambda a, c: F.max(F.when(F.col("audience_type") == a, F.col(c)))
-    rows = day.groupBy("country", "date").agg(*[side(a, c).alias(f"{a}_{c}") for a in fixed.AUDIENCES for c in ("deviation_ratio", "z_score", "level", "today_count")], F.max("cold_start").alias("cold_start"))
-    abroad = lambda c: F.when(F.col("INTERNATIONAL_level").isNotNull(), F.col(f"INTERNATIONAL_{c}")).otherwise(F.col(f"DIASPORA_{c}"))
+    rows = day.groupBy("country", "date").agg(
+        *[
+            side(a, c).alias(f"{a}_{c}") for a in fixed.AUDIENCES for c in (
+                "deviation_ratio", "z_score", "level", "today_count"
+            )
+        ],
+        F.max("cold_start").alias("cold_start")
+    )
+    abroad = lambda c: F.when(F.col("INTERNATIONAL_level").isNotNull(), F.col(f"INTERNATIONAL_{c}")).otherwise(
+        F.col(f"DIASPORA_{c}")
+    )
     home = lambda c: F.col(f"DOMESTIC_{c}")
     out = rows.select(
-        "country", "date", *[F.coalesce(f("deviation_ratio"), F.lit(1.0)).alias(f"{n}_ratio") for n, f in (("domestic", home), ("international", abroad))], *[F.coalesce(f("z_score"), F.lit(0.0)).alias(f"{n}_z") for n, f in (("domestic", home), ("international", abroad))],
-        *[F.coalesce(f("level"), F.lit("neutral")).alias(f"{n}_level") for n, f in (("domestic", home), ("international", abroad))], (F.coalesce(home("today_count"), F.lit(0)) + F.coalesce(abroad("today_count"), F.lit(0))).alias("articles"), "cold_start",
+        "country", "date",
+        *[
+            F.coalesce(f("deviation_ratio"), F.lit(1.0)).alias(f"{n}_ratio") for n,
+            f in (("domestic", home), ("international", abroad))
+        ],
+        *[
+            F.coalesce(f("z_score"), F.lit(0.0)).alias(f"{n}_z") for n,
+            f in (("domestic", home), ("international", abroad))
+        ],
+        *[
+            F.coalesce(f("level"), F.lit("neutral")).alias(f"{n}_level") for n,
+            f in (("domestic", home), ("international", abroad))
+        ],
+        (F.coalesce(home("today_count"), F.lit(0)) + F.coalesce(abroad("today_count"), F.lit(0))).alias("articles"),
+        "cold_start",
+    )
+    return out.withColumn(
+        "both_level",
+        F.when(F.abs("domestic_z") > F.abs("international_z"), F.col("domestic_level")).otherwise(
+            F.col("international_level")
+        )
     )
-    return out.withColumn("both_level", F.when(F.abs("domestic_z") > F.abs("international_z"), F.col("domestic_level")).otherwise(F.col("international_level")))
 
 
 def movers(view: DataFrame, top: int = 5) -> DataFrame:
     """The countries with the largest score on either side."""
-    return view.withColumn("score", F.greatest(F.abs("domestic_z"), F.abs("international_z"))).orderBy(F.desc("score"), F.desc("articles"), "country").limit(top)
+    return view.withColumn("score", F.greatest(F.abs("domestic_z"), F.abs("international_z"))).orderBy(
+        F.desc("score"), F.desc("articles"), "country"
+    ).limit(top)
 
 
 def trending_themes(rows: DataFrame, top: int = 8) -> DataFrame:
     """Themes of the latest month over all countries and audiences."""
-    sums = latest(rows.where("period_type = 'monthly'"), "period_start").groupBy("theme").agg(F.sum("article_count").alias("articles"), F.count_distinct("country").alias("countries"))
+    sums = latest(rows.where("period_type = 'monthly'"), "period_start").groupBy("theme").agg(
+        F.sum("article_count").alias("articles"), F.count_distinct("country").alias("countries")
+    )
     return sums.orderBy(F.desc("articles"), "theme").limit(top)
 
 
@@ -50,26 +81,39 @@ def headlines(articles: DataFrame, outlets: DataFrame | None = None, top: int =
     rows = rows.withColumn("audience_type", shown).withColumn("themes", F.slice("themes", 1, 6))
     if outlets is None:
         return rows
-    return rows.join(outlets.select("domain", "outlet_name"), "domain", "left").withColumn("outlet_name", F.coalesce("outlet_name", "domain"))
+    return rows.join(outlets.select("domain", "outlet_name"), "domain", "left").withColumn(
+        "outlet_name", F.coalesce("outlet_name", "domain")
+    )
 
 
 def theme_history(rows: DataFrame) -> DataFrame:
     """Each theme's periods with the bar height relative to its largest count and the bar's colour class."""
     top = F.max("article_count").over(Window.partitionBy("country", "audience_type", "period_type", "theme"))
-    return rows.withColumn("height", F.round(F.col("article_count") / top, 4)).withColumn("bar", text.bar_class(F.col("avg_tone")))
+    return rows.withColumn("height", F.round(F.col("article_count") / top, 4)).withColumn(
+        "bar", text.bar_class(F.col("avg_tone"))
+    )
 
 
 def period_themes(rows: DataFrame, most: int = 500) -> DataFrame:
     """Per country the newest and largest theme rows, grouped by audience and period."""
-    kept = ranked(rows.drop("rank"), ["country"], [F.desc("period_start"), F.desc("article_count"), "audience_type", "period_type", "theme"], most)
+    kept = ranked(
+        rows.drop("rank"), ["country"],
+        [F.desc("period_start"), F.desc("article_count"), "audience_type", "period_type", "theme"], most
+    )
     entry = F.struct((-F.col("article_count")).alias("k"), "theme", "article_count")
-    return kept.groupBy("country", "audience_type", "period_type", "period_start").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["theme"]).alias("themes"))
+    return kept.groupBy("country", "audience_type", "period_type", "period_start").agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["theme"]).alias("themes")
+    )
 
 
 def period_totals(rows: DataFrame) -> DataFrame:
     """Mentions and articles of a period over the audiences."""
-    per = rows.groupBy("country", "period_type", "period_start", "audience_type").agg(F.sum("article_count").alias("mentions"), F.max("bucket_total").alias("articles"))
-    return per.groupBy("country", "period_type", "period_start").agg(F.sum("mentions").alias("mentions"), F.sum("articles").alias("articles"))
+    per = rows.groupBy("country", "period_type", "period_start", "audience_type").agg(
+        F.sum("article_count").alias("mentions"), F.max("bucket_total").alias("articles")
+    )
+    return per.groupBy("country", "period_type", "period_start").agg(
+        F.sum("mentions").alias("mentions"), F.sum("articles").alias("articles")
+    )
 
 
 def theme_search(rows: DataFrame, words: str) -> DataFrame:
@@ -161,15 +205,21 @@ def narratives(rows: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     spoken = F.when(abroad, _said({k: v[0] for k, v in TONE_SENTENCES.items()}, F.col("tone_class")))
     spoken = spoken.otherwise(_said({k: v[1] for k, v in TONE_SENTENCES.items()}, F.col("tone_class")))
     more = F.concat(
-        F.lit(" "), rest.cast("string"), F.when(rest == 1, " more theme followed: ").otherwise(" more themes followed, among them "),
+        F.lit(" "), rest.cast("string"),
+        F.when(rest == 1, " more theme followed: ").otherwise(" more themes followed, among them "),
         _listed(names(4)), F.lit("."),
     )
     percent = F.round(F.col("top_share") * 100).cast("int").cast("string")
     full = F.concat(
-        F.lit("In "), when, F.lit(", "), "country", F.lit("'s "), _said(AUDIENCE_PHRASES, F.col("audience_type")), F.lit(" "),
-        _said(LEAD_VERBS, F.col("lead")), F.lit(" "), _listed(names(1)), F.lit(" ("), percent, F.lit("% of articles). "),
+        F.lit("In "), when, F.lit(", "), "country", F.lit("'s "), _said(AUDIENCE_PHRASES, F.col("audience_type")),
+        F.lit(" "),
+        _said(LEAD_VERBS, F.col("lead")), F.lit(" "), _listed(names(1)), F.lit(" ("), percent,
+        F.lit("% of articles). "),
         spoken, F.when(rest > 0, more).otherwise(F.lit("")),
     )
-    none = F.concat(F.lit("No "), F.lower("audience_type"), F.lit(" themes were found for "), "country", F.lit(" in "), when, F.lit("."))
+    none = F.concat(
+        F.lit("No "), F.lower("audience_type"), F.lit(" themes were found for "), "country", F.lit(" in "), when,
+        F.lit(".")
+    )
     said = F.when(F.col("t").isNull(), none).otherwise(full)
     return b.select(*keys, "top_share", "tone_class", "lead", said.alias("narrative"))

@@ -25,14 +25,22 @@ def _backfill(spark, sf):
 
 
 def _themes(spark, sf):
-    return d.daily_volume(spark, sf).select("country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n"))
+    return d.daily_volume(spark, sf).select(
+        "country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n")
+    )
 
 
-@query(f"{_V}, o AS (SELECT country, audience_type, domain, date, count(*) AS volume FROM volumes GROUP BY ALL) SELECT country, audience_type, date, CAST(sum(volume) AS BIGINT) AS today_count FROM o WHERE domain <> 'c7.example.com' GROUP BY ALL")
+@query(
+    f"{_V}, o AS (SELECT country, audience_type, domain, date, count(*) AS volume FROM volumes GROUP BY ALL) SELECT country, audience_type, date, CAST(sum(volume) AS BIGINT) AS today_count FROM o WHERE domain <> 'c7.example.com' GROUP BY ALL"
+)
 def bucket_volumes(spark, sf):
     rows = d.volume_rows(spark, sf)
-    volumes = rows.groupBy(F.concat_ws("|", "domain", "country", "audience_type").alias("domain"), F.to_date("date").alias("date")).agg(F.count("*").alias("n"))
-    volumes = volumes.withColumn("volume", F.when(F.col("domain").startswith("c7.example.com"), -F.col("n")).otherwise(F.col("n")))
+    volumes = rows.groupBy(
+        F.concat_ws("|", "domain", "country", "audience_type").alias("domain"), F.to_date("date").alias("date")
+    ).agg(F.count("*").alias("n"))
+    volumes = volumes.withColumn(
+        "volume", F.when(F.col("domain").startswith("c7.example.com"), -F.col("n")).otherwise(F.col("n"))
+    )
     parts = F.split("domain", r"\|")
     outlets = volumes.select("domain", parts[1].alias("country"), parts[2].alias("audience_type")).distinct()
     return activity.daily_volumes(volumes, outlets)
@@ -48,10 +56,15 @@ def baseline_zero_filled(spark, sf):
     return activity.with_baseline(_filled(spark, sf))
 
 
-@query(f"{_ACT} SELECT country, audience_type, date, today_count, baseline_mean, baseline_std, days_sampled, deviation_ratio, z_score, level, confidence, days_sampled < 7 AS cold_start FROM act")
+@query(
+    f"{_ACT} SELECT country, audience_type, date, today_count, baseline_mean, baseline_std, days_sampled, deviation_ratio, z_score, level, confidence, days_sampled < 7 AS cold_start FROM act"
+)
 def activity_backfill(spark, sf):
     rows = activity.activity(d.daily_volume(spark, sf), zero_fill=True, warm=7)
-    return rows.select("country", "audience_type", "date", "today_count", "baseline_mean", "baseline_std", "days_sampled", "deviation_ratio", "z_score", "level", "confidence", "cold_start")
+    return rows.select(
+        "country", "audience_type", "date", "today_count", "baseline_mean", "baseline_std", "days_sampled",
+        "deviation_ratio", "z_score", "level", "confidence", "cold_start"
+    )
 
 
 @query(f"""{_ACT}, w AS (SELECT *, isodow(date) >= 6 AS weekend FROM act),
@@ -61,15 +74,23 @@ def activity_backfill(spark, sf):
 def silences(spark, sf):
     act = _backfill(spark, sf)
     holidays = act.where("month(date) = 1 and day(date) = 1").select("country", "date").distinct()
-    return activity.silences(act, holidays).select("country", "audience_type", "date", "today_count", "deviation_ratio", "segment_mean", "severity")
+    return activity.silences(act, holidays).select(
+        "country", "audience_type", "date", "today_count", "deviation_ratio", "segment_mean", "severity"
+    )
 
 
-@query(f"""{_V}, w AS (SELECT *, isodow(date) >= 6 AS weekend FROM filled), {d.baseline_sql('w', 'based', 'country, audience_type, weekend')} SELECT * FROM based""")
+@query(
+    f"""{_V}, w AS (SELECT *, isodow(date) >= 6 AS weekend FROM filled), {d.baseline_sql('w', 'based', 'country, audience_type, weekend')} SELECT * FROM based"""
+)
 def baseline_by_day_type(spark, sf):
-    return activity.with_baseline(_filled(spark, sf).withColumn("weekend", F.weekday("date") >= 5), ["country", "audience_type", "weekend"])
+    return activity.with_baseline(
+        _filled(spark, sf).withColumn("weekend", F.weekday("date") >= 5), ["country", "audience_type", "weekend"]
+    )
 
 
-@query(f"{_V}, k AS (SELECT *, lag(date) OVER (PARTITION BY country, audience_type ORDER BY date) AS before FROM daily) SELECT country, audience_type, before AS from_date, date AS to_date, date - before AS days FROM k WHERE date - before > 1")
+@query(
+    f"{_V}, k AS (SELECT *, lag(date) OVER (PARTITION BY country, audience_type ORDER BY date) AS before FROM daily) SELECT country, audience_type, before AS from_date, date AS to_date, date - before AS days FROM k WHERE date - before > 1"
+)
 def date_gaps(spark, sf):
     return activity.gaps(d.daily_volume(spark, sf), most=1).withColumn("days", F.col("days").cast("long"))
 
@@ -92,7 +113,11 @@ def monthly_report(spark, sf):
     return trends.monthly_report(_themes(spark, sf))
 
 
-@query(f"{_V}, {_THEMES} SELECT country, " + ", ".join(f"CAST(sum(CASE WHEN strftime(date, '%Y-%m') = '1998-{m:02d}' THEN n ELSE 0 END) AS BIGINT) AS m{m:02d}" for m in range(1, 13)) + " FROM themes GROUP BY country")
+@query(
+    f"{_V}, {_THEMES} SELECT country, " + ", ".join(
+        f"CAST(sum(CASE WHEN strftime(date, '%Y-%m') = '1998-{m:02d}' THEN n ELSE 0 END) AS BIGINT) AS m{m:02d}" for m in range(1, 13)
+    ) + " FROM themes GROUP BY country"
+)
 def heat_map(spark, sf):
     grid = trends.heat_map(_themes(spark, sf), [f"1998-{m:02d}" for m in range(1, 13)])
     return grid.select("country", *[F.col(f"1998-{m:02d}").alias(f"m{m:02d}") for m in range(1, 13)])
@@ -101,7 +126,9 @@ def heat_map(spark, sf):
 @query(f"""{_V}, dom AS (SELECT country, domain AS theme, date, count(*) AS n FROM volumes GROUP BY ALL)
  SELECT country, theme, CAST(sum(n) AS BIGINT) AS n FROM dom WHERE date BETWEEN DATE '1998-03-02' AND DATE '1998-03-08' AND (country, theme) NOT IN (SELECT (country, theme) FROM dom WHERE date BETWEEN DATE '1998-02-23' AND DATE '1998-03-01') GROUP BY ALL""")
 def emerging_themes(spark, sf):
-    rows = d.volume_rows(spark, sf).groupBy("country", F.col("domain").alias("theme"), F.to_date("date").alias("date")).agg(F.count("*").alias("n"))
+    rows = d.volume_rows(spark, sf).groupBy(
+        "country", F.col("domain").alias("theme"), F.to_date("date").alias("date")
+    ).agg(F.count("*").alias("n"))
     return trends.emerging(rows, "1998-03-02")
 
 
@@ -122,7 +149,9 @@ def cyclic_months(spark, sf):
  f AS (SELECT country, theme, count(*) AS months, regr_slope(share, idx) AS slope, arg_min(share, month) AS a, arg_max(share, month) AS b FROM i GROUP BY ALL)
  SELECT country, theme, months, round(slope * 100, 4) AS slope_pct, CASE WHEN slope > 0 THEN 'INTERNATIONAL' ELSE 'DOMESTIC' END AS toward, round(a, 4) AS first_share, round(b, 4) AS last_share FROM f WHERE months >= 3 AND abs(slope) > 0.002""")
 def audience_shift(spark, sf):
-    rows = d.volume_rows(spark, sf).groupBy("country", F.col("domain").alias("theme"), "audience_type", F.to_date("date").alias("date")).agg(F.count("*").alias("n"))
+    rows = d.volume_rows(spark, sf).groupBy(
+        "country", F.col("domain").alias("theme"), "audience_type", F.to_date("date").alias("date")
+    ).agg(F.count("*").alias("n"))
     return trends.audience_shift(rows, least=0.002)
 
 
@@ -133,8 +162,12 @@ def audience_shift(spark, sf):
  FROM u LEFT JOIN s USING (domain)""")
 def source_coverage(spark, sf):
     number = (F.col("c_custkey") % 60).cast("string")
-    outlets = d.table(spark, sf, "customer").select(F.concat(F.lit("c"), number, F.lit(".example.com")).alias("domain")).distinct()
-    volumes = d.volume_rows(spark, sf).groupBy("domain", F.to_date("date").alias("date")).agg(F.count("*").alias("volume"))
+    outlets = d.table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), number, F.lit(".example.com")).alias("domain")
+    ).distinct()
+    volumes = d.volume_rows(spark, sf).groupBy("domain", F.to_date("date").alias("date")).agg(
+        F.count("*").alias("volume")
+    )
     return gates.source_coverage(outlets, volumes)
 
 
@@ -148,22 +181,32 @@ def source_coverage(spark, sf):
  SELECT country, theme, days, CASE WHEN days < 14 OR points < 7 THEN 'INSUFFICIENT_DATA' WHEN mean < 1 AND recent > 3 THEN 'EMERGING' WHEN slope > 0.5 AND recent > mean * 1.5 THEN 'SURGING' WHEN last_k - 1 >= points - 4 THEN 'PEAKED' WHEN slope < -0.5 AND recent < mean * 0.7 THEN 'DECLINING'
    WHEN peaks >= 2 AND last_s > mean * 2 AND len(list_filter(troughs, lambda t: t.k > before_k AND t.s < mean * 0.3)) > 0 THEN 'RESURGENT' WHEN recent < mean * 0.3 AND late_max < mean * 0.5 THEN 'FADED' ELSE 'STABLE' END AS stage, round(mean, 4) AS mean, round(recent, 4) AS recent, round(slope, 4) + 0.0 AS slope FROM a""")
 def theme_lifecycle(spark, sf):
-    rows = _filled(spark, sf).select("country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n"))
+    rows = _filled(spark, sf).select(
+        "country", F.col("audience_type").alias("theme"), "date", F.col("today_count").alias("n")
+    )
     return trends.lifecycle(rows).withColumn("slope", F.col("slope") + 0.0)
 
 
-@query(f"{_V} SELECT country, audience_type, date, today_count AS n FROM filled WHERE country = 'ASIA' AND date > DATE '2001-08-01' - 90")
+@query(
+    f"{_V} SELECT country, audience_type, date, today_count AS n FROM filled WHERE country = 'ASIA' AND date > DATE '2001-08-01' - 90"
+)
 def theme_trend(spark, sf):
-    return _filled(spark, sf).where("country = 'ASIA' and date > date'2001-08-01' - 90").select("country", "audience_type", "date", F.col("today_count").alias("n"))
+    return _filled(spark, sf).where("country = 'ASIA' and date > date'2001-08-01' - 90").select(
+        "country", "audience_type", "date", F.col("today_count").alias("n")
+    )
 
 
 @query(f"""{_V}, dom AS (SELECT country, domain AS theme, date, count(*) AS today_count FROM volumes GROUP BY ALL), b AS (SELECT DISTINCT country, theme FROM dom),
  days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM dom), (SELECT max(date) FROM dom), INTERVAL 1 DAY)) AS DATE) AS date), g AS (SELECT b.country, b.theme, days.date, coalesce(d.today_count, 0) AS today_count FROM b CROSS JOIN days LEFT JOIN dom d ON d.country = b.country AND d.theme = b.theme AND d.date = days.date),
  {d.baseline_sql('g', 'based', 'country, theme')}, {d.deviation_sql('based', 'act')} SELECT country, theme, date, today_count, baseline_mean, deviation_ratio, level FROM act WHERE level IN ('red', 'orange', 'amber')""")
 def theme_deviation(spark, sf):
-    rows = d.volume_rows(spark, sf).groupBy("country", F.col("domain").alias("theme"), F.to_date("date").alias("date")).agg(F.count("*").alias("today_count"))
+    rows = d.volume_rows(spark, sf).groupBy(
+        "country", F.col("domain").alias("theme"), F.to_date("date").alias("date")
+    ).agg(F.count("*").alias("today_count"))
     act = activity.activity(rows, ["country", "theme"], zero_fill=True)
-    return act.where("level in ('red', 'orange', 'amber')").select("country", "theme", "date", "today_count", "baseline_mean", "deviation_ratio", "level")
+    return act.where("level in ('red', 'orange', 'amber')").select(
+        "country", "theme", "date", "today_count", "baseline_mean", "deviation_ratio", "level"
+    )
 
 
 @query("""WITH a AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_partkey ORDER BY l_shipdate, l_linenumber) = 1),
@@ -172,13 +215,24 @@ def theme_deviation(spark, sf):
  n AS (SELECT *, row_number() OVER (PARTITION BY country, period_start ORDER BY article_count DESC, theme) AS rank FROM k)
  SELECT country, period_start, theme, article_count, bucket_total, round(article_count / bucket_total, 4) AS share, rank FROM n JOIN t USING (country, period_start) WHERE rank <= 10""")
 def supplier_theme_rollup(spark, sf):
-    li = d.table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("date"))
+    li = d.table(spark, sf, "lineitem").select(
+        "l_suppkey", "l_orderkey", "l_partkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("date")
+    )
     part, supplier, nation = (d.table(spark, sf, t) for t in ("part", "supplier", "nation"))
     first = rollup.dedup(li, ("l_suppkey", "l_orderkey", "l_partkey"), ("date", "l_linenumber"))
-    place = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("country"))
-    rows = first.join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = rows.select("country", F.lit("ALL").alias("audience_type"), "date", F.array("p_type", "p_brand").alias("themes"), F.lit(None).cast("double").alias("tone"))
-    return rollup.theme_rollup(rows, top=10).select("country", "period_start", "theme", "article_count", "bucket_total", "share", "rank")
+    place = supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        "s_suppkey", F.col("n_name").alias("country")
+    )
+    rows = first.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        place, F.col("l_suppkey") == F.col("s_suppkey")
+    )
+    rows = rows.select(
+        "country", F.lit("ALL").alias("audience_type"), "date", F.array("p_type", "p_brand").alias("themes"),
+        F.lit(None).cast("double").alias("tone")
+    )
+    return rollup.theme_rollup(rows, top=10).select(
+        "country", "period_start", "theme", "article_count", "bucket_total", "share", "rank"
+    )
 
 
 @query(f"""{_ACT}, o AS (SELECT country, audience_type, date, today_count FROM daily WHERE date < DATE '2001-01-01'), n AS (SELECT country, audience_type, date, today_count * 10 AS today_count FROM daily WHERE date >= DATE '2000-12-01' AND today_count > 1)
@@ -189,9 +243,13 @@ def keyed_upsert(spark, sf):
     return sinks.upserted(daily.where("date < '2001-01-01'"), new, sinks.KEYS["country_activity"])
 
 
-@query(f"{_ACT} SELECT country, audience_type, date, cold_start AND NOT date < DATE '1995-01-15' AS cold_start, cold_start AND date < DATE '1995-01-15' AS cleared FROM act")
+@query(
+    f"{_ACT} SELECT country, audience_type, date, cold_start AND NOT date < DATE '1995-01-15' AS cold_start, cold_start AND date < DATE '1995-01-15' AS cleared FROM act"
+)
 def clear_cold_start(spark, sf):
-    return sinks.clear_cold_start(_backfill(spark, sf), "1995-01-15").select("country", "audience_type", "date", "cold_start", "cleared")
+    return sinks.clear_cold_start(_backfill(spark, sf), "1995-01-15").select(
+        "country", "audience_type", "date", "cold_start", "cleared"
+    )
 
 
 @query(f"{_V} SELECT country, audience_type, date, today_count FROM daily WHERE date >= DATE '2001-08-01' - 30")

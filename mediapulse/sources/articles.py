@@ -16,7 +16,9 @@ def article_rows(rows: DataFrame) -> DataFrame:
     fallback = F.col("query_country") if "query_country" in rows.columns else F.lit(None).cast("string")
     kept = [c for c in ("query_country", "source_kind", "gdelt_themes") if c in rows.columns]
     return rows.select(
-        "url", "title", text.publication_time(F.col("seendate")).alias("pub_date"), text.host(F.col("domain")).alias("source_domain"), text.language_code(F.col("language")).alias("source_language"),
+        "url", "title", text.publication_time(F.col("seendate")).alias("pub_date"),
+        text.host(F.col("domain")).alias("source_domain"),
+        text.language_code(F.col("language")).alias("source_language"),
         text.source_country(F.col("sourcecountry"), fallback).alias("source_country"), tone.alias("tone"), *kept,
     )
 
@@ -35,7 +37,11 @@ def with_fallback(rows: DataFrame, countries: list[str], least: int = 3) -> Data
     from ..operators.rollup import dedup
 
     primary = rows.where("source_kind = 'primary'").groupBy("query_country").agg(F.count("*").alias("_n"))
-    open_ = rows.join(F.broadcast(primary), "query_country", "left").where((F.col("source_kind") == "primary") | (F.col("query_country").isin(countries) & (F.coalesce("_n", F.lit(0)) < least)))
+    open_ = rows.join(F.broadcast(primary), "query_country", "left").where(
+        (F.col("source_kind") == "primary") | (
+            F.col("query_country").isin(countries) & (F.coalesce("_n", F.lit(0)) < least)
+        )
+    )
     first = open_.withColumn("_kind", F.when(F.col("source_kind") == "primary", 0).otherwise(1))
     return dedup(first, ("query_country", "url"), ("_kind", "pub_date", "title")).drop("_kind", "_n")
 

@@ -15,8 +15,12 @@ def clean_outlets(rows: DataFrame) -> DataFrame:
     domain, country, audience = text.host(F.col("domain")), F.upper(F.trim("country")), F.upper(F.trim("audience_type"))
     last = Window.partitionBy("domain").orderBy(F.desc("position"))
     out = rows.select(
-        domain.alias("domain"), country.alias("country"), audience.alias("audience_type"), F.coalesce("outlet_name", domain).alias("outlet_name"), F.coalesce("outlet_type", F.lit("unknown")).alias("outlet_type"),
-        F.coalesce("languages", F.array().cast("array<string>")).alias("languages"), F.coalesce("is_state_owned", F.lit(False)).alias("is_state_owned"), F.coalesce("is_state_aligned", F.lit(False)).alias("is_state_aligned"),
+        domain.alias("domain"), country.alias("country"), audience.alias("audience_type"),
+        F.coalesce("outlet_name", domain).alias("outlet_name"),
+        F.coalesce("outlet_type", F.lit("unknown")).alias("outlet_type"),
+        F.coalesce("languages", F.array().cast("array<string>")).alias("languages"),
+        F.coalesce("is_state_owned", F.lit(False)).alias("is_state_owned"),
+        F.coalesce("is_state_aligned", F.lit(False)).alias("is_state_aligned"),
         F.coalesce("confidence", F.lit(1.0)).alias("confidence"), "position",
     ).where((F.col("domain") != "") & F.col("country").isNotNull() & F.col("audience_type").isin(fixed.AUDIENCES))
     kept = out.where(~F.col("country").isin(fixed.EXCLUDED_COUNTRIES))

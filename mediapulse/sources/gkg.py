@@ -22,8 +22,11 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     parts = F.split(F.col(column), "\t", -1)
     field = lambda name: F.get(parts, F.lit(fixed.GKG_FIELDS[name]))
     rows = lines.where(F.size(parts) >= fixed.GKG_LEAST_FIELDS).select(
-        field("record_id").alias("record_id"), F.coalesce(text.stamp(field("date")), text.stamp(field("record_id"))).alias("date"), F.lower(F.trim(field("source"))).alias("raw_domain"),
-        F.trim(field("url")).alias("url"), text.page_title(field("extras")).alias("title"), text.theme_list(field("themes")).alias("themes"), text.first_tone(field("tone")).alias("tone"),
+        field("record_id").alias("record_id"),
+        F.coalesce(text.stamp(field("date")), text.stamp(field("record_id"))).alias("date"),
+        F.lower(F.trim(field("source"))).alias("raw_domain"),
+        F.trim(field("url")).alias("url"), text.page_title(field("extras")).alias("title"),
+        text.theme_list(field("themes")).alias("themes"), text.first_tone(field("tone")).alias("tone"),
     )
     return rows.where("date is not null and raw_domain <> '' and url <> ''")
 
@@ -56,17 +59,28 @@ def unzipped(files: DataFrame) -> DataFrame:
 
 def slices(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(slice, file_name) of every 15-minute slice from `first` to `last`, both included."""
-    times = spark.sql("select explode(sequence(timestamp(:first), timestamp(:last), interval 15 minutes)) as slice", {"first": first, "last": last})
-    return times.select("slice", F.concat(F.date_format("slice", "yyyyMMddHHmmss"), F.lit(".gkg.csv")).alias("file_name"))
+    times = spark.sql(
+        "select explode(sequence(timestamp(:first), timestamp(:last), interval 15 minutes)) as slice",
+        {"first": first, "last": last}
+    )
+    return times.select(
+        "slice", F.concat(F.date_format("slice", "yyyyMMddHHmmss"), F.lit(".gkg.csv")).alias("file_name")
+    )
 
 
 def slices_in_lookback(spark: SparkSession, now: str, minutes: int = 75, lag: int = 7) -> DataFrame:
     """Slices of the lookback that count as published: their boundary lies `lag` minutes back or more."""
     start = F.lit(now).cast("timestamp") - F.expr(f"interval {minutes} minutes")
-    ends = spark.range(1).select(start.alias("first"), (F.lit(now).cast("timestamp") - F.expr(f"interval {lag} minutes")).alias("last"))
+    ends = spark.range(1).select(
+        start.alias("first"), (F.lit(now).cast("timestamp") - F.expr(f"interval {lag} minutes")).alias("last")
+    )
     quarter = F.timestamp_seconds(F.ceil(F.unix_timestamp("first") / 900) * 900)
-    times = ends.where(quarter <= F.col("last")).select(F.explode(F.sequence(quarter, "last", F.expr("interval 15 minutes"))).alias("slice"))
-    return times.select("slice", F.concat(F.date_format("slice", "yyyyMMddHHmmss"), F.lit(".gkg.csv")).alias("file_name"))
+    times = ends.where(quarter <= F.col("last")).select(
+        F.explode(F.sequence(quarter, "last", F.expr("interval 15 minutes"))).alias("slice")
+    )
+    return times.select(
+        "slice", F.concat(F.date_format("slice", "yyyyMMddHHmmss"), F.lit(".gkg.csv")).alias("file_name")
+    )
 
 
 def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
@@ -75,6 +89,9 @@ def missing(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 def file_counters(raw: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: files, skipped files, lines, parsed rows, distinct articles."""
-    a = raw.agg(F.count_distinct("path").alias("files"), F.count_if("skipped").alias("skipped"), F.count("value").alias("lines"))
+    a = raw.agg(
+        F.count_distinct("path").alias("files"), F.count_if("skipped").alias("skipped"),
+        F.count("value").alias("lines")
+    )
     b = rows.agg(F.count("*").alias("rows"), F.count_distinct("raw_domain", "url").alias("articles"))
     return a.join(b, F.lit(True))

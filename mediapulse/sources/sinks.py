@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.graph import discard, written
 
 KEYS = {
-    "articles": ["url"], "country_activity": ["country", "date", "audience_type"], "themes": ["country", "audience_type", "period_type", "period_start", "theme"],
+    "articles": ["url"], "country_activity": ["country", "date", "audience_type"],
+    "themes": ["country", "audience_type", "period_type", "period_start", "theme"],
     "outlets": ["domain"], "snapshots": ["date"],
 }
 
@@ -16,7 +17,9 @@ KEYS = {
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """old with the rows of new put in by key; the last row of a key inside new (by `order`) wins."""
     if order:
-        new = new.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+        new = new.withColumn(
+            "_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        ).where("_nth = 1").drop("_nth")
     else:
         new = new.dropDuplicates(keys)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))

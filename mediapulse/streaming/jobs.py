@@ -17,7 +17,9 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 4) -> Da
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def deduplicated(rows: DataFrame, keys: tuple[str, ...] = ("domain", "url", "date"), late: str = "2 hours") -> DataFrame:
+def deduplicated(
+    rows: DataFrame, keys: tuple[str, ...] = ("domain", "url", "date"), late: str = "2 hours"
+) -> DataFrame:
     """One row of each key while the watermark keeps it; the state is bounded by `late`.
 
     This drops what overlapping lookbacks read twice. The date is a key, as any row of a key may stay; which
@@ -96,20 +98,29 @@ def start_rollup(
         near = _days(spark, counts, _span(days), partials).where("country is not null")
         whole = rollup.rollup_partials(near, periods, min_count, top)
         month, after = min(days).replace(day=1), _span(days)[-1] - dt.timedelta(days=6)
-        whole = written(whole.where((F.col("period_end") >= F.lit(month)) & (F.col("period_start") <= F.lit(after))), "periods")
+        whole = written(
+            whole.where((F.col("period_end") >= F.lit(month)) & (F.col("period_start") <= F.lit(after))), "periods"
+        )
         writer = whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("period_type", "period_start").parquet(table)
         _drop_empty(whole, days, periods, table)
         discard(fresh, now, whole)
 
-    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def _drop_empty(whole: DataFrame, days: list[dt.date], periods: tuple[str, ...], table: str) -> None:
     """Delete the folders of periods that changed and have no rows any more."""
     spark = whole.sparkSession
-    kept = {(r.period_type, str(r.period_start)) for r in whole.select("period_type", "period_start").distinct().collect()}
-    starts = {"daily": lambda x: x, "weekly": lambda x: x - dt.timedelta(days=x.weekday()), "monthly": lambda x: x.replace(day=1)}
+    kept = {
+        (r.period_type, str(r.period_start)) for r in whole.select("period_type", "period_start").distinct().collect()
+    }
+    starts = {
+        "daily": lambda x: x, "weekly": lambda x: x - dt.timedelta(days=x.weekday()),
+        "monthly": lambda x: x.replace(day=1)
+    }
     for kind, start in sorted({(p, str(starts[p](day))) for day in days for p in periods} - kept):
         path, fs = _path(spark, f"{table}/period_type={kind}/period_start={start}")
         if fs.exists(path):
@@ -119,23 +130,39 @@ def _drop_empty(whole: DataFrame, days: list[dt.date], periods: tuple[str, ...],
 def start_daily_counts(rows: DataFrame, table: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
     """Articles per day, country and audience in update mode, upserted by key; late rows raise their day."""
     spark = rows.sparkSession
-    counts = rows.withWatermark("date", late).groupBy(F.window("date", "1 day").alias("w"), "country", "audience_type").count()
+    counts = rows.withWatermark("date", late).groupBy(
+        F.window("date", "1 day").alias("w"), "country", "audience_type"
+    ).count()
 
     def put(batch: DataFrame, number: int) -> None:
-        new = batch.select(F.to_date("w.start").alias("date"), "country", "audience_type", F.col("count").alias("today_count"))
+        new = batch.select(
+            F.to_date("w.start").alias("date"), "country", "audience_type", F.col("count").alias("today_count")
+        )
         sinks.write_upsert(new, table, ["date", "country", "audience_type"], "date")
 
-    return counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("update").foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
-def start_surges(rows: DataFrame, baselines: DataFrame, table: str, checkpoint: str, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour", surge: float = 2.0) -> StreamingQuery:
+def start_surges(
+    rows: DataFrame, baselines: DataFrame, table: str, checkpoint: str, window: str = "24 hours",
+    slide: str = "1 hour", late: str = "1 hour", surge: float = 2.0
+) -> StreamingQuery:
     """Sliding counts per country and theme against static daily baselines(country, theme, baseline_mean);
     windows that closed with a surge are appended."""
-    counts = rows.withWatermark("date", late).select("date", "country", F.explode("themes").alias("theme")).groupBy(F.window("date", window, slide).alias("w"), "country", "theme").count()
+    counts = rows.withWatermark("date", late).select("date", "country", F.explode("themes").alias("theme")).groupBy(
+        F.window("date", window, slide).alias("w"), "country", "theme"
+    ).count()
 
     def put(batch: DataFrame, number: int) -> None:
         hot = batch.join(baselines, ["country", "theme"]).withColumn("ratio", F.col("count") / F.col("baseline_mean"))
         hot = hot.where((F.col("baseline_mean") > 0) & (F.col("ratio") >= surge))
-        hot.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "country", "theme", F.col("count").alias("article_count"), "baseline_mean", "ratio", F.lit(number).alias("batch")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
-
-    return counts.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        hot.select(
+            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "country", "theme",
+            F.col("count").alias("article_count"), "baseline_mean", "ratio", F.lit(number).alias("batch")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
+
+    return counts.writeStream.outputMode("append").foreachBatch(put).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()

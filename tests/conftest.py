@@ -16,8 +16,12 @@ def spark():
 
     scratch = tempfile.mkdtemp(prefix="spark-")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"{scratch}/shared").config("spark.sql.warehouse.dir", f"{scratch}/warehouse").getOrCreate()
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"{scratch}/shared").config(
+            "spark.sql.warehouse.dir", f"{scratch}/warehouse"
+        ).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -25,8 +25,12 @@ def column(spark, expr, values, kind="string"):
 
 
 HOSTS = {
-    "https://rt.com/article/123": "rt.com", "http://www.rt.com/": "rt.com", "m.rt.com": "m.rt.com", "rt.com:443": "rt.com", "rt.com.": "rt.com", "rt.com?utm=foo": "rt.com", "rt.com#x": "rt.com", "  RT.COM  ": "rt.com",
-    "user:pass@rt.com/x": "rt.com", "https://u@www.rt.com": "rt.com", "rt.com/@handle": "rt.com", "a..b.com": "a.b.com", ".rt.com": "rt.com", "tass.ru": "tass.ru", "": "", None: "", "   ": "", "HTTPS://WWW.Xinhua.NET:8080/a?b#c": "xinhua.net", "www.www.com": "www.com",
+    "https://rt.com/article/123": "rt.com", "http://www.rt.com/": "rt.com", "m.rt.com": "m.rt.com",
+    "rt.com:443": "rt.com", "rt.com.": "rt.com", "rt.com?utm=foo": "rt.com", "rt.com#x": "rt.com",
+    "  RT.COM  ": "rt.com",
+    "user:pass@rt.com/x": "rt.com", "https://u@www.rt.com": "rt.com", "rt.com/@handle": "rt.com",
+    "a..b.com": "a.b.com", ".rt.com": "rt.com", "tass.ru": "tass.ru", "": "", None: "", "   ": "",
+    "HTTPS://WWW.Xinhua.NET:8080/a?b#c": "xinhua.net", "www.www.com": "www.com",
 }
 
 
@@ -41,31 +45,60 @@ def test_parents_and_single_labels(spark):
 
 def test_theme_lists_tones_titles_times(spark):
     assert column(spark, text.theme_list, ["B; A;;B ", None, ";"]) == [["A", "B"], [], []]
-    assert column(spark, text.mixed_theme_list, ["b;a,c;b", "x, y,X", " one ", None]) == [["B", "A,C"], ["X", "Y"], ["ONE"], []]
+    assert column(spark, text.mixed_theme_list, ["b;a,c;b", "x, y,X", " one ", None]) == [
+        ["B", "A,C"], ["X", "Y"], ["ONE"], []
+    ]
     assert column(spark, text.first_tone, ["-3.2,1", "garbled,1", "", None]) == [-3.2, None, None, None]
-    assert column(spark, text.page_title, ["<page_title> a &amp;lt; b &#39;c&quot; </PAGE_TITLE>", "none", None]) == ["a < b 'c\"", None, None]
+    assert column(spark, text.page_title, ["<page_title> a &amp;lt; b &#39;c&quot; </PAGE_TITLE>", "none", None]) == [
+        "a < b 'c\"", None, None
+    ]
     assert column(spark, text.stamp, ["20260409120000-0", "2026", None]) == [dt.datetime(2026, 4, 9, 12), None, None]
-    assert column(spark, text.language_code, ["Chinese", "RU", " de ", "Klingon", "", None]) == ["zh", "ru", "de", None, None, None]
-    assert column(spark, text.is_generic, ["TERROR", "TERROR_X", "TERRORS", "WB_2024_ANTI_ELECTION", "ELECTION_FRAUD", None]) == [True, True, False, False, True, False]
-
-
-@pytest.mark.parametrize("day,month,week", [("2026-12-31", ("2026-12-01", "2026-12-31"), ("2026-12-28", "2027-01-03")), ("2024-02-29", ("2024-02-01", "2024-02-29"), ("2024-02-26", "2024-03-03")), ("2026-04-06", ("2026-04-01", "2026-04-30"), ("2026-04-06", "2026-04-12")), ("2026-04-05", ("2026-04-01", "2026-04-30"), ("2026-03-30", "2026-04-05"))])
+    assert column(spark, text.language_code, ["Chinese", "RU", " de ", "Klingon", "", None]) == [
+        "zh", "ru", "de", None, None, None
+    ]
+    assert column(
+        spark, text.is_generic, ["TERROR", "TERROR_X", "TERRORS", "WB_2024_ANTI_ELECTION", "ELECTION_FRAUD", None]
+    ) == [True, True, False, False, True, False]
+
+
+@pytest.mark.parametrize(
+    "day,month,week",
+    [
+        ("2026-12-31", ("2026-12-01", "2026-12-31"), ("2026-12-28", "2027-01-03")),
+        ("2024-02-29", ("2024-02-01", "2024-02-29"), ("2024-02-26", "2024-03-03")),
+        ("2026-04-06", ("2026-04-01", "2026-04-30"), ("2026-04-06", "2026-04-12")),
+        ("2026-04-05", ("2026-04-01", "2026-04-30"), ("2026-03-30", "2026-04-05"))
+    ]
+)
 def test_periods(spark, day, month, week):
     d = F.lit(day).cast("date")
-    r = spark.range(1).select(text.period_struct(d, "monthly").alias("m"), text.period_struct(d, "weekly").alias("w"), text.period_struct(d, "daily").alias("d")).first()
-    assert (str(r.m.period_start), str(r.m.period_end)) == month and (str(r.w.period_start), str(r.w.period_end)) == week and str(r.d.period_start) == day
+    r = spark.range(1).select(
+        text.period_struct(d, "monthly").alias("m"), text.period_struct(d, "weekly").alias("w"),
+        text.period_struct(d, "daily").alias("d")
+    ).first()
+    assert (
+        str(r.m.period_start), str(r.m.period_end)
+    ) == month and (str(r.w.period_start), str(r.w.period_end)) == week and str(r.d.period_start) == day
 
 
 DEVIATIONS = [
     # today, mean, std, days -> ratio, z, level, confidence
-    (130, 100.0, 10.0, 30, 1.3, 3.0, "red", "HIGH"), (120, 100.0, 10.0, 21, 1.2, 2.0, "orange", "HIGH"), (115, 100.0, 10.0, 20, 1.15, 1.5, "amber", "MEDIUM"), (100, 100.0, 10.0, 7, 1.0, 0.0, "neutral", "MEDIUM"), (70, 100.0, 20.0, 30, 0.7, -1.5, "coolGray", "HIGH"),
-    (20, 100.0, 30.0, 30, 0.2, -2.667, "deepBlue", "HIGH"), (45, 100.0, 30.0, 30, 0.45, -1.833, "steelBlue", "HIGH"), (50, 10.0, 0.0, 30, 5.0, 10.0, "red", "HIGH"), (10, 10.0, 0.0, 30, 1.0, 0.0, "neutral", "HIGH"), (5, 10.0, 0.0, 30, 0.5, -10.0, "deepBlue", "HIGH"),
-    (0, 0.0, 0.0, 30, 0.0, 0.0, "neutral", "HIGH"), (4, 0.0, 0.0, 30, 4.0, 10.0, "red", "HIGH"), (99, 1.0, 1.0, 6, 1.0, 0.0, "neutral", "LOW"),
+    (130, 100.0, 10.0, 30, 1.3, 3.0, "red", "HIGH"), (120, 100.0, 10.0, 21, 1.2, 2.0, "orange", "HIGH"),
+    (115, 100.0, 10.0, 20, 1.15, 1.5, "amber", "MEDIUM"), (100, 100.0, 10.0, 7, 1.0, 0.0, "neutral", "MEDIUM"),
+    (70, 100.0, 20.0, 30, 0.7, -1.5, "coolGray", "HIGH"),
+    (20, 100.0, 30.0, 30, 0.2, -2.667, "deepBlue", "HIGH"), (45, 100.0, 30.0, 30, 0.45, -1.833, "steelBlue", "HIGH"),
+    (50, 10.0, 0.0, 30, 5.0, 10.0, "red", "HIGH"), (10, 10.0, 0.0, 30, 1.0, 0.0, "neutral", "HIGH"),
+    (5, 10.0, 0.0, 30, 0.5, -10.0, "deepBlue", "HIGH"),
+    (0, 0.0, 0.0, 30, 0.0, 0.0, "neutral", "HIGH"), (4, 0.0, 0.0, 30, 4.0, 10.0, "red", "HIGH"),
+    (99, 1.0, 1.0, 6, 1.0, 0.0, "neutral", "LOW"),
 ]
 
 
 def test_deviation_table(spark):
-    rows = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(DEVIATIONS)], "k int, today_count long, baseline_mean double, baseline_std double, days_sampled long")
+    rows = spark.createDataFrame(
+        [(k, *r[:4]) for k, r in enumerate(DEVIATIONS)],
+        "k int, today_count long, baseline_mean double, baseline_std double, days_sampled long"
+    )
     got = activity.with_deviation(rows).orderBy("k").collect()
     assert [(r.deviation_ratio, r.z_score, r.level, r.confidence) for r in got] == [r[4:] for r in DEVIATIONS]
 
@@ -73,7 +106,10 @@ def test_deviation_table(spark):
 @pytest.mark.parametrize("zero_fill", [True, False])
 def test_baseline_is_the_days_before(spark, zero_fill):
     days = {dt.date(2026, 1, 1) + dt.timedelta(k): (k * 7) % 5 for k in range(50) if k % 6}
-    daily = spark.createDataFrame([("RU", "DOMESTIC", d, n) for d, n in days.items()], "country string, audience_type string, date date, today_count long").repartition(5)
+    daily = spark.createDataFrame(
+        [("RU", "DOMESTIC", d, n) for d, n in days.items()],
+        "country string, audience_type string, date date, today_count long"
+    ).repartition(5)
     rows = activity.with_baseline(activity.zero_filled(daily) if zero_fill else daily).collect()
     first, last = min(days), max(days)
     assert len(rows) == ((last - first).days + 1 if zero_fill else len(days))
@@ -82,33 +118,58 @@ def test_baseline_is_the_days_before(spark, zero_fill):
         own = [days.get(d, 0) for d in window if (first <= d if zero_fill else d in days)]
         mean = sum(own) / len(own) if own else 0.0
         std = math.sqrt(sum((x - mean) ** 2 for x in own) / len(own)) if own else 0.0
-        assert r.days_sampled == len(own) and abs(r.baseline_mean - mean) <= 0.0051 and abs(r.baseline_std - std) <= 0.0051
+        assert r.days_sampled == len(own) and abs(r.baseline_mean - mean) <= 0.0051 and abs(
+            r.baseline_std - std
+        ) <= 0.0051
 
 
 CLASSES = [
     # domain, language, country, outlet -> audience, confidence
-    ("a.com", "ru", "RU", "DIASPORA", "DIASPORA", 0.95), ("a.ru", "ru", "RU", None, "DOMESTIC", 0.433), ("x.vk.com", "ru", "RU", None, "DOMESTIC", 0.683), ("nohost", "ru", "RU", None, "DOMESTIC", 0.333), ("a.com", "en", "RU", None, "INTERNATIONAL", 0.444),
-    ("a.xyz", "de", "RU", None, "DIASPORA", 0.311), ("t.me", "", "RU", None, "UNKNOWN", 0.0), ("tiktok.com", "en", "CN", None, "INTERNATIONAL", 0.756), ("a.xyz", "en", "ZZ", None, "UNKNOWN", 0.0), (None, None, None, None, "UNKNOWN", 0.0),
+    ("a.com", "ru", "RU", "DIASPORA", "DIASPORA", 0.95), ("a.ru", "ru", "RU", None, "DOMESTIC", 0.433),
+    ("x.vk.com", "ru", "RU", None, "DOMESTIC", 0.683), ("nohost", "ru", "RU", None, "DOMESTIC", 0.333),
+    ("a.com", "en", "RU", None, "INTERNATIONAL", 0.444),
+    ("a.xyz", "de", "RU", None, "DIASPORA", 0.311), ("t.me", "", "RU", None, "UNKNOWN", 0.0),
+    ("tiktok.com", "en", "CN", None, "INTERNATIONAL", 0.756), ("a.xyz", "en", "ZZ", None, "UNKNOWN", 0.0),
+    (None, None, None, None, "UNKNOWN", 0.0),
 ]
 
 
 def test_classifier_table(spark):
-    rows = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(CLASSES)], "k int, source_domain string, source_language string, source_country string, outlet_audience string")
+    rows = spark.createDataFrame(
+        [(k, *r[:4]) for k, r in enumerate(CLASSES)],
+        "k int, source_domain string, source_language string, source_country string, outlet_audience string"
+    )
     countries = spark.createDataFrame([("RU", ["ru"]), ("CN", ["zh"])], "iso2 string, official_languages array<string>")
     got = classify.classified(rows, countries).orderBy("k").collect()
     assert [(r.audience_type, r.confidence) for r in got] == [(r[4], r[5]) for r in CLASSES]
 
 
-@pytest.mark.parametrize("names,score", [(["CN", "RU"], 0.55), (["CN", "IR", "RU"], 0.9), (["BR", "ZA"], 0.25), (["BR", "CN", "RU"], 0.7), (["BR", "DE", "ES", "FR"], 0.55), (["BR", "CN", "IR", "RU", "ZA"], 0.85)])
+@pytest.mark.parametrize(
+    "names,score",
+    [
+        (["CN", "RU"], 0.55), (["CN", "IR", "RU"], 0.9), (["BR", "ZA"], 0.25), (["BR", "CN", "RU"], 0.7),
+        (["BR", "DE", "ES", "FR"], 0.55), (["BR", "CN", "IR", "RU", "ZA"], 0.85)
+    ]
+)
 def test_coordination_score(spark, names, score):
     assert spark.range(1).select(F.round(coordination.score(F.array(*map(F.lit, names))), 3)).first()[0] == score
 
 
 def test_events_need_two_countries_and_order_does_not_matter(spark):
-    rows = [("RU", "DOMESTIC", "T", 3.0), ("RU", "INTERNATIONAL", "T", 2.5), ("CN", "DOMESTIC", "T", 2.0), ("RU", "DOMESTIC", "ALONE", 9.0), ("IR", "DOMESTIC", "T", 1.9)]
-    found = [Row(date=dt.date(2026, 5, 9), country=c, audience_type=a, theme=t, article_count=5, baseline=1.0, ratio=r) for c, a, t, r in rows]
+    rows = [
+        ("RU", "DOMESTIC", "T", 3.0), ("RU", "INTERNATIONAL", "T", 2.5), ("CN", "DOMESTIC", "T", 2.0),
+        ("RU", "DOMESTIC", "ALONE", 9.0), ("IR", "DOMESTIC", "T", 1.9)
+    ]
+    found = [
+        Row(
+            date=dt.date(2026, 5, 9), country=c, audience_type=a, theme=t, article_count=5, baseline=1.0, ratio=r
+        ) for c,
+        a, t, r in rows
+    ]
     one, two = (coordination.detect(spark.createDataFrame(x)).collect() for x in (found, found[::-1]))
-    assert one == two and len(one) == 1 and one[0].countries == ["CN", "RU"] and [d.country for d in one[0].details] == ["CN", "RU", "RU"] and one[0].coordination_score == 0.55
+    assert one == two and len(one) == 1 and one[0].countries == ["CN", "RU"] and [
+        d.country for d in one[0].details
+    ] == ["CN", "RU", "RU"] and one[0].coordination_score == 0.55
     (v,) = claims.coordination_verdicts(spark.createDataFrame(one)).collect()
     assert v.verdict == "SUPPRESS" and len(v.hypotheses) == 5 and v.verdict_reason == "strong alternative: Victory Day"
     later = spark.createDataFrame(one).withColumn("date", F.lit("2026-05-10").cast("date"))
@@ -116,20 +177,41 @@ def test_events_need_two_countries_and_order_does_not_matter(spark):
     assert (v.verdict, v.claim_confidence, v.quality_score) == ("PUBLISH_WITH_CAVEAT", 0.385, 0.495)
 
 
-VERDICTS = [(3, "red", "LOW", "PUBLISH_WITH_CAVEAT", 0.4), (10, "red", "MEDIUM", "PUBLISH_WITH_CAVEAT", 0.6), (10, "neutral", "MEDIUM", "PUBLISH", 0.65), (25, "red", "HIGH", "PUBLISH", 0.95), (25, "deepBlue", "LOW", "SUPPRESS", 0.2), (25, "red", "MEDIUM", "PUBLISH_WITH_CAVEAT", 0.6)]
+VERDICTS = [
+    (3, "red", "LOW", "PUBLISH_WITH_CAVEAT", 0.4), (10, "red", "MEDIUM", "PUBLISH_WITH_CAVEAT", 0.6),
+    (10, "neutral", "MEDIUM", "PUBLISH", 0.65), (25, "red", "HIGH", "PUBLISH", 0.95),
+    (25, "deepBlue", "LOW", "SUPPRESS", 0.2), (25, "red", "MEDIUM", "PUBLISH_WITH_CAVEAT", 0.6)
+]
 
 
 def test_deviation_verdicts(spark):
-    rows = spark.createDataFrame([(k, *r[:3], 1.0, 1.0, 5.0, 1.0) for k, r in enumerate(VERDICTS)], "k int, days_sampled long, level string, confidence string, deviation_ratio double, z_score double, baseline_mean double, baseline_std double")
-    assert [(r.verdict, r.claim_confidence) for r in claims.deviation_verdicts(rows).orderBy("k").collect()] == [r[3:] for r in VERDICTS]
+    rows = spark.createDataFrame(
+        [(k, *r[:3], 1.0, 1.0, 5.0, 1.0) for k, r in enumerate(VERDICTS)],
+        "k int, days_sampled long, level string, confidence string, deviation_ratio double, z_score double, baseline_mean double, baseline_std double"
+    )
+    assert [(r.verdict, r.claim_confidence) for r in claims.deviation_verdicts(rows).orderBy("k").collect()] == [
+        r[3:] for r in VERDICTS
+    ]
 
 
 def test_gates_count_each_rule(spark):
-    rows = spark.createDataFrame([("RU", "DOMESTIC", "monthly", "2026-04-01", "2026-04-30", "T", 5, 10, 0.5), ("us", "HOME", "monthly", "2026-04-02", "2026-04-01", "T", -1, 10, 1.5), ("RU", None, "weekly", "2026-04-07", "soon", "T", 1, 1, None)], "country string, audience_type string, period_type string, period_start string, period_end string, theme string, article_count int, bucket_total int, share double")
+    rows = spark.createDataFrame(
+        [
+            ("RU", "DOMESTIC", "monthly", "2026-04-01", "2026-04-30", "T", 5, 10, 0.5),
+            ("us", "HOME", "monthly", "2026-04-02", "2026-04-01", "T", -1, 10, 1.5),
+            ("RU", None, "weekly", "2026-04-07", "soon", "T", 1, 1, None)
+        ],
+        "country string, audience_type string, period_type string, period_start string, period_end string, theme string, article_count int, bucket_total int, share double"
+    )
     got = {r.rule: r.rows for r in gates.violations(rows, gates.theme_rules()).collect()}
-    assert got == {"audience_type": 2, "negative_count": 1, "share": 2, "date_format": 1, "date_order": 1, "excluded_country": 1, "alignment": 2, "theme_size": 0}
+    assert got == {
+        "audience_type": 2, "negative_count": 1, "share": 2, "date_format": 1, "date_order": 1, "excluded_country": 1,
+        "alignment": 2, "theme_size": 0
+    }
     assert len(gates.samples(rows, gates.theme_rules()).collect()) == 2
-    assert gates.volume_gate(rows, 2).first().passed is False and gates.forward_dated(rows, "2026-04-01").first()[0] == 2
+    assert gates.volume_gate(rows, 2).first().passed is False and gates.forward_dated(
+        rows, "2026-04-01"
+    ).first()[0] == 2
     with pytest.raises(ValueError, match="lacks the columns x"):
         schemas.require_columns(rows, ["x", "share"])
     spots = spark.createDataFrame([("a.ru", "DOMESTIC"), ("b.ru", "DOMESTIC")], "domain string, audience_type string")
@@ -137,26 +219,54 @@ def test_gates_count_each_rule(spark):
 
 
 def test_rollup_of_days_equals_direct_counts_in_any_order(spark):
-    rows = [(f"r{k}", dt.datetime(2026, 4, 1) + dt.timedelta(hours=7 * k), "RU" if k % 3 else "CN", "DOMESTIC", ["A", "B"] if k % 2 else (["A"] if k % 5 else []), float(k % 4) if k % 7 else None) for k in range(90)]
-    table = spark.createDataFrame(rows, "record_id string, date timestamp, country string, audience_type string, themes array<string>, tone double")
+    rows = [
+        (
+            f"r{k}", dt.datetime(2026, 4, 1) + dt.timedelta(hours=7 * k), "RU" if k % 3 else "CN", "DOMESTIC",
+            ["A", "B"] if k % 2 else (["A"] if k % 5 else []), float(k % 4) if k % 7 else None
+        ) for k in range(90)
+    ]
+    table = spark.createDataFrame(
+        rows,
+        "record_id string, date timestamp, country string, audience_type string, themes array<string>, tone double"
+    )
     got = sorted(map(tuple, rollup.theme_rollup(table, ("weekly", "monthly")).collect()), key=str)
-    assert got == sorted(map(tuple, rollup.theme_rollup(table.repartition(7).orderBy(F.rand(1)), ("weekly", "monthly")).collect()), key=str)
+    assert got == sorted(
+        map(tuple, rollup.theme_rollup(table.repartition(7).orderBy(F.rand(1)), ("weekly", "monthly")).collect()),
+        key=str
+    )
     april = {r[5]: r for r in got if r[0] == "RU" and r[2] == "monthly" and str(r[3]) == "2026-04-01"}
     ru = [r for r in rows if r[2] == "RU" and r[1].month == 4]
     tones = [r[5] for r in ru if "A" in r[4] and r[5] is not None]
-    assert april["A"][6:9] == (sum("A" in r[4] for r in ru), len(ru), round(sum("A" in r[4] for r in ru) / len(ru), 4)) and april["A"][9] == pytest.approx(sum(tones) / len(tones))
+    assert april["A"][6:9] == (
+        sum("A" in r[4] for r in ru), len(ru), round(sum("A" in r[4] for r in ru) / len(ru), 4)
+    ) and april["A"][9] == pytest.approx(sum(tones) / len(tones))
     assert rollup.theme_rollup(table.limit(0)).count() == 0
 
 
 def test_resolution_prefers_the_longest_parent(spark):
-    outlets = spark.createDataFrame([("rt.com", "RU", "INTERNATIONAL"), ("russian.rt.com", "RU", "DOMESTIC"), ("ru", "RU", "DOMESTIC")], "domain string, country string, audience_type string")
-    hosts = spark.createDataFrame([("https://www.russian.rt.com/x",), ("de.rt.com",), ("tass.ru",), (None,), ("other.org",)], "raw_domain string")
-    assert {(r.raw_domain, r.domain) for r in resolve.with_outlet(hosts, outlets).collect()} == {("https://www.russian.rt.com/x", "russian.rt.com"), ("de.rt.com", "rt.com")}
-    assert resolve.with_outlet(hosts, outlets, least=1).count() == 3 and resolve.with_outlet(hosts, outlets, keep_all=True).count() == 5
+    outlets = spark.createDataFrame(
+        [("rt.com", "RU", "INTERNATIONAL"), ("russian.rt.com", "RU", "DOMESTIC"), ("ru", "RU", "DOMESTIC")],
+        "domain string, country string, audience_type string"
+    )
+    hosts = spark.createDataFrame(
+        [("https://www.russian.rt.com/x",), ("de.rt.com",), ("tass.ru",), (None,), ("other.org",)],
+        "raw_domain string"
+    )
+    assert {(r.raw_domain, r.domain) for r in resolve.with_outlet(hosts, outlets).collect()} == {
+        ("https://www.russian.rt.com/x", "russian.rt.com"), ("de.rt.com", "rt.com")
+    }
+    assert resolve.with_outlet(hosts, outlets, least=1).count() == 3 and resolve.with_outlet(
+        hosts, outlets, keep_all=True
+    ).count() == 5
 
 
 def test_zip_slices(spark, tmp_path):
-    line = "\t".join(["20260409120000-0", "20260409120000", "1", "Tass.ru", "https://tass.ru/1", "", "", "A;B", *[""] * 7, "-3.2,1", *[""] * 10, "<PAGE_TITLE>T</PAGE_TITLE>"])
+    line = "\t".join(
+        [
+            "20260409120000-0", "20260409120000", "1", "Tass.ru", "https://tass.ru/1", "", "", "A;B", *[""] * 7,
+            "-3.2,1", *[""] * 10, "<PAGE_TITLE>T</PAGE_TITLE>"
+        ]
+    )
     good = io.BytesIO()
     with zipfile.ZipFile(good, "w") as z:
         z.writestr("a.csv", line.encode() + b"\n\xff short\n")
@@ -166,55 +276,94 @@ def test_zip_slices(spark, tmp_path):
     raw = gkg.read_zips(spark, str(tmp_path))
     rows = gkg.parse_lines(raw)
     (r,) = rows.collect()
-    assert (r.raw_domain, r.themes, r.tone, r.title, r.date) == ("tass.ru", ["A", "B"], -3.2, "T", dt.datetime(2026, 4, 9, 12))
-    assert gkg.file_counters(raw, rows).first().asDict() == {"files": 2, "skipped": 1, "lines": 2, "rows": 1, "articles": 1}
+    assert (r.raw_domain, r.themes, r.tone, r.title, r.date) == (
+        "tass.ru", ["A", "B"], -3.2, "T", dt.datetime(2026, 4, 9, 12)
+    )
+    assert gkg.file_counters(raw, rows).first().asDict() == {
+        "files": 2, "skipped": 1, "lines": 2, "rows": 1, "articles": 1
+    }
     (tmp_path / "x.csv").write_text(line + "\n")
     assert gkg.read_text(spark, str(tmp_path / "x.csv")).count() == 1
 
 
 def test_slices(spark):
-    assert [r.file_name for r in gkg.slices_in_lookback(spark, "2026-04-09 12:10:00").orderBy("slice").collect()] == [f"20260409{t}00.gkg.csv" for t in ("1100", "1115", "1130", "1145", "1200")]
+    assert [r.file_name for r in gkg.slices_in_lookback(spark, "2026-04-09 12:10:00").orderBy("slice").collect()] == [
+        f"20260409{t}00.gkg.csv" for t in ("1100", "1115", "1130", "1145", "1200")
+    ]
     assert gkg.slices_in_lookback(spark, "2026-04-09 12:06:00", 75, 7).count() == 4
     assert gkg.slices(spark, "2026-04-09 00:00:00", "2026-04-09 23:45:00").count() == 96
 
 
 def test_article_lists_and_fallback(spark):
     rows = spark.createDataFrame(
-        [(f"u{k % 4}", "t", "20260409120000", "www.A.ru", "Russian", "RS" if k % 2 else "RUSSIA", "RU", "primary" if k < 2 else "fallback") for k in range(6)], "url string, title string, seendate string, domain string, language string, sourcecountry string, query_country string, source_kind string"
+        [
+            (
+                f"u{k % 4}", "t", "20260409120000", "www.A.ru", "Russian", "RS" if k % 2 else "RUSSIA", "RU",
+                "primary" if k < 2 else "fallback"
+            ) for k in range(6)
+        ],
+        "url string, title string, seendate string, domain string, language string, sourcecountry string, query_country string, source_kind string"
     )
     countries = spark.createDataFrame([("RU", "RS"), ("RS", "RI")], "iso2 string, fips string")
     clean = articles.with_iso_country(articles.article_rows(rows), countries)
-    assert {(r.source_country, r.source_language, r.source_domain, r.tone) for r in clean.collect()} == {("RS", "ru", "a.ru", 0.0), ("RU", "ru", "a.ru", 0.0)}
-    assert articles.with_fallback(clean, ["RU"]).count() == 4 and articles.with_fallback(clean, ["RU"], least=2).count() == 2 and articles.with_fallback(clean, ["CN"]).count() == 2
-    volumes = spark.createDataFrame([("a", "2026-04-09", "12"), ("a", "bad", "1"), ("a", "2026-04-10", "x")], "domain string, datetime string, `Volume Raw` string")
+    assert {(r.source_country, r.source_language, r.source_domain, r.tone) for r in clean.collect()} == {
+        ("RS", "ru", "a.ru", 0.0), ("RU", "ru", "a.ru", 0.0)
+    }
+    assert articles.with_fallback(clean, ["RU"]).count() == 4 and articles.with_fallback(
+        clean, ["RU"], least=2
+    ).count() == 2 and articles.with_fallback(clean, ["CN"]).count() == 2
+    volumes = spark.createDataFrame(
+        [("a", "2026-04-09", "12"), ("a", "bad", "1"), ("a", "2026-04-10", "x")],
+        "domain string, datetime string, `Volume Raw` string"
+    )
     assert [tuple(r) for r in articles.volume_rows(volumes).collect()] == [("a", dt.date(2026, 4, 9), 12)]
 
 
 def test_dimensions(spark, tmp_path):
-    (tmp_path / "o.json").write_text('{"outlets": [{"domain": "WWW.A.ru", "country": "ru", "audience_type": "domestic"}, {"domain": "b.com", "country": "US", "audience_type": "DOMESTIC"}, {"domain": "a.ru", "country": "RU", "audience_type": "DIASPORA"}, {"domain": null, "country": "RU", "audience_type": "DOMESTIC"}, {"domain": "c.ru", "country": "RU", "audience_type": "ALL"}]}')
-    assert [(r.domain, r.country, r.audience_type, r.confidence) for r in dims.read_outlets(spark, str(tmp_path / "o.json")).collect()] == [("a.ru", "RU", "DIASPORA", 1.0)]
-    (tmp_path / "c.json").write_text('{"countries": {"RU": {"fips": "RS", "iso2": "RU", "official_languages": ["ru"]}, "RS": {"fips": "RI", "iso2": "RS"}}}')
+    (tmp_path / "o.json").write_text(
+        '{"outlets": [{"domain": "WWW.A.ru", "country": "ru", "audience_type": "domestic"}, {"domain": "b.com", "country": "US", "audience_type": "DOMESTIC"}, {"domain": "a.ru", "country": "RU", "audience_type": "DIASPORA"}, {"domain": null, "country": "RU", "audience_type": "DOMESTIC"}, {"domain": "c.ru", "country": "RU", "audience_type": "ALL"}]}'
+    )
+    assert [
+        (r.domain, r.country, r.audience_type, r.confidence) for r in dims.read_outlets(
+            spark, str(tmp_path / "o.json")
+        ).collect()
+    ] == [("a.ru", "RU", "DIASPORA", 1.0)]
+    (tmp_path / "c.json").write_text(
+        '{"countries": {"RU": {"fips": "RS", "iso2": "RU", "official_languages": ["ru"]}, "RS": {"fips": "RI", "iso2": "RS"}}}'
+    )
     countries = dims.read_countries(spark, str(tmp_path / "c.json"))
     assert {tuple(r) for r in dims.fips_index(countries).collect()} == {("RS", "RU"), ("RI", "RS")}
     (tmp_path / "t.json").write_text('{"themes": {"A": {"label": "Alpha", "description": "d"}}}')
-    assert [tuple(r) for r in dims.read_theme_labels(spark, str(tmp_path / "t.json")).collect()] == [("A", "Alpha", "d")]
+    assert [
+        tuple(r) for r in dims.read_theme_labels(spark, str(tmp_path / "t.json")).collect()
+    ] == [("A", "Alpha", "d")]
 
 
 def test_upserts_are_idempotent(spark, tmp_path):
     shape, path = "date date, country string, n long", str(tmp_path / "t")
-    one = spark.createDataFrame([(dt.date(2026, 1, 1), "RU", 1), (dt.date(2026, 1, 1), "CN", 2), (dt.date(2026, 1, 2), "RU", 3)], shape)
-    two = spark.createDataFrame([(dt.date(2026, 1, 1), "RU", 7), (dt.date(2026, 1, 1), "RU", 9), (dt.date(2026, 1, 3), "RU", 4)], shape)
+    one = spark.createDataFrame(
+        [(dt.date(2026, 1, 1), "RU", 1), (dt.date(2026, 1, 1), "CN", 2), (dt.date(2026, 1, 2), "RU", 3)], shape
+    )
+    two = spark.createDataFrame(
+        [(dt.date(2026, 1, 1), "RU", 7), (dt.date(2026, 1, 1), "RU", 9), (dt.date(2026, 1, 3), "RU", 4)], shape
+    )
     for new in (one, two, two):
         sinks.write_upsert(new, path, ["date", "country"], "date", [F.desc("n")])
     got = sorted((str(r.date), r.country, r.n) for r in spark.read.parquet(path).collect())
     assert got == [("2026-01-01", "CN", 2), ("2026-01-01", "RU", 9), ("2026-01-02", "RU", 3), ("2026-01-03", "RU", 4)]
     sinks.export(one, str(tmp_path / "e"), {"run": "x"}, ["date"])
-    assert sinks.reload(spark, str(tmp_path / "e")).count() == 3 and spark.read.json(str(tmp_path / "e/metadata")).first().rows == 3
+    assert sinks.reload(spark, str(tmp_path / "e")).count() == 3 and spark.read.json(
+        str(tmp_path / "e/metadata")
+    ).first().rows == 3
     sinks.export(one.limit(0), str(tmp_path / "f"), {})
     with pytest.raises(Exception, match="no rows|UNABLE_TO_INFER"):
         sinks.reload(spark, str(tmp_path / "f"))
-    assert sinks.public_columns(one.withColumn("_x", F.lit(1)).withColumn("verdict_reason", F.lit("y" * 5000))).select(F.length("verdict_reason")).first()[0] == 4096
-    assert sinks.replaced_periods(one.withColumnRenamed("date", "period_start"), two.withColumnRenamed("date", "period_start"), ["period_start"]).count() == 4
+    assert sinks.public_columns(
+        one.withColumn("_x", F.lit(1)).withColumn("verdict_reason", F.lit("y" * 5000))
+    ).select(F.length("verdict_reason")).first()[0] == 4096
+    assert sinks.replaced_periods(
+        one.withColumnRenamed("date", "period_start"), two.withColumnRenamed("date", "period_start"), ["period_start"]
+    ).count() == 4
 
 
 def test_components(spark):
@@ -227,8 +376,15 @@ def test_components(spark):
 def test_similar_pairs_against_all_pairs(spark):
     words = "summit leaders border talks grain export missile drill election court".split()
     rng = random.Random(2)
-    titles = [(k, " ".join(rng.choice(words[: 4 + k % 7]) for _ in range(4 + k % 3)), dt.datetime(2026, 1, 1) + dt.timedelta(hours=5 * k), ["x", f"e{k % 3}"] if k % 4 else []) for k in range(40)]
-    titles += [(40 + k, titles[k % 3][1], titles[k % 3][2] + dt.timedelta(hours=7 * k), titles[k % 3][3]) for k in range(12)] + [(60 + k, "the of and", titles[0][2], ["x"]) for k in range(2)]
+    titles = [
+        (
+            k, " ".join(rng.choice(words[: 4 + k % 7]) for _ in range(4 + k % 3)),
+            dt.datetime(2026, 1, 1) + dt.timedelta(hours=5 * k), ["x", f"e{k % 3}"] if k % 4 else []
+        ) for k in range(40)
+    ]
+    titles += [
+        (40 + k, titles[k % 3][1], titles[k % 3][2] + dt.timedelta(hours=7 * k), titles[k % 3][3]) for k in range(12)
+    ] + [(60 + k, "the of and", titles[0][2], ["x"]) for k in range(2)]
     at = {t[0]: t for t in titles}
     table = spark.createDataFrame(titles, "id long, title string, at timestamp, entities array<string>")
     vectors = clusters.title_vectors(table)
@@ -239,8 +395,12 @@ def test_similar_pairs_against_all_pairs(spark):
     near = lambda a, b: abs((at[a][2] - at[b][2]).total_seconds()) <= 86400
     want = {(a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.3}
     assert {(r.a, r.b) for r in clusters.similar_pairs(vectors, table, 0.3).collect()} == want and want
-    overlap = lambda a, b: len(set(at[a][3]) & set(at[b][3])) / len(set(at[a][3]) | set(at[b][3])) if at[a][3] and at[b][3] else 0
-    edges = [(a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.05 and dot(a, b) + 0.3 * overlap(a, b) >= 0.35]
+    overlap = lambda a, b: len(set(at[a][3]) & set(at[b][3])) / len(
+        set(at[a][3]) | set(at[b][3])
+    ) if at[a][3] and at[b][3] else 0
+    edges = [
+        (a, b) for a in v for b in v if a < b and near(a, b) and dot(a, b) >= 0.05 and dot(a, b) + 0.3 * overlap(a, b) >= 0.35
+    ]
     low = {x: x for e in edges for x in e}
     for _ in range(60):
         for a, b in edges:
@@ -249,46 +409,77 @@ def test_similar_pairs_against_all_pairs(spark):
 
 
 def test_contradiction_score(spark):
-    rows = spark.createDataFrame([(1, 0, "RU", "DOMESTIC", 4.0), (2, 0, "RU", "INTERNATIONAL", -4.0), (3, 1, "RU", "DOMESTIC", 1.0)], "id long, cluster long, country string, audience_type string, tone double")
+    rows = spark.createDataFrame(
+        [(1, 0, "RU", "DOMESTIC", 4.0), (2, 0, "RU", "INTERNATIONAL", -4.0), (3, 1, "RU", "DOMESTIC", 1.0)],
+        "id long, cluster long, country string, audience_type string, tone double"
+    )
     vectors = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0), (3, "a", 1.0)], "id long, term string, w double")
     (r,) = clusters.contradictions(rows, vectors).collect()
     assert (r.cluster, r.score, r.significant, r.severity) == (0, 0.7, True, "MAJOR")
 
 
 SERIES = {
-    "EMERGING": [0] * 54 + [2, 5, 8, 9, 9, 9], "SURGING": [5] * 20 + [6, 8, 10, 12, 14, 16, 18, 20, 22, 24], "DECLINING": [20] * 20 + [16, 14, 12, 10, 8, 6, 4, 2, 1, 0], "STABLE": [5] * 30, "INSUFFICIENT_DATA": [1] * 10, "FADED": [9] * 40 + [0] * 16,
+    "EMERGING": [0] * 54 + [2, 5, 8, 9, 9, 9], "SURGING": [5] * 20 + [6, 8, 10, 12, 14, 16, 18, 20, 22, 24],
+    "DECLINING": [20] * 20 + [16, 14, 12, 10, 8, 6, 4, 2, 1, 0], "STABLE": [5] * 30, "INSUFFICIENT_DATA": [1] * 10,
+    "FADED": [9] * 40 + [0] * 16,
     "PEAKED": [5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 5, 7, 9, 7, 5, 5],
 }
 
 
 def test_lifecycle_stages(spark):
     rows = [(s, "t", dt.date(2026, 1, 1) + dt.timedelta(k), n) for s, xs in SERIES.items() for k, n in enumerate(xs)]
-    got = {r.country: r.stage for r in trends.lifecycle(spark.createDataFrame(rows, "country string, theme string, date date, n long")).collect()}
+    got = {
+        r.country: r.stage for r in trends.lifecycle(
+            spark.createDataFrame(rows, "country string, theme string, date date, n long")
+        ).collect()
+    }
     assert got == {s: s for s in SERIES}
 
 
 def test_narrative_paragraph(spark):
     shape = "country string, audience_type string, period_type string, period_start date, theme string, article_count long, share double, avg_tone double"
     themes = (("ARMED_CONFLICT", 8), ("TAX", 4), ("OIL", 2), ("GAS", 1), ("ART", 1))
-    rows = spark.createDataFrame([("RU", "DOMESTIC", "monthly", dt.date(2026, 4, 1), t, n, n / 20, -5.0) for t, n in themes], shape)
-    rows = rows.union(spark.createDataFrame([("CN", "INTERNATIONAL", "monthly", dt.date(2026, 4, 1), t, 1, 0.05, None) for t in ("A", "B", "C", "D")], shape))
-    empty = spark.createDataFrame([("SY", "DOMESTIC", "monthly", dt.date(2025, 1, 1))], "country string, audience_type string, period_type string, period_start date")
+    rows = spark.createDataFrame(
+        [("RU", "DOMESTIC", "monthly", dt.date(2026, 4, 1), t, n, n / 20, -5.0) for t, n in themes], shape
+    )
+    rows = rows.union(
+        spark.createDataFrame(
+            [("CN", "INTERNATIONAL", "monthly", dt.date(2026, 4, 1), t, 1, 0.05, None) for t in ("A", "B", "C", "D")],
+            shape
+        )
+    )
+    empty = spark.createDataFrame(
+        [("SY", "DOMESTIC", "monthly", dt.date(2025, 1, 1))],
+        "country string, audience_type string, period_type string, period_start date"
+    )
     said = {r.country: r.narrative for r in views.narratives(rows, rows.select(*empty.columns).union(empty)).collect()}
     assert said["RU"] == (
         "In 2026-04-01, RU's state outlets that address people at home were dominated by Armed Conflict, Tax, and Oil (70% of articles). "
         "The tone of these themes was openly hostile: crisis, conflict, threats. 2 more themes followed, among them Art and Gas."
     )
-    assert said["CN"].endswith("ranged over A, B, and C (15% of articles). Their tone is not known. 1 more theme followed: D.")
+    assert said["CN"].endswith(
+        "ranged over A, B, and C (15% of articles). Their tone is not known. 1 more theme followed: D."
+    )
     assert "foreign languages" in said["CN"] and said["SY"] == "No domestic themes were found for SY in 2025-01-01."
     assert views.narratives(rows).count() == 2
 
 
 def test_views_and_json(spark):
-    top = spark.createDataFrame([('{"B": 2, "A": 2, "C": 9}', '[{"domain": "x", "count": 3}]'), ('[{"theme": "Z", "count": 1}]', None)], "t string, o string").select(text.json_themes(F.col("t"), 2).alias("t"), text.json_outlets(F.col("o")).alias("o")).collect()
+    top = spark.createDataFrame(
+        [('{"B": 2, "A": 2, "C": 9}', '[{"domain": "x", "count": 3}]'), ('[{"theme": "Z", "count": 1}]', None)],
+        "t string, o string"
+    ).select(text.json_themes(F.col("t"), 2).alias("t"), text.json_outlets(F.col("o")).alias("o")).collect()
     assert [x.key for x in top[0].t] == ["C", "A"] and top[0].o[0].domain == "x" and top[1].t[0].key == "Z"
-    countries = spark.createDataFrame([("RU", "Russia", "East"), ("CN", "China", "Asia")], "iso2 string, name string, region string")
-    assert [r.iso2 for r in views.country_search(countries, "RU").collect()] == ["RU"] and views.country_search(countries, "").count() == 2
-    assert (views.in_regions(countries, None).count(), views.in_regions(countries, []).count(), views.in_regions(countries, ["Asia"]).count()) == (2, 0, 1)
+    countries = spark.createDataFrame(
+        [("RU", "Russia", "East"), ("CN", "China", "Asia")], "iso2 string, name string, region string"
+    )
+    assert [
+        r.iso2 for r in views.country_search(countries, "RU").collect()
+    ] == ["RU"] and views.country_search(countries, "").count() == 2
+    assert (
+        views.in_regions(countries, None).count(), views.in_regions(countries, []).count(),
+        views.in_regions(countries, ["Asia"]).count()
+    ) == (2, 0, 1)
 
 
 def test_late_duplicates_do_not_change_the_stream(spark, sf):
@@ -297,10 +488,17 @@ def test_late_duplicates_do_not_change_the_stream(spark, sf):
     write_drop(rows, f"{folder}/drop", 4)
     rows.sample(0.2, seed=1).coalesce(1).write.mode("append").parquet(f"{folder}/drop")  # read a second time, late
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
-    jobs.start_rollup(jobs.deduplicated(stream), f"{folder}/store", f"{folder}/table", f"{folder}/check").awaitTermination()
+    jobs.start_rollup(
+        jobs.deduplicated(stream), f"{folder}/store", f"{folder}/table", f"{folder}/check"
+    ).awaitTermination()
     key = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
     got = sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*key).collect()))
-    assert got == sorted(map(tuple, rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()))
+    assert got == sorted(
+        map(
+            tuple,
+            rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()
+        )
+    )
 
 
 def test_frozen_days_go_aside(spark, sf):
@@ -308,9 +506,13 @@ def test_frozen_days_go_aside(spark, sf):
     rows = driver.raw_articles(spark, sf)
     rows.coalesce(1).write.parquet(f"{folder}/drop")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/drop")
-    jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check", ("daily",), frozen_before="2024-01-10").awaitTermination()
+    jobs.start_rollup(
+        stream, f"{folder}/store", f"{folder}/table", f"{folder}/check", ("daily",), frozen_before="2024-01-10"
+    ).awaitTermination()
     assert spark.read.parquet(f"{folder}/store_late").count() == rows.where("date < '2024-01-10'").count()
-    assert str(spark.read.parquet(f"{folder}/table").agg(F.min(F.col("period_start").cast("date"))).first()[0]) >= "2024-01-10"
+    assert str(
+        spark.read.parquet(f"{folder}/table").agg(F.min(F.col("period_start").cast("date"))).first()[0]
+    ) >= "2024-01-10"
 
 
 def test_the_store_holds_a_folder_a_day_whatever_the_batches(spark, sf):
@@ -322,11 +524,20 @@ def test_the_store_holds_a_folder_a_day_whatever_the_batches(spark, sf):
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
         jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check{k}").awaitTermination()
         facts = spark.read.parquet(f"{folder}/store/articles")
-        assert len(facts.inputFiles()) <= days and facts.where("url is not null").count() == rows.select("domain", "url").distinct().count()
+        assert len(
+            facts.inputFiles()
+        ) <= days and facts.where("url is not null").count() == rows.select("domain", "url").distinct().count()
     key = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
     got = sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*key).collect()))
-    assert got == sorted(map(tuple, rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()))
+    assert got == sorted(
+        map(
+            tuple,
+            rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()
+        )
+    )
 
 
 def test_fixed_values_are_consistent():
-    assert set(fixed.DIASPORA_LANGUAGES["RU"]) == {"de", "fr", "es", "he"} and len(fixed.LEVELS) == 7 and all(len(v) == 2 for v in fixed.LANGUAGES.values())
+    assert set(fixed.DIASPORA_LANGUAGES["RU"]) == {"de", "fr", "es", "he"} and len(fixed.LEVELS) == 7 and all(
+        len(v) == 2 for v in fixed.LANGUAGES.values()
+    )
