@@ -55,7 +55,9 @@ class WordBpe:
         for t, k in [*vocab.items(), *self.special.items()]:
             self.token[k] = t
         self.find = regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.cut = regex.compile(
+            "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
+        ) if self.special else None
         self.keep, self.known = keep, {t: (1, str(k), t) for t, k in self.special.items()}
 
     def words(self, text: str) -> list[str]:
@@ -179,18 +181,26 @@ def _encode(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iter
         kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
         names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
         kept = [c for c in b.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(left, kinds[0]), pa.array(right, kinds[1])], names=[*kept, "n_tokens", *names])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(b.column(c) for c in kept), pa.array(counts, pa.int64()), pa.array(left, kinds[0]),
+                pa.array(right, kinds[1])
+            ],
+            names=[*kept, "n_tokens", *names]
+        )
 
 
 def bpe_encode(docs: DataFrame, vocabulary: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and either ids and decoded, or the SHA-256 of both, for every document.
 
     ids are the whole text's token ids without added tokens; strings of special tokens in the text become
-    those tokens. A null or empty text has no ids and decodes to an empty text. Rows are taken one by one,
-    so repeated rows, null ids and other columns make no difference. The vocabulary is a file on every
-    worker. Characters that Unicode has assigned since version 16 may be split in other places than by a
+    those tokens. A null or empty text has no ids and decodes to an empty text; a very long one is encoded whole,
+    and an empty table gives an empty result. Rows are taken one by one, so repeated rows, null ids and other columns
+    make no difference. The vocabulary is a file on every worker. Characters that Unicode has assigned since version 16 may be split in other places than by a
     library with other tables.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select("doc_id", "text").mapInArrow(partial(_encode, vocabulary, digests), f"doc_id {kind}, n_tokens long, {more}")
+    return docs.select("doc_id", "text").mapInArrow(
+        partial(_encode, vocabulary, digests), f"doc_id {kind}, n_tokens long, {more}"
+    )

@@ -21,7 +21,9 @@ WINDOW = 10
 #: A broadcast set holds at most so many item words; larger benchmarks are scanned in several passes over the texts.
 MAX_WORDS = 2_000_000
 #: Fixed: bytes that are no ASCII letter or digit become blanks, A-Z become lower case.
-_FOLD = bytes((b + 32) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_FOLD = bytes(
+    (b + 32) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
+)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -119,7 +121,10 @@ def _found(texts: list[bytes], hits: list[tuple[np.ndarray, list[str]]], clean:
         "items": pa.array([items for _, items in hits], pa.list_(pa.string())),
     }
     if clean:
-        out["text"] = pa.array([(t if m is None else cut_spans(t, m)).decode("utf-8", "replace") for t, m in zip(texts, marks)], pa.string())
+        out["text"] = pa.array(
+            [(t if m is None else cut_spans(t, m)).decode("utf-8", "replace") for t, m in zip(texts, marks)],
+            pa.string()
+        )
     return out
 
 

@@ -20,8 +20,12 @@ from .common import written
 
 #: Fixed: elements by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("nav header footer aside menu button select textarea dialog iframe object svg canvas audio video head title noscript template script style datalist option".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+)
+DROPPED = frozenset(
+    "nav header footer aside menu button select textarea dialog iframe object svg canvas audio video head title noscript template script style datalist option".split()
+)
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Fixed: classes, ids and roles that mark what is not the article, unless the article stands inside.
@@ -33,8 +37,14 @@ BOILERPLATE = frozenset(
     "related recommended recommendations breadcrumb breadcrumbs pagination pager tags toolbar skip copyright "
     "complementary contentinfo".split()
 )
-CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+CLOSES = {
+    "p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"}, "option": {"option"}
+}
+_RAW = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    re.S | re.I
+)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>?")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[^a-z]+")
@@ -52,7 +62,11 @@ class Node:
 
 def is_boilerplate(value: str) -> bool:
     """Whether a whole token of a class, id or role is such a word, or joins nothing but such words."""
-    return any(parts and BOILERPLATE.issuperset(parts) for parts in (list(filter(None, _PART.split(t))) for t in value.split()))
+    return any(
+        parts and BOILERPLATE.issuperset(parts) for parts in (
+            list(filter(None, _PART.split(t))) for t in value.split()
+        )
+    )
 
 
 def blocks(html: str) -> list[tuple[str, int, list[Node]]]:
@@ -77,7 +91,10 @@ def blocks(html: str) -> list[tuple[str, int, list[Node]]]:
                 heads[n.tag].add(n.number)
     body = heads["main"] or (heads["article"] if len(heads["article"]) == 1 else set())
     if body:
-        holds = {n.number for _, _, around in every for k, n in enumerate(around) if any(x.number in body for x in around[k:])}
+        holds = {
+            n.number for _, _, around in every for k,
+            n in enumerate(around) if any(x.number in body for x in around[k:])
+        }
     else:
         whole = sum(max(0, len(text) - linked) for text, linked, _ in every)
         holds = {k for k in marks if size[k] > whole * (0.5 if k in forms else 0.9)}
@@ -136,7 +153,9 @@ def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
         shown = re.sub(r"\d+", "#", " ".join(names.get("class", "").split()[:2]))
         titles = stack[-1].titles or (tag == "header" and any(n.tag in ("article", "main") for n in stack))
         drop = stack[-1].dropped or (tag in DROPPED and not (titles and tag == "header"))
-        marked = tag == "form" or (tag not in ("html", "body", "article", "main") and any(map(is_boilerplate, names.values())))
+        marked = tag == "form" or (
+            tag not in ("html", "body", "article", "main") and any(map(is_boilerplate, names.values()))
+        )
         number += 1
         path = f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else "")
         stack.append(Node(tag, path, drop, number, marked, titles))
@@ -211,7 +230,14 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 v = votes[host, got[0]]
                 v[0] += round(got[1], 6)
                 v[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array([v[0] for v in votes.values()], pa.float64()), pa.array([v[1] for v in votes.values()], pa.int64())], names=["host", "path", "score", "pages"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()),
+                pa.array([v[0] for v in votes.values()], pa.float64()),
+                pa.array([v[1] for v in votes.values()], pa.int64())
+            ],
+            names=["host", "path", "score", "pages"]
+        )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,18 +250,30 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text_at(html, own[0])
             texts.append(text)
         names = [c for c in b.schema.names if c not in ("html", "path")]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*names, "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(b.column(c) for c in names), pa.array(texts, pa.string()),
+                pa.array(list(map(len, texts)), pa.int64())
+            ],
+            names=[*names, "text", "n_chars"]
+        )
 
 
 def host_of(url: str = "url"):
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    return F.coalesce(
+        F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")
+    )
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the path with the most votes of each host, by pages, then score, then name."""
-    votes = pages.select(host_of().alias("host"), "html").where("html <> ''").mapInArrow(_vote, "host string, path string, score double, pages long")
+    votes = pages.select(host_of().alias("host"), "html").where("html <> ''").mapInArrow(
+        _vote, "host string, path string, score double, pages long"
+    )
     total = votes.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.sum("score").alias("score"))
-    return total.groupBy("host").agg(F.max(F.struct("pages", F.round("score", 3), "path")).alias("top")).select("host", F.col("top.path").alias("path"))
+    return total.groupBy("host").agg(F.max(F.struct("pages", F.round("score", 3), "path")).alias("top")).select(
+        "host", F.col("top.path").alias("path")
+    )
 
 
 #: Up to so many hosts' paths are broadcast; above, the paths are copied over SALTS parts of each host.
@@ -247,7 +285,9 @@ def with_host_path(rows: DataFrame, winners: DataFrame, max_hosts: int = MAX_HOS
     if winners.count() <= max_hosts:
         return rows.join(F.broadcast(winners), "host", "left")
     copies = winners.select("host", "path", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"], "left").drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(
+        copies, ["host", "salt"], "left"
+    ).drop("salt")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -259,6 +299,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     alike, other columns are ignored, and an empty table gives an empty result.
     """
     winners = written(host_paths(pages), "host_paths")
-    rows = with_host_path(pages.select("page_id", "url", "html", host_of().alias("host")), winners).select("page_id", "url", "html", "path")
+    rows = with_host_path(pages.select("page_id", "url", "html", host_of().alias("host")), winners).select(
+        "page_id", "url", "html", "path"
+    )
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")

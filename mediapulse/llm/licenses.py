@@ -24,7 +24,9 @@ from .templates import TEMPLATES
 SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 32
 #: The broadcast templates hold at most so many words in all.
 MAX_TEMPLATE_WORDS = 2_000_000
-_SEEDS = np.random.default_rng(5).integers(1, 1 << 32, size=(BANDS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SEEDS = np.random.default_rng(5).integers(
+    1, 1 << 32, size=(BANDS, 2), dtype=np.uint64
+).astype(np.uint32) | np.uint32(1)
 
 
 def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
@@ -134,7 +136,9 @@ class Templates:
                 stride, span = self._window(step)
                 low = p
                 if stride > 1:
-                    low = np.minimum.reduce(np.pad(p, (0, -len(p) % stride), constant_values=none).reshape(-1, stride), axis=1)
+                    low = np.minimum.reduce(
+                        np.pad(p, (0, -len(p) % stride), constant_values=none).reshape(-1, stride), axis=1
+                    )
                 low = np.pad(low, (0, span - 1), constant_values=none)
                 m = len(low) - span + 1
                 best = low[:m].copy()
@@ -160,12 +164,17 @@ def _groups(texts: list[bytes | None], most: int = 1 << 16) -> Iterator[tuple[in
 def _scan(templates, containment: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, 2000):
         texts = b.column("text").cast(pa.binary()).to_pylist()
-        got = [(start + x[0], *x[1:]) for start, words in _groups(texts) for x in templates.value.scan(words, containment)]
+        got = [
+            (start + x[0], *x[1:]) for start,
+            words in _groups(texts) for x in templates.value.scan(words, containment)
+        ]
         cols = list(zip(*got)) if got else [[], [], [], [], []]
         kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
         found = [pa.array(c, k) for c, k in zip(cols[1:], kinds)]
         ids = b.column("doc_id").take(pa.array(cols[0], pa.int64()))
-        yield pa.RecordBatch.from_arrays([ids, *found], names=["doc_id", "template", "containment", "first_word", "end_word"])
+        yield pa.RecordBatch.from_arrays(
+            [ids, *found], names=["doc_id", "template", "containment", "first_word", "end_word"]
+        )
 
 
 def license_scan(

@@ -27,7 +27,9 @@ SIZE, SIMILARITY, BANDS, ROWS = 5, 0.8, 40, 6
 #: Shingles in a block of documents of one component, and shingles that are hashed at once.
 BLOCK, PIECE = 1 << 21, 1 << 14
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
-_SEEDS = np.random.default_rng(8).integers(1, 1 << 32, size=(BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.array([0, 1], np.uint32)
+_SEEDS = np.random.default_rng(8).integers(
+    1, 1 << 32, size=(BANDS * ROWS, 2), dtype=np.uint64
+).astype(np.uint32) | np.array([0, 1], np.uint32)
 
 
 def shingle_set(text: bytes | None, size: int = SIZE) -> np.ndarray:
@@ -74,14 +76,19 @@ def _prints(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         fp = pa.array([simhash_of(s) for s in sets], pa.int64())
         keys = pa.array(band_keys(sets).astype(np.uint64).view(np.int64).ravel())
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), keys)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), digest, fp, bands], names=["doc_id", "digest", "fp", "bands"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), digest, fp, bands], names=["doc_id", "digest", "fp", "bands"]
+        )
 
 
 def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches, 500):
         sets = [shingle_set(t.as_py(), size) for t in b.column("text").cast(pa.binary())]
         n = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("component"), b.column("doc_id"), n, pa.array([s.tobytes() for s in sets], pa.binary())], names=["component", "doc_id", "n", "shingles"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("component"), b.column("doc_id"), n, pa.array([s.tobytes() for s in sets], pa.binary())],
+            names=["component", "doc_id", "n", "shingles"]
+        )
 
 
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -115,7 +122,9 @@ def _links(similarity: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         edge = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]).tolist()
         first = np.concatenate([a + joined(sets[a:z], similarity) for a, z in zip(edge, [*edge[1:], len(sets)])])
         apart = np.flatnonzero(first != np.arange(len(first)))
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(first[apart])), ids.take(pa.array(apart))], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(first[apart])), ids.take(pa.array(apart))], names=["a", "b"]
+        )
 
 
 def near_copies(

@@ -180,7 +180,9 @@ def _merge(candidates: DataFrame, wanted: DataFrame | None, threshold: float) ->
     else:
         lists = lists.join(wanted, "id", "left").withColumn("size", F.coalesce("size", F.lit(K)))
     lists = lists.withColumn("nbrs", F.slice("nbrs", 1, F.col("size"))).withColumn("full", _saturated(threshold))
-    return lists.withColumn("size", F.when(F.col("full"), F.least(F.col("size") * 2, F.lit(LONGEST))).otherwise(F.col("size")))
+    return lists.withColumn(
+        "size", F.when(F.col("full"), F.least(F.col("size") * 2, F.lit(LONGEST))).otherwise(F.col("size"))
+    )
 
 
 def _refine(graph: DataFrame, rounded: DataFrame, threshold: float) -> DataFrame:
@@ -314,7 +316,9 @@ def _bridged(graph: DataFrame, found: DataFrame, points: DataFrame, threshold: f
     meet = sides[0].union(sides[1]).join(members, "ball").select("pair", "id", "second", "v").repartition(F.col("pair"))
     links = written(meet.sortWithinPartitions("pair").mapInArrow(partial(_bridge, threshold), _PAIR), "bridges")
     name = found.select("node", "component")
-    joined = links.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = links.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b").select(
+        F.col("ca").alias("a"), F.col("cb").alias("b")
+    )
     renamed = connected_components(joined.where("a <> b")).toDF("component", "into")
     out = found.join(renamed, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
     out = written(out, "components")
@@ -343,7 +347,9 @@ def _counted(found: DataFrame, points: DataFrame, threshold: float) -> DataFrame
     size = found.groupBy("component").count()
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    member = found.join(size, "component").select(F.col("node").alias("id"), "component", blocks.alias("blocks"), own.alias("block"))
+    member = found.join(size, "component").select(
+        F.col("node").alias("id"), "component", blocks.alias("blocks"), own.alias("block")
+    )
     member = member.join(points.select("id", "v", "copies"), "id")
     dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
@@ -422,7 +428,9 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, rounds: int = 2, most
     graph = start = written(_merge(listed, None, threshold), "graph")
     rounded = signed.where("tab = 0").select("id", "q")
     probes = points.sparkSession.sparkContext.broadcast(_probes(start, points, threshold))
-    true = points.mapInArrow(partial(_audit, probes, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    true = points.mapInArrow(partial(_audit, probes, threshold), "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n")
+    )
     true = {r.id: r.n for r in true.collect()}
     probes.unpersist()
     for k in range(most):
@@ -443,8 +451,12 @@ def near_vectors(rows: DataFrame, threshold: float = 0.98, rounds: int = 2, most
     discard(start, graph, signed)
     if recall < LEAST:
         raise RuntimeError(f"after {most} rounds the audit finds {recall:.3f} of the links, below {LEAST}")
-    named = found.join(points.select(F.col("id").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("name"))
-    ends = points.join(found, points["id"] == found["node"], "left").join(links, "id", "left").join(named, "component", "left")
+    named = found.join(points.select(F.col("id").alias("node"), "first"), "node").groupBy("component").agg(
+        F.min("first").alias("name")
+    )
+    ends = points.join(found, points["id"] == found["node"], "left").join(links, "id", "left").join(
+        named, "component", "left"
+    )
     ends = ends.select(
         "key", "label", "embedding", F.coalesce("name", "first").alias("component"),
         (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),

@@ -160,7 +160,9 @@ def held_out(column: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Voter:
     """Fit on at most `bound` training rows of each label, chosen by the order of hashed ids."""
-    marked = labels.where("quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    marked = labels.where("quality is not null").where(~held_out()).groupBy("doc_id").agg(
+        F.max("quality").cast("int").alias("quality")
+    )
     share = {int(r.quality): r["count"] for r in marked.groupBy("quality").count().collect() if r.quality in (0, 1)}
     draw = [marked.where(F.col("quality") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for c in (0, 1)]
     ids = draw[0].union(draw[1])
@@ -184,4 +186,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, block: int = 256, threshol
     docs = docs.drop("score", "predicted")
     voter = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(partial(_score, voter, block), shape).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(partial(_score, voter, block), shape).withColumn(
+        "predicted", (F.col("score") >= threshold).cast("int")
+    )

@@ -119,7 +119,9 @@ def _forest(distance: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
     def links(rows: np.ndarray) -> pa.RecordBatch:
         first = local_forest(rows[0], rows[1].view(np.uint64), distance)
         joined = first != np.arange(len(first))
-        return pa.RecordBatch.from_arrays([pa.array(rows[2][first[joined]]), pa.array(rows[2][joined])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows[2][first[joined]]), pa.array(rows[2][joined])], names=["a", "b"]
+        )
 
     for b in batches:
         if not b.num_rows:
@@ -182,8 +184,12 @@ def simhash_dedup(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFram
     prints = written(fingerprints(docs, size), "fingerprints")
     reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "reps")
     found = connected_components(near_links(reps, distance))
-    groups = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(groups, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = reps.join(found, reps["rep"] == found["node"], "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    return prints.join(groups, "fp", "left").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

@@ -30,7 +30,9 @@ MIN_WORDS = 20
 PIECE, SENT = 4 << 20, 4000
 #: The position of the window that ends with its text.
 TAIL = 2**31 - 1
-_GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(23))
+_GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (
+    np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(23)
+)
 _GEAR = (_GEAR >> np.uint64(33)).astype(np.uint32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -113,7 +115,9 @@ class Layout:
         """(the text without these chunks, runs that went, words that went)."""
         first = self.chunks[text]
         edge = first + np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
-        own, stop = self.origin[text], self.origin[text + 1] - SEEN if text + 1 < len(self.origin) else len(self.buffer) - SEEN
+        own, stop = self.origin[text], self.origin[text + 1] - SEEN if text + 1 < len(
+            self.origin
+        ) else len(self.buffer) - SEEN
         keep, at, words = [], own, 0
         for a, z in zip(edge[::2].tolist(), edge[1::2].tolist()):
             keep.append(self.buffer[at : self.begin[self.word[a]]])

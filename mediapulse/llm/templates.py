@@ -109,7 +109,10 @@ TEMPLATES = [
     ("cc-by-nc-4.0-short", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0-short", "Licensed under CC BY 4.0."),
     ("cc-by-sa-4.0-short", "Licensed under CC BY-SA 4.0."),
-    ("cc0-notice", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    (
+        "cc0-notice",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work."
+    ),
     ("all-rights-reserved", "All rights reserved."),
     (
         "no-reproduction",

@@ -29,7 +29,10 @@ PER_FILE = 20_000
 #: Fixed: the header fields of URL records in version 1 and 2 of the ARC format.
 ARC_FIELDS = {
     "1": ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
-    "2": ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
+    "2": [
+        "URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset",
+        "Filename", "Archive-length"
+    ],
 }
 #: Fixed: the WARC profile of records that repeat an earlier payload.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -145,7 +148,8 @@ def arc_records(name: str, data: bytes) -> Iterator[dict]:
         block = stream.read(size)
         http, payload = split_http(block)
         yield {
-            "uri": head["URL"], "ip": head["IP-address"], "captured": head["Archive-date"], "mime": head["Content-type"],
+            "uri": head["URL"], "ip": head["IP-address"], "captured": head["Archive-date"],
+            "mime": head["Content-type"],
             "http": http, "payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload),
             "record_id": str(uuid.uuid5(_SPACE, f"{name}#{offset}")), "truncated": len(block) < size, "problem": None,
         }
@@ -293,7 +297,9 @@ def warc_record(r: dict, again: dict | None) -> bytes:
     head += [_field("WARC-Target-URI", r["uri"]), _field("WARC-IP-Address", r["ip"])]
     if again:
         head += [_field("WARC-Profile", REVISIT_PROFILE), _field("WARC-Refers-To", f"<urn:uuid:{again['to']}>")]
-        head += [_field("WARC-Refers-To-Target-URI", again["uri"]), _field("WARC-Refers-To-Date", _iso(again["captured"]))]
+        head += [
+            _field("WARC-Refers-To-Target-URI", again["uri"]), _field("WARC-Refers-To-Date", _iso(again["captured"]))
+        ]
         head += [_field("X-Payload-Length", str(r["payload_bytes"]))]
     if r["truncated"]:
         head += [_field("WARC-Truncated", "unspecified")]
@@ -308,7 +314,9 @@ def _convert(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     def rows():
         for b in batches:
             for k in range(b.num_rows):
-                path, again = b.column("path")[k].as_py(), {r["record_id"]: r for r in b.column("again")[k].as_py() or ()}
+                path, again = b.column("path")[k].as_py(), {
+                    r["record_id"]: r for r in b.column("again")[k].as_py() or ()
+                }
                 for r in arc_records(_relative(path, root), b.column("content")[k].as_py()):
                     if r["problem"] is None:
                         yield {"payload": warc_record(r, again.get(r["record_id"]))}
@@ -335,7 +343,9 @@ def arc_to_warc(spark: SparkSession, arc: str, warc: str, order: str, least: int
     parsed = every.where((F.col("payload_bytes") >= least) & F.col("problem").isNull())
     best = F.max(F.struct("ord", "record_id", "uri", "captured")).alias("top")
     top = parsed.groupBy("payload_digest").agg(best, F.count("*").alias("copies")).where("copies > 1")
-    later = parsed.select("path", "record_id", "payload_digest").join(top, "payload_digest").where("record_id <> top.record_id")
+    later = parsed.select("path", "record_id", "payload_digest").join(top, "payload_digest").where(
+        "record_id <> top.record_id"
+    )
     told = F.struct("record_id", F.col("top.record_id").alias("to"), "top.uri", "top.captured")
     again = later.groupBy("path").agg(F.collect_list(told).alias("again"))
     rows = _files(spark, arc, pattern).join(again, "path", "left").select("path", "content", "again")

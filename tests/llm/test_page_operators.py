@@ -18,7 +18,11 @@ PAGES = "page_id long, url string, html string, http string, host string, path s
 @pytest.fixture(scope="module")
 def pages(spark):
     body = "<html><body><p>Some text</p></body></html>"
-    rows = [(1, "http://a.example/x y", body), (2, "http://a.example/z", body), (3, None, None), (4, "http://b.example/", ""), (5, "http://c.example/", "WARC/1.1\r\n\r\n\r\nfiledesc:// 1\n" + "é" * 70_000), (None, "u", "alone"), (6, "http://b.example", "x"), (6, "http://b.example", "x")]
+    rows = [
+        (1, "http://a.example/x y", body), (2, "http://a.example/z", body), (3, None, None),
+        (4, "http://b.example/", ""), (5, "http://c.example/", "WARC/1.1\r\n\r\n\r\nfiledesc:// 1\n" + "é" * 70_000),
+        (None, "u", "alone"), (6, "http://b.example", "x"), (6, "http://b.example", "x")
+    ]
     return spark.createDataFrame([(*r, "h", "o", "p", "q") for r in rows], PAGES)
 
 
@@ -47,14 +51,22 @@ def test_archive_of_nothing(spark, pages):
 
 def test_both_arc_versions_are_read():
     doc = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
-    one = b"filedesc://x.arc 0.0.0.0 19990101000000 text/plain 20\n1 0 someone\nURL ...\n\nhttp://h/a b 1.2.3.4 19990102030405 text/html %d\n%s\n" % (len(doc), doc)
-    two = b"filedesc://y.arc 0.0.0.0 19990101000000 text/plain 200 - - 0 y.arc 12\n2 0 someone\n\nhttp://h/c 1.2.3.4 19990102030405 text/html 200 - - 99 y.arc %d\n%s\nbroken line\nhttp://h/d 1.2.3.4 19990102030405 image/png 200 - - 99 y.arc 50\nshort" % (len(doc), doc)
+    one = b"filedesc://x.arc 0.0.0.0 19990101000000 text/plain 20\n1 0 someone\nURL ...\n\nhttp://h/a b 1.2.3.4 19990102030405 text/html %d\n%s\n" % (
+        len(doc), doc
+    )
+    two = b"filedesc://y.arc 0.0.0.0 19990101000000 text/plain 200 - - 0 y.arc 12\n2 0 someone\n\nhttp://h/c 1.2.3.4 19990102030405 text/html 200 - - 99 y.arc %d\n%s\nbroken line\nhttp://h/d 1.2.3.4 19990102030405 image/png 200 - - 99 y.arc 50\nshort" % (
+        len(doc), doc
+    )
     for data in (one, gzip.compress(one), gzip.compress(one[:80]) + gzip.compress(one[80:])):
         (r,) = warc.arc_records("x", data)
-        assert (r["uri"], r["captured"], r["payload"], r["truncated"]) == ("http://h/a b", "19990102030405", b"abc", False)
+        assert (r["uri"], r["captured"], r["payload"], r["truncated"]) == (
+            "http://h/a b", "19990102030405", b"abc", False
+        )
     a, lost, b = warc.arc_records("y", two)
     assert lost["problem"] == "header" and lost["uri"] is None
-    assert (a["uri"], a["payload"], a["http"][:8]) == ("http://h/c", b"abc", b"HTTP/1.1") and (b["payload"], b["http"], b["truncated"]) == (b"short", b"", True)
+    assert (a["uri"], a["payload"], a["http"][:8]) == ("http://h/c", b"abc", b"HTTP/1.1") and (
+        b["payload"], b["http"], b["truncated"]
+    ) == (b"short", b"", True)
     assert len({x["record_id"] for x in (a, b)}) == 2
 
 
@@ -65,21 +77,33 @@ def test_any_file_names_and_bad_records(spark, tmp_path):
         (tmp_path / "arc" / sub).mkdir(parents=True)
         body = record(b"http://h/%d" % k, b"payload %d" % k)
         (tmp_path / "arc" / sub / "crawl-1999.arc.gz").write_bytes(gzip.compress(lead + body))
-    bad = lead + b"http://h/x 1.2.3.4 19990102030405 text/html many\n\xff\xfe garbage\n" + record(b"http://h/2", b"payload 2")
+    bad = lead + b"http://h/x 1.2.3.4 19990102030405 text/html many\n\xff\xfe garbage\n" + record(
+        b"http://h/2", b"payload 2"
+    )
     (tmp_path / "arc" / "plain.arc").write_bytes(b"filedesc://foo\n" + bad)
-    (tmp_path / "arc" / "cut.arc.gz").write_bytes(gzip.compress(lead + record(b"http://h/3", b"payload 3"))[:-20] + b"\0" * 30)
+    (tmp_path / "arc" / "cut.arc.gz").write_bytes(
+        gzip.compress(lead + record(b"http://h/3", b"payload 3"))[:-20] + b"\0" * 30
+    )
     rows = warc.read_arc(spark, str(tmp_path / "arc")).collect()
     good = [r for r in rows if not r.problem]
-    assert {r.uri for r in good} >= {"http://h/0", "http://h/1", "http://h/2"} and len({r.record_id for r in good}) == len(good)
+    assert {r.uri for r in good} >= {"http://h/0", "http://h/1", "http://h/2"} and len(
+        {r.record_id for r in good}
+    ) == len(good)
     assert {r.problem for r in rows if r.problem} == {"header", "gzip"}
-    lost = {r.problem: r.n for r in warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), "uri").collect()}
+    lost = {
+        r.problem: r.n for r in warc.arc_to_warc(
+            spark, str(tmp_path / "arc"), str(tmp_path / "warc"), "uri"
+        ).collect()
+    }
     assert lost == {"header": 2, "gzip": 1}
     back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
     assert {r.uri for r in back} == {r.uri for r in good} and not any(r.problem for r in back)
     text = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha1:WRONG\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: x\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 2\r\n\r\nde\r\n\r\n"
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "x.warc.gz").write_bytes(gzip.compress(text))
-    assert [r.problem for r in warc.read_warc(spark, str(tmp_path / "other"), "*.warc.gz").collect()] == ["digest", "length", None]
+    assert [r.problem for r in warc.read_warc(spark, str(tmp_path / "other"), "*.warc.gz").collect()] == [
+        "digest", "length", None
+    ]
 
 
 def test_archives_of_many_files(spark, pages, monkeypatch):
@@ -91,12 +115,20 @@ def test_warc_fields(spark, pages):
     folder = scratch_path(spark, "archive")
     warc.write_arc(pages.where("page_id in (1, 2)"), f"{folder}/arc")
     warc.arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc", "record_id")
-    records = [r for f in spark.read.format("binaryFile").load(f"{folder}/warc").collect() for r in warc.warc_records(bytes(f.content))]
+    records = [
+        r for f in spark.read.format("binaryFile").load(
+            f"{folder}/warc"
+        ).collect() for r in warc.warc_records(bytes(f.content))
+    ]
     kinds = sorted(f["warc-type"] for f, _ in records)
     assert kinds == ["response", "revisit"]
     by = {f["warc-type"]: (f, b) for f, b in records}
-    assert by["revisit"][0]["warc-refers-to"] == by["response"][0]["warc-record-id"] and by["revisit"][0]["warc-date"] == "2024-01-01T00:00:00Z"
-    assert by["revisit"][1].endswith(b"\r\n\r\n") and b"<html>" not in by["revisit"][1] and b"<html>" in by["response"][1]
+    assert by["revisit"][0][
+        "warc-refers-to"
+    ] == by["response"][0]["warc-record-id"] and by["revisit"][0]["warc-date"] == "2024-01-01T00:00:00Z"
+    assert by["revisit"][1].endswith(
+        b"\r\n\r\n"
+    ) and b"<html>" not in by["revisit"][1] and b"<html>" in by["response"][1]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
@@ -123,7 +155,9 @@ def test_marked_containers_around_the_article():
         assert not any("Buy this" in text or "Another" in text for text, _, _ in html.blocks(page))
     # without article or main: most of the text, then whatever there is
     page = f'<body><form>{ad}<div><p>A story of some more words than all adverts have.</p><p>And an end to it.</p></div></form></body>'
-    assert html.text_at(page, html.best_path(page)[0]).startswith("A story") and "Buy" not in html.text_at(page, html.best_path(page)[0])
+    assert html.text_at(page, html.best_path(page)[0]).startswith("A story") and "Buy" not in html.text_at(
+        page, html.best_path(page)[0]
+    )
     page = '<body><div class="notice"><p>One one.</p></div><div class="alert"><p>Two two.</p></div></body>'
     assert [text for text, _, _ in html.blocks(page)] == ["One one.", "Two two."]
 
@@ -131,10 +165,19 @@ def test_marked_containers_around_the_article():
 def test_host_consensus(spark):
     # the short page alone would be read from its longer teaser box; its host's other pages outvote it
     short = '<html><body><div class="teaser"><p>A long teaser about something else, in many words, of no use.</p></div><div class="story s9"><p>Brief.</p></div></body></html>'
-    rows = [(k, "https://News.example:80/p", PAGE) for k in range(3)] + [(9, "https://news.example/q", short), (10, "https://other.example/", short), (11, None, None), (12, "x", ""), (13, "https://news.example/r", "<p>bare"), (14, "https://news.example/s", "no markup")]
-    got = {r.page_id: r for r in html.extract_text(spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], PAGES)).collect()}
+    rows = [(k, "https://News.example:80/p", PAGE) for k in range(3)] + [
+        (9, "https://news.example/q", short), (10, "https://other.example/", short), (11, None, None), (12, "x", ""),
+        (13, "https://news.example/r", "<p>bare"), (14, "https://news.example/s", "no markup")
+    ]
+    got = {
+        r.page_id: r for r in html.extract_text(
+            spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], PAGES)
+        ).collect()
+    }
     assert got[0].text == TEXT and got[9].text == "Brief." and got[10].text.startswith("A long teaser")
-    assert [got[k].text for k in (11, 12, 13, 14)] == ["", "", "bare", "no markup"] and all(r.n_chars == len(r.text) for r in got.values()) and len(got) == len(rows)
+    assert [got[k].text for k in (11, 12, 13, 14)] == ["", "", "bare", "no markup"] and all(
+        r.n_chars == len(r.text) for r in got.values()
+    ) and len(got) == len(rows)
     assert html.extract_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
@@ -143,10 +186,22 @@ WORDS = "Long words of the story that go on and on. " * 8
 
 @pytest.mark.parametrize("page,text", [
     ("<p>bare", "bare"), ("no markup &amp; all", "no markup & all"), ("<nav>menu</nav>", ""),
-    (f'<div class="layout has-sidebar"><nav>x</nav><article><h1>T</h1><p>{WORDS}</p></article></div>', f"T\n\n{WORDS.strip()}"),
-    (f'<body><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body"><p>{WORDS}</p></div></div><div class="teaser"><p>Other story</p></div></body>', f"Title\n\n{WORDS.strip()}"),
-    (f"<body><header>Site</header><article><header><h1>Title</h1><p>By me</p></header><p>{WORDS}</p><footer>f</footer></article></body>", f"Title\n\n{WORDS.strip()}"),
-    (f"<body><article><h1>Title</h1><p>Short intro.</p><section><p>{WORDS}</p><p>{WORDS}</p></section></article><div><p>Other</p></div></body>", f"Title\n\nShort intro.\n\n{WORDS.strip()}\n\n{WORDS.strip()}"),
+    (
+        f'<div class="layout has-sidebar"><nav>x</nav><article><h1>T</h1><p>{WORDS}</p></article></div>',
+        f"T\n\n{WORDS.strip()}"
+    ),
+    (
+        f'<body><div class="post"><div class="post-header"><h1>Title</h1></div><div class="post-body"><p>{WORDS}</p></div></div><div class="teaser"><p>Other story</p></div></body>',
+        f"Title\n\n{WORDS.strip()}"
+    ),
+    (
+        f"<body><header>Site</header><article><header><h1>Title</h1><p>By me</p></header><p>{WORDS}</p><footer>f</footer></article></body>",
+        f"Title\n\n{WORDS.strip()}"
+    ),
+    (
+        f"<body><article><h1>Title</h1><p>Short intro.</p><section><p>{WORDS}</p><p>{WORDS}</p></section></article><div><p>Other</p></div></body>",
+        f"Title\n\nShort intro.\n\n{WORDS.strip()}\n\n{WORDS.strip()}"
+    ),
     (f"<body><h1>Title</h1><div class='c'><p>{WORDS}</p></div><footer>x</footer></body>", f"Title\n\n{WORDS.strip()}"),
 ])
 def test_page_shapes(page, text):
@@ -156,7 +211,9 @@ def test_page_shapes(page, text):
 
 def test_very_long_pages_are_read_whole(spark):
     body = "<article>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(30_000)) + "</article>"
-    (r,) = html.extract_text(spark.createDataFrame([(1, "http://long.example/", body, "a", "b", "c", "d")], PAGES)).collect()
+    (r,) = html.extract_text(
+        spark.createDataFrame([(1, "http://long.example/", body, "a", "b", "c", "d")], PAGES)
+    ).collect()
     assert r.text == "\n\n".join(f"Paragraph {k} of a very long page." for k in range(30_000))
 
 
@@ -176,12 +233,21 @@ def test_votes_against_a_plain_count(spark, sf):
 def test_salted_paths_equal_broadcast_ones(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html", html.host_of().alias("host"))
     winners = html.host_paths(pages)
-    a, b = (sorted(map(str, html.with_host_path(pages, winners, n).select("page_id", "path").collect())) for n in (10**6, 0))
+    a, b = (
+        sorted(
+            map(str, html.with_host_path(pages, winners, n).select("page_id", "path").collect())
+        ) for n in (10**6, 0)
+    )
     assert a == b and len(a) == pages.count()
 
 
 def slow_links(rows, threshold=0.98):
-    ok = {k: (l, np.array(v, float)) for k, v, l in rows if l is not None and k is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    ok = {
+        k: (l, np.array(v, float)) for k, v,
+        l in rows if l is not None and k is not None and v and all(
+            x is not None and np.isfinite(x) for x in v
+        ) and any(v)
+    }
     near = {k: set() for k, _, _ in rows}
     ids = list(ok)
     for n, a in enumerate(ids):
@@ -200,9 +266,15 @@ def test_near_vectors(spark, monkeypatch):
         centre = rng.standard_normal(16)
         for _ in range({0: 60, 1: 30, 2: 2, 3: 3}.get(g % 40, 1)):
             rows.append((len(rows), [float(np.float32(x)) for x in centre + rng.standard_normal(16) * 0.02], g % 3))
-    rows += [(5000 + k, rows[7][1], rows[7][2]) for k in range(4)] + [(5010, [2 * x for x in rows[7][1]], rows[7][2]), (5011, rows[7][1], 2 if rows[7][2] != 2 else 1)]
+    rows += [(5000 + k, rows[7][1], rows[7][2]) for k in range(4)] + [
+        (5010, [2 * x for x in rows[7][1]], rows[7][2]), (5011, rows[7][1], 2 if rows[7][2] != 2 else 1)
+    ]
     want = slow_links(rows)
-    got = {r.vec_id: r for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {
+        r.vec_id: r for r in neighbours.near_vectors(
+            spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+        ).collect()
+    }
     label = {k: k for k in want}
     for _ in range(5):
         for k in want:
@@ -246,7 +318,9 @@ def test_large_groups_lose_no_link(spark, kind):
         if (low == label).all():
             break
         label = low
-    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    rows = spark.createDataFrame(
+        [(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int"
+    )
     got = neighbours.near_vectors(neighbours.written(rows.repartition(4), "vectors")).orderBy("vec_id").toPandas()
     assert (got.n_links.to_numpy() == near.sum(axis=1)).all() and (got.component_id.to_numpy() == label).all()
     assert (got.audit_recall == 1.0).all()
@@ -255,19 +329,35 @@ def test_large_groups_lose_no_link(spark, kind):
 def test_low_recall_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_recall", lambda links, true: (0.5, 0.5))
     with pytest.raises(RuntimeError, match="0.500"):
-        neighbours.near_vectors(spark.createDataFrame([(1, [1.0, 2.0], 1), (2, [1.0, 2.1], 1)], "vec_id long, embedding array<float>, label int"), most=1, rounds=1)
+        neighbours.near_vectors(
+            spark.createDataFrame(
+                [(1, [1.0, 2.0], 1), (2, [1.0, 2.1], 1)], "vec_id long, embedding array<float>, label int"
+            ),
+            most=1, rounds=1
+        )
 
 
 def test_ties_and_ids_with_several_vectors(spark):
-    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2), (1, [1.0, 0.0], 2)]
-    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    rows = [
+        (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (4, [1.0, 0.0], 2),
+        (1, [1.0, 0.0], 2)
+    ]
+    got = neighbours.near_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    ).collect()
     assert len(got) == len(rows)
-    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [
+        (1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1)
+    ]
 
 
 def test_near_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], 2), (4, [1.0, 2.0], None), (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [inf, 1.0], 1), (None, [1.0, 2.0], 1), (11, [1e-30, 2e-30], 1), (12, [1.0, 2.0, 0.0], 1), (13, [-1.0, -2.0], 1)]
+    rows = [
+        (1, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], 2), (4, [1.0, 2.0], None),
+        (5, None, 1), (6, [], 1), (7, [0.0, 0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [inf, 1.0], 1),
+        (None, [1.0, 2.0], 1), (11, [1e-30, 2e-30], 1), (12, [1.0, 2.0, 0.0], 1), (13, [-1.0, -2.0], 1)
+    ]
     shape = "vec_id long, embedding array<float>, label int, id string, key string, n_links string"
     got = neighbours.near_vectors(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], shape)).collect()
     assert len(got) == len(rows)
@@ -288,7 +378,9 @@ def slow_pipeline(docs, labels, benchmark):
     train = [i for i in sorted(marks) if zlib.crc32(str(i).encode()) % 5 and i in docs]
     share = {c: sum(marks[i] == c for i in marks if zlib.crc32(str(i).encode()) % 5) for c in (0, 1)}
     raw = {i: (t or "").encode() for i, t in docs.items()}
-    voter = quality.Voter(np.stack([quality.features(raw[i]) for i in train]), np.array([marks[i] for i in train]), share)
+    voter = quality.Voter(
+        np.stack([quality.features(raw[i]) for i in train]), np.array([marks[i] for i in train]), share
+    )
     good = {i: t for i, t in docs.items() if voter.score(quality.features(raw[i])[None])[0] >= 0.3}
     sets = {i: slow_shingles(t) for i, t in good.items()}
     alike = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
@@ -331,12 +423,20 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
 
     shape = "doc_id long, text string, lang string, source string, n_chars long, score string, spans string"
     story = " ".join(f"word{k % 97} and{k}" for k in range(80))
-    rows = [(1, story), (2, story + " end"), (2, story + " end"), (3, None), (4, ""), (5, " \n "), (None, "no id"), (None, None), (6, "very " * 50_000)]
+    rows = [
+        (1, story), (2, story + " end"), (2, story + " end"), (3, None), (4, ""), (5, " \n "), (None, "no id"),
+        (None, None), (6, "very " * 50_000)
+    ]
     frame = spark.createDataFrame([(i, t, None, None, None, "s", "p") for i, t in rows], shape)
     for name, docs in (("odd", frame), ("empty", frame.limit(0))):
         docs.write.parquet(str(tmp_path / name / "documents.parquet"))
-        spark.createDataFrame([(1, 1), (2, 1), (2, None), (None, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / name / "labels.parquet"))
-        spark.createDataFrame([("a", "ten words of an item that no document here has"), ("b", None), (None, "")], "item_id string, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        spark.createDataFrame([(1, 1), (2, 1), (2, None), (None, 0)], "doc_id long, quality int").write.parquet(
+            str(tmp_path / name / "labels.parquet")
+        )
+        spark.createDataFrame(
+            [("a", "ten words of an item that no document here has"), ("b", None), (None, "")],
+            "item_id string, text string"
+        ).write.parquet(str(tmp_path / name / "benchmark.parquet"))
         at = docs
         for stage, f in corpus_pipeline.STAGES:
             at = f(spark, at, str(tmp_path / name))

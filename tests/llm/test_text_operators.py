@@ -17,7 +17,9 @@ from mediapulse.llm import bpe, classlm, decontaminate, licenses, nearcopies, qu
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, score string, items string, repeats int, fp string, n_words string"
 LONG = "very " * 40_000 + "long"
 ROWS = [
-    (1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"), (3, None), (4, ""), (5, " \t\n "), (6, "one"), (7, LONG), (None, "a b c"), (None, None),
+    (1, "a b c d e f g h i j k l m n o p"), (2, "a b c d e f g h i j k l m n o p"),
+    (2, "a b c d e f g h i j k l m n o p"), (3, None), (4, ""), (5, " \t\n "), (6, "one"), (7, LONG), (None, "a b c"),
+    (None, None),
     (8, "É Ü ß Σ İ <|endoftext|> don't 12  x y é !!"), (9, "line one\nline two\r\nline three\x1cfour\x85five"),
 ]
 
@@ -85,13 +87,25 @@ def test_simhash_odd_rows(odd, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4)), min_size=1, max_size=60))
+@given(
+    st.lists(
+        st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=4)), min_size=1,
+        max_size=60
+    )
+)
 def test_gray_index_finds_all(rows):
     base = {}
-    fps = sorted({(b, base.setdefault(b, f) ^ sum(1 << k for k in set(flips))) for b, f, flips in rows}, key=lambda x: (x[0], gray_rank(x[1])))
+    fps = sorted(
+        {(b, base.setdefault(b, f) ^ sum(1 << k for k in set(flips))) for b, f, flips in rows},
+        key=lambda x: (x[0], gray_rank(x[1]))
+    )
     bucket, fp = np.array([x[0] for x in fps]), np.array([x[1] for x in fps], np.uint64)
     i, j = simhash.GrayIndex(bucket, fp).near(np.arange(len(fps)), 3)
-    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if fps[a][0] == fps[b][0] and bin(fps[a][1] ^ fps[b][1]).count("1") <= 3}
+    want = {
+        (a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if fps[a][0] == fps[b][0] and bin(
+            fps[a][1] ^ fps[b][1]
+        ).count("1") <= 3
+    }
     assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
 
 
@@ -117,7 +131,10 @@ def test_hot_bucket_in_blocks(spark):
     reps = spark.createDataFrame(list(rows.items()), "fp long, rep long")
     got = {r.node: r.component for r in simhash.connected_components(simhash.near_links(reps, 3, block=50)).collect()}
     fps = list(rows)
-    want = components(list(rows.values()), [(rows[a], rows[b]) for k, a in enumerate(fps) for b in fps[k + 1 :] if bin(a ^ b).count("1") <= 3])
+    want = components(
+        list(rows.values()),
+        [(rows[a], rows[b]) for k, a in enumerate(fps) for b in fps[k + 1 :] if bin(a ^ b).count("1") <= 3]
+    )
     assert {k: got.get(k, k) for k in want} == want
 
 
@@ -190,10 +207,14 @@ def test_decontamination(spark, sf, docs, texts, max_words):
 
 
 def test_decontamination_odd_rows(spark, odd, empty):
-    bench = spark.createDataFrame([(1, "b c D"), (2, None), (None, "m n, o"), (3, "!!"), (4, "b c d")], "item_id long, text string")
+    bench = spark.createDataFrame(
+        [(1, "b c D"), (2, None), (None, "m n, o"), (3, "!!"), (4, "b c d")], "item_id long, text string"
+    )
     rows = decontaminate.decontaminate(odd, bench, clean=True).collect()
     by = {r.doc_id: r for r in rows}
-    assert len(rows) == len(ROWS) and (by[1].n_hit, by[1].items) == (6, ["1", "4"]) and (by[3].n_words, by[3].n_hit) == (0, 0)
+    assert len(rows) == len(ROWS) and (by[1].n_hit, by[1].items) == (6, ["1", "4"]) and (
+        by[3].n_words, by[3].n_hit
+    ) == (0, 0)
     assert by[1].text == "a  e f g h i j k l  p" and by[7].n_words == 40_001
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert all(r.n_hit == 0 for r in decontaminate.decontaminate(odd, bench.limit(0)).collect())
@@ -214,7 +235,10 @@ def test_bpe_matches_the_library(docs, odd, empty):
         want = Counter()
         for r in table.collect():
             ids = t.encode(r.text or "", add_special_tokens=False).ids
-            want[r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+            want[
+                r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
+                hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+            ] += 1
         assert Counter(map(tuple, bpe.bpe_encode(table, queries.vocabulary(), digests=True).collect())) == want
         for r in bpe.bpe_encode(table, queries.vocabulary()).collect():
             assert r.decoded == t.decode(r.ids, skip_special_tokens=False)
@@ -222,7 +246,11 @@ def test_bpe_matches_the_library(docs, odd, empty):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=60) | st.text("aAeé Σσ'st12!<|>endoftxr ́ẞ ", max_size=60))
+@given(
+    st.text(st.characters(exclude_categories=["Cs", "Cn"]), max_size=60) | st.text(
+        "aAeé Σσ'st12!<|>endoftxr ́ẞ ", max_size=60
+    )
+)
 def test_bpe_on_any_text(text):
     t = tokenizer() if not hasattr(test_bpe_on_any_text, "t") else test_bpe_on_any_text.t
     test_bpe_on_any_text.t = t
@@ -238,7 +266,9 @@ def test_bpe_forgets_within_its_bound():
 
 def test_quality_separates_labels(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
-    scored = quality.score_quality(docs, labels).join(labels.groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "y"), "doc_id").collect()
+    scored = quality.score_quality(docs, labels).join(
+        labels.groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "y"), "doc_id"
+    ).collect()
     good, bad = [r.score for r in scored if r.y == 1], [r.score for r in scored if r.y == 0]
     assert np.mean([g > b for g in good for b in bad]) > 0.95
     held = [r for r in scored if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
@@ -256,7 +286,10 @@ def test_votes_against_brute_force(spark, sf, docs, texts):
         v = v / max(np.linalg.norm(v), 1e-12)
         ranked = sorted(((float(v @ voter.known[:, k]), k) for k in range(len(voter.y))), reverse=True)
         last = ranked[24][0]
-        weigh = [(max(0.0, min(1.0, s)) ** quality.POWER * voter.weight[k], voter.y[k]) for s, k in ranked if s >= last - 1e-6]
+        weigh = [
+            (max(0.0, min(1.0, s)) ** quality.POWER * voter.weight[k], voter.y[k]) for s,
+            k in ranked if s >= last - 1e-6
+        ]
         want = (sum(w * y for w, y in weigh) + 0.05 * voter.prior) / (sum(w for w, _ in weigh) + 0.05)
         assert got[i].score == pytest.approx(want, abs=2e-3) and got[i].predicted == (got[i].score >= 0.3)
 
@@ -269,7 +302,10 @@ def test_neighbours_that_tie_all_vote():
 
 
 def test_quality_odd_rows(spark, odd, empty):
-    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (7, 0, 1), (None, 1, 0), (8, None, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(1, 1, 0), (1, 1, 0), (7, 0, 1), (None, 1, 0), (8, None, 0), (6, 0, 0)],
+        "doc_id long, quality int, toxic int"
+    )
     rows = quality.score_quality(odd, labels).collect()
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
@@ -281,7 +317,11 @@ def slow_windows_of(raw):
     words = [m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)]
     padded = b" " * 16 + raw
     h = [sum(int(substring._GEAR[padded[15 + a - k]]) << k for k in range(16)) % 65536 for a, _ in words]
-    cut = [k for k in range(len(h)) if k == 0 or all(h[k] < h[x] for x in range(max(0, k - 3), k)) and all(h[k] <= h[x] for x in range(k + 1, min(len(h), k + 4)))]
+    cut = [
+        k for k in range(len(h)) if k == 0 or all(h[k] < h[x] for x in range(max(0, k - 3), k)) and all(
+            h[k] <= h[x] for x in range(k + 1, min(len(h), k + 4))
+        )
+    ]
     starts = sorted({x for a, z in zip(cut, [*cut[1:], len(h)]) for x in range(a, z, 64)})
     edges, found = [*starts, len(h)], []
     for k in starts:
@@ -309,7 +349,9 @@ def slow_substring(rows):
             out[i] = t
             continue
         ends = [words[k + 1][0] if k + 1 < len(words) else len(raw) for k in range(len(words))]
-        out[i] = (raw[: words[0][0]] + b"".join(raw[words[k][0] : ends[k]] for k in range(len(words)) if k not in gone)).strip().decode()
+        out[i] = (
+            raw[: words[0][0]] + b"".join(raw[words[k][0] : ends[k]] for k in range(len(words)) if k not in gone)
+        ).strip().decode()
     return out
 
 
@@ -321,13 +363,20 @@ def test_substring_against_brute_force(docs, texts):
 
 def test_substring_shifts_and_odd_rows(spark, odd, empty):
     passage = " ".join(f"word{k}" for k in range(60))
-    rows = [(1, "start " + passage + " end of it", "x"), (2, "another lead in here: " + passage, "y"), (3, "clean text of its own", None), (3, "clean text of its own", None), (None, None, None)]
-    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string, n_removed_runs string")).collect()
+    rows = [
+        (1, "start " + passage + " end of it", "x"), (2, "another lead in here: " + passage, "y"),
+        (3, "clean text of its own", None), (3, "clean text of its own", None), (None, None, None)
+    ]
+    got = substring.substring_dedup(
+        spark.createDataFrame(rows, "doc_id long, text string, n_removed_runs string")
+    ).collect()
     text = {r.doc_id: r.text for r in got}
     assert text[1] == rows[0][1] and text[3] == rows[2][1] and text[None] is None and len(got) == 5
     assert text[2].startswith("another lead in here:") and len(text[2].split()) < 30
     after = {r.doc_id: r for r in substring.substring_dedup(odd).collect()}
-    assert len(after[7].text) < 30_000 and after[7].text.startswith("very very") and after[4].text == "" and after[3].text is None
+    assert len(
+        after[7].text
+    ) < 30_000 and after[7].text.startswith("very very") and after[4].text == "" and after[3].text is None
     assert substring.substring_dedup(empty).count() == 0
 
 
@@ -336,7 +385,11 @@ def test_mosaics_of_short_phrases_stay(spark):
     rng = np.random.default_rng(4)
     phrases = [" ".join(f"w{x}" for x in rng.integers(0, 500, 8)) for _ in range(40)]
     rows = [(k, " ".join(rng.permutation(phrases)[:12])) for k in range(60)]
-    got = {r.doc_id: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        r.doc_id: r for r in substring.substring_dedup(
+            spark.createDataFrame(rows, "doc_id long, text string")
+        ).collect()
+    }
     again = {i for i, r in got.items() if r.n_removed_runs}
     pieces = {}
     for i, t in rows:
@@ -351,7 +404,9 @@ def test_every_occurrence_but_the_first_of_a_hot_passage_goes(spark):
     passage = " ".join(f"hot{k}" for k in range(60))
     rows = [(k, " ".join(f"own{k}_{x}" for x in range(k % 30)) + " " + passage + f" tail{k}") for k in range(600)]
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
-    assert [r.doc_id for r in got if not r.n_removed_runs] == [0] and all(len(r.text.split()) < len(rows[r.doc_id][1].split()) - 30 for r in got if r.doc_id)
+    assert [r.doc_id for r in got if not r.n_removed_runs] == [0] and all(
+        len(r.text.split()) < len(rows[r.doc_id][1].split()) - 30 for r in got if r.doc_id
+    )
 
 
 @settings(max_examples=80, deadline=None)
@@ -396,7 +451,9 @@ def slow_class_scores(texts, class_of, kinds):
             return sum(step(a, k) * once[k] / (sizes[k] + once[k]) for k in range(kinds + 1))
         if a == unknown:
             return share[b]
-        return (moves[a, b] + classlm.STRENGTH * share[b]) / (sum(moves[a, k] for k in range(states)) + classlm.STRENGTH)
+        return (moves[a, b] + classlm.STRENGTH * share[b]) / (
+            sum(moves[a, k] for k in range(states)) + classlm.STRENGTH
+        )
 
     step_of, out = {}, {}
     for i, words in split.items():
@@ -413,7 +470,9 @@ def test_class_model(spark, docs, texts, head):
     kinds = 7
     words = {w for t in texts.values() for w in (t or "").encode().lower().split()}
     class_of = {w: classlm.word_key(w) % (kinds + 1) for w in words}
-    given = lambda vocab: vocab.select(classlm._key_of("word").alias("word_key")).selectExpr("word_key", f"cast(word_key % {kinds + 1} as int) as class")
+    given = lambda vocab: vocab.select(classlm._key_of("word").alias("word_key")).selectExpr(
+        "word_key", f"cast(word_key % {kinds + 1} as int) as class"
+    )
     got = {r.doc_id: r for r in classlm.class_model_scores(docs, classes=kinds, head=head, clusters=given).collect()}
     known_words = trained(texts)
     want = slow_class_scores(texts, {w: c for w, c in class_of.items() if w in known_words}, kinds)
@@ -431,7 +490,9 @@ def trained(texts):
 def test_class_model_beats_the_base(docs):
     rows = classlm.class_model_scores(docs, core=200, seed=100).collect()
     for held in (True, False):
-        assert sum(r.score for r in rows if r.held_out == held) > 0.95 * sum(r.base_score for r in rows if r.held_out == held)
+        assert sum(r.score for r in rows if r.held_out == held) > 0.95 * sum(
+            r.base_score for r in rows if r.held_out == held
+        )
 
 
 def test_every_word_beside_a_core_word_has_a_class(spark, docs, texts):
@@ -439,7 +500,12 @@ def test_every_word_beside_a_core_word_has_a_class(spark, docs, texts):
     words = vocab.mapInArrow(classlm._count, "word string, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
     found = classlm._clustered(vocab, words, 50, 20, 6).collect()
     assert len({r.word_key for r in found}) == len(found) and {r["class"] for r in found} <= set(range(6))
-    top = [w for w, _ in Counter(w for i, t in texts.items() if not is_held_out(i) for w in (t or "").encode().lower().split()).most_common(20)]
+    top = [
+        w for w,
+        _ in Counter(
+            w for i, t in texts.items() if not is_held_out(i) for w in (t or "").encode().lower().split()
+        ).most_common(20)
+    ]
     near = set()
     for i, t in texts.items():
         w = [None, *(t or "").encode().lower().split(), None]
@@ -498,7 +564,9 @@ def test_exchange_ends_where_no_word_gains():
 
 def test_class_model_odd_rows(odd, empty):
     rows = classlm.class_model_scores(odd).collect()
-    assert len(rows) == len(ROWS) and all(r.held_out for r in rows if r.doc_id is None) and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
+    assert len(rows) == len(ROWS) and all(r.held_out for r in rows if r.doc_id is None) and {
+        r.n_tokens for r in rows if r.doc_id in (3, 4, 5)
+    } == {1}
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
     assert classlm.class_model_scores(empty).count() == 0
 
@@ -538,9 +606,24 @@ def test_license_scan_odd_rows(spark, odd, empty):
     long = " ".join(f"term{k}" for k in range(100))
     changed = long.replace("term50 ", "other ")
     notices = [("short", "one"), ("long", long), ("blank", "!!")]
-    rows = [(1, "x " * 300 + changed + " y" * 10), (2, "one"), (3, "one two"), (4, None), (None, long + " z" * 300 + " " + long)]
-    got = sorted((str(r.doc_id), r.template, round(r.containment, 2), r.first_word, r.end_word) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), notices).collect())
-    assert got == [("1", "long", 0.95, 300, 400), ("2", "short", 1.0, 0, 1), ("None", "long", 1.0, 0, 100), ("None", "long", 1.0, 400, 500)]
+    rows = [
+        (1, "x " * 300 + changed + " y" * 10), (2, "one"), (3, "one two"), (4, None),
+        (None, long + " z" * 300 + " " + long)
+    ]
+    got = sorted(
+        (str(r.doc_id), r.template, round(r.containment, 2), r.first_word, r.end_word) for r in licenses.license_scan(
+            spark.createDataFrame(rows, "doc_id long, text string"), notices
+        ).collect()
+    )
+    assert got == [
+        ("1", "long", 0.95, 300, 400), ("2", "short", 1.0, 0, 1), ("None", "long", 1.0, 0, 100),
+        ("None", "long", 1.0, 400, 500)
+    ]
     assert licenses.license_scan(odd).count() == 0 and licenses.license_scan(empty).count() == 0
     with pytest.raises(ValueError):
-        licenses.license_scan(odd, spark.createDataFrame([("t", "x" * (2 * licenses.MAX_TEMPLATE_WORDS + 1))], "template string, text string"))
+        licenses.license_scan(
+            odd,
+            spark.createDataFrame(
+                [("t", "x" * (2 * licenses.MAX_TEMPLATE_WORDS + 1))], "template string, text string"
+            )
+        )
