@@ -52,11 +52,13 @@ class Stream:
 
     def __init__(self, data: bytes, step: int = 1 << 18):
         self.data, self.at, self.step, self.buffer, self.offset = memoryview(data), 0, step, bytearray(), 0
-        self.broken = False
+        self.broken = self.begun = False
         self.zip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
         if self.at >= len(self.data):
+            self.broken |= self.begun  # a member without its end
+            self.begun = False
             return False
         part = self.data[self.at : self.at + self.step]
         self.at += len(part)
@@ -64,6 +66,7 @@ class Stream:
             self.buffer += part
             return True
         while part:
+            self.begun = True
             try:
                 self.buffer += self.zip.decompress(part)
             except zlib.error:  # what was read before it stays
@@ -71,6 +74,8 @@ class Stream:
                 return True
             part = self.zip.unused_data
             if self.zip.eof:
+                self.begun = False
+                part = part.lstrip(b"\0")  # padding
                 self.zip = zlib.decompressobj(31)
             else:
                 break

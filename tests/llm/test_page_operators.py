@@ -81,21 +81,23 @@ def test_any_file_names_and_bad_records(spark, tmp_path):
         b"http://h/2", b"payload 2"
     )
     (tmp_path / "arc" / "plain.arc").write_bytes(b"filedesc://foo\n" + bad)
-    (tmp_path / "arc" / "cut.arc.gz").write_bytes(
-        gzip.compress(lead + record(b"http://h/3", b"payload 3"))[:-20] + b"\0" * 30
-    )
+    body = gzip.compress(lead + record(b"http://h/3", b"payload 3"))
+    (tmp_path / "arc" / "junk.arc.gz").write_bytes(body + b"no gzip member")
+    (tmp_path / "arc" / "padded.arc.gz").write_bytes(gzip.compress(lead + record(b"http://h/5", b"payload 5")) + b"\0" * 30)
+    long = bytes(np.random.default_rng(1).integers(97, 123, 5000).astype(np.uint8))
+    (tmp_path / "arc" / "cut.arc.gz").write_bytes(gzip.compress(lead + record(b"http://h/4", long))[:-900])
     rows = warc.read_arc(spark, str(tmp_path / "arc")).collect()
     good = [r for r in rows if not r.problem]
-    assert {r.uri for r in good} >= {"http://h/0", "http://h/1", "http://h/2"} and len(
+    assert {r.uri for r in good} == {f"http://h/{k}" for k in range(6)} and len(
         {r.record_id for r in good}
     ) == len(good)
-    assert {r.problem for r in rows if r.problem} == {"header", "gzip"}
+    assert {r.problem for r in rows if r.problem} == {"header", "gzip"} and [r.uri for r in good if r.truncated] == ["http://h/4"]
     lost = {
         r.problem: r.n for r in warc.arc_to_warc(
             spark, str(tmp_path / "arc"), str(tmp_path / "warc"), "uri"
         ).collect()
     }
-    assert lost == {"header": 2, "gzip": 1}
+    assert lost == {"header": 2, "gzip": 2}
     back = warc.read_warc(spark, str(tmp_path / "warc")).collect()
     assert {r.uri for r in back} == {r.uri for r in good} and not any(r.problem for r in back)
     text = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Length: 3\r\nWARC-Payload-Digest: sha1:WRONG\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: x\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:2>\r\nContent-Length: 2\r\n\r\nde\r\n\r\n"
