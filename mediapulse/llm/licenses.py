@@ -1,7 +1,7 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingles verify them.
 
-Words are lower-cased ASCII letters, digits and characters above ASCII; shingles are SHINGLE words (a shorter
-template is one shingle). A template with m shingles belongs to the size class of the largest power of two
+Words are lower-cased ASCII letters, digits and characters above ASCII; shingles are SHINGLE words; a
+template of fewer is looked up word by word. A template with m shingles belongs to the size class of the largest power of two
 c <= m; windows of that class span 2.5 c shingles and start every c / 2, so each occurrence lies whole inside
 a window whose Jaccard similarity with it is at least 0.29 even at a containment of 0.8. With BANDS bands of
 one row each, such a window is missed with a probability below 0.71 ** BANDS, about 2 in 100,000.
@@ -59,13 +59,17 @@ class Templates:
 
     def __init__(self, rows: list[tuple[str, bytes]], size: int = SHINGLE):
         self.size, self.names, self.shingles, classes = size, [], [], {}
+        self.short: list[list[bytes]] = []  # words of templates below a shingle, which are looked up as they are
         for name, text in rows:
             words = words_of(text)
             if not words:
                 continue
             self.names.append(name)
+            self.short.append(words if len(words) < size else [])
             n = max(1, len(words) - size + 1)
             self.shingles.append({tuple(words[k : k + size]) for k in range(n)})
+            if len(words) < size:
+                continue
             h = shingle_hashes(words, size)
             sig = np.array([((h ^ a) * b).min() for a, b in _SEEDS], np.uint32)
             step = 1 << (len(self.shingles[-1]).bit_length() - 1)
@@ -102,11 +106,18 @@ class Templates:
                     if (share := len(places) / len(self.shingles[t])) >= containment:
                         ks = [k for x in places.values() for k in x]
                         found.setdefault((text, t), []).append((min(ks), max(ks) + size, share))
-        for text, t in enumerate(texts):
-            if 0 < len(t) < size:  # shorter than a shingle: equal to a template or none of its shingles
-                for k, own in enumerate(self.shingles):
-                    if tuple(t) in own:
-                        found[text, k] = [(first[text], first[text] + len(t), 1.0)]
+        codes = word_hashes(words)
+        for t, known in enumerate(self.short):
+            m = len(known)
+            if not m or len(codes) < m:
+                continue
+            own = word_hashes(known)
+            same = text_of[: len(codes) - m + 1] == text_of[m - 1 :]
+            for k in range(m):
+                same &= codes[k : len(codes) - m + 1 + k] == own[k]
+            for k in np.flatnonzero(same).tolist():
+                if words[k : k + m] == known:
+                    found.setdefault((int(text_of[k]), t), []).append((k, k + m, 1.0))
         out = []
         for (text, t), spans in found.items():
             spans.sort()
