@@ -17,6 +17,7 @@ from .licenses import license_scan
 from .negatives import hard_negatives, integer_vectors
 from .neighbours import near_vectors
 from .quality import held_out, score_quality
+from .repair import damage, repair
 from .rules import clean_lines
 from .simhash import simhash_dedup
 from .substring import substring_dedup
@@ -88,6 +89,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(integer_vectors(table(spark, sf_dir, "embeddings"), shifted), F.col("vec_id") % 100 == 0)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
