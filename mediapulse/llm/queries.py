@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rules
 from .bpe import bpe_encode
 from .classlm import class_model_scores
 from .common import scratch_path, table
@@ -20,6 +19,7 @@ from .quality import held_out, score_quality
 from .repair import damage, repair
 from .rules import clean_lines
 from .simhash import simhash_dedup
+from .sql import SQL
 from .substring import substring_dedup
 from .warc import page_archive
 
@@ -93,64 +93,6 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
-def _quoted(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-_COUNT = lambda text, pattern: f"len(regexp_extract_all({text}, {_quoted(pattern)}))"
-#: The queries whose whole tables DuckDB can work through: op11 line by line, op12 by all products of anchors and rows.
-SQL = {
-    "op11_quality_rules": f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, regexp_extract_all(text, {_quoted(rules.WORD)}) AS words FROM d),
-i AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS p FROM w WHERE len(words) > 2),
-t AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, words[p], words[p + 1], words[p + 2]) AS n FROM i),
-r AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM t WHERE n > 1) GROUP BY doc_id),
-split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM d),
-l AS (SELECT doc_id, lines[k] AS line, k FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM split)),
-c AS (
-  SELECT *, {_COUNT("line", rules.WORD)} AS n, {_COUNT("line", rules.SEPARATOR)} AS separators,
-         {_COUNT(f"regexp_replace(line, {_quoted(rules.BULLET)}, '')", rules.SYMBOL)} AS symbols, {_COUNT("line", rules.SHOUT)} AS shouts,
-         row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again
-  FROM l),
-f AS (
-  SELECT doc_id, n, again, (separators >= 2 AND separators * 4 >= n) OR (symbols >= 3 AND symbols * 2 >= n)
-         OR (shouts >= 2 AND shouts * 3 >= n) OR (n < {rules.OPEN_WORDS} AND NOT regexp_matches(line, {_quoted(rules.CLOSED)}))
-         OR (n <= {rules.PHRASE_WORDS} AND regexp_matches(line, {_quoted(rules.BOILERPLATE)})) OR again AS fails
-  FROM c WHERE n > 0),
-k AS (SELECT doc_id, count(*) AS n_lines, count_if(NOT fails) AS n_kept_lines, coalesce(sum(n) FILTER (NOT fails), 0) AS n_kept_words, count_if(again) AS n_dup_lines FROM f GROUP BY doc_id),
-z AS (
-  SELECT doc_id, len(words) AS n_words, length(text) - {_COUNT("text", rules.SPACE)} AS word_chars, {_COUNT("text", rules.SYMBOL)} AS n_symbols,
-         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-         coalesce(n_kept_lines, 0) AS n_kept_lines, CAST(coalesce(n_kept_words, 0) AS BIGINT) AS n_kept_words
-  FROM w LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id))
-SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND 100 * (n_words - n_kept_words) <= {rules.MOST_LOST} * n_words AS kept
-FROM z""",
-    "op12_hard_negatives": """
-WITH r AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
-         CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
-  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
-p AS (
-  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
-  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
-n AS (
-  SELECT p.anchor_id, positive_id, other AS negative_id, positive_score, score AS negative_score,
-         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS nth
-  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
-  WHERE 80 * positive_score <= 100 * score AND score <= positive_score)
-SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score
-FROM n WHERE nth <= 5""",
-}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
