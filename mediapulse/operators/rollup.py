@@ -42,20 +42,20 @@ def day_partials(articles: DataFrame) -> DataFrame:
     )
 
 
-def rollup_partials(
-    partials: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50
-) -> DataFrame:
-    """Theme rows per (country, audience, period): counts, share, mean tone; the minimum and the top N of
-    the whole period, not of its days.
+def period_counts(partials: DataFrame, periods: tuple[str, ...] = ("monthly",)) -> DataFrame:
+    """Counts of the day partials summed to whole periods."""
+    spread = F.explode(F.array(*[text.period_struct(F.col("day"), p) for p in periods])).alias("p")
+    sums = ["article_count", "tone_sum", "tone_n"]
+    rows = partials.select("country", "audience_type", "theme", *sums, spread).select("*", "p.*")
+    return rows.groupBy(*BUCKET, "theme").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def top_themes(counts: DataFrame, min_count: int = 2, top: int = 50) -> DataFrame:
+    """Theme rows of period counts: share, mean tone, rank; the minimum and the top N of each whole bucket.
 
     The total's row ranks first in its bucket and hands its count to the others inside the same partition,
     so no join is needed.
     """
-    spread = F.explode(F.array(*[text.period_struct(F.col("day"), p) for p in periods])).alias("p")
-    counts = partials.select("country", "audience_type", "theme", "article_count", "tone_sum", "tone_n", spread).select("*", "p.*").groupBy(*BUCKET, "theme").agg(
-        F.sum("article_count").alias("article_count"), F.sum("tone_sum").alias("tone_sum"),
-        F.sum("tone_n").alias("tone_n")
-    )
     kept = ranked(
         counts.where(F.col("theme").isNull() | (F.col("article_count") >= min_count)), BUCKET,
         [F.col("theme").isNotNull(), F.desc("article_count"), "theme"], top + 1
@@ -68,6 +68,13 @@ def rollup_partials(
     )
 
 
+def rollup_partials(
+    partials: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50
+) -> DataFrame:
+    """Theme rows per (country, audience, period) of day partials."""
+    return top_themes(period_counts(partials, periods), min_count, top)
+
+
 def theme_rollup(
     articles: DataFrame, periods: tuple[str, ...] = ("monthly",), min_count: int = 2, top: int = 50
 ) -> DataFrame:

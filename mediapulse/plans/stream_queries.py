@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..operators.graph import scratch_path
+from ..sources import gkg, slices
 from ..streaming import jobs
 from . import driver as d
 from .registry import query
@@ -54,9 +60,7 @@ def _drop(spark, sf, name: str, closing: bool = False):
 )
 def stream_theme_rollup(spark, sf):
     folder, rows = _drop(spark, sf, "rollup")
-    jobs.start_rollup(
-        jobs.deduplicated(rows), f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint"
-    ).awaitTermination()
+    jobs.start_rollup(rows, f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     table = spark.read.parquet(f"{folder}/table")
     return table.select(
         "country", "audience_type", "period_type", F.col("period_start").cast("date").alias("period_start"), "theme",
@@ -88,3 +92,77 @@ def stream_surges(spark, sf):
         "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
         F.round("ratio", 6).alias("ratio")
     )
+
+
+def _put_slices(folder: str, batches):
+    """Write each slice's lines as a zip file of its name; a tried-again task writes the same bytes."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path)
+    for b in batches:
+        for name, broken, lines in zip(*(b.column(c).to_pylist() for c in ("name", "broken", "lines"))):
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(zipfile.ZipInfo(name), "\n".join(sorted(lines)))
+            content = held.getvalue()
+            with store.open_output_stream(f"{path}/{name}.zip") as f:
+                f.write(content[: len(content) // 2] if broken else content)
+        yield pa.RecordBatch.from_arrays([b.column("name")], names=["name"])
+
+
+_HOURS3 = 10_800
+_SLICES = """WITH e AS (SELECT epoch(time_bucket(INTERVAL 3 HOUR, ts))::BIGINT // 10800 AS n, event_id % 11 <> 0 AND (event_id % 13 <> 0 OR event_id % 26 = 0) AS good FROM events),
+ c AS (SELECT n, count(*) AS seen, count(*) FILTER (WHERE good) AS good FROM e GROUP BY n),
+ s AS (SELECT n, coalesce(seen, 0) AS seen, coalesce(good, 0) AS good, n >= (SELECT max(n) FROM c) - 40 AS recent FROM (SELECT unnest(range((SELECT min(n) FROM c), (SELECT max(n) FROM c) + 1)) AS n) LEFT JOIN c USING (n))"""
+
+
+def _slice_drop(spark, sf):
+    """(folder, put, first, last) of the events' lines in zip files of three hours; every seventh file is cut short, and
+    put(which) writes the files whose numbers satisfy a condition."""
+    from .text_queries import gkg_lines
+
+    spark.dataSource.register(slices.SliceDrop)
+    number = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / _HOURS3)
+    files = gkg_lines(spark, sf, number.alias("n")).groupBy("n").agg(F.collect_list("value").alias("lines"))
+    at = F.timestamp_seconds(F.col("n") * _HOURS3)
+    files = files.select(
+        "n", F.concat(F.date_format(at, "yyyyMMddHHmmss"), F.lit(".gkg.csv")).alias("name"),
+        (F.col("n") % 7 == 0).alias("broken"), "lines"
+    )
+    folder = f"{scratch_path(spark, 'slices')}/drop"
+    put = lambda which: files.where(which).mapInArrow(lambda b: _put_slices(folder, b), "name string").count()
+    first, last = files.agg(F.min(at), F.max(at)).first()
+    return folder, put, first, last
+
+
+def _options(folder, first, last):
+    return {"path": folder, "minutes": 180, "first": f"{first:%Y-%m-%dT%H:%M:%S}", "last": f"{last:%Y-%m-%dT%H:%M:%S}"}
+
+
+@query(f"""{_SLICES}, r AS (SELECT n, seen, good, CASE WHEN seen = 0 OR n % 11 = 0 AND (NOT recent OR n % 2 = 0) THEN CASE WHEN recent THEN 'waiting' ELSE 'missing' END WHEN n % 7 = 0 THEN 'corrupt' ELSE 'read' END AS status FROM s)
+ SELECT n, status, CASE WHEN status = 'read' THEN seen ELSE 0 END AS lines, CASE WHEN status = 'read' THEN good ELSE 0 END AS rows FROM r WHERE status <> 'waiting'""")
+def stream_slices(spark, sf):
+    """The slice drop as a stream in two runs: every eleventh slice is absent in the first one, some of them come before
+    the second; what came too late or not at all is missing once its lookback of five days has passed."""
+    folder, put, first, last = _slice_drop(spark, sf)
+    options = _options(folder, first, last) | {"lookback": 5 * 1440, "now": f"{last:%Y-%m-%dT%H}:07:00"}
+    for which in ("n % 11 <> 0", "n % 11 = 0 and n % 2 = 1"):
+        put(which)
+        stream = spark.readStream.format("slices").options(**options).load()
+        few = stream.coalesce(spark.sparkContext.defaultParallelism)  # so many files, not one for each slice
+        run = few.writeStream.option("checkpointLocation", f"{folder}_checkpoint").option("path", f"{folder}_rows")
+        run.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(slices.SCHEMA).parquet(f"{folder}_rows")
+    parsed = gkg.parse_lines(rows, keep=("slice",)).groupBy("slice").agg(F.count("*").alias("rows"))
+    own = rows.where("status is not null").join(parsed, "slice", "left")
+    return own.select(
+        F.floor(F.unix_timestamp("slice") / _HOURS3).alias("n"), "status", "lines", F.coalesce("rows", F.lit(0)).alias("rows")
+    )
+
+
+@query(f"""{_SLICES}, r AS (SELECT *, CASE WHEN seen = 0 OR n % 11 = 0 THEN 'missing' WHEN n % 7 = 0 THEN 'corrupt' ELSE 'read' END AS status FROM s)
+ SELECT count(*) AS attempted, count_if(status = 'read') AS fetched, count_if(status = 'missing') AS missing, count_if(status = 'corrupt') AS errored,
+   coalesce(sum(CASE WHEN status = 'read' THEN seen END), 0)::BIGINT AS lines FROM r""")
+def slice_range_counters(spark, sf):
+    folder, put, first, last = _slice_drop(spark, sf)
+    put("n % 11 <> 0")
+    return slices.counters(spark.read.format("slices").options(**_options(folder, first, last)).load())

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from .slices import first_member
 
 
-def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines to rows (record_id, date, raw_domain, url, title, themes, tone).
+def parse_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lines to rows (*keep, record_id, date, raw_domain, url, title, themes, tone).
 
     Lines of fewer than 17 fields, without a readable time or without a url are dropped; only the seven
     fields that are used leave the split array. Quotes are plain characters.
@@ -22,7 +21,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     parts = F.split(F.col(column), "\t", -1)
     field = lambda name: F.get(parts, F.lit(fixed.GKG_FIELDS[name]))
     rows = lines.where(F.size(parts) >= fixed.GKG_LEAST_FIELDS).select(
-        field("record_id").alias("record_id"),
+        *keep, field("record_id").alias("record_id"),
         F.coalesce(text.stamp(field("date")), text.stamp(field("record_id"))).alias("date"),
         F.lower(F.trim(field("source"))).alias("raw_domain"),
         F.trim(field("url")).alias("url"), text.page_title(field("extras")).alias("title"),
@@ -38,16 +37,16 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 def _unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    lines = archive.read(archive.namelist()[0]).decode("utf-8", "replace").splitlines()
-                yield pd.DataFrame({"path": path, "value": lines, "skipped": False})
-            except (zipfile.BadZipFile, IndexError):
-                yield pd.DataFrame({"path": [path], "value": [None], "skipped": [True]})
+            lines = first_member(content)
+            yield pd.DataFrame({"path": path, "value": lines or [None], "skipped": lines is None})
 
 
 def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    """(path, value, skipped) of the first member of every zip; a bad or empty zip is one skipped row."""
+    """(path, value, skipped) of the first member of every zip.
+
+    A zip that cannot be read, whatever is wrong with it, is one skipped row; one whose member has no lines is one row
+    without a value.
+    """
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.zip")
     return unzipped(files.load(path))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..operators import rollup
 from ..operators.graph import discard, written
@@ -17,15 +18,71 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 4) -> Da
     return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
-def deduplicated(
-    rows: DataFrame, keys: tuple[str, ...] = ("domain", "url", "date"), late: str = "2 hours"
-) -> DataFrame:
-    """One row of each key while the watermark keeps it; the state is bounded by `late`.
+#: Milliseconds that an article stays in the state after its last change; parts of the state, fixed for a checkpoint.
+KEPT, PARTS = 70 * 24 * 3600 * 1000, 4096
+#: What a rollup needs of an article: its key, and its first sighting's time and number.
+_KEY, _FIRST = ["domain", "url"], ["date", "record_id", "country", "audience_type", "themes", "tone"]
+_CHANGE = Row("sign", *_KEY, *_FIRST)
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    This drops what overlapping lookbacks read twice. The date is a key, as any row of a key may stay; which
-    of several dates counts as first is decided over the store.
+
+class FirstSeen(StatefulProcessor):
+    """Keeps the first row of each (domain, url) as state with a time to live, and reports what changes.
+
+    A new article is one row of sign 1. A copy with an earlier time takes its place: the old row is taken back with sign -1. Later
+    copies and replays change nothing; the order of arrival does not matter while an article is kept. Rows before
+    `frozen`, in microseconds, pass with sign 0. A part of the state holds the articles of one hash, so that a batch
+    reads the parts that its articles fall into and asks the state store once for each, not once for each article.
     """
-    return rows.withWatermark("date", late).dropDuplicatesWithinWatermark(list(keys))
+
+    def __init__(self, kept: int = KEPT, frozen: int | None = None):
+        self.kept, self.frozen = kept, frozen
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("firsts", "firsts string", self.kept)
+
+    def handleInputRows(self, key, rows, timers):
+        now = timers.getCurrentProcessingTimeInMs()
+        held = self.state.get()
+        old = {(x[0], x[1]): x[2:] for x in json.loads(held[0])} if held else {}
+        new = dict(old)
+        for r in rows:
+            row = [r[c] for c in _FIRST]
+            if self.frozen is not None and row[0] < self.frozen:
+                yield _CHANGE(0, *(r[c] for c in _KEY), *row)
+                continue
+            own = r["domain"], r["url"]
+            if own not in new or _order(row) < _order(new[own]):
+                new[own] = [*row, now]
+        changed = {k: v for k, v in new.items() if old.get(k) is not v}
+        for k, v in changed.items():
+            if k in old:
+                yield _CHANGE(-1, *k, *old[k][:-1])
+            yield _CHANGE(1, *k, *v[:-1])
+        if changed:
+            alive = [[*k, *v] for k, v in new.items() if v[-1] > now - self.kept]
+            self.state.update((json.dumps(alive, ensure_ascii=False),))
+
+    def close(self) -> None:
+        pass
+
+
+def _order(row: list) -> tuple:
+    """By date, then record number, nulls first."""
+    return row[0], row[1] is not None, row[1]
+
+
+def first_seen(rows: DataFrame, kept: int = KEPT, parts: int = PARTS, frozen_before: str | None = None) -> DataFrame:
+    """(sign, domain, url, date, record_id, country, audience_type, themes, tone): the changes that a stream of rows makes to the
+    set of first sightings. Rows without a date are left out, as they belong to no period."""
+    frozen = None
+    if frozen_before:
+        frozen = int(dt.datetime.fromisoformat(frozen_before).replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    rows = rows.where("date is not null").select(*_KEY, *_FIRST).withColumn("date", F.unix_micros("date"))
+    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    keyed = rows.withColumn("part", F.pmod(F.xxhash64(*_KEY), F.lit(parts))).groupBy("part")
+    changes = keyed.transformWithState(FirstSeen(kept, frozen), f"sign int, {shape}", "Update", "ProcessingTime")
+    return changes.withColumn("date", F.timestamp_micros("date"))
 
 
 def _path(spark: SparkSession, name: str):
@@ -33,96 +90,91 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _days(spark: SparkSession, table: str, days: list[dt.date], like: DataFrame) -> DataFrame:
-    """The rows of some days of a table that is partitioned by day; only these days' folders are listed."""
+def _periods_of(spark: SparkSession, table: str, periods: list[Row], like: DataFrame) -> DataFrame:
+    """The rows of some periods of a table that is partitioned by them; only these folders are listed."""
     found = []
-    for day in days:
-        path, fs = _path(spark, f"{table}/day={day}")
+    for p in periods:
+        path, fs = _path(spark, f"{table}/period_type={p.period_type}/period_start={p.period_start}")
         if fs.exists(path):
-            found.append(f"{table}/day={day}")
+            found.append(str(path))
     if not found:
         return like.limit(0)
     rows = spark.read.schema(like.schema).option("basePath", table).parquet(*found)
-    return rows.withColumn("day", F.to_date("day"))
+    return rows.withColumn("period_start", F.to_date("period_start")).select(like.columns)
 
 
-def _put_days(rows: DataFrame, table: str, days: list[dt.date]) -> None:
-    """Overwrite whole days; one that has no rows any more keeps a row of nulls, which readers leave out."""
-    empty = rows.sparkSession.createDataFrame([(x,) for x in days], "day date")
-    whole = rows.unionByName(empty, allowMissingColumns=True).repartition(F.col("day"))
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+def _put_periods(rows: DataFrame, table: str) -> None:
+    dealt = rows.hint("rebalance", "period_type", "period_start")
+    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("period_type", "period_start").parquet(table)
 
 
-def _span(days: list[dt.date]) -> list[dt.date]:
-    """All days of the months of some days, and of the weeks that reach into them."""
-    first = min(days).replace(day=1) - dt.timedelta(days=6)
-    last = (max(days).replace(day=28) + dt.timedelta(days=4)).replace(day=1) + dt.timedelta(days=5)
-    return [first + dt.timedelta(days=k) for k in range((last - first).days + 1)]
+def _signed(changes: DataFrame) -> DataFrame:
+    """Day partials of changes: what they add to the counts of their days, and take from them."""
+    rows = rollup.day_partials(changes.where("sign > 0"))
+    gone = rollup.day_partials(changes.where("sign < 0"))
+    less = [(-F.col(c)).alias(c) for c in ("article_count", "tone_sum", "tone_n")]
+    return rows.unionByName(gone.select("country", "audience_type", "day", "theme", *less))
 
 
 def start_rollup(
     rows: DataFrame, store: str, table: str, checkpoint: str, periods: tuple[str, ...] = ("daily", "weekly", "monthly"),
-    min_count: int = 2, top: int = 50, frozen_before: str | None = None,
+    min_count: int = 2, top: int = 50, frozen_before: str | None = None, kept: int = KEPT, parts: int = PARTS,
 ) -> StreamingQuery:
     """Keep the theme table up to date from a stream of resolved rows.
 
-    The store holds one folder a day: its articles, each (domain, url) once in the months around it, and the day's
-    additive counts. A batch finds earlier and later copies of its articles in these months, rewrites the days that
-    change, counts those again, and sums the periods it touches from day counts; so late copies beyond the watermark
-    do no harm, a replayed batch gives the same table, and the files that are listed and read do not grow with the
-    number of batches. Rows of days before `frozen_before` go to a side table instead.
+    The stream's state knows the first sighting of each (domain, url). A batch turns the changes of that set into additive
+    counts, adds them to the counts of the periods that they touch, and writes these periods' theme rows; no article is
+    read twice, and rows that are read grow with the batch. Every period's counts carry the number of their last batch, so
+    a batch that is replayed after a failure is not added again. Copies may come in any order within `kept`
+    milliseconds. Rows of days before `frozen_before` change nothing and go to a side table.
     """
     spark = rows.sparkSession
-    facts, counts = f"{store}/articles", f"{store}/counts"
+    counts = f"{store}/counts"
 
     def put(batch: DataFrame, number: int) -> None:
-        fresh = batch.withColumn("day", F.to_date("date"))
+        changes = written(batch, "changes")  # once: each reading would run the state's batch again
         if frozen_before:
-            old = F.col("day") < F.lit(frozen_before).cast("date")
-            late = fresh.where(old).withColumn("batch", F.lit(number)).write.mode("overwrite")
+            late = changes.where("sign = 0").drop("sign").withColumn("batch", F.lit(number)).write.mode("overwrite")
             late.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}_late")
-            fresh = fresh.where(~old)
-        fresh = written(rollup.dedup(fresh), "fresh")
-        own = [r.day for r in fresh.select("day").distinct().collect()]
-        if not own:
+        more = rollup.period_counts(_signed(changes), periods).withColumn("batch", F.lit(number).cast("long"))
+        more = written(more.withColumn("tone_sum", F.col("tone_sum").cast("double")), "counts")
+        touched = more.select("period_type", "period_start").distinct().collect()
+        if not touched:
+            discard(changes, more)
             return
-        stored = _days(spark, facts, _span(own), fresh).where("url is not null")
-        keys = fresh.select("domain", "url")
-        copies = stored.join(keys, ["domain", "url"], "left_semi")
-        days = sorted({*own, *(r.day for r in copies.select("day").distinct().collect())})
-        rest = stored.where(F.col("day").isin(days)).join(keys, ["domain", "url"], "left_anti")
-        now = written(rest.unionByName(rollup.dedup(copies.unionByName(fresh))), "days")
-        _put_days(now, facts, days)
-        _put_days(rollup.day_partials(now), counts, days)
-        partials = rollup.day_partials(now)
-        near = _days(spark, counts, _span(days), partials).where("country is not null")
-        whole = rollup.rollup_partials(near, periods, min_count, top)
-        month, after = min(days).replace(day=1), _span(days)[-1] - dt.timedelta(days=6)
-        whole = written(
-            whole.where((F.col("period_end") >= F.lit(month)) & (F.col("period_start") <= F.lit(after))), "periods"
-        )
-        writer = whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("period_type", "period_start").parquet(table)
-        _drop_empty(whole, days, periods, table)
-        discard(fresh, now, whole)
-
-    return rows.writeStream.foreachBatch(put).option(
-        "checkpointLocation", checkpoint
-    ).trigger(availableNow=True).start()
-
-
-def _drop_empty(whole: DataFrame, days: list[dt.date], periods: tuple[str, ...], table: str) -> None:
+        held = _periods_of(spark, counts, touched, more)
+        done = held.where(F.col("batch") >= number).select("period_type", "period_start").distinct()
+        fresh = more.join(F.broadcast(done), ["period_type", "period_start"], "left_anti").select(held.columns)
+        sums = [F.sum(c).alias(c) for c in ("article_count", "tone_sum", "tone_n")]
+        now = held.unionByName(fresh).groupBy(*rollup.BUCKET, "theme").agg(*sums, F.lit(number).cast("long").alias("batch"))
+        now = written(now, "periods")
+        _put_periods(now, counts)
+        whole = written(rollup.top_themes(now.where("article_count > 0"), min_count, top), "themes")
+        _put_periods(whole, table)
+        _drop_empty(whole, touched, table)
+        discard(changes, more, now, whole)
+
+    # the state store of these queries, and no batches without rows, which processing time would bring without end
+    settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        changes = first_seen(rows, kept, parts, frozen_before)
+        writer = changes.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+        return writer.trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _drop_empty(whole: DataFrame, touched: list[Row], table: str) -> None:
     """Delete the folders of periods that changed and have no rows any more."""
     spark = whole.sparkSession
-    kept = {
-        (r.period_type, str(r.period_start)) for r in whole.select("period_type", "period_start").distinct().collect()
-    }
-    starts = {
-        "daily": lambda x: x, "weekly": lambda x: x - dt.timedelta(days=x.weekday()),
-        "monthly": lambda x: x.replace(day=1)
-    }
-    for kind, start in sorted({(p, str(starts[p](day))) for day in days for p in periods} - kept):
-        path, fs = _path(spark, f"{table}/period_type={kind}/period_start={start}")
+    kept = set(whole.select("period_type", "period_start").distinct().collect())
+    for p in set(touched) - kept:
+        path, fs = _path(spark, f"{table}/period_type={p.period_type}/period_start={p.period_start}")
         if fs.exists(path):
             fs.delete(path, True)
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import io
+import json
 import math
 import random
 import zipfile
@@ -488,9 +489,7 @@ def test_late_duplicates_do_not_change_the_stream(spark, sf):
     write_drop(rows, f"{folder}/drop", 4)
     rows.sample(0.2, seed=1).coalesce(1).write.mode("append").parquet(f"{folder}/drop")  # read a second time, late
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
-    jobs.start_rollup(
-        jobs.deduplicated(stream), f"{folder}/store", f"{folder}/table", f"{folder}/check"
-    ).awaitTermination()
+    jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check").awaitTermination()
     key = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
     got = sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*key).collect()))
     assert got == sorted(
@@ -515,26 +514,90 @@ def test_frozen_days_go_aside(spark, sf):
     ) >= "2024-01-10"
 
 
-def test_the_store_holds_a_folder_a_day_whatever_the_batches(spark, sf):
-    folder = scratch_path(spark, "store")
+KEY = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
+
+
+def batch_themes(articles, periods=("daily", "weekly", "monthly")):
+    return sorted(map(tuple, rollup.theme_rollup(rollup.dedup(articles), periods).select(*KEY).collect()))
+
+
+def stream_themes(spark, folder):
+    return sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*KEY).collect()))
+
+
+@pytest.mark.parametrize("step", ["_put_periods", "_drop_empty"])
+def test_a_batch_that_dies_between_its_writes_is_not_added_twice(spark, sf, monkeypatch, step):
+    folder = scratch_path(spark, "dies")
     rows = driver.raw_articles(spark, sf).where("country <> 'UK'")
     write_drop(rows, f"{folder}/drop", 3)
-    days = rows.select(F.to_date("date")).distinct().count()
-    for k in (1, 2):  # a second stream over the same files replays every batch
+    calls, real = [], getattr(jobs, step)
+
+    def dies(*args):
+        calls.append(1)
+        real(*args)
+        if len(calls) == 3:
+            raise RuntimeError("lost driver")
+
+    def run():
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/drop")
-        jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check{k}").awaitTermination()
-        facts = spark.read.parquet(f"{folder}/store/articles")
-        assert len(
-            facts.inputFiles()
-        ) <= days and facts.where("url is not null").count() == rows.select("domain", "url").distinct().count()
-    key = ["country", "audience_type", "period_type", "theme", "article_count", "bucket_total"]
-    got = sorted(map(tuple, spark.read.parquet(f"{folder}/table").select(*key).collect()))
-    assert got == sorted(
-        map(
-            tuple,
-            rollup.theme_rollup(driver.articles(spark, sf), ("daily", "weekly", "monthly")).select(*key).collect()
+        jobs.start_rollup(stream, f"{folder}/store", f"{folder}/table", f"{folder}/check").awaitTermination()
+
+    monkeypatch.setattr(jobs, step, dies)
+    with pytest.raises(Exception, match="lost driver"):
+        run()
+    monkeypatch.setattr(jobs, step, real)
+    run()
+    assert stream_themes(spark, folder) == batch_themes(rows)
+
+
+def test_earlier_copies_that_come_later_take_over(spark):
+    folder = scratch_path(spark, "earlier")
+    day = lambda k: dt.datetime(2026, 4, k, 5)
+    shape = "record_id long, date timestamp, domain string, url string, country string, audience_type string, themes array<string>, tone double"
+    batches = [
+        [(1, day(9), "a", "1", "RU", "DOMESTIC", ["X", "Y"], 1.0), (2, day(9), "a", "2", "RU", "DOMESTIC", ["X"], None)],
+        [(3, day(3), "a", "1", "CN", "DOMESTIC", ["X"], 2.0), (4, day(9), "a", "2", "RU", "DOMESTIC", ["Z"], 3.0)],
+        [(5, day(1), "a", "1", "RU", "DOMESTIC", [], -1.0), (6, None, "a", "9", "RU", "DOMESTIC", ["X"], 0.0)],
+        [(1, day(9), "a", "1", "RU", "DOMESTIC", ["X", "Y"], 1.0), (7, day(1), None, None, "RU", "DOMESTIC", None, 1.0)],
+    ]
+    read = []
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, shape).coalesce(1).write.mode("append").parquet(f"{folder}/drop")
+        stream = spark.readStream.schema(shape).parquet(f"{folder}/drop")
+        run = jobs.start_rollup(
+            stream, f"{folder}/store", f"{folder}/table", f"{folder}/check", ("daily", "monthly"), min_count=1, parts=4
         )
-    )
+        run.awaitTermination()
+        read.append(run.lastProgress["numInputRows"])
+        so_far = [r for b in batches[: k + 1] for r in b if r[1]]
+        want = rollup.theme_rollup(rollup.dedup(spark.createDataFrame(so_far, shape)), ("daily", "monthly"), 1)
+        want = sorted(map(tuple, want.select(*KEY, "avg_tone").collect()), key=str)
+        got = spark.read.parquet(f"{folder}/table").select(*KEY, "avg_tone").collect()
+        assert sorted(map(tuple, got), key=str) == want
+    assert read == [2, 2, 2, 2]
+
+
+def test_articles_that_time_has_passed_are_forgotten():
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    clock = type("", (), {"now": 0, "getCurrentProcessingTimeInMs": lambda self: self.now})()
+    first = jobs.FirstSeen(kept=100)
+    first.state = Held()
+    row = lambda url, date: {"domain": "d", "url": url, "date": date, "record_id": 1, "country": "RU", "audience_type": "DOMESTIC", "themes": ["é"], "tone": 1.5}
+    feed = lambda *rows: [tuple(x) for x in first.handleInputRows((1,), iter(rows), clock)]
+    assert [x[0] for x in feed(row("1", 5), row("1", 4), row("1", 6))] == [1]
+    clock.now = 60
+    assert [(x[0], x[3]) for x in feed(row("1", 3), row("2", 9))] == [(-1, 4), (1, 3), (1, 9)] and feed(row("1", 3)) == []
+    clock.now = 165
+    feed(row("3", 1))
+    assert [x[1] for x in json.loads(first.state.value[0])] == ["3"]
 
 
 def test_fixed_values_are_consistent():
