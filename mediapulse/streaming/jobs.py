@@ -19,7 +19,7 @@ def read_lines(spark: SparkSession, path: str, files_per_trigger: int = 4) -> Da
 
 
 #: Milliseconds that an article stays in the state after its last change; parts of the state, fixed for a checkpoint.
-KEPT, PARTS = 70 * 24 * 3600 * 1000, 4096
+KEPT, PARTS = 70 * 24 * 3600 * 1000, 1024
 #: What a rollup needs of an article: its key, and its first sighting's time and number.
 _KEY, _FIRST = ["domain", "url"], ["date", "record_id", "country", "audience_type", "themes", "tone"]
 _CHANGE = Row("sign", *_KEY, *_FIRST)
@@ -150,10 +150,9 @@ def start_rollup(
         now = held.unionByName(fresh).groupBy(*rollup.BUCKET, "theme").agg(*sums, F.lit(number).cast("long").alias("batch"))
         now = written(now, "periods")
         _put_periods(now, counts)
-        whole = written(rollup.top_themes(now.where("article_count > 0"), min_count, top), "themes")
-        _put_periods(whole, table)
-        _drop_empty(whole, touched, table)
-        discard(changes, more, now, whole)
+        _put_periods(rollup.top_themes(now.where("article_count > 0"), min_count, top), table)
+        _drop_empty(now.where(F.col("theme").isNotNull() & (F.col("article_count") >= min_count)), touched, table)
+        discard(changes, more, now)
 
     # the state store of these queries, and no batches without rows, which processing time would bring without end
     settings = {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
@@ -169,10 +168,10 @@ def start_rollup(
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _drop_empty(whole: DataFrame, touched: list[Row], table: str) -> None:
+def _drop_empty(rows: DataFrame, touched: list[Row], table: str) -> None:
     """Delete the folders of periods that changed and have no rows any more."""
-    spark = whole.sparkSession
-    kept = set(whole.select("period_type", "period_start").distinct().collect())
+    spark = rows.sparkSession
+    kept = set(rows.select("period_type", "period_start").distinct().collect())
     for p in set(touched) - kept:
         path, fs = _path(spark, f"{table}/period_type={p.period_type}/period_start={p.period_start}")
         if fs.exists(path):
