@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,12 +53,14 @@ def _spans(times: DataFrame, hours: int, key: str) -> DataFrame:
     return spans.withColumn("bucket", F.floor(F.col("lo") / (hours * 3600)))
 
 
-def _meeting(rows: DataFrame, on: list[str], hours: int, key: str) -> DataFrame:
-    """(a, b) of rows(key, *on, lo, hi, bucket) that agree in `on` and lie at most `hours` apart, each pair once.
+def _meeting(rows: DataFrame, on: list[str], hours: int, key: str, least: Callable | float) -> DataFrame:
+    """(a, b) of rows(key, *on, rest, p, lo, hi, bucket) that agree in `on`, lie at most `hours` apart and may reach a
+    cosine of `least`, a number or a function of both sides' p; each pair once.
 
-    Spans reach at most two buckets ahead, so one side goes to five buckets and the other to its own. A group that
-    holds more than HOT of the latter is cut into parts by hash, which the former go to as copies: no task gets
-    a whole group, and every pair still meets in one place.
+    `rest` is the squared norm of a vector from the shared term on, so at the first term that two vectors share their cosine is at
+    most the root of both rests' product. Spans reach at most two buckets ahead, so one side goes to five buckets and
+    the other to its own. A group that holds more than HOT of the latter is cut into parts by hash, which the
+    former go to as copies: no task gets a whole group, and every pair still meets in one place.
     """
     at = rows.withColumn(
         "bucket", F.explode(F.transform(F.array(*map(F.lit, range(-2, 3))), lambda k: F.col("bucket") + k))
@@ -68,18 +72,52 @@ def _meeting(rows: DataFrame, on: list[str], hours: int, key: str) -> DataFrame:
     all_parts = F.explode(F.sequence(F.lit(0), n - 1))
     copied = at.join(hot, [*on, "bucket"], "left").withColumn("part", all_parts)
     side = lambda df, k: df.select(
-        F.col(key).alias(k), F.col("lo").alias(f"lo_{k}"), F.col("hi").alias(f"hi_{k}"), *on, "bucket", "part"
+        F.col(key).alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("lo", "hi", "rest", "p")), *on, "bucket", "part"
     )
     near = F.greatest(F.col("lo_a") - F.col("hi_b"), F.col("lo_b") - F.col("hi_a")) <= hours * 3600
+    need = least(F.col("p_a"), F.col("p_b")) if callable(least) else F.lit(least)
+    may = F.sqrt(F.col("rest_a") * F.col("rest_b")) >= need - 1e-9
     pairs = side(copied, "a").join(side(own, "b"), [*on, "bucket", "part"])
-    return pairs.where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    return pairs.where((F.col("a") < F.col("b")) & near & may).select("a", "b").distinct()
 
 
 def _prefixes(vectors: DataFrame, least: float, key: str) -> DataFrame:
-    """The terms of each vector up to the point where the rest has a norm below `least`, from rare to frequent."""
+    """(key, term, rest) of each vector's terms from rare to frequent, up to the point where the rest has a norm below
+    `least`; rest is the squared norm from the term on."""
     order = Window.partitionBy(key).orderBy("df", "term")
     rest = F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(0, Window.unboundedFollowing))
-    return vectors.withColumn("_rest", rest).where(F.col("_rest") >= least * least - 1e-9).select(key, "term")
+    return vectors.withColumn("rest", rest).where(F.col("rest") >= least * least - 1e-9).select(key, "term", "rest")
+
+
+#: Bounds of a cosine fall into classes of this width.
+_STEP = 0.05
+
+
+def boosted_pairs(
+    vectors: DataFrame, spans: DataFrame, sets: DataFrame, least: float, boost: float, hours: int, key: str
+) -> DataFrame:
+    """(a, b) that may reach `least` by their cosine and `boost` times the overlap of their sets(key, e).
+
+    What the cosine must reach follows from the overlap. Only equal sets go down to least - boost; they meet under the whole
+    set and a term. Other sets of p and q members overlap by at most min / max, or (p - 1) / (p + 1) of equal
+    size, so a pair has a bound of its own: it meets under a common member, a term and the class of that bound, with
+    the prefixes that this class needs. Sets of one member each that differ have no overlap.
+    """
+    sets = sets.where(F.size("e") > 0).withColumn("p", F.size("e"))
+    rows = _prefixes(vectors, least - boost, key).join(sets, key).join(spans, key)
+    equal = _meeting(rows, ["e", "term"], hours, key, least - boost)
+
+    def bound(p, q):
+        smaller, larger = F.least(p, q), F.greatest(p, q)
+        return least - boost * F.when(p == q, (p - 1) / (p + 1)).otherwise(smaller / larger)
+
+    level = lambda x: F.floor(x / _STEP + 1e-6).cast("int")
+    first = level(least - boost * F.col("p") / (F.col("p") + 1))
+    last = F.least(level(F.sqrt("rest") + 1e-9), level(F.lit(least - 1e-4)))
+    classes = rows.where(last >= first).withColumn("level", F.explode(F.sequence(first, last)))
+    classes = classes.withColumn("entity", F.explode("e")).drop("e")
+    meet = lambda p, q: F.when(level(bound(p, q)) == F.col("level"), bound(p, q)).otherwise(2.0)
+    return equal.union(_meeting(classes, ["entity", "term", "level"], hours, key, meet)).distinct()
 
 
 def _with_cosine(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
@@ -92,24 +130,22 @@ def _with_cosine(pairs: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
 
 def similar_pairs(
     vectors: DataFrame, times: DataFrame, least: float, hours: int = 24, key: str = "id",
-    entities: DataFrame | None = None, lower: float | None = None,
+    sets: DataFrame | None = None, boost: float = 0.0,
 ) -> DataFrame:
-    """(a, b, sim) of all pairs at most `hours` apart whose cosine is `least` or more, and of those with a common
-    entity, entities(key, entity), from `lower` on.
+    """(a, b, sim) of all pairs at most `hours` apart whose cosine is `least` or more, and of those that may reach it with
+    `boost` times the overlap of their sets(key, e).
 
     times(key, at[, until]) gives moments, or spans no longer than `hours`, whose distance is that of their
     nearest ends. Terms stand from rare to frequent. What follows a vector's prefix has a norm below the bound,
     so a pair that reaches it shares a term of both sides' prefixes: only prefixes are joined, in neighbouring
-    time buckets, and the pairs found take the exact product. The prefixes for `lower` are long; they are only joined
-    together with an entity.
+    time buckets, and the pairs found take the exact product.
     """
     spans = _spans(times, hours, key)
-    pairs = _meeting(_prefixes(vectors, least, key).join(spans, key), ["term"], hours, key)
-    if entities is not None and lower is not None:
-        long = _prefixes(vectors, lower, key).join(entities.select(key, "entity"), key).join(spans, key)
-        pairs = pairs.union(_meeting(long, ["entity", "term"], hours, key)).distinct()
-    floor = least if lower is None else lower
-    return _with_cosine(pairs, vectors, key).where(F.col("sim") >= floor)
+    plain = _prefixes(vectors, least, key).withColumn("p", F.lit(0)).join(spans, key)
+    pairs = _meeting(plain, ["term"], hours, key, least)
+    if sets is not None:
+        pairs = pairs.union(boosted_pairs(vectors, spans, sets, least, boost, hours, key)).distinct()
+    return _with_cosine(pairs, vectors, key).where(F.col("sim") >= least - boost)
 
 
 def event_clusters(
@@ -137,9 +173,9 @@ def event_clusters(
         groups.select(F.col("rep").alias("id")), "id", "left_semi"
     )
     vectors = written(vectors, "title_vectors")
-    entities = groups.select(F.col("rep").alias("id"), F.explode("e").alias("entity"))
+    sets = groups.select(F.col("rep").alias("id"), "e")
     times = groups.select(F.col("rep").alias("id"), "at", "until")
-    pairs = similar_pairs(vectors, times, least, hours, "id", entities, least - boost)
+    pairs = similar_pairs(vectors, times, least, hours, "id", sets, boost)
     both = pairs.join(groups.select(F.col("rep").alias("a"), F.col("e").alias("ea")), "a").join(
         groups.select(F.col("rep").alias("b"), F.col("e").alias("eb")), "b"
     )

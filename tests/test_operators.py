@@ -483,6 +483,45 @@ def test_views_and_json(spark):
     ) == (2, 0, 1)
 
 
+def brute_edges(titles, least=0.35, boost=0.3, hours=24):
+    """titles: {id: (vector, entities, seconds)}"""
+    found = set()
+    for a, (va, ea, ta) in titles.items():
+        for b, (vb, eb, tb) in titles.items():
+            if a < b and abs(ta - tb) <= hours * 3600 and set(va) & set(vb):
+                sim = sum(w * vb.get(t, 0) for t, w in va.items())
+                overlap = len(ea & eb) / len(ea | eb) if ea and eb else 0
+                if sim + boost * overlap >= least and sim >= least - boost:
+                    found.add((a, b))
+    return found
+
+
+def test_boosted_pairs_are_few_and_lose_none(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(260):
+        title = " ".join(rng.choice(words[: rng.choice([4, 60])]) for _ in range(rng.randint(3, 9)))
+        size = rng.choice([0, 1, 2, 2, 3, 5])
+        entities = [rng.choice(["lang", "lang", "x", "y", "z", "q"]) for _ in range(size)]
+        rows.append((k, title, dt.datetime(2026, 4, 1) + dt.timedelta(minutes=rng.randrange(4000)), sorted(set(entities))))
+    table = spark.createDataFrame(rows, "id long, title string, at timestamp, e array<string>")
+    vectors = clusters.title_vectors(table).persist()
+    by = {r[0]: {} for r in rows}
+    for r in vectors.collect():
+        by[r.id][r.term] = r.w
+    want = brute_edges({r[0]: (by[r[0]], set(r[3]), r[2].timestamp()) for r in rows})
+    pairs = clusters.similar_pairs(vectors, table, 0.35, 24, "id", table.select("id", "e"), 0.3).collect()
+    sets = {r[0]: set(r[3]) for r in rows}
+    overlap = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    assert {(r.a, r.b) for r in pairs if r.sim + 0.3 * overlap(r.a, r.b) >= 0.35} == want
+    spans = clusters._spans(table, 24, "id")
+    found = clusters.boosted_pairs(vectors, spans, table.select("id", "e"), 0.35, 0.3, 24, "id").count()
+    single = clusters._prefixes(vectors, 0.05, "id").join(table.select("id", F.explode("e").alias("entity")), "id")
+    before = clusters._meeting(single.withColumn("p", F.lit(0)).join(spans, "id"), ["entity", "term"], 24, "id", 0.0).count()
+    assert 4 * found < before, (found, before)
+
+
 def test_late_duplicates_do_not_change_the_stream(spark, sf):
     folder = scratch_path(spark, "late")
     rows = driver.raw_articles(spark, sf).where("country <> 'UK'")
