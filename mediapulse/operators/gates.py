@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -170,3 +172,98 @@ def source_coverage(outlets: DataFrame, volumes: DataFrame) -> DataFrame:
     return outlets.select("domain").join(sums, "domain", "left").select(
         "domain", zero("rows"), zero("days"), zero("volume"), F.col("rows").isNotNull().alias("has_data")
     )
+
+
+def top_by_rows(rows: DataFrame, column: str, most: int = 10) -> DataFrame:
+    """The `most` values of a column with the most rows; a report, so a limit. Ties go to the smaller value."""
+    return rows.groupBy(column).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), column).limit(most)
+
+
+def recent_counts(articles: DataFrame, as_of: dt.date, days: int = 7) -> DataFrame:
+    """Articles per country and audience over the `days` days before `as_of`, that day included."""
+    since = as_of - dt.timedelta(days=days - 1)
+    recent = articles.where(F.to_date("date").between(F.lit(since), F.lit(as_of)))
+    return recent.groupBy("country", "audience_type").agg(F.count("*").alias("articles"))
+
+
+def outlet_report(outlets: DataFrame) -> DataFrame:
+    """One row of the outlet dimension: rows, rows of excluded countries, and outlets per audience."""
+    return outlets.agg(
+        F.count("*").alias("rows"), F.count_if(excluded()).alias("excluded"),
+        *[F.count_if(F.col("audience_type") == a).alias(f"n_{a.lower()}") for a in fixed.AUDIENCES],
+    )
+
+
+def source_run(outlets: DataFrame, volumes: DataFrame, resume_from: str = "") -> DataFrame:
+    """One row of a volume run: outlets queried, with data, empty and skipped by the resume cutoff; days and rows covered.
+
+    An outlet without a row of positive volume is empty, which is no error.
+    """
+    data = volumes.where("volume > 0").groupBy("domain").agg(F.count("*").alias("rows"))
+    known = outlets.select("domain").distinct().join(data, "domain", "left")
+    queried = F.col("domain") >= resume_from
+    runs = known.agg(
+        F.count_if(queried).alias("queried"), F.count_if(queried & F.col("rows").isNotNull()).alias("with_data"),
+        F.count_if(queried & F.col("rows").isNull()).alias("empty"), F.count_if(~queried).alias("skipped"),
+    )
+    own = volumes.where(queried).join(known.select("domain"), "domain", "left_semi")
+    return runs.join(own.agg(F.count_distinct("date").alias("days"), F.count("*").alias("rows")), F.lit(True))
+
+
+def run_report(
+    articles: DataFrame, rows: DataFrame, claims: DataFrame, runs: DataFrame, expected: DataFrame, day: dt.date
+) -> DataFrame:
+    """(check_name, found, passed) for one day after a run, a row for each check.
+
+    articles(date, country, audience_type), rows(date, country, level), claims(claim_type, date), runs(started_at, outcome),
+    expected(country). Articles, activity rows and DEVIATION claims of the day must exist, nulls, unknown values and
+    missing countries must not; COORDINATION claims may be none; the latest run must be a SUCCESS.
+    """
+    on = lambda df: df.where(F.to_date("date") == F.lit(day))
+    some, none = lambda n: n > 0, lambda n: n == 0
+    a = on(articles).agg(
+        F.count("*").alias("articles"), F.count_if(F.col("country").isNull()).alias("null_countries"),
+        F.count_if(F.col("audience_type").isNull()).alias("null_audiences"),
+        F.count_if(~F.col("audience_type").isin(fixed.AUDIENCES)).alias("bad_audiences"),
+    )
+    b = on(rows).agg(F.count("*").alias("activity_rows"), F.count_if(_no(F.col("level").isin(fixed.LEVELS))).alias("bad_levels"))
+    absent = expected.join(on(rows).select("country").distinct(), "country", "left_anti")
+    c = on(claims).agg(
+        F.count_if(F.col("claim_type") == "DEVIATION").alias("deviation_claims"),
+        F.count_if(F.col("claim_type") == "COORDINATION").alias("coordination_claims"),
+    )
+    last = F.coalesce(F.max_by("outcome", "started_at") == "SUCCESS", F.lit(False)).cast("long")
+    one = a.join(b, F.lit(True)).join(absent.agg(F.count("*").alias("missing_countries")), F.lit(True))
+    one = one.join(c, F.lit(True)).join(runs.agg(last.alias("latest_run")), F.lit(True))
+    rule = {
+        "articles": some, "null_countries": none, "null_audiences": none, "bad_audiences": none, "activity_rows": some,
+        "bad_levels": none, "missing_countries": none, "deviation_claims": some, "coordination_claims": lambda n: n >= 0,
+        "latest_run": some,
+    }
+    checks = [F.struct(F.lit(k).alias("check_name"), F.col(k).alias("found"), f(F.col(k)).alias("passed")) for k, f in rule.items()]
+    return one.select(F.explode(F.array(*checks)).alias("c")).select("c.*")
+
+
+def write_gated(rows: DataFrame, rules: dict[str, Column], path: str) -> dict[str, int]:
+    """Write rows to path/quarantined=false, rows that break a rule to path/quarantined=true with the names of these
+    rules, and return the number of rows and of breaches of each rule: one job reads the rows once.
+
+    The counts are metrics observed by the writing job; on a retried task they count its rows once.
+    """
+    broken = F.filter(F.array(*[F.when(c, n) for n, c in rules.items()]), lambda x: x.isNotNull())
+    seen = Observation()
+    marked = rows.withColumn("broken", broken)
+    counts = [F.count_if(F.array_contains("broken", n)).alias(n) for n in rules]
+    marked = marked.observe(seen, F.count("*").alias("rows"), F.count_if(F.size("broken") > 0).alias("quarantined"), *counts)
+    marked = marked.withColumn("quarantined", F.size("broken") > 0)
+    marked.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+    return seen.get
+
+
+def manifest(rows: DataFrame, source: str, metadata: dict[str, str], target: str, at: dt.datetime) -> DataFrame:
+    """One row: what an import wrote, from where, with which metadata, when, and into which table."""
+    about = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.create_map().cast("map<string,string>")
+    return rows.agg(F.count("*").alias("rows")).select(
+        F.lit(source).alias("source"), about.alias("metadata"), F.lit(at).cast("timestamp").alias("imported_at"), "rows",
+        F.lit(target).alias("target"),
+    )

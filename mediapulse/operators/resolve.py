@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -46,3 +46,31 @@ def outlet_coverage(outlets: DataFrame, floors: DataFrame | None = None) -> Data
 def from_domain(outlets: DataFrame, cutoff: str) -> tuple[DataFrame, DataFrame]:
     """Outlets from a domain on, to resume a run, and how many that skips."""
     return outlets.where(F.col("domain") >= cutoff), outlets.agg(F.count_if(F.col("domain") < cutoff).alias("skipped"))
+
+
+def hit_rate(rows: DataFrame, hit: Column, value: str, levels: dict[str, float]) -> DataFrame:
+    """One row: the share of hits, and exact quantiles of a value over samples of bounded number; see sketches()."""
+    quantiles = [F.percentile(value, p).alias(name) for name, p in levels.items()]
+    return rows.agg(F.avg(hit.cast("int")).alias("hit_rate"), *quantiles)
+
+
+def sketches(rows: DataFrame, keys: list[str], value: str, k: int = 200) -> DataFrame:
+    """A KLL sketch of a value for each key, such as a day: a few KB whatever the rows. Kept as a table, they are merged
+    into any span by merged_quantiles() without another look at the rows. Nulls are left out."""
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch")
+    )
+
+
+def merged_quantiles(kept: DataFrame, keys: list[str], levels: list[float], k: int = 200) -> DataFrame:
+    """(keys, n, level, quantile) of sketches merged by key. A quantile's rank is off by about 1.33 % of n at k = 200,
+    with 99 % confidence; a larger k narrows that in proportion."""
+    merged = kept.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    # the function takes constant ranks
+    each = [F.struct(F.lit(p).alias("level"), F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias("quantile")) for p in levels]
+    found = merged.select(*keys, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(F.array(*each)).alias("q"))
+    return found.select(*keys, "n", "q.*")
+
+
+def outlets_per_audience(outlets: DataFrame) -> DataFrame:
+    return outlets.groupBy("audience_type").agg(F.count("*").alias("outlets"))

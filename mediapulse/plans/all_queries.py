@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     cluster_queries,
+    gate_queries,
     report_queries,
     sink_queries,
     source_queries,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gates
+from ..operators import gates, resolve
 from ..sources import articles as article_lists
 from ..sources import dims, gkg, sinks
 from . import driver as d
@@ -206,8 +206,7 @@ def recomputed_periods(spark, sf):
     """SELECT round(avg((event_type = 'purchase')::INT), 6) AS hit_rate, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events"""
 )
 def hit_rate_and_quantiles(spark, sf):
-    e = d.table(spark, sf, "events")
-    return e.agg(
-        F.round(F.avg((F.col("event_type") == "purchase").cast("int")), 6).alias("hit_rate"),
-        F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95")
+    found = resolve.hit_rate(
+        d.table(spark, sf, "events"), F.col("event_type") == "purchase", "value", {"p50": 0.5, "p95": 0.95}
     )
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])

@@ -198,15 +198,13 @@ def theme_trend(spark, sf):
 
 @query(f"""{_V}, dom AS (SELECT country, domain AS theme, date, count(*) AS today_count FROM volumes GROUP BY ALL), b AS (SELECT DISTINCT country, theme FROM dom),
  days AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM dom), (SELECT max(date) FROM dom), INTERVAL 1 DAY)) AS DATE) AS date), g AS (SELECT b.country, b.theme, days.date, coalesce(d.today_count, 0) AS today_count FROM b CROSS JOIN days LEFT JOIN dom d ON d.country = b.country AND d.theme = b.theme AND d.date = days.date),
- {d.baseline_sql('g', 'based', 'country, theme')}, {d.deviation_sql('based', 'act')} SELECT country, theme, date, today_count, baseline_mean, deviation_ratio, level FROM act WHERE level IN ('red', 'orange', 'amber')""")
+ {d.baseline_sql('g', 'based', 'country, theme')}, {d.deviation_sql('based', 'act')} SELECT country, theme, date, today_count, baseline_mean, deviation_ratio, level FROM act""")
 def theme_deviation(spark, sf):
     rows = d.volume_rows(spark, sf).groupBy(
         "country", F.col("domain").alias("theme"), F.to_date("date").alias("date")
     ).agg(F.count("*").alias("today_count"))
     act = activity.activity(rows, ["country", "theme"], zero_fill=True)
-    return act.where("level in ('red', 'orange', 'amber')").select(
-        "country", "theme", "date", "today_count", "baseline_mean", "deviation_ratio", "level"
-    )
+    return act.select("country", "theme", "date", "today_count", "baseline_mean", "deviation_ratio", "level")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_suppkey, l_orderkey, l_partkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey, l_partkey ORDER BY l_shipdate, l_linenumber) = 1),

@@ -53,6 +53,11 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def write_manifest(about: DataFrame, path: str) -> None:
+    """Add an import's manifest, gates.manifest(), to a folder of JSON lines; one file for each import."""
+    about.coalesce(1).write.mode("append").json(path)
+
+
 def export(rows: DataFrame, path: str, metadata: dict[str, str], partition: list[str] | None = None) -> None:
     """A result set with a one-row table of metadata beside it."""
     writer = rows.write.mode("overwrite")
