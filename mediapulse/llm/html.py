@@ -37,69 +37,99 @@ BOILERPLATE = frozenset(
     "related recommended recommendations breadcrumb breadcrumbs pagination pager tags toolbar skip copyright "
     "complementary contentinfo".split()
 )
+#: Fixed: parts of longer class names (comment-list, ad-slot, sidebar-left) that mark the same, if the page bears it out.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar sidenav widget widgets "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup share sharing social comment comments disqus "
+    "related recommended recommendations breadcrumb breadcrumbs pagination pager navigation navbar nav menu footer".split()
+)
+#: Fixed: pairs of parts that mark together.
+PAIRS = frozenset(["author box", "author bio", "author card", "about author", "site header", "page footer", "back top"])
+#: Fixed: what readers write.
+READERS = frozenset("comment comments disqus reply replies respond".split())
 CLOSES = {
     "p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"},
     "dd": {"dt", "dd"}, "option": {"option"}
 }
+#: Comments, of which <!--> is a whole one, and elements whose content is no markup; all others are scanned as tags.
 _RAW = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)",
+    r"<!---?>|<!--.*?(?:--!?>|\Z)|<(script|style|textarea|title|iframe|xmp|noembed|noframes)\b"
+    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\b[^>]*>|\Z)",
     re.S | re.I
 )
+#: Fixed: elements that end a drawing which was left open.
+BREAKS = HEADINGS | frozenset("blockquote body center dd div dl dt hr img li menu ol p pre table ul".split())
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*>?")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[^a-z]+")
 
 
 class Node:
-    """An open element; `titles` is set in an article's header, of which only the headings count."""
+    """An open element; `titles` is set in an article's header, of which only the headings count. `marked` is the share of the
+    page's prose from which on the element is no boilerplate after all, 0 if nothing marks it."""
 
     __slots__ = ("tag", "path", "dropped", "number", "marked", "titles")
 
-    def __init__(self, tag: str, path: str, dropped: bool, number: int, marked: bool = False, titles: bool = False):
+    def __init__(self, tag: str, path: str, dropped: bool, number: int, marked: float = 0.0, titles: bool = False):
         self.tag, self.path, self.dropped, self.number = tag, path, dropped, number
         self.marked, self.titles = marked, titles
 
 
-def is_boilerplate(value: str) -> bool:
-    """Whether a whole token of a class, id or role is such a word, or joins nothing but such words."""
-    return any(
-        parts and BOILERPLATE.issuperset(parts) for parts in (
-            list(filter(None, _PART.split(t))) for t in value.split()
-        )
-    )
+#: A form, a name of which a part marks, and a name that is nothing but such words, or is about readers' comments.
+FORM, PART, WHOLE = 0.5, 0.5, 0.9
+
+
+def mark(value: str) -> float:
+    """How a class, id or role marks an element: 0 for not at all."""
+    found = 0.0
+    for token in value.split():
+        parts = list(filter(None, _PART.split(token)))
+        if not parts:
+            continue
+        if BOILERPLATE.issuperset(parts) or not READERS.isdisjoint(parts):
+            return WHOLE
+        if not PARTS.isdisjoint(parts) or any(f"{x} {y}" in PAIRS for x, y in zip(parts, parts[1:])):
+            found = PART
+    return found
 
 
 def blocks(html: str) -> list[tuple[str, int, list[Node]]]:
     """(text, characters in links, open elements) of every block that is not boilerplate, in page order.
 
-    A marked element (a form too) is boilerplate unless it holds the page's main or only article, or, on a page
-    without either, most of the text outside links (nine tenths if it is not a form, as long comments are not the
-    article). A page that has no other blocks keeps those of marked ones.
+    A marked element is boilerplate unless the page speaks against it: it holds the page's main or only article, or so
+    much of the text outside links (of that article, on pages with one) as its mark asks for; more than half for a form or a
+    name of which a part marks, nine tenths for other names. An element without a first heading, on a page that has one
+    elsewhere, needs nine tenths. A page that has no other blocks keeps those of marked elements.
     """
     every = list(_blocks(html))
     if not any(n.marked for _, _, around in every for n in around):
         return every
-    size, marks, forms, heads = defaultdict(int), set(), set(), {"main": set(), "article": set()}
+    size, marks, titled = defaultdict(int), {}, set()
+    heads = {"main": set(), "article": set()}
     for text, linked, around in every:
         for n in around:
             size[n.number] += max(0, len(text) - linked)
             if n.marked:
-                marks.add(n.number)
-                if n.tag == "form":
-                    forms.add(n.number)
+                marks[n.number] = n.marked
             if n.tag in heads:
                 heads[n.tag].add(n.number)
+            if around[-1].tag == "h1":
+                titled.add(n.number)
     body = heads["main"] or (heads["article"] if len(heads["article"]) == 1 else set())
-    if body:
-        holds = {
-            n.number for _, _, around in every for k,
-            n in enumerate(around) if any(x.number in body for x in around[k:])
-        }
-    else:
-        whole = sum(max(0, len(text) - linked) for text, linked, _ in every)
-        holds = {k for k in marks if size[k] > whole * (0.5 if k in forms else 0.9)}
-    marks -= holds
-    return [x for x in every if not any(n.number in marks for n in x[2])] or every
+    outer = {
+        n.number for _, _, around in every for k, n in enumerate(around) if any(x.number in body for x in around[k:])
+    }
+    whole = sum(size[k] for k in body) or sum(max(0, len(text) - linked) for text, linked, _ in every)
+    need = {k: WHOLE if titled and k not in titled and share != FORM else share for k, share in marks.items()}
+    inside = {
+        n.number for _, _, around in every for k, n in enumerate(around) if any(x.number in body for x in around[:k])
+    }
+    left = {
+        k for k in marks
+        if k not in outer and (size[k] <= whole * (marks[k] if k in inside else need[k]) or body and k not in inside)
+    }
+    return [x for x in every if not any(n.number in left for n in x[2])] or every
 
 
 def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
@@ -141,7 +171,11 @@ def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
                     del stack[k:]
                     break
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in BREAKS and stack[-1].dropped:
+            inner = [n.tag for n in stack]
+            if "svg" in inner and "foreignobject" not in inner:
+                del stack[inner.index("svg") :]
+        if tag in VOID or _CLOSED.search(m[3]):
             continue
         shut = CLOSES.get(tag, {"p"} if tag not in ("tr", "td", "th", "li", "dt", "dd") else set())
         if stack[-1].tag in shut:
@@ -153,9 +187,8 @@ def _blocks(html: str) -> Iterator[tuple[str, int, list[Node]]]:
         shown = re.sub(r"\d+", "#", " ".join(names.get("class", "").split()[:2]))
         titles = stack[-1].titles or (tag == "header" and any(n.tag in ("article", "main") for n in stack))
         drop = stack[-1].dropped or (tag in DROPPED and not (titles and tag == "header"))
-        marked = tag == "form" or (
-            tag not in ("html", "body", "article", "main") and any(map(is_boilerplate, names.values()))
-        )
+        marked = 0.0 if tag in ("html", "body", "article", "main") else max(map(mark, names.values()), default=0.0)
+        marked = marked or FORM * (tag == "form")
         number += 1
         path = f"{stack[-1].path}>{tag}" + (f".{shown}" if shown else "")
         stack.append(Node(tag, path, drop, number, marked, titles))
@@ -179,7 +212,11 @@ def _belongs(block: tuple[str, int, list[Node]], node: Node, before: bool, small
 
 
 def _widened(found: list[tuple[str, int, list[Node]]], top: Node) -> Node:
-    """The container around `top`, or around that one and so on, whose other blocks belong to the article too."""
+    """The container around `top`, or around that one and so on, whose other blocks belong to the article too.
+
+    They do in an article or main element, unless they stand in another article; elsewhere if each of them does by
+    itself, or if the container has running text of its own between its parts.
+    """
     chain = next(around for _, _, around in found if top in around)
     for node in [n for n in reversed(chain[: chain.index(top)]) if is_container(n)]:
         at = [k for k, (_, _, around) in enumerate(found) if top in around]
@@ -189,7 +226,15 @@ def _widened(found: list[tuple[str, int, list[Node]]], top: Node) -> Node:
         size = sum(len(found[k][0]) for k in at)
         extra, linked = sum(len(found[k][0]) for k in more), sum(found[k][1] for k in more)
         small, heads = extra < size / 3, any(found[k][2][-1].tag in HEADINGS for k in more)
-        own = node.tag in ("article", "main") or all(_belongs(found[k], node, k < at[0], small and heads) for k in more)
+        deeper = [found[k][2][found[k][2].index(node) + 1 :] for k in more]
+        if any(n.tag == "article" for around in deeper for n in around):
+            break
+        inner = [next(n for n in reversed(found[k][2]) if is_container(n)) for k in more]
+        running = node.tag not in ("body", "") and any(
+            n is node and found[k][2][-1].tag not in HEADINGS and 2 * found[k][1] < len(found[k][0]) for k, n in zip(more, inner)
+        )
+        own = node.tag in ("article", "main") or running
+        own = own or all(_belongs(found[k], node, k < at[0], small and heads) for k in more)
         if not own or 2 * linked >= extra:
             break
         top = node
@@ -216,10 +261,20 @@ def best_path(html: str) -> tuple[str, float] | None:
 
 
 def text_at(html: str, path: str | None) -> str:
-    """Text of the blocks inside all containers with the path."""
+    """Text of the blocks inside all containers with the path; of several articles that of the longest, as each of them
+    is a story of its own."""
     if path is None:
         return ""
-    return "\n\n".join(text for text, _, around in blocks(html) if any(n.path == path for n in around))
+    found = blocks(html)
+    own = [next((n.number for n in around if n.path == path), None) for _, _, around in found]
+    if path.rpartition(">")[2].split(".")[0] == "article":
+        size = defaultdict(int)
+        for (text, linked, _), k in zip(found, own):
+            if k is not None:
+                size[k] += len(text) - min(linked, len(text))
+        longest = max(size, key=lambda k: (size[k], -k), default=None)
+        own = [k if k == longest else None for k in own]
+    return "\n\n".join(text for (text, _, _), k in zip(found, own) if k is not None)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

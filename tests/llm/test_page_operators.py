@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -205,12 +206,90 @@ WORDS = "Long words of the story that go on and on. " * 8
         f"Title\n\nShort intro.\n\n{WORDS.strip()}\n\n{WORDS.strip()}"
     ),
     (f"<body><h1>Title</h1><div class='c'><p>{WORDS}</p></div><footer>x</footer></body>", f"Title\n\n{WORDS.strip()}"),
+    # closed elements of other vocabularies, short comments, unclosed and quoted tags
+    (f"<body><a href='/'><svg class='icon'/></a><article><p>{WORDS}</p><svg viewBox='0 0 1 1'><path d='M0'/><text>no</text></svg><p>End.</p></article>", f"{WORDS.strip()}\n\nEnd."),
+    (f"<body><!--><article><p>{WORDS}</p><!---><p>End.</p><!-- <p>no</p> --></article>", f"{WORDS.strip()}\n\nEnd."),
+    (f"<body><article><p>{WORDS}</p><noscript><p>no</p></noscript><template><p>no</p></template><p>End.</p><script>if (a<b) '</p>'</script></article>", f"{WORDS.strip()}\n\nEnd."),
+    (f"<body><article><svg><g><p>{WORDS}</p></article><p>x", WORDS.strip()),
+    # a container with running text of its own between its parts
+    (f'<body><div class="post"><p>Intro.</p><div class="text"><p>{WORDS}</p></div><div class="more"><p>{WORDS}</p></div></div></body>', f"Intro.\n\n{WORDS.strip()}\n\n{WORDS.strip()}"),
+    # a story and a teaser
+    (f"<body><main><article><h1>T</h1><p>{WORDS}</p></article><article><h2>Other</h2><p>Read this as well.</p></article></main></body>", f"T\n\n{WORDS.strip()}"),
 ])
 def test_page_shapes(page, text):
     path = html.best_path(page)
     assert (html.text_at(page, path[0]) if path else "") == text
 
 
+NAMES = "comment-list comments-area related-posts ad-slot share-buttons sidebar-left newsletter-box site-footer author-box cookie-bar social-links promo-block widget-area entry-comments post-related-items".split()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_names_of_several_words(name):
+    extra = f'<div class="{name}"><p>Something else that is no part of it.</p></div>'
+    for page in (
+        f"<body>{extra}<article><h1>T</h1><p>{WORDS}</p>{extra}<p>End.</p></article>{extra}</body>",
+        f'<body><div class="page">{extra}<div class="story"><h1>T</h1><p>{WORDS}</p>{extra}<p>End.</p></div>{extra}</div></body>',
+        f'<body><div class="has-sidebar with-{name}"><article><h1>T</h1><p>{WORDS}</p><p>End.</p></article></div></body>',
+        f'<body><div class="story"><div class="text-and-{name}"><h1>T</h1><p>{WORDS}</p><p>End.</p></div></div></body>',
+        f'<body><article><h1>T</h1><div class="body {name}-on"><p>{WORDS}</p><p>End.</p></div></article></body>',
+    ):
+        assert html.text_at(page, html.best_path(page)[0]) == f"T\n\n{WORDS.strip()}\n\nEnd.", page
+
+
+def test_long_comments_are_not_the_article():
+    for name in ("comments", "comment-list", "reply-thread"):
+        page = f'<body><div class="story"><h1>T</h1><p>{WORDS}</p></div><div class="{name}"><p>{WORDS * 4}</p></div></body>'
+        assert html.text_at(page, html.best_path(page)[0]) == f"T\n\n{WORDS.strip()}"
+
+
+class Plain(HTMLParser):
+    """The blocks of the first article of a page whose boilerplate is in nav, header, footer, aside, form or class ad."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.out, self.held = [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        tags = [t for t, _ in self.stack]
+        skipped = {"nav", "footer", "aside", "form", "script", "style", "title", "head"}
+        if text and "article" in tags and not skipped & set(tags) and not any("ad" in c.split() for _, c in self.stack):
+            self.out.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attributes):
+        if tag in html.INLINE:
+            self.held += [" "] * (tag == "br")
+            return
+        self.flush()
+        if tag not in html.VOID:
+            self.stack.append((tag, dict(attributes).get("class") or ""))
+
+    def handle_endtag(self, tag):
+        if tag in html.INLINE:
+            return
+        self.flush()
+        at = [k for k, (t, _) in enumerate(self.stack) if t == tag]
+        if at:
+            del self.stack[at[-1] :]
+
+    def handle_data(self, data):
+        self.held.append(data)
+
+
+def test_pages_against_another_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in rows.select("page_id", "html").collect():
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        plain.flush()
+        want[r.page_id] = "\n\n".join(plain.out)
+    assert {r.page_id: r.text for r in html.extract_text(rows).collect()} == want
+
+
 def test_very_long_pages_are_read_whole(spark):
     body = "<article>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(30_000)) + "</article>"
     (r,) = html.extract_text(
