@@ -5,8 +5,9 @@ SimHash fingerprints of the sets that the Gray-order index finds within 3 bits,
 first alone does not reach a similarity of 0.8, where fingerprints differ in about 10 of 64 bits, and an index of
 that radius has bands of a few bits that hold everything. So candidates also agree in one of BANDS bands of ROWS
 MinHash values (a pair at 0.8 is missed with a probability of (1 - 0.8 ** ROWS) ** BANDS, 5 in a million), where a
-bucket links its members to its smallest one. Inside each component of these links all pairs are decided by their
-sets, block by block.
+bucket links its members to its smallest one. Inside each component of these links, blocks of sets are joined exactly by
+the prefixes of their rarest shingles, so texts that share a frame but no more are in one component and yet not
+compared with each other.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, sliced, united, written
@@ -91,23 +92,55 @@ def _sets(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def prefix_index(flat: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners, bounds, members): groups of sets that share a shingle of their prefixes.
+
+    flat holds the shingle numbers of sets one after the other. Ordered from rare to frequent, two sets of a similarity s share
+    one of the first n - ceil(s n) + 1 shingles of each, so what many texts have in common, a page's frame
+    say, brings no sets together. A set's entries are owners == its number; bounds are the group's places in members.
+    """
+    n = np.bincount(flat)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((rank[flat], owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    short = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    head = order[place < np.repeat(short, size)]
+    head = head[np.lexsort((owner[head], flat[head]))]
+    token, members = flat[head], owner[head]
+    start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.empty(0, np.int64)
+    count = np.diff(np.r_[start, len(token)])
+    bounds = np.repeat(np.stack([start, start + count], 1), count, axis=0)[np.repeat(count, count) > 1]
+    owners = members[np.repeat(count, count) > 1]
+    by = np.argsort(owners, kind="stable")
+    return owners[by], bounds[by], members
+
+
 def joined(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For every set the first one of its component; pairs link from `similarity` up, and each pair apart is decided."""
+    """For every set the first one of its component; pairs link from `similarity` up. Pairs that share a shingle of their
+    prefixes, fit in size and are still apart are decided by their whole sets."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     size = np.array([len(sets[k]) for k in order])
     ends = np.cumsum(size)
     kinds, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    owners, bounds, members = prefix_index(flat, size, similarity)
+    at = np.searchsorted(owners, np.arange(len(sets) + 1))
     mark, labels = np.zeros(len(kinds), bool), np.arange(len(sets))
     last = np.searchsorted(size, np.floor(size / similarity + 1e-9), "right")
-    for i in range(len(sets)):
-        a, z = i + 1, int(last[i])
-        if a >= z or (labels[a:z] == labels[i]).all():
+    for i in np.unique(owners).tolist():
+        near = np.unique(np.concatenate([members[x:z] for x, z in bounds[at[i] : at[i + 1]]]))
+        near = near[(near > i) & (near < last[i])]
+        near = near[labels[near] != labels[i]]
+        if not len(near):
             continue
         own = flat[ends[i] - size[i] : ends[i]]
         mark[own] = True
-        both = np.add.reduceat(mark[flat[ends[i] : ends[z - 1]]], ends[a - 1 : z - 1] - ends[i], dtype=np.int64)
+        parts = np.concatenate([flat[ends[k] - size[k] : ends[k]] for k in near])
+        starts = np.cumsum(size[near]) - size[near]
+        both = np.add.reduceat(mark[parts], starts, dtype=np.int64)
         mark[own] = False
-        near = a + np.flatnonzero(both / (size[i] + size[a:z] - both) >= similarity)
+        near = near[both / (size[i] + size[near] - both) >= similarity]
         labels = united(labels, np.full(len(near), i), near)
     first = np.arange(len(sets))
     np.minimum.at(low := np.full(len(sets), len(sets)), labels, order)
@@ -145,7 +178,8 @@ def near_copies(
     equal = written(first.select("first.doc_id", "first.fp", "first.bands"), "sets")
     discard(prints)
     keyed = equal.select(F.explode("bands").alias("key"), F.col("doc_id").alias("b"))
-    star = keyed.select(F.min("b").over(Window.partitionBy("key")).alias("a"), "b").where("a <> b")
+    shared = keyed.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    star = keyed.join(shared, "key").where("a <> b").select("a", "b")
     if near_prints is not None:
         reps = equal.groupBy("fp").agg(F.min("doc_id").alias("rep"))
         same = equal.join(reps, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -167,6 +168,30 @@ def test_one_of_near_copies_stays(spark, texts):
     assert sorted(r.rep for r in reps.collect() if r.rep not in later) == sorted(i for i in want if want[i] == i)
 
 
+def test_frames_bring_no_sets_together():
+    rng = random.Random(4)
+    frame = [f"frame{k}" for k in range(100)]
+    texts = [" ".join(frame + [f"own{rng.randrange(10**6)}" for _ in range(40)]) for _ in range(500)]
+    copies = [t.replace("frame50", f"edit{k}") for k, t in enumerate(texts[:20])]
+    sets = [nearcopies.shingle_set(t.encode()) for t in [*texts, *copies]]
+    first = nearcopies.joined(sets, 0.8)
+    assert first.tolist() == [*range(500), *range(20)]
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owners, bounds, members = nearcopies.prefix_index(flat, size, 0.8)
+    pairs = {(i, int(j)) for i, (a, z) in zip(owners.tolist(), bounds) for j in members[a:z] if j > i}
+    assert len(pairs) < 200  # of 135,000
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 25), min_size=1, max_size=14), min_size=1, max_size=25), st.sampled_from([0.5, 0.8, 1.0]))
+def test_prefix_join_against_all_pairs(sets, similarity):
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity]
+    label = components(range(len(sets)), near)
+    arrays = [np.array(sorted(x), np.uint64) for x in sets]
+    assert nearcopies.joined(arrays, similarity).tolist() == [label[k] for k in range(len(sets))]
+
+
 def slow_words(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
