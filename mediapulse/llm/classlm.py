@@ -323,7 +323,7 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
         if found is not None:
             discard(found)
         found = out
-        if before is not None and value - before < SETTLED * abs(before):
+        if before is not None and value - before <= SETTLED * abs(before):
             break
         before = value
     discard(table)

@@ -186,8 +186,8 @@ def decontaminate(
     have none. Every window that a document holds is verified word by word after its hash matches, and all
     words inside any occurrence are hit; items with a null id hit words but are not listed. Very long texts are
     scanned whole, rows with a null doc_id and repeated rows like others; an empty benchmark hits nothing, and an
-    empty table of documents gives an empty result. Columns named n_words, n_hit, items, spans or text_hash are
-    replaced.
+    empty table of documents gives an empty result. Columns named n_words, n_hit or items are
+    replaced, those named spans or text_hash left out.
     """
     docs = docs.drop("n_words", "n_hit", "items", "spans", "text_hash")
     share = docs.sparkSession.sparkContext.broadcast

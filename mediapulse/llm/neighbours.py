@@ -8,8 +8,9 @@ then decided in double precision.
 Lists that are still saturated at the end may lack links. Their vectors are covered by balls around some of
 them, and the balls of different components meet: by the triangle inequality two balls can only hold a link
 if the angle of their centres is within the threshold's angle and both radii, and such pairs of balls are
-compared vector by vector. So components are whole however long the lists would have to be, and inside each
-component all cosines are taken block by block, which makes every vector's number of links exact.
+compared vector by vector. So saturated vectors keep their components whole however long the lists would have to be, and
+inside each component all cosines are taken block by block. A vector whose list is not full may still lack a link that the
+descent has missed; the audit measures that.
 
 An audit against brute force measures recall, asks for more rounds if it is low, and in the end raises an error
 rather than return a result below LEAST.

@@ -245,9 +245,9 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     between ASCII blanks, so a text without blanks is one word and stays. Null and empty texts stay as they are;
     a very long text is cut like any other, its own later repeats too. Rows that repeat both doc_id and text
     count as one document and keep the same text. Other columns are carried along, those named n_removed_runs or
-    n_removed_words are replaced. An empty table gives an empty result.
+    n_removed_words are replaced, and __hash and __repeats left out. An empty table gives an empty result.
     """
-    docs = docs.drop("n_removed_runs", "n_removed_words")
+    docs = docs.drop("n_removed_runs", "n_removed_words", "__hash", "__repeats")
     mark = F.xxhash64("text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"d1 long, d2 long, doc_id {kind}, text_hash long, place int, sure boolean"
