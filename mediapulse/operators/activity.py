@@ -145,3 +145,29 @@ def silences(rows: DataFrame, holidays: DataFrame | None = None, keys: list[str]
         "severity",
         F.when(ratio == 0, "TOTAL").when(ratio < 0.2, "SIGNIFICANT").when(ratio < 0.5, "NOTABLE").otherwise("MINOR")
     )
+
+
+def as_of(
+    rows: DataFrame, history: DataFrame, keys: list[str], at: str = "at", since: str = "since", values: list[str] | None = None
+) -> DataFrame:
+    """rows with the `values` of history(*keys, since, ...) that were valid at their time: those of the last `since` that is
+    not after it; null before the first one, for keys without history and for null times.
+
+    A history row is valid until its key's next one. Its validity is spread over the days that it covers, up to the last
+    day of rows, so rows find it by an equal join on key and day, which Spark can broadcast or split when a key is
+    hot; no key's rows are sorted or held together. Of history rows with one key and time one counts.
+    """
+    values = [c for c in history.columns if c not in (*keys, since)] if values is None else values
+    day = lambda c: F.floor(F.unix_seconds(c) / 86_400)
+    once = history.where(F.col(since).isNotNull()).groupBy(*keys, F.col(since).cast("timestamp").alias("_since"))
+    once = once.agg(*[F.max(F.struct(*values)).alias("_values")])
+    until = F.lead("_since").over(Window.partitionBy(*keys).orderBy("_since"))
+    last = rows.agg(F.max(day(F.col(at).cast("timestamp"))).alias("_last"))
+    spans = once.withColumn("_until", until).join(F.broadcast(last), F.lit(True))
+    end = F.least(F.coalesce(day("_until"), "_last"), "_last")
+    spans = spans.where(day("_since") <= F.col("_last")).withColumn("_day", F.explode(F.sequence(day("_since"), end)))
+    r, h = rows.withColumn("_at", F.col(at).cast("timestamp")).alias("r"), spans.alias("h")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys] + [day("r._at") == F.col("h._day")]
+    same += [F.col("r._at") >= F.col("h._since"), F.col("h._until").isNull() | (F.col("r._at") < F.col("h._until"))]
+    kept = [F.col(f"r.`{c}`") for c in rows.columns if c not in values]
+    return r.join(h, same, "left").select(*kept, *[F.col(f"h._values.{c}").alias(c) for c in values])

@@ -7,6 +7,7 @@ import zipfile
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import scratch_path
@@ -94,6 +95,34 @@ def stream_surges(spark, sf):
     )
 
 
+_HISTORY = """h AS (SELECT country, theme, CAST(day + INTERVAL 1 DAY AS TIMESTAMP) AS since, avg(n) OVER (PARTITION BY country, theme ORDER BY day ROWS UNBOUNDED PRECEDING) AS baseline_mean
+   FROM (SELECT country, theme, CAST(date AS DATE) AS day, count(*) AS n FROM m GROUP BY ALL))"""
+
+
+@query(f"""WITH {d.ARTICLES_SQL}, m AS (SELECT country, date, unnest([t1, t2]) AS theme FROM raw WHERE country <> 'UK'), {_HISTORY},
+ w AS (SELECT country, theme, time_bucket(INTERVAL 1 HOUR, date) - i * INTERVAL 1 HOUR AS window_start FROM m, range(24) t(i)), c AS (SELECT country, theme, window_start, count(*) AS article_count FROM w GROUP BY ALL)
+ SELECT c.country, c.theme, window_start, article_count, round(baseline_mean, 6) AS baseline_mean FROM c ASOF JOIN h ON h.country = c.country AND h.theme = c.theme AND c.window_start >= h.since
+ WHERE article_count / baseline_mean >= 2.0""")
+def stream_surges_as_of(spark, sf):
+    """Closed windows against the mean of the days before them, from a history with a row for each day of a theme."""
+    folder, rows = _drop(spark, sf, "history", closing=True)
+    days = spark.read.parquet(f"{folder}/drop").where("country is not null").select(
+        "country", F.explode("themes").alias("theme"), F.to_date("date").alias("day")
+    ).groupBy("country", "theme", "day").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("country", "theme").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    history = days.select(
+        "country", "theme", F.date_add("day", 1).cast("timestamp").alias("since"), F.avg("n").over(so_far).alias("baseline_mean")
+    )
+    history.write.parquet(f"{folder}/history")
+    jobs.start_surges(
+        rows, lambda s: s.read.parquet(f"{folder}/history"), f"{folder}/table", f"{folder}/checkpoint", surge=2.0
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select(
+        "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
+        F.round("baseline_mean", 6).alias("baseline_mean")
+    )
+
+
 def _put_slices(folder: str, batches):
     """Write each slice's lines as a zip file of its name; a tried-again task writes the same bytes."""
     store, path = fs.FileSystem.from_uri(folder)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ..operators import rollup
+from ..operators import activity, rollup
 from ..operators.graph import discard, written
 from ..sources import sinks
 
@@ -197,20 +198,30 @@ def start_daily_counts(rows: DataFrame, table: str, checkpoint: str, late: str =
 
 
 def start_surges(
-    rows: DataFrame, baselines: DataFrame, table: str, checkpoint: str, window: str = "24 hours",
-    slide: str = "1 hour", late: str = "1 hour", surge: float = 2.0
+    rows: DataFrame, baselines: DataFrame | Callable[[SparkSession], DataFrame], table: str, checkpoint: str,
+    window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour", surge: float = 2.0
 ) -> StreamingQuery:
-    """Sliding counts per country and theme against static daily baselines(country, theme, baseline_mean);
-    windows that closed with a surge are appended."""
+    """Sliding counts per country and theme against daily baselines(country, theme, baseline_mean[, since]);
+    windows that closed with a surge are appended.
+
+    With `since` a window is compared with the baseline that was valid when it began. A function of the session is asked for the
+    baselines at each batch, so it can read those that were written since the last one.
+    """
     counts = rows.withWatermark("date", late).select("date", "country", F.explode("themes").alias("theme")).groupBy(
         F.window("date", window, slide).alias("w"), "country", "theme"
     ).count()
 
     def put(batch: DataFrame, number: int) -> None:
-        hot = batch.join(baselines, ["country", "theme"]).withColumn("ratio", F.col("count") / F.col("baseline_mean"))
+        batch = batch.withColumn("window_start", F.col("w.start"))
+        known = baselines(batch.sparkSession) if callable(baselines) else baselines
+        if "since" in known.columns:
+            hot = activity.as_of(batch, known, ["country", "theme"], "window_start", values=["baseline_mean"])
+        else:
+            hot = batch.join(known, ["country", "theme"])
+        hot = hot.withColumn("ratio", F.col("count") / F.col("baseline_mean"))
         hot = hot.where((F.col("baseline_mean") > 0) & (F.col("ratio") >= surge))
         hot.select(
-            F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "country", "theme",
+            "window_start", F.col("w.end").alias("window_end"), "country", "theme",
             F.col("count").alias("article_count"), "baseline_mean", "ratio", F.lit(number).alias("batch")
         ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 

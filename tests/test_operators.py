@@ -639,6 +639,21 @@ def test_articles_that_time_has_passed_are_forgotten():
     assert [x[1] for x in json.loads(first.state.value[0])] == ["3"]
 
 
+def test_values_as_of_a_time(spark):
+    at = lambda d, h=0: dt.datetime(2026, 4, d, h)
+    history = [("a", at(2), 1.0), ("a", at(5, 12), 2.0), ("a", at(5, 18), 3.0), ("a", at(5, 18), 3.0), ("b", at(20), 9.0), (None, at(1), 7.0), ("a", None, 8.0)]
+    rows = [(k, key, t) for k, (key, t) in enumerate([
+        ("a", at(1)), ("a", at(2)), ("a", at(4, 23)), ("a", at(5, 12)), ("a", at(5, 13)), ("a", at(5, 18)), ("a", at(9)),
+        ("b", at(9)), ("c", at(9)), (None, at(9)), ("a", None),
+    ])]
+    h = spark.createDataFrame(history, "key string, since timestamp, v double")
+    r = spark.createDataFrame(rows, "id int, key string, at timestamp")
+    want = [None, 1.0, 1.0, 2.0, 2.0, 3.0, 3.0, None, None, 7.0, None]
+    assert [x.v for x in activity.as_of(r, h, ["key"]).orderBy("id").collect()] == want
+    assert activity.as_of(r.limit(0), h, ["key"]).count() == 0
+    assert [x.v for x in activity.as_of(r, h.limit(0), ["key"]).collect()] == [None] * len(rows)
+
+
 def test_fixed_values_are_consistent():
     assert set(fixed.DIASPORA_LANGUAGES["RU"]) == {"de", "fr", "es", "he"} and len(fixed.LEVELS) == 7 and all(
         len(v) == 2 for v in fixed.LANGUAGES.values()
