@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.graph import scratch_path
-from ..sources import gkg, schemas, sinks
+from ..sources import gkg, keyed, schemas, sinks
 from ..streaming import jobs
 from . import driver as d
 from .registry import query
@@ -100,3 +100,26 @@ def frozen_days(spark, sf):
     return spark.read.parquet(f"{folder}/store_late").groupBy(F.to_date("date").alias("day")).agg(
         F.count("*").alias("rows")
     )
+
+
+@query(
+    f"""WITH {d.ARTICLES_SQL} SELECT url, record_id, country, date FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY record_id % 5 DESC, record_id DESC) AS last FROM raw) WHERE last = 1"""
+)
+def articles_by_url(spark, sf):
+    """Five upserts of articles by url, the last writer wins; the second of them is tried again."""
+    path, rows = scratch_path(spark, "by_url"), d.raw_articles(spark, sf).select("url", "record_id", "country", "date")
+    for part in (0, 1, 1, 2, 3, 4):
+        keyed.upsert(rows.where(F.col("record_id") % 5 == part), path, ["url"], [F.desc("record_id")], buckets=8)
+    return keyed.read(spark, path).withColumn("date", F.col("date").cast("timestamp_ntz"))
+
+
+@query(
+    f"""WITH {d.ARTICLES_SQL} SELECT domain, max(record_id) AS record_id, count(*) > 0 AS known FROM raw GROUP BY domain"""
+)
+def outlets_by_domain(spark, sf):
+    """Outlets by domain: a first load, then the outlets of the second half of the records alone."""
+    path, rows = scratch_path(spark, "by_domain"), d.raw_articles(spark, sf).select("domain", "record_id")
+    half = rows.agg(F.max("record_id") / 2).first()[0]
+    for part in (F.col("record_id") <= half, F.col("record_id") > half):
+        keyed.upsert(rows.where(part), path, ["domain"], [F.desc("record_id")])
+    return keyed.read(spark, path).withColumn("known", F.lit(True))

@@ -14,14 +14,17 @@ KEYS = {
 }
 
 
+def last_rows(new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    """One row of each key: the first by `order`, or any."""
+    if not order:
+        return new.dropDuplicates(keys)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return new.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """old with the rows of new put in by key; the last row of a key inside new (by `order`) wins."""
-    if order:
-        new = new.withColumn(
-            "_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        ).where("_nth = 1").drop("_nth")
-    else:
-        new = new.dropDuplicates(keys)
+    new = last_rows(new, keys, order)
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
 
 

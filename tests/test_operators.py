@@ -16,7 +16,7 @@ from mediapulse.operators import activity, claims, classify, clusters, coordinat
 from mediapulse.operators.graph import connected_components, scratch_path
 from mediapulse.plans import driver, views
 from mediapulse.plans.stream_queries import write_drop
-from mediapulse.sources import articles, dims, gkg, schemas, sinks
+from mediapulse.sources import articles, dims, gkg, keyed, schemas, sinks, slices
 from mediapulse.streaming import jobs
 
 
@@ -654,6 +654,76 @@ def test_values_as_of_a_time(spark):
     assert [x.v for x in activity.as_of(r, h.limit(0), ["key"]).collect()] == [None] * len(rows)
 
 
+def test_keyed_tables_keep_the_old_state_until_the_new_one_is_whole(spark, monkeypatch):
+    path = scratch_path(spark, "keyed")
+    shape = "url string, n int, note string"
+    put = lambda rows: keyed.upsert(spark.createDataFrame(rows, shape), path, ["url"], [F.desc("n")], buckets=16)
+    now = lambda version=None: sorted(map(tuple, keyed.read(spark, path, version).collect()), key=str)
+    put([(f"u{k}", k, "old") for k in range(200)] + [(None, 1, "null"), ("u3", 7, "wins")])
+    first = now()
+    assert ("u3", 7, "wins") in first and (None, 1, "null") in first and len(first) == 201
+    real = keyed._commit
+    monkeypatch.setattr(keyed, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("lost driver")))
+    with pytest.raises(RuntimeError, match="lost driver"):
+        put([("u1", 500, "new")])
+    assert now() == first
+    monkeypatch.setattr(keyed, "_commit", real)
+    assert put([("u1", 500, "new"), (None, 2, "again"), ("v", 1, "added")]) <= 3
+    after = now()
+    assert {x for x in after if x not in first} == {("u1", 500, "new"), (None, 2, "again"), ("v", 1, "added")}
+    assert len(after) == 202 and now(1) == first
+    state = keyed.manifest(spark, path)
+    with pytest.raises(RuntimeError, match="another writer"):
+        keyed._commit(spark, path, state)
+    with pytest.raises(ValueError, match="keys"):
+        keyed.upsert(spark.createDataFrame([("a", 1, "x")], shape), path, ["n"])
+    assert keyed.vacuum(spark, path) >= 2 and now() == after
+
+
+def put_slice(folder, at, content):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", content)
+    (folder / f"{at}.gkg.csv.zip").write_bytes(held.getvalue())
+    return held.getvalue()
+
+
+def test_the_slice_drop_waits_for_late_slices_and_counts_the_rest(spark, tmp_path):
+    spark.dataSource.register(slices.SliceDrop)
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    whole = put_slice(drop, "20260409120000", "a\nb\u2028c\r\nd")
+    put_slice(drop, "20260409121500", "")
+    (drop / "20260409123000.gkg.csv.zip").write_bytes(whole[: len(whole) // 2])
+    (drop / "20260409130000.gkg.csv.zip").write_bytes(whole[:40] + b"\xff\xff\xff" + whole[43:])
+
+    def run(now):
+        options = {"path": drop.as_uri(), "first": "2026-04-09T11:50:00", "now": now}
+        stream = spark.readStream.format("slices").options(**options).load()
+        writer = stream.writeStream.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema(slices.SCHEMA).parquet(str(tmp_path / "out"))
+        own = {f"{r.slice:%H%M}": (r.status, r.lines) for r in rows.where("status is not null").collect()}
+        assert rows.where("status is not null").count() == len(own)
+        return own, sorted(r.value for r in rows.where("value is not null").collect()), slices.counters(rows).first()
+
+    base = {"1200": ("read", 3), "1215": ("read", 0), "1230": ("corrupt", 0)}
+    assert run("2026-04-09T12:51:00")[0] == base  # 12:45 is not due before 12:52
+    assert run("2026-04-09T13:08:00")[0] == base | {"1300": ("corrupt", 0)}
+    put_slice(drop, "20260409124500", "late")
+    own, values, _ = run("2026-04-09T13:08:00")
+    assert own["1245"] == ("read", 1) and values == ["a", "b\u2028c", "d", "late"]
+    put_slice(drop, "20260409131500", "on time")
+    own, values, counts = run("2026-04-09T15:08:00")
+    assert own["1315"] == ("read", 1) and own["1330"] == ("missing", 0) and "1345" not in own
+    assert counts.asDict() == {"attempted": 7, "fetched": 4, "missing": 1, "errored": 2, "lines": 5}
+    put_slice(drop, "20260409133000", "after its lookback")
+    assert run("2026-04-09T15:08:00")[0] == own
+    options = {"path": str(drop), "first": "2026-04-09T13:30:00", "last": "2026-04-09T13:45:00"}
+    back = spark.read.format("slices").options(**options).load().collect()
+    assert sorted((r.status or "", r.value or "") for r in back) == [("", "after its lookback"), ("missing", ""), ("read", "")]
+
+
 def test_fixed_values_are_consistent():
     assert set(fixed.DIASPORA_LANGUAGES["RU"]) == {"de", "fr", "es", "he"} and len(fixed.LEVELS) == 7 and all(
         len(v) == 2 for v in fixed.LANGUAGES.values()
