@@ -1,15 +1,16 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions.
 
 All counts cover all training documents, and every word of them has a class; the number of classes grows with
-the vocabulary. Clustering looks at a word's neighbours among the CORE most frequent words: these counts are
-gathered once, by hashed word, in a table that is dealt by word. The SEED most frequent words are clustered by
-the exchange algorithm until the likelihood settles; then all words, those included, are exchanged in rounds over the
-table, each one moving to the class where its neighbours' likelihood is greatest under the last round's counts,
-until the likelihood settles. A text's probability is the product of class transitions and word emissions, both
+the vocabulary. Clustering starts with few words and ends with all: the SEED most frequent words are clustered by the
+exchange algorithm until the likelihood settles; then all words are exchanged in rounds over their neighbours among
+the CORE most frequent words, which are counted once in a table that is dealt by word, until the likelihood
+settles. From then on every word has a class, and the last rounds look at the classes of all neighbours, of any word: they
+are counted over the texts anew in each round, until few tokens change their class. In a round each word moves to the
+class where its neighbours' likelihood is greatest under the last round's counts. A text's probability is the product of class transitions and word emissions, both
 smoothed; a class gives the unknown word the weight of its words seen once, so that the probabilities of all
 known words, of the text end and of the unknown word sum to one after any history.
 
-Texts are tokenised three times: to count words, to count neighbours, and to turn texts into classes. The words
+Texts are tokenised to count words, to count neighbours, in each round over all neighbours, and to turn them into classes. The words
 of a broadcast dictionary (the HEAD most frequent) find their class at once, all others by a join with the same
 result; transitions and scores are taken from the table of classes.
 """
@@ -29,12 +30,13 @@ from pyspark.sql import functions as F
 from .common import discard, written
 from .neighbours import _groups
 
-#: Words whose neighbourhood counts, words that start the clustering, and words of the broadcast dictionary with
-#: at most LONGEST bytes. These bound what tasks hold; all words have classes.
+#: Words that classes start with, words of the first exchange, and words of the broadcast dictionary with at most
+#: LONGEST bytes. These bound what tasks hold; the last rounds see all words and all their neighbours.
 CORE, SEED, HEAD, LONGEST = 4000, 1000, 200_000, 64
-#: Smoothing of transitions, and the relative gains in likelihood below which the first exchange and the rounds over
-#: all words have settled; no more than ROUNDS of these.
-STRENGTH, FIRST, SETTLED, ROUNDS = 20.0, 1e-4, 0.005, 20
+#: Smoothing of transitions; the relative gains in likelihood below which the first exchange and the rounds over core
+#: neighbours have settled; and the share of tokens whose change of class ends the rounds over all neighbours, which
+#: also end when no fewer tokens change than in the round before.
+STRENGTH, FIRST, SETTLED, MOVED = 20.0, 1e-4, 0.02, 0.01
 #: Bits of a key of the table of neighbours that hold the neighbour.
 _BITS = 16
 
@@ -134,6 +136,43 @@ def _neighbours(core, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     return _summed(map(keys, _pieces(batches)))
 
 
+def _class_neighbours(share, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, other, n): counts by word key and the class of a neighbour on either side, as in the table of neighbours; a
+    neighbour outside the dictionary is named by its own key in `other`, and its class is left out."""
+    known, end = share.value, width - 1
+
+    def rows(key: np.ndarray, other: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
+        others = pa.nulls(len(key), pa.int64()) if other is None else pa.array(other)
+        return pa.RecordBatch.from_arrays([pa.array(key), others, pa.array(n)], names=["key", "other", "n"])
+
+    rest: list[np.ndarray] = []
+
+    def keys(texts: list[list[bytes]]) -> np.ndarray:
+        own: dict[bytes | None, int] = {None: 0}
+        flat = [0]
+        for words in texts:
+            flat.extend([own.setdefault(w, len(own)) for w in words])
+            flat.append(0)
+        code = np.array(flat, np.int64)
+        words = list(own)[1:]
+        hashed = np.r_[0, np.fromiter(map(word_key, words), np.int64, len(words))]
+        kind = np.r_[end, np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))]
+        found = []
+        for side, w, x in ((0, code[1:], code[:-1]), (width, code[:-1], code[1:])):
+            at = (w > 0) & (kind[x] >= 0)
+            found.append(hashed[w[at]] << _BITS | (side + kind[x[at]]))
+            at = (w > 0) & (kind[x] < 0)
+            if at.any():
+                rest.append(np.stack([hashed[w[at]] << _BITS | side, hashed[x[at]]], 1))
+        return np.concatenate(found)
+
+    for b in _summed(map(keys, _pieces(batches))):
+        yield rows(b.column("key").to_numpy(), None, b.column("n").to_numpy())
+    for part in rest:
+        pair, n = np.unique(part, axis=0, return_counts=True)
+        yield rows(pair[:, 0], pair[:, 1], n)
+
+
 def exchange(pairs: np.ndarray, classes: int, settled: float = 0.0) -> np.ndarray:
     """Classes of words from their bigram counts (the last row and column are the text end, which stays alone).
 
@@ -270,8 +309,53 @@ def _dictionary(vocab: DataFrame, size: int):
     return short & ((level > last) | ((level == last) & part))
 
 
-def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds: int) -> DataFrame:
-    """(word_key, class) of every word that has neighbours among the core words; a written table."""
+def _over_all_neighbours(train: DataFrame, vocab: DataFrame, found: DataFrame, kinds: int, head: int) -> DataFrame:
+    """(word_key, class) of every word, decided by the classes of all its neighbours; a written table.
+
+    found(word_key, class) starts; words without a class there count as neighbours of a kind of their own until they
+    have one. Neighbours in the dictionary find their class in the task, all others by a join.
+    """
+    sc, width, before = vocab.sparkSession.sparkContext, kinds + 2, None
+    sized = written(vocab.select(_key_of("word").alias("word_key"), "n"), "sizes")
+    total = sized.agg(F.sum("n")).first()[0] or 1
+    named = written(vocab.where(_dictionary(vocab, head)).select("word", _key_of("word").alias("word_key")), "named")
+    none = F.coalesce("class", F.lit(kinds)).alias("class")
+    while True:
+        top = named.join(found, "word_key", "left").select("word", none).toArrow()
+        known = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("class").to_pylist()))
+        share = sc.broadcast(known)
+        seen = train.mapInArrow(partial(_class_neighbours, share, width), "key long, other long, n long")
+        seen = written(seen, "seen")
+        rest = seen.where("other is not null").groupBy("key", "other").agg(F.sum("n").alias("n"))
+        rest = rest.join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
+            (F.col("key") + F.coalesce("class", F.lit(kinds))).alias("key"), "n"
+        )
+        cells = seen.where("other is null").select("key", "n").union(rest).groupBy("key").agg(F.sum("n").alias("n"))
+        cells = cells.withColumn("word_key", F.shiftright("key", _BITS))
+        dealt = cells.repartition(F.col("word_key")).sortWithinPartitions("word_key")
+        table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
+        own = table.join(found, "word_key", "left").select(none, F.inline(F.arrays_zip("x", "n")))
+        grid = np.zeros((kinds + 1, 2 * width))
+        for r in own.groupBy("class", "x").agg(F.sum("n").alias("n")).collect():
+            grid[r["class"], r.x] = r.n
+        shape = "word_key long, class int, value double, counts array<long>"
+        now = table.mapInArrow(partial(_assign, likelihoods(grid[:kinds]), np.arange(2 * width)), shape)
+        now = written(now.where("word_key is not null").select("word_key", "class"), "classes")
+        other = found.select("word_key", F.col("class").alias("was"))
+        moved = now.join(other, "word_key", "left").where("was is null or was <> class").join(sized, "word_key")
+        moved = (moved.agg(F.sum("n")).first()[0] or 0) / total
+        share.destroy()
+        discard(seen, table, found)
+        found = now
+        if moved <= MOVED or (before is not None and moved >= before):
+            break
+        before = moved
+    discard(sized, named)
+    return found
+
+
+def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds: int, head: int = HEAD) -> DataFrame:
+    """(word_key, class) of every word; a written table."""
     sc = vocab.sparkSession.sparkContext
     rows = vocab.where(_dictionary(vocab, core)).select("word", "n").collect()
     words = [r.word.encode() for r in sorted(rows, key=lambda r: (-r.n, r.word))]
@@ -308,7 +392,7 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
         np.add.at(grid, (start[:seed, None], side * (end + 1) + beside), counts[:seed])
     place, before, found = {word_key(w): k for k, w in enumerate(words)}, None, None
     in_core = vocab.sparkSession.createDataFrame([(k,) for k in place], "word_key long")
-    for _ in range(ROUNDS):
+    while True:
         both = np.r_[class_of, class_of + end + 1]
         shape = "word_key long, class int, value double, counts array<long>"
         out = written(table.mapInArrow(partial(_assign, likelihoods(grid), both), shape), "classes")
@@ -328,7 +412,9 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
         before = value
     discard(table)
     number.unpersist()
-    return found.where("word_key is not null").select("word_key", "class")
+    start = written(found.where("word_key is not null").select("word_key", "class"), "core_classes")
+    discard(found)
+    return _over_all_neighbours(train, vocab, start, kinds, head)
 
 
 def _classes(dictionary, model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,8 +529,8 @@ def class_model_scores(
     n_words, n_types = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, types = n_words + n_docs, n_types + (n_docs > 0)
     kinds = classes or n_classes(n_types)
-    found = clusters(vocab) if clusters else _clustered(train, vocab, core, seed, kinds)
-    # a class of their own for words that never stand beside a core word
+    found = clusters(vocab) if clusters else _clustered(train, vocab, core, seed, kinds, head)
+    # a class of their own for words that `clusters` leaves out
     lexicon = vocab.withColumn("word_key", _key_of("word")).join(found, "word_key", "left")
     lexicon = written(lexicon.select("word", "n", F.coalesce("class", F.lit(kinds)).alias("class")), "lexicon")
     in_class, once = np.zeros(kinds + 1), np.full(kinds + 1, 0.5)

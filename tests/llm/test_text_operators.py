@@ -520,23 +520,43 @@ def test_class_model_beats_the_base(docs):
         )
 
 
-def test_every_word_beside_a_core_word_has_a_class(spark, docs, texts):
-    vocab = docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1").select("text")
-    words = vocab.mapInArrow(classlm._count, "word string, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
-    found = classlm._clustered(vocab, words, 50, 20, 6).collect()
-    assert len({r.word_key for r in found}) == len(found) and {r["class"] for r in found} <= set(range(6))
-    top = [
-        w for w,
-        _ in Counter(
-            w for i, t in texts.items() if not is_held_out(i) for w in (t or "").encode().lower().split()
-        ).most_common(20)
-    ]
-    near = set()
+@pytest.mark.parametrize("head", [100_000, 30, 0])
+def test_every_word_has_a_class_from_all_its_neighbours(spark, docs, texts, head, monkeypatch):
+    train = docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1").select("text")
+    words = train.mapInArrow(classlm._count, "word string, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
+    monkeypatch.setattr(classlm, "MOVED", 1.0)  # one round, to be done again by hand
+    kinds, rng = 6, random.Random(1)
+    keys = sorted(classlm.word_key(w) for w in trained(texts))
+    start = {k: rng.randrange(kinds) for k in keys if rng.random() < 0.8}
+    table = classlm.written(spark.createDataFrame(list(start.items()), "word_key long, class int"), "start")
+    found = {r.word_key: r["class"] for r in classlm._over_all_neighbours(train, words, table, kinds, head).collect()}
+    width, beside = kinds + 2, {}
     for i, t in texts.items():
-        w = [None, *(t or "").encode().lower().split(), None]
-        if not is_held_out(i):
-            near.update(b for a, b in [*zip(w, w[1:]), *zip(w[1:], w)] if b is not None and (a is None or a in top))
-    assert {classlm.word_key(w) for w in near} <= {r.word_key for r in found}
+        row = [None, *map(classlm.word_key, (t or "").encode().lower().split()), None]
+        kind = [kinds + 1 if w is None else start.get(w, kinds) for w in row]
+        for k in range(1, len(row) - 1):
+            if not is_held_out(i):
+                cell = beside.setdefault(row[k], Counter())
+                cell[kind[k - 1]] += 1
+                cell[width + kind[k + 1]] += 1
+    grid = np.zeros((kinds, 2 * width))
+    for w, cell in beside.items():
+        for x, n in cell.items():
+            if w in start:
+                grid[start[w], x] += n
+    log_p = classlm.likelihoods(grid)
+    assert found.keys() == beside.keys() == set(keys)
+    for w, cell in beside.items():
+        value = sum(n * log_p[:, x] for x, n in cell.items())
+        assert value[found[w]] == pytest.approx(value.max(), rel=1e-5)
+
+
+def test_all_words_are_clustered(spark, docs, texts):
+    train = docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1").select("text")
+    words = train.mapInArrow(classlm._count, "word string, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
+    found = classlm._clustered(train, words, 50, 20, 6).collect()
+    assert {r["class"] for r in found} <= set(range(6)) and len(found) == len(trained(texts))
+    assert {r.word_key for r in found} == {classlm.word_key(w) for w in trained(texts)}
 
 
 def test_words_take_the_class_of_greatest_likelihood():
