@@ -13,17 +13,6 @@ from .theme_queries import _ACT, _EVENTS, _ROLL, _SPIKE, _TOP, _activity, _event
 _KEYS = "country, audience_type, period_type, period_start"
 
 
-def _case(column: str, words: dict[str, str]) -> str:
-    """A mapping of words as SQL."""
-    quoted = {k: v.replace("'", "''") for k, v in words.items()}
-    return f"CASE {column} {' '.join(f'''WHEN '{k}' THEN '{v}' ''' for k, v in quoted.items())} END"
-
-
-def _list_sql(names: str) -> str:
-    many = f"array_to_string({names}[:-2], ', ') || ', and ' || {names}[-1]"
-    return f"CASE WHEN len({names}) <= 2 THEN array_to_string({names}, ' and ') ELSE {many} END"
-
-
 def _buckets(spark, sf):
     """Every bucket with an article, whether its themes are frequent enough to be listed or not."""
     spans = F.array(
@@ -41,14 +30,12 @@ def _buckets(spark, sf):
 @query(f"""{_ROLL}, b AS (SELECT DISTINCT {_KEYS} FROM p_articles),
  x AS (SELECT *, upper(theme[1]) || lower(theme[2:]) AS label, row_number() OVER (PARTITION BY {_KEYS} ORDER BY article_count DESC, theme) AS nth FROM rolled),
  s AS (SELECT {_KEYS}, count(*) AS n, round(sum(share) FILTER (WHERE nth <= 3), 4) AS top_share, avg(avg_tone) FILTER (WHERE nth <= 3) AS tone,
-   list(label ORDER BY nth) FILTER (WHERE nth <= 3) AS names, list(label ORDER BY nth) FILTER (WHERE nth BETWEEN 4 AND 6) AS others FROM x GROUP BY ALL),
+   list(label || ' ' || CAST(round(share * 100) AS INT) || '%' ORDER BY nth) FILTER (WHERE nth <= 3) AS names, list(label ORDER BY nth) FILTER (WHERE nth BETWEEN 4 AND 6) AS others FROM x GROUP BY ALL),
  c AS (SELECT *, CASE WHEN tone IS NULL THEN 'unknown' WHEN tone < -4 THEN 'hostile' WHEN tone < -1 THEN 'negative' WHEN tone <= 1 THEN 'neutral' WHEN tone <= 4 THEN 'positive' ELSE 'celebratory' END AS tone_class,
    CASE WHEN top_share > 0.45 THEN 'dominated' WHEN top_share > 0.3 THEN 'led' WHEN top_share > 0.15 THEN 'anchored' ELSE 'scattered' END AS lead FROM s)
- SELECT {_KEYS}, top_share, tone_class, lead, CASE WHEN n IS NULL THEN 'No ' || lower(audience_type) || ' themes were found for ' || country || ' in ' || strftime(period_start, '%Y-%m-%d') || '.'
-   ELSE 'In ' || strftime(period_start, '%Y-%m-%d') || ', ' || country || '''s ' || {_case('audience_type', views.AUDIENCE_PHRASES)} || ' ' || {_case('lead', views.LEAD_VERBS)} || ' ' || {_list_sql('names')}
-     || ' (' || CAST(round(top_share * 100) AS INT) || '% of articles). ' || CASE WHEN audience_type = 'INTERNATIONAL' THEN {_case('tone_class', {k: v[0] for k, v in views.TONE_SENTENCES.items()})}
-       ELSE {_case('tone_class', {k: v[1] for k, v in views.TONE_SENTENCES.items()})} END
-     || CASE WHEN n > 3 THEN ' ' || (n - 3) || CASE WHEN n = 4 THEN ' more theme followed: ' ELSE ' more themes followed, among them ' END || {_list_sql('others')} || '.' ELSE '' END END AS narrative
+ SELECT {_KEYS}, top_share, tone_class, lead, country || ' ' || lower(audience_type) || ', ' || strftime(period_start, '%Y-%m-%d') || ': ' || coalesce(n, 0) || ' themes.'
+   || CASE WHEN n IS NULL THEN '' ELSE ' First ' || array_to_string(names, ', ') || '; together ' || CAST(round(top_share * 100) AS INT) || '% of articles (' || lead || '), tone ' || tone_class || '.'
+   || CASE WHEN n > 3 THEN ' Then ' || array_to_string(others, ', ') || '.' ELSE '' END END AS narrative
  FROM b LEFT JOIN c USING ({_KEYS})""")
 def narrative_paragraphs(spark, sf):
     return views.narratives(_rollup(spark, sf), _buckets(spark, sf))

@@ -140,49 +140,12 @@ def theme_search_hidden(rows: DataFrame, words: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(shown).alias("shown"), F.count_if(~shown).alias("hidden"))
 
 
-#: What paragraphs say of an audience, of the leading themes' share and of their tone (abroad, then elsewhere).
-AUDIENCE_PHRASES = {
-    "DOMESTIC": "state outlets that address people at home",
-    "INTERNATIONAL": "state outlets that address the world in English and other foreign languages",
-    "DIASPORA": "state outlets that address emigrant communities",
-}
-LEAD_VERBS = {"dominated": "were dominated by", "led": "led with", "anchored": "centred on", "scattered": "ranged over"}
-TONE_SENTENCES = {
-    "hostile": ("The tone of these themes was openly hostile: crisis, conflict, threats.",) * 2,
-    "negative": (
-        "Their tone leaned negative, the way grievances are put to the world.",
-        "Their tone leaned negative, the way security is discussed at home.",
-    ),
-    "neutral": ("Their tone was neutral and mostly descriptive.",) * 2,
-    "positive": (
-        "Their tone was positive, the way achievements are shown to the world.",
-        "Their tone was positive, the way achievements are shown at home.",
-    ),
-    "celebratory": ("Their tone was celebratory: anniversaries, successes, praise of leaders.",) * 2,
-    "unknown": ("Their tone is not known.",) * 2,
-}
-
-
-def _said(words: dict[str, str], key: F.Column) -> F.Column:
-    out = None
-    for k, v in words.items():
-        out = F.when(key == k, v) if out is None else out.when(key == k, v)
-    return out
-
-
-def _listed(labels: F.Column) -> F.Column:
-    """One, two, or more names as a list in a sentence."""
-    n = F.size(labels)
-    head = F.array_join(F.slice(labels, 1, F.greatest(n - 1, F.lit(1))), ", ")
-    many = F.concat(head, F.lit(", and "), F.element_at(labels, -1))
-    return F.when(n <= 2, F.array_join(labels, " and ")).otherwise(many)
-
-
 def narratives(rows: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
-    """A paragraph on each bucket's themes: the leading three with their share, their tone, and the next three.
+    """A paragraph of facts on each bucket: number of themes, the leading three with their shares, how much they hold
+    together and how concentrated that is, the class of their tone, and the next three.
 
     `buckets` names the (country, audience_type, period_type, period_start) that get one; those without themes
-    get a sentence that says so.
+    are said to have none.
     """
     keys = ["country", "audience_type", "period_type", "period_start"]
     label = text.theme_label(F.col("theme")).alias("label")
@@ -198,28 +161,18 @@ def narratives(rows: DataFrame, buckets: DataFrame | None = None) -> DataFrame:
     there = F.col("t").isNotNull()
     b = b.withColumn("lead", F.when(there, text.concentration_class(F.col("top_share"))))
     b = b.withColumn("tone_class", F.when(there, text.tone_class(tone)))
-    names = lambda first: F.transform(F.slice("t", first, 3), lambda x: x["label"])
-    rest = F.size("t") - 3
-    when = F.date_format("period_start", "yyyy-MM-dd")
-    abroad = F.col("audience_type") == "INTERNATIONAL"
-    spoken = F.when(abroad, _said({k: v[0] for k, v in TONE_SENTENCES.items()}, F.col("tone_class")))
-    spoken = spoken.otherwise(_said({k: v[1] for k, v in TONE_SENTENCES.items()}, F.col("tone_class")))
-    more = F.concat(
-        F.lit(" "), rest.cast("string"),
-        F.when(rest == 1, " more theme followed: ").otherwise(" more themes followed, among them "),
-        _listed(names(4)), F.lit("."),
+    percent = lambda x: F.concat(F.round(x * 100).cast("int").cast("string"), F.lit("%"))
+    first = F.array_join(F.transform(top, lambda x: F.concat(x["label"], F.lit(" "), percent(x["share"]))), ", ")
+    after = F.array_join(F.transform(F.slice("t", 4, 3), lambda x: x["label"]), ", ")
+    n = F.coalesce(F.size(F.when(there, F.col("t"))), F.lit(0))
+    head = F.concat(
+        "country", F.lit(" "), F.lower("audience_type"), F.lit(", "), F.date_format("period_start", "yyyy-MM-dd"), F.lit(": "),
+        n.cast("string"), F.lit(" themes."),
     )
-    percent = F.round(F.col("top_share") * 100).cast("int").cast("string")
-    full = F.concat(
-        F.lit("In "), when, F.lit(", "), "country", F.lit("'s "), _said(AUDIENCE_PHRASES, F.col("audience_type")),
-        F.lit(" "),
-        _said(LEAD_VERBS, F.col("lead")), F.lit(" "), _listed(names(1)), F.lit(" ("), percent,
-        F.lit("% of articles). "),
-        spoken, F.when(rest > 0, more).otherwise(F.lit("")),
+    facts = F.concat(
+        F.lit(" First "), first, F.lit("; together "), percent(F.col("top_share")), F.lit(" of articles ("), "lead",
+        F.lit("), tone "), "tone_class", F.lit("."),
+        F.when(n > 3, F.concat(F.lit(" Then "), after, F.lit("."))).otherwise(F.lit("")),
     )
-    none = F.concat(
-        F.lit("No "), F.lower("audience_type"), F.lit(" themes were found for "), "country", F.lit(" in "), when,
-        F.lit(".")
-    )
-    said = F.when(F.col("t").isNull(), none).otherwise(full)
+    said = F.concat(head, F.when(there, facts).otherwise(F.lit("")))
     return b.select(*keys, "top_share", "tone_class", "lead", said.alias("narrative"))
