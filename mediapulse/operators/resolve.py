@@ -18,14 +18,40 @@ def resolved_hosts(hosts: DataFrame, outlets: DataFrame, column: str = "host", l
     )
 
 
+#: Outlet tables of up to so many rows are broadcast, one for each number of labels, if these are so few.
+SMALL, DEPTHS = 200_000, 8
+
+
+def _walked(hosted: DataFrame, outlets: DataFrame, depths: list[int], keep_all: bool) -> DataFrame:
+    """hosted(_host, ...) with the outlet of the longest registered suffix: a lookup for each number of labels that outlets
+    have, from many to few, so rows are neither exploded nor shuffled."""
+    labels = F.length("_host") - F.length(F.replace("_host", F.lit("."))) + 1
+    out = hosted.withColumn("_labels", labels)
+    for n in depths:
+        own = outlets.where(F.size(F.split("domain", r"\.")) == n)
+        own = own.select(F.col("domain").alias(f"_d{n}"), F.struct(*outlets.columns).alias(f"_o{n}"))
+        suffix = F.when(F.col("_labels") >= n, F.substring_index("_host", ".", -n))
+        out = out.join(F.broadcast(own), suffix == F.col(f"_d{n}"), "left").drop(f"_d{n}")
+    out = out.withColumn("_outlet", F.coalesce(*[F.col(f"_o{n}") for n in depths]))
+    out = out if keep_all else out.where("_outlet is not null")
+    kept = [c for c in hosted.columns if c not in (*outlets.columns, "_host")]
+    return out.select(*kept, *[F.col("_outlet")[c].alias(c) for c in outlets.columns])
+
+
 def with_outlet(
-    rows: DataFrame, outlets: DataFrame, column: str = "raw_domain", least: int = 2, keep_all: bool = False
-) -> DataFrame:
-    """Rows with their outlet's domain, country and audience; the others go unless `keep_all`.
+    rows: DataFrame, outlets: DataFrame, column: str = "raw_domain", least: int = 2, keep_all: bool = False,
+    small: int = SMALL,
+) -> DataFrame:
+    """Rows with their outlet's domain, country and audience; the others go unless `keep_all`. Domains are unique.
 
-    Hosts are resolved once each: the fact table itself takes one equi-join on the host.
+    A small table of outlets, whose rows are counted first, is looked up by suffix for each row. Above `small` rows hosts are
+    resolved once each by a join of their parents, and the fact table itself takes one equi-join on the host.
     """
     hosted = rows.withColumn("_host", text.host(F.col(column)))
+    usable = outlets.where(F.size(F.split("domain", r"\.")) >= least)
+    n, depths = usable.agg(F.count("*"), F.collect_set(F.size(F.split("domain", r"\.")))).first()
+    if 0 < n <= small and len(depths) <= DEPTHS:
+        return _walked(hosted, usable, sorted(depths, reverse=True), keep_all)
     found = resolved_hosts(hosted.withColumnRenamed("_host", "host"), outlets, "host", least)
     facts = found.join(outlets, "domain").withColumnRenamed("host", "_host")
     clash = [c for c in facts.columns if c in rows.columns and c != "_host"]

@@ -261,6 +261,23 @@ def test_resolution_prefers_the_longest_parent(spark):
     ).count() == 5
 
 
+@pytest.mark.parametrize("least,keep_all", [(1, False), (2, True), (2, False)])
+def test_suffix_lookups_equal_the_join_of_parents(spark, least, keep_all):
+    rng = random.Random(6)
+    name = lambda n: ".".join(rng.choice(["a", "b", "c", "co", "uk"]) for _ in range(n))
+    domains = sorted({name(rng.randint(1, 5)) for _ in range(60)})
+    outlets = spark.createDataFrame([(x, f"C{k}", k) for k, x in enumerate(domains)], "domain string, country string, rank int")
+    hosts = [(k, name(rng.randint(1, 6)), "x") for k in range(400)] + [(900, None, "x"), (901, "", "x"), (902, "http://u@.a..b./p", "x")]
+    rows = spark.createDataFrame(hosts, "id int, raw_domain string, country string")
+    walked = resolve.with_outlet(rows, outlets, least=least, keep_all=keep_all)
+    joined = resolve.with_outlet(rows, outlets, least=least, keep_all=keep_all, small=0)
+    columns = ["id", "raw_domain", "domain", "country", "rank"]
+    results = [sorted(map(tuple, x.select(*columns).collect()), key=str) for x in (walked, joined)]
+    assert results[0] == results[1] and len(results[0]) > 100
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_zip_slices(spark, tmp_path):
     line = "\t".join(
         [
