@@ -4,13 +4,13 @@ All counts cover all training documents, and every word of them has a class; the
 the vocabulary. Clustering starts with few words and ends with all: the SEED most frequent words are clustered by the
 exchange algorithm until the likelihood settles; then all words are exchanged in rounds over their neighbours among
 the CORE most frequent words, which are counted once in a table that is dealt by word, until the likelihood
-settles. From then on every word has a class, and the last rounds look at the classes of all neighbours, of any word: they
-are counted over the texts anew in each round, until few tokens change their class. In a round each word moves to the
-class where its neighbours' likelihood is greatest under the last round's counts. A text's probability is the product of class transitions and word emissions, both
+settles. Then the last round looks at the classes of all neighbours of every word, counted over all texts, and so places
+every word. In a round each word moves to the class where its neighbours' likelihood is greatest under the counts of
+the classes before it. A text's probability is the product of class transitions and word emissions, both
 smoothed; a class gives the unknown word the weight of its words seen once, so that the probabilities of all
 known words, of the text end and of the unknown word sum to one after any history.
 
-Texts are tokenised to count words, to count neighbours, in each round over all neighbours, and to turn them into classes. The words
+Texts are tokenised to count words, to count neighbours among the core, to count all neighbours' classes, and to turn them into classes. The words
 of a broadcast dictionary (the HEAD most frequent) find their class at once, all others by a join with the same
 result; transitions and scores are taken from the table of classes.
 """
@@ -31,12 +31,11 @@ from .common import discard, written
 from .neighbours import _groups
 
 #: Words that classes start with, words of the first exchange, and words of the broadcast dictionary with at most
-#: LONGEST bytes. These bound what tasks hold; the last rounds see all words and all their neighbours.
+#: LONGEST bytes. These bound what tasks hold; the last round sees all words and all their neighbours.
 CORE, SEED, HEAD, LONGEST = 4000, 1000, 200_000, 64
-#: Smoothing of transitions; the relative gains in likelihood below which the first exchange and the rounds over core
-#: neighbours have settled; and the share of tokens whose change of class ends the rounds over all neighbours, which
-#: also end when no fewer tokens change than in the round before.
-STRENGTH, FIRST, SETTLED, MOVED = 20.0, 1e-4, 0.02, 0.01
+#: Smoothing of transitions, and the relative gains in likelihood below which the first exchange and the rounds over
+#: core neighbours have settled.
+STRENGTH, FIRST, SETTLED = 20.0, 1e-4, 0.01
 #: Bits of a key of the table of neighbours that hold the neighbour.
 _BITS = 16
 
@@ -309,49 +308,69 @@ def _dictionary(vocab: DataFrame, size: int):
     return short & ((level > last) | ((level == last) & part))
 
 
+def _cells(width: int, batches: Iterator[pa.RecordBatch]):
+    """(words, starts, class before or -1, cells, counts) of rows that carry a word's class as the count, plus one, of a
+    cell after the last."""
+    for b in batches:
+        lists = b.column("x")
+        size = lists.value_lengths().to_numpy()
+        x, n = lists.flatten().to_numpy(), b.column("n").flatten().to_numpy()
+        owner, mark = np.repeat(np.arange(len(size)), size), x == 2 * width
+        before = np.full(len(size), -1)
+        before[owner[mark]] = n[mark] - 1
+        starts = np.searchsorted(owner[~mark], np.arange(len(size)))
+        yield b.column("word_key").to_numpy(), starts, before, x[~mark], n[~mark]
+
+
+def _grids(kinds: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts by (class, neighbour class), as (pos, n), under the classes that words come with."""
+    grid = np.zeros(kinds * 2 * width, np.int64)
+    for _, starts, before, x, n in _cells(width, batches):
+        own = np.repeat(before, np.diff(np.r_[starts, len(x)]))
+        grid += np.bincount((own * 2 * width + x)[own >= 0], weights=n[own >= 0], minlength=len(grid)).astype(np.int64)
+    at = np.flatnonzero(grid)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(grid[at])], names=["pos", "n"])
+
+
+def _decided(log_p: np.ndarray, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for words, starts, _, x, n in _cells(width, batches):
+        best = choose(starts, x, n, log_p)[0].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(best)], names=["word_key", "class"])
+
+
 def _over_all_neighbours(train: DataFrame, vocab: DataFrame, found: DataFrame, kinds: int, head: int) -> DataFrame:
     """(word_key, class) of every word, decided by the classes of all its neighbours; a written table.
 
-    found(word_key, class) starts; words without a class there count as neighbours of a kind of their own until they
-    have one. Neighbours in the dictionary find their class in the task, all others by a join.
+    found(word_key, class) starts; words without a class there count as neighbours of a kind of their own. Neighbours in
+    the dictionary find their class in the task, all others by a join.
     """
-    sc, width, before = vocab.sparkSession.sparkContext, kinds + 2, None
-    sized = written(vocab.select(_key_of("word").alias("word_key"), "n"), "sizes")
-    total = sized.agg(F.sum("n")).first()[0] or 1
-    named = written(vocab.where(_dictionary(vocab, head)).select("word", _key_of("word").alias("word_key")), "named")
+    sc, width = vocab.sparkSession.sparkContext, kinds + 2
     none = F.coalesce("class", F.lit(kinds)).alias("class")
-    while True:
-        top = named.join(found, "word_key", "left").select("word", none).toArrow()
-        known = dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("class").to_pylist()))
-        share = sc.broadcast(known)
-        seen = train.mapInArrow(partial(_class_neighbours, share, width), "key long, other long, n long")
-        seen = written(seen, "seen")
-        rest = seen.where("other is not null").groupBy("key", "other").agg(F.sum("n").alias("n"))
-        rest = rest.join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
-            (F.col("key") + F.coalesce("class", F.lit(kinds))).alias("key"), "n"
-        )
-        cells = seen.where("other is null").select("key", "n").union(rest).groupBy("key").agg(F.sum("n").alias("n"))
-        cells = cells.withColumn("word_key", F.shiftright("key", _BITS))
-        dealt = cells.repartition(F.col("word_key")).sortWithinPartitions("word_key")
-        table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
-        own = table.join(found, "word_key", "left").select(none, F.inline(F.arrays_zip("x", "n")))
-        grid = np.zeros((kinds + 1, 2 * width))
-        for r in own.groupBy("class", "x").agg(F.sum("n").alias("n")).collect():
-            grid[r["class"], r.x] = r.n
-        shape = "word_key long, class int, value double, counts array<long>"
-        now = table.mapInArrow(partial(_assign, likelihoods(grid[:kinds]), np.arange(2 * width)), shape)
-        now = written(now.where("word_key is not null").select("word_key", "class"), "classes")
-        other = found.select("word_key", F.col("class").alias("was"))
-        moved = now.join(other, "word_key", "left").where("was is null or was <> class").join(sized, "word_key")
-        moved = (moved.agg(F.sum("n")).first()[0] or 0) / total
-        share.destroy()
-        discard(seen, table, found)
-        found = now
-        if moved <= MOVED or (before is not None and moved >= before):
-            break
-        before = moved
-    discard(sized, named)
-    return found
+    named = vocab.where(_dictionary(vocab, head)).select("word", _key_of("word").alias("word_key"))
+    top = named.join(found, "word_key", "left").select("word", none).toArrow()
+    share = sc.broadcast(dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("class").to_pylist())))
+    seen = train.mapInArrow(partial(_class_neighbours, share, width), "key long, other long, n long")
+    seen = written(seen, "seen")
+    rest = seen.where("other is not null").groupBy("key", "other").agg(F.sum("n").alias("n"))
+    rest = rest.join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
+        (F.col("key") + F.coalesce("class", F.lit(kinds))).alias("key"), "n"
+    )
+    before = found.select(
+        (F.shiftleft("word_key", _BITS) + 2 * width).alias("key"), (F.col("class") + 1).cast("long").alias("n")
+    )
+    cells = seen.where("other is null").select("key", "n").union(rest).union(before)
+    dealt = cells.withColumn("word_key", F.shiftright("key", _BITS)).repartition(F.col("word_key"))
+    dealt = dealt.sortWithinPartitions("word_key")
+    table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
+    grid = np.zeros(kinds * 2 * width)
+    sums = table.mapInArrow(partial(_grids, kinds, width), "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n"))
+    for r in sums.collect():
+        grid[r.pos] = r.n
+    log_p = likelihoods(grid.reshape(kinds, -1))
+    now = written(table.mapInArrow(partial(_decided, log_p, width), "word_key long, class int"), "classes")
+    share.destroy()
+    discard(seen, table, found)
+    return now
 
 
 def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds: int, head: int = HEAD) -> DataFrame:
