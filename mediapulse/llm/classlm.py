@@ -246,7 +246,7 @@ def choose(
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a word, from rows in order of words: at most two neighbours for every core word and end."""
+    """One row a word, from rows in order of words; a neighbour counted by several tasks stands there several times."""
     for table in _groups(batches, "word_key"):
         word, key, n = (table.column(c).to_numpy() for c in ("word_key", "key", "n"))
         starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
@@ -381,7 +381,7 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
     width, seed = len(words) + 1, min(seed, len(words))
     assert 2 * width < 1 << _BITS
     number = sc.broadcast({w: k for k, w in enumerate(words)})
-    seen = train.mapInArrow(partial(_neighbours, number), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    seen = train.mapInArrow(partial(_neighbours, number), "key long, n long")  # summed in each task, then by their readers
     seen = seen.withColumn("word_key", F.shiftright("key", _BITS))
     dealt = seen.repartition(F.col("word_key")).sortWithinPartitions("word_key")
     table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
@@ -396,8 +396,8 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
     a, x, n = (own.column(c).to_numpy() for c in ("a", "x", "n"))
     pairs = np.zeros((seed + 1, seed + 1))
     right = x >= width
-    pairs[a[right], np.where(x[right] == 2 * width - 1, seed, x[right] - width)] = n[right]
-    pairs[seed, a[~right]] = n[~right]
+    np.add.at(pairs, (a[right], np.where(x[right] == 2 * width - 1, seed, x[right] - width)), n[right])
+    np.add.at(pairs, (seed, a[~right]), n[~right])
     kinds = min(kinds, max(1, seed))
     start = exchange(pairs, kinds, FIRST)
 
