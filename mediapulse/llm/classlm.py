@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, sliced, written
 from .neighbours import _groups
 
 #: Words that classes start with, words of the first exchange, and words of the broadcast dictionary with at most
@@ -38,6 +39,9 @@ CORE, SEED, HEAD, LONGEST = 4000, 1000, 200_000, 64
 STRENGTH, FIRST, SETTLED = 20.0, 1e-4, 0.01
 #: Bits of a key of the table of neighbours that hold the neighbour.
 _BITS = 16
+#: Columns of the neighbours that a task has counted.
+_CELLS = ["word_key", "x", "n", "side", "other", "m"]
+_LISTS = "word_key long, x binary, n binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -89,87 +93,106 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(counts)
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate([x[0] for x in held]).astype(np.int64), return_inverse=True)
-    return k, np.bincount(at, weights=np.concatenate([x[1] for x in held]), minlength=len(k)).astype(np.int64)
+def _distinct(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """The tokens of some texts as numbers, with a 0 at both ends of every text, and the words of the numbers from 1 on."""
+    flat: list[bytes | None] = [None]
+    for words in texts:
+        flat.extend(words)
+        flat.append(None)
+    own = dict(zip(dict.fromkeys(flat), range(len(flat))))
+    return np.fromiter(map(own.__getitem__, flat), np.int64, len(flat)), list(own)[1:]
+
+
+def _lists(keys: np.ndarray, n: np.ndarray | None = None) -> list[pa.Array]:
+    """(word_key, x, n): a row for each word, from the keys of its cells, of which each counts once or n times. The cells
+    go as two bytes a cell in x and four bytes a count in n, so that they are shuffled and sorted by word and not by cell."""
+    if n is None:
+        keys.sort()
+    else:
+        order = np.argsort(keys, kind="stable")
+        keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    n = np.diff(np.r_[at, len(keys)]) if n is None else np.add.reduceat(n, at)
+    keys = keys[at]
+    word = keys >> _BITS
+    starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    ends = np.r_[starts, len(word)]
+    return [
+        pa.array(word[starts]), _binaries((keys & ((1 << _BITS) - 1)).astype("<u2"), ends), _binaries(n.astype("<u4"), ends)
+    ]
+
+
+def _binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _values(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed ones, and where each row's begin, with the end after the last."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return values, (ends - ends[0]) // values.itemsize
+
+
+def _neighbours(named, width: int, others: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts by word key and neighbour as lists (word_key, x, n). x is what the neighbour's name stands for, or
+    width - 1 for the text end; right ones have `width` added. If `others` count, neighbours without a name are rows
+    (word_key, side, other, m) with their own key in `other`; else they are left out."""
+    known = named.value
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        arrays = _lists(np.concatenate(held))
+        if others:
+            arrays += [pa.nulls(len(arrays[0]), t) for t in (pa.int32(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=_CELLS[: len(arrays)])
+
+    def rest(side: int, word: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((other, word))
+        word, other = word[order], other[order]
+        at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (other[1:] != other[:-1])])
+        m, none = np.diff(np.r_[at, len(word)]), pa.nulls(len(at), pa.binary())
+        arrays = [pa.array(word[at]), none, none, pa.array(np.full(len(at), side, np.int32)), pa.array(other[at])]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(m)], names=_CELLS)
 
-
-def _summed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Counts (key, n) of keys that come in parts, summed before they leave the task."""
     held, n = [], 0
-    for part in parts:
-        held.append(np.unique(part, return_counts=True))
-        n += len(held[-1][0])
-        if n > 2_000_000:
-            held = [_merged(held)]
-            n = len(held[0][0])
-            if n > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["key", "n"])
-                held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(held)], names=["key", "n"])
-
-
-def _neighbours(core, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by word key and neighbour: the number of a core word or, after the last, the text end; right ones
-    have all numbers of left ones before them."""
-    known, width = core.value, len(core.value) + 1
-
-    def keys(texts: list[list[bytes]]) -> np.ndarray:
-        own: dict[bytes | None, int] = {None: 0}
-        flat = [0]
-        for words in texts:
-            flat.extend([own.setdefault(w, len(own)) for w in words])
-            flat.append(0)
-        code = np.array(flat, np.int64)
-        words = list(own)[1:]
-        hashed = np.fromiter(map(word_key, words), np.int64, len(words))
-        number = np.r_[width - 1, np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))]
-        hashed = np.r_[0, hashed] << _BITS
-        found = []
-        for side, w, x in ((0, code[1:], code[:-1]), (width, code[:-1], code[1:])):
-            at = (w > 0) & (number[x] >= 0)
-            found.append(hashed[w[at]] | (side + number[x[at]]))
-        return np.concatenate(found)
-
-    return _summed(map(keys, _pieces(batches)))
-
-
-def _class_neighbours(share, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, other, n): counts by word key and the class of a neighbour on either side, as in the table of neighbours; a
-    neighbour outside the dictionary is named by its own key in `other`, and its class is left out."""
-    known, end = share.value, width - 1
-
-    def rows(key: np.ndarray, other: np.ndarray | None, n: np.ndarray) -> pa.RecordBatch:
-        others = pa.nulls(len(key), pa.int64()) if other is None else pa.array(other)
-        return pa.RecordBatch.from_arrays([pa.array(key), others, pa.array(n)], names=["key", "other", "n"])
-
-    rest: list[np.ndarray] = []
-
-    def keys(texts: list[list[bytes]]) -> np.ndarray:
-        own: dict[bytes | None, int] = {None: 0}
-        flat = [0]
-        for words in texts:
-            flat.extend([own.setdefault(w, len(own)) for w in words])
-            flat.append(0)
-        code = np.array(flat, np.int64)
-        words = list(own)[1:]
+    for texts in _pieces(batches):
+        code, words = _distinct(texts)
         hashed = np.r_[0, np.fromiter(map(word_key, words), np.int64, len(words))]
-        kind = np.r_[end, np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))]
-        found = []
+        name = np.r_[width - 1, np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))]
         for side, w, x in ((0, code[1:], code[:-1]), (width, code[:-1], code[1:])):
-            at = (w > 0) & (kind[x] >= 0)
-            found.append(hashed[w[at]] << _BITS | (side + kind[x[at]]))
-            at = (w > 0) & (kind[x] < 0)
-            if at.any():
-                rest.append(np.stack([hashed[w[at]] << _BITS | side, hashed[x[at]]], 1))
-        return np.concatenate(found)
+            w, x = w[w > 0], x[w > 0]
+            at = name[x] >= 0
+            held.append(hashed[w[at]] << _BITS | (side + name[x[at]]))
+            n += len(held[-1])
+            if others and not at.all():
+                yield rest(side, hashed[w[~at]], hashed[x[~at]])
+        if n > 4_000_000:
+            yield rows(held)
+            held, n = [], 0
+    if n:
+        yield rows(held)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists (word_key, x, n) from rows (key, n) of single cells."""
+
+    def rows(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        key, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "n"))
+        return pa.RecordBatch.from_arrays(_lists(key, n), names=_CELLS[:3])
 
-    for b in _summed(map(keys, _pieces(batches))):
-        yield rows(b.column("key").to_numpy(), None, b.column("n").to_numpy())
-    for part in rest:
-        pair, n = np.unique(part, axis=0, return_counts=True)
-        yield rows(pair[:, 0], pair[:, 1], n)
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n > 1_000_000:
+            yield rows(held)
+            held, n = [], 0
+    if held:
+        yield rows(held)
 
 
 def exchange(pairs: np.ndarray, classes: int, settled: float = 0.0) -> np.ndarray:
@@ -248,12 +271,15 @@ def choose(
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a word, from rows in order of words; a neighbour counted by several tasks stands there several times."""
     for table in _groups(batches, "word_key"):
-        word, key, n = (table.column(c).to_numpy() for c in ("word_key", "key", "n"))
-        starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        offsets = pa.array(np.r_[starts, len(word)].astype(np.int32))
-        x = pa.ListArray.from_arrays(offsets, pa.array((key & ((1 << _BITS) - 1)).astype(np.int32)))
-        n = pa.ListArray.from_arrays(offsets, pa.array(n))
-        yield pa.RecordBatch.from_arrays([pa.array(word[starts]), x, n], names=["word_key", "x", "n"])
+        table = table.combine_chunks()
+        word = table.column("word_key").to_numpy()
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        lists = []
+        for name, kind in (("x", "<u2"), ("n", "<u4")):
+            for chunk in table.column(name).chunks:
+                values, starts = _values(chunk, kind)
+                lists.append(_binaries(values, np.r_[starts[first], starts[-1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(word[first]), *lists], names=_CELLS[:3])
 
 
 def _assign(log_p: np.ndarray, class_of: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +294,8 @@ def _assign(log_p: np.ndarray, class_of: np.ndarray, batches: Iterator[pa.Record
         return pa.RecordBatch.from_arrays(arrays, names=["word_key", "class", "value", "counts"])
 
     for b in batches:
-        lists = b.column("x")
-        starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        neighbour = class_of[lists.flatten().to_numpy()]
-        n = b.column("n").flatten().to_numpy()
+        x, starts = _values(b.column("x"), "<u2")
+        neighbour, n = class_of[x], _values(b.column("n"), "<u4")[0]
         if not len(n):
             continue
         best, value = choose(starts[:-1], neighbour, n, log_p)
@@ -288,6 +312,18 @@ def _assign(log_p: np.ndarray, class_of: np.ndarray, batches: Iterator[pa.Record
         )
 
 
+def _bigrams(width: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells (pos, n) of the bigrams of seed words a, whose number is `seed` + 1, with the text end last."""
+    for b in batches:
+        x, ends = _values(b.column("x"), "<u2")
+        x, n = x.astype(np.int64), _values(b.column("n"), "<u4")[0].astype(np.int64)
+        a = np.repeat(b.column("a").to_numpy(), np.diff(ends)).astype(np.int64)
+        after, begins = (x >= width) & (x < width + seed) | (x == 2 * width - 1), x == width - 1
+        other = np.where(x == 2 * width - 1, seed, x - width)
+        pos = np.r_[a[after] * (seed + 1) + other[after], seed * (seed + 1) + a[begins]]
+        yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(np.r_[n[after], n[begins]])], names=["pos", "n"])
+
+
 def _dictionary(vocab: DataFrame, size: int):
     """A condition that holds for about the `size` most frequent words, at least most of them and at most a few more.
 
@@ -312,9 +348,8 @@ def _cells(width: int, batches: Iterator[pa.RecordBatch]):
     """(words, starts, class before or -1, cells, counts) of rows that carry a word's class as the count, plus one, of a
     cell after the last."""
     for b in batches:
-        lists = b.column("x")
-        size = lists.value_lengths().to_numpy()
-        x, n = lists.flatten().to_numpy(), b.column("n").flatten().to_numpy()
+        x, ends = _values(b.column("x"), "<u2")
+        n, size = _values(b.column("n"), "<u4")[0].astype(np.int64), np.diff(ends)
         owner, mark = np.repeat(np.arange(len(size)), size), x == 2 * width
         before = np.full(len(size), -1)
         before[owner[mark]] = n[mark] - 1
@@ -349,19 +384,18 @@ def _over_all_neighbours(train: DataFrame, vocab: DataFrame, found: DataFrame, k
     named = vocab.where(_dictionary(vocab, head)).select("word", _key_of("word").alias("word_key"))
     top = named.join(found, "word_key", "left").select("word", none).toArrow()
     share = sc.broadcast(dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("class").to_pylist())))
-    seen = train.mapInArrow(partial(_class_neighbours, share, width), "key long, other long, n long")
-    seen = written(seen, "seen")
-    rest = seen.where("other is not null").groupBy("key", "other").agg(F.sum("n").alias("n"))
-    rest = rest.join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
-        (F.col("key") + F.coalesce("class", F.lit(kinds))).alias("key"), "n"
+    shape = _LISTS + ", side int, other long, m long"
+    seen = written(train.mapInArrow(partial(_neighbours, share, width, True), shape), "seen")
+    rest = seen.where("other is not null").join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
+        (F.shiftleft("word_key", _BITS) + F.col("side") + F.coalesce("class", F.lit(kinds))).alias("key"),
+        F.col("m").alias("n"),
     )
     before = found.select(
         (F.shiftleft("word_key", _BITS) + 2 * width).alias("key"), (F.col("class") + 1).cast("long").alias("n")
     )
-    cells = seen.where("other is null").select("key", "n").union(rest).union(before)
-    dealt = cells.withColumn("word_key", F.shiftright("key", _BITS)).repartition(F.col("word_key"))
-    dealt = dealt.sortWithinPartitions("word_key")
-    table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
+    cells = seen.where("other is null").select("word_key", "x", "n").union(rest.union(before).mapInArrow(_folded, _LISTS))
+    dealt = cells.repartition(F.col("word_key")).sortWithinPartitions("word_key")
+    table = written(dealt.mapInArrow(_packed, _LISTS), "neighbours")
     grid = np.zeros(kinds * 2 * width)
     sums = table.mapInArrow(partial(_grids, kinds, width), "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n"))
     for r in sums.collect():
@@ -381,23 +415,20 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
     width, seed = len(words) + 1, min(seed, len(words))
     assert 2 * width < 1 << _BITS
     number = sc.broadcast({w: k for k, w in enumerate(words)})
-    seen = train.mapInArrow(partial(_neighbours, number), "key long, n long")  # summed in each task, then by their readers
-    seen = seen.withColumn("word_key", F.shiftright("key", _BITS))
+    seen = train.mapInArrow(partial(_neighbours, number, width, False), _LISTS)  # summed in each task, then by readers
     dealt = seen.repartition(F.col("word_key")).sortWithinPartitions("word_key")
-    table = written(dealt.mapInArrow(_packed, "word_key long, x array<int>, n array<long>"), "neighbours")
+    table = written(dealt.mapInArrow(_packed, _LISTS), "neighbours")
 
     # bigrams of the seed words and the text end start the classes
     at = vocab.sparkSession.createDataFrame(
         [(word_key(w), k) for k, w in enumerate(words[:seed])], "word_key long, a int"
     )
-    own = table.join(F.broadcast(at), "word_key").select("a", F.inline(F.arrays_zip("x", "n")))
-    x = F.col("x")
-    own = own.where(x.between(width, width + seed - 1) | x.isin(width - 1, 2 * width - 1)).toArrow()
-    a, x, n = (own.column(c).to_numpy() for c in ("a", "x", "n"))
-    pairs = np.zeros((seed + 1, seed + 1))
-    right = x >= width
-    np.add.at(pairs, (a[right], np.where(x[right] == 2 * width - 1, seed, x[right] - width)), n[right])
-    np.add.at(pairs, (seed, a[~right]), n[~right])
+    own = table.join(F.broadcast(at), "word_key").select("a", "x", "n")
+    own = own.mapInArrow(partial(_bigrams, width, seed), "pos long, n long").groupBy("pos").agg(F.sum("n").alias("n"))
+    own = own.toArrow()
+    pairs = np.zeros((seed + 1) ** 2)
+    pairs[own.column("pos").to_numpy()] = own.column("n").to_numpy()
+    pairs = pairs.reshape(seed + 1, seed + 1)
     kinds = min(kinds, max(1, seed))
     start = exchange(pairs, kinds, FIRST)
 
@@ -439,34 +470,29 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
 def _classes(dictionary, model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's classes as two bytes a token, what its words of the dictionary add to the scores, and the others."""
     number, class_of, log_base, log_word = (dictionary.value[k] for k in ("number", "class", "log_base", "log_word"))
-    get = number.get
-    for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
-        out, odd, places, ends = [], [], [], [0]
-        for t in b.column("text").cast(pa.binary()):
-            words = tokens(t.as_py())
-            code = np.array([get(w, -1) for w in words], np.int64)
-            other = np.flatnonzero(code < 0)
-            odd.extend([words[k] for k in other.tolist()])
-            places.append(other)
-            ends.append(len(odd))
-            known = code[code >= 0]
-            base, own = float(log_base[known].sum()), float(log_word[known].sum())
-            kinds = np.where(code >= 0, class_of[code] if len(class_of) else 0, model["unknown"])
-            out.append(
-                (
-                    np.r_[kinds, model["end"]].astype("<i2").tobytes(), len(words) + 1,
-                    len(known) + model["end_known"], base + model["end_base"], own
-                )
-            )
-        kinds, n, seen, base, own = zip(*out)
-        place = pa.array(np.concatenate(places).astype(np.int32))
-        pairs = pa.StructArray.from_arrays([place, pa.array(odd, pa.binary()).view(pa.string())], names=["at", "w"])
+    class_of = class_of if len(class_of) else np.zeros(1, np.int64)
+    for b in sliced(batches, 500):
+        split = [tokens(t.as_py()) for t in b.column("text").cast(pa.binary())]
+        flat = list(chain.from_iterable(split))
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        starts, text = np.r_[0, np.cumsum(size)], np.repeat(np.arange(len(split)), size)
+        code = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
+        other, named = np.flatnonzero(code < 0), np.flatnonzero(code >= 0)
+        known = code[named]
+        kinds = np.full(len(flat) + len(split), model["end"], "<i2")
+        kinds[np.arange(len(flat)) + text] = np.where(code >= 0, class_of[code], model["unknown"])
+        seen = np.bincount(text[named], minlength=len(split))
+        base, own = (
+            np.bincount(text[named], weights=x[known], minlength=len(split)).astype(float) for x in (log_base, log_word)
+        )
+        place = pa.array((other - starts[text[other]]).astype(np.int32))
+        odd = pa.array([flat[k] for k in other.tolist()], pa.binary()).view(pa.string())
+        ends = np.r_[0, np.cumsum(size - seen)].astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [
-                b.column("doc_id"), b.column("held_out"), pa.array(kinds, pa.binary()), pa.array(n, pa.int64()),
-                pa.array(seen, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(own, pa.float64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs),
+                b.column("doc_id"), b.column("held_out"), _binaries(kinds, starts + np.arange(len(starts))),
+                pa.array(size + 1), pa.array(seen + model["end_known"]), pa.array(base + model["end_base"]), pa.array(own),
+                pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([place, odd], names=["at", "w"])),
             ],
             names=["doc_id", "held_out", "kinds", "n_tokens", "n_known", "base_score", "emitted", "odd"],
         )
@@ -475,39 +501,35 @@ def _classes(dictionary, model: dict, batches: Iterator[pa.RecordBatch]) -> Iter
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put the classes of joined words into their texts' classes."""
     for b in batches:
-        kinds = []
-        for old, found in zip(b.column("kinds"), b.column("found")):
-            row = np.frombuffer(old.as_py(), "<i2")
-            if (new := found.values) is not None and len(new):
-                row = row.copy()
-                row[new.field("at").to_numpy()] = new.field("class").to_numpy()
-            kinds.append(row.tobytes())
+        kinds, starts = _values(b.column("kinds"), "<i2")
+        kinds, found = kinds.copy(), b.column("found")
+        new = found.flatten()
+        text = np.repeat(np.arange(b.num_rows), found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        kinds[starts[text] + new.field("at").to_numpy()] = new.field("class").to_numpy()
         names = [c for c in b.schema.names if c not in ("kinds", "found")]
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in names), pa.array(kinds, pa.binary())], names=[*names, "kinds"]
+            [*(b.column(c) for c in names), _binaries(kinds, starts)], names=[*names, "kinds"]
         )
 
 
 def _moves(size: int, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of class pairs by first * size + second; texts begin after an end."""
-
-    def keys(b: pa.RecordBatch) -> np.ndarray:
-        flat = np.frombuffer(b"".join(b.column("kinds").to_pylist()), "<i2").astype(np.int64)
-        return np.r_[end, flat[:-1]] * size + flat if len(flat) else flat
-
-    return _summed(keys(b.slice(k, 1000)) for b in batches for k in range(0, b.num_rows, 1000))
+    counts = np.zeros(size * size, np.int64)
+    for b in sliced(batches, 500):
+        flat = _values(b.column("kinds"), "<i2")[0].astype(np.int64)
+        counts += np.bincount(np.r_[end, flat[:-1]][: len(flat)] * size + flat, minlength=size * size)
+    key = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(counts[key])], names=["key", "n"])
 
 
 def _score(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     log_move, end = model.value
-    for b in batches:
-        moved = []
-        for t in b.column("kinds"):
-            row = np.frombuffer(t.as_py(), "<i2").astype(np.int64)
-            moved.append(float(log_move[np.r_[end, row[:-1]], row].sum()))
+    for b in sliced(batches, 500):
+        flat, starts = _values(b.column("kinds"), "<i2")
+        moved = np.add.reduceat(log_move[np.r_[end, flat[:-1]], flat], starts[:-1])
         names = [c for c in b.schema.names if c != "kinds"]
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(c) for c in names), pa.array(moved, pa.float64())], names=[*names, "moved"]
+            [*(b.column(c) for c in names), pa.array(moved)], names=[*names, "moved"]
         )
 
 

@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -550,6 +552,49 @@ def test_every_word_has_a_class_from_all_its_neighbours(spark, docs, texts, head
         assert value[found[w]] == pytest.approx(value.max(), rel=1e-5)
 
 
+def cells_of(batches):
+    """(word_key, neighbour) to count, and the rows, of batches of packed cells."""
+    found, rows = Counter(), []
+    for b in batches:
+        b = b.filter(b.column("x").is_valid())
+        (x, ends), (n, _) = classlm._values(b.column("x"), "<u2"), classlm._values(b.column("n"), "<u4")
+        rows += b.column("word_key").to_pylist()
+        for w, a, z in zip(b.column("word_key").to_pylist(), ends, ends[1:]):
+            for k in range(a, z):
+                found[w, int(x[k])] += int(n[k])
+    return found, rows
+
+
+def test_neighbours_are_dealt_as_one_row_for_each_word():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("a b c d e f g Z".split()) for _ in range(rng.randrange(40))) for _ in range(30)]
+    named, width, want, beside = {b"a": 0, b"b": 1, b"c": 0}, 4, Counter(), Counter()
+    for t in texts:
+        row = [None, *t.lower().encode().split(), None]
+        for side, w, x in [(0, b, a) for a, b in zip(row, row[1:])] + [(width, a, b) for a, b in zip(row, row[1:])]:
+            if w is not None and (x is None or x in named):
+                want[classlm.word_key(w), side + (width - 1 if x is None else named[x])] += 1
+            elif w is not None:
+                beside[classlm.word_key(w), side, classlm.word_key(x)] += 1
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    share = SimpleNamespace(value=named)
+    for others in (False, True):
+        out = list(classlm._neighbours(share, width, others, iter([batch])))
+        found, rows = cells_of(out)
+        assert found == want and len(rows) == len(set(rows)) == len({w for w, _ in want})
+        rest = [r for b in out for r in b.to_pylist() if r.get("other") is not None]
+        assert {(r["word_key"], r["side"], r["other"]): r["m"] for r in rest} == (beside if others else {})
+
+    two = pa.Table.from_batches(next(classlm._neighbours(share, width, False, iter([batch.slice(k, 15)]))) for k in (0, 15))
+    packed = list(classlm._packed(two.sort_by("word_key").to_batches(max_chunksize=3)))
+    found, rows = cells_of(packed)
+    assert found == want and rows == sorted(set(rows))
+    cells = [(w << classlm._BITS | x, n) for (w, x), n in want.items()] * 2
+    key, n = (pa.array(c, pa.int64()) for c in zip(*cells))
+    found, rows = cells_of(classlm._folded(iter([pa.RecordBatch.from_arrays([key, n], names=["key", "n"])])))
+    assert found == want + want and len(rows) == len(set(rows))
+
+
 def test_all_words_are_clustered(spark, docs, texts):
     train = docs.where("pmod(crc32(cast(doc_id as string)), 5) <> 1").select("text")
     words = train.mapInArrow(classlm._count, "word string, n long").groupBy("word").agg({"n": "sum"}).toDF("word", "n")
