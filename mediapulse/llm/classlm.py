@@ -93,14 +93,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(counts)
 
 
-def _distinct(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes]]:
-    """The tokens of some texts as numbers, with a 0 at both ends of every text, and the words of the numbers from 1 on."""
-    flat: list[bytes | None] = [None]
-    for words in texts:
-        flat.extend(words)
-        flat.append(None)
-    own = dict(zip(dict.fromkeys(flat), range(len(flat))))
-    return np.fromiter(map(own.__getitem__, flat), np.int64, len(flat)), list(own)[1:]
+def _named(words: list[bytes], name: np.ndarray) -> dict:
+    """What `_neighbours` broadcasts: numbers of frequent words, and the keys and names (or -1) of the numbers."""
+    return {
+        "number": {w: k for k, w in enumerate(words)}, "name": np.asarray(name, np.int64),
+        "key": np.fromiter(map(word_key, words), np.int64, len(words))
+    }
 
 
 def _lists(keys: np.ndarray, n: np.ndarray | None = None) -> list[pa.Array]:
@@ -141,7 +139,7 @@ def _neighbours(named, width: int, others: bool, batches: Iterator[pa.RecordBatc
     """Counts by word key and neighbour as lists (word_key, x, n). x is what the neighbour's name stands for, or
     width - 1 for the text end; right ones have `width` added. If `others` count, neighbours without a name are rows
     (word_key, side, other, m) with their own key in `other`; else they are left out."""
-    known = named.value
+    number, key_of, name_of = (named.value[k] for k in ("number", "key", "name"))
 
     def rows(held: list[np.ndarray]) -> pa.RecordBatch:
         arrays = _lists(np.concatenate(held))
@@ -159,16 +157,23 @@ def _neighbours(named, width: int, others: bool, batches: Iterator[pa.RecordBatc
 
     held, n = [], 0
     for texts in _pieces(batches):
-        code, words = _distinct(texts)
-        hashed = np.r_[0, np.fromiter(map(word_key, words), np.int64, len(words))]
-        name = np.r_[width - 1, np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))]
-        for side, w, x in ((0, code[1:], code[:-1]), (width, code[:-1], code[1:])):
-            w, x = w[w > 0], x[w > 0]
-            at = name[x] >= 0
-            held.append(hashed[w[at]] << _BITS | (side + name[x[at]]))
+        flat = [b"", *chain.from_iterable((*words, b"") for words in texts)]  # no word is empty: the text end
+        code = np.fromiter(map(number.get, flat, repeat(-1)), np.int64, len(flat))
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        word, known = np.ones(len(flat), bool), np.flatnonzero(code >= 0)
+        word[np.r_[0, np.cumsum(size + 1)]] = False
+        rare = np.flatnonzero((code < 0) & word)
+        key, name = np.zeros(len(flat), np.int64), np.where(word, -1, width - 1)
+        key[known], name[known] = key_of[code[known]], name_of[code[known]]
+        key[rare] = np.fromiter(map(word_key, [flat[k] for k in rare.tolist()]), np.int64, len(rare))
+        left, right = slice(None, -1), slice(1, None)
+        for side, w, x in ((0, right, left), (width, left, right)):
+            at = word[w] & (name[x] >= 0)
+            held.append(key[w][at] << _BITS | (side + name[x][at]))
             n += len(held[-1])
-            if others and not at.all():
-                yield rest(side, hashed[w[~at]], hashed[x[~at]])
+            at = word[w] & (name[x] < 0)
+            if others and at.any():
+                yield rest(side, key[w][at], key[x][at])
         if n > 4_000_000:
             yield rows(held)
             held, n = [], 0
@@ -383,7 +388,7 @@ def _over_all_neighbours(train: DataFrame, vocab: DataFrame, found: DataFrame, k
     none = F.coalesce("class", F.lit(kinds)).alias("class")
     named = vocab.where(_dictionary(vocab, head)).select("word", _key_of("word").alias("word_key"))
     top = named.join(found, "word_key", "left").select("word", none).toArrow()
-    share = sc.broadcast(dict(zip((w.encode() for w in top.column("word").to_pylist()), top.column("class").to_pylist())))
+    share = sc.broadcast(_named([w.encode() for w in top.column("word").to_pylist()], top.column("class").to_numpy()))
     shape = _LISTS + ", side int, other long, m long"
     seen = written(train.mapInArrow(partial(_neighbours, share, width, True), shape), "seen")
     rest = seen.where("other is not null").join(found.withColumnRenamed("word_key", "other"), "other", "left").select(
@@ -414,7 +419,9 @@ def _clustered(train: DataFrame, vocab: DataFrame, core: int, seed: int, kinds:
     words = [r.word.encode() for r in sorted(rows, key=lambda r: (-r.n, r.word))]
     width, seed = len(words) + 1, min(seed, len(words))
     assert 2 * width < 1 << _BITS
-    number = sc.broadcast({w: k for k, w in enumerate(words)})
+    rows = vocab.where(_dictionary(vocab, max(core, head))).select("word").toArrow()  # all core words are among them
+    every, number = [w.encode() for w in rows.column("word").to_pylist()], {w: k for k, w in enumerate(words)}
+    number = sc.broadcast(_named(every, [number.get(w, -1) for w in every]))
     seen = train.mapInArrow(partial(_neighbours, number, width, False), _LISTS)  # summed in each task, then by readers
     dealt = seen.repartition(F.col("word_key")).sortWithinPartitions("word_key")
     table = written(dealt.mapInArrow(_packed, _LISTS), "neighbours")

@@ -577,7 +577,7 @@ def test_neighbours_are_dealt_as_one_row_for_each_word():
             elif w is not None:
                 beside[classlm.word_key(w), side, classlm.word_key(x)] += 1
     batch = pa.RecordBatch.from_pydict({"text": texts})
-    share = SimpleNamespace(value=named)
+    share = SimpleNamespace(value=classlm._named([*named, b"d"], [*named.values(), -1]))
     for others in (False, True):
         out = list(classlm._neighbours(share, width, others, iter([batch])))
         found, rows = cells_of(out)
