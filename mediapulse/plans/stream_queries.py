@@ -89,7 +89,7 @@ def stream_surges(spark, sf):
         "country", F.explode("themes").alias("theme")
     ).groupBy("country", "theme").agg((F.count("*") / 30.0).alias("baseline_mean"))
     jobs.start_surges(rows, counts, f"{folder}/table", f"{folder}/checkpoint", surge=3.0).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select(
+    return jobs.surges(spark, f"{folder}/table").select(
         "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
         F.round("ratio", 6).alias("ratio")
     )
@@ -117,7 +117,7 @@ def stream_surges_as_of(spark, sf):
     jobs.start_surges(
         rows, lambda s: s.read.parquet(f"{folder}/history"), f"{folder}/table", f"{folder}/checkpoint", surge=2.0
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select(
+    return jobs.surges(spark, f"{folder}/table").select(
         "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
         F.round("baseline_mean", 6).alias("baseline_mean")
     )

@@ -197,12 +197,23 @@ def start_daily_counts(rows: DataFrame, table: str, checkpoint: str, late: str =
     ).trigger(availableNow=True).start()
 
 
+_SURGES = (
+    "window_start timestamp, window_end timestamp, country string, theme string, article_count long, baseline_mean double, "
+    "ratio double, batch int"
+)
+
+
+def surges(spark: SparkSession, table: str) -> DataFrame:
+    """The table of start_surges; without a surge so far it has no file that could tell its columns."""
+    return spark.read.schema(_SURGES).parquet(table)
+
+
 def start_surges(
     rows: DataFrame, baselines: DataFrame | Callable[[SparkSession], DataFrame], table: str, checkpoint: str,
     window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour", surge: float = 2.0
 ) -> StreamingQuery:
     """Sliding counts per country and theme against daily baselines(country, theme, baseline_mean[, since]);
-    windows that closed with a surge are appended.
+    windows that closed with a surge are appended. surges() reads the table.
 
     With `since` a window is compared with the baseline that was valid when it began. A function of the session is asked for the
     baselines at each batch, so it can read those that were written since the last one.
@@ -222,7 +233,8 @@ def start_surges(
         hot = hot.where((F.col("baseline_mean") > 0) & (F.col("ratio") >= surge))
         hot.select(
             "window_start", F.col("w.end").alias("window_end"), "country", "theme",
-            F.col("count").alias("article_count"), "baseline_mean", "ratio", F.lit(number).alias("batch")
+            F.col("count").alias("article_count"), F.col("baseline_mean").cast("double"), F.col("ratio").cast("double"),
+            F.lit(number).alias("batch")
         ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
     return counts.writeStream.outputMode("append").foreachBatch(put).option(

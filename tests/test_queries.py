@@ -41,6 +41,24 @@ def test_query_equals_sql(spark, sf, name):
     assert canonical(got) == canonical(want)
 
 
+def both(spark, name, sf):
+    """A query's rows over a folder's events and those of its SQL."""
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{sf}/events.parquet/*.parquet')")
+    got, want = entry.queries()[name](spark, sf).toPandas(), con.execute(entry.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    return canonical(got), canonical(want)
+
+
+@pytest.mark.parametrize("name", ["stream_surges", "stream_surges_as_of"])
+def test_a_month_without_surges_is_an_empty_table(spark, tmp_path, name):
+    spark.sql(
+        """select id as event_id, cast(timestamp'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, id) as timestamp_ntz) as ts, 0L as user_id,
+        'view' as event_type, 50D as value, '{"k": 1}' as props from range(720)"""
+    ).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert both(spark, name, str(tmp_path)) == ([], [])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
