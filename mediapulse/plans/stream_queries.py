@@ -10,7 +10,7 @@ from pyarrow import fs
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import scratch_path
+from ..operators.graph import scratch_path, written
 from ..sources import gkg, slices
 from ..streaming import jobs
 from . import driver as d
@@ -18,28 +18,46 @@ from .registry import query
 from .theme_queries import _ROLL
 
 
-def write_drop(rows, path: str, slices: int = 6) -> None:
-    """The rows as files of equal spans of time, written one after the other.
+def put_spans(rows, path: str, slices: int = 6):
+    """Append the rows to a folder by equal spans of time, and yield after each one.
 
-    A file source reads files by their age, so the spans arrive in order and none is late by accident. The rows are
-    dealt into spans by one job, whose folders are then copied.
+    The rows are dealt into spans by one job, whose folders are then copied. A span is as many files as it was read from
+    tasks, each with rows of all its time; one without rows is an empty file.
     """
     spark = rows.sparkSession
-    first, last = (x.timestamp() for x in rows.agg(F.min("date"), F.max("date")).first())
+    first, last = (x.timestamp() if x else 0.0 for x in rows.agg(F.min("date"), F.max("date")).first())
     step = (last - first) / slices
     at = F.floor((F.col("date").cast("double") - first) / max(step, 1e-9))
     spans = scratch_path(spark, "spans")
-    rows.withColumn("span", F.least(at, F.lit(slices - 1)).cast("int")).write.partitionBy("span").parquet(spans)
+    table = rows.withColumn("span", F.least(at, F.lit(slices - 1)).cast("int"))
+    table.write.partitionBy("span").parquet(spans)
+    dealt = spark.read.schema(table.schema).parquet(spans)
     for k in range(slices):
-        spark.read.schema(rows.schema).parquet(f"{spans}/span={k}").write.mode("append").parquet(path)
+        dealt.where(F.col("span") == k).select(*rows.columns).write.mode("append").parquet(path)
+        yield
 
 
-def _drop(spark, sf, name: str, closing: bool = False):
-    """The events' raw articles as a folder of files, read as a stream in the order of their dates; a closing row
-    without a country, a month after the last one, ends all windows."""
-    folder = scratch_path(spark, name)
-    rows = d.raw_articles(spark, sf).where("country <> 'UK'")
-    write_drop(rows, f"{folder}/drop")
+def write_drop(rows, path: str, slices: int = 6) -> None:
+    """All spans at once, for streams that may read the files in any order."""
+    for _ in put_spans(rows, path, slices):
+        pass
+
+
+def _rows(spark, sf):
+    return d.raw_articles(spark, sf).where("country <> 'UK'")
+
+
+def _replay(rows, folder: str, closing: bool = False):
+    """The rows as a stream for each span, which is to be run before the next span comes.
+
+    A run reads its whole span as one batch, so no row is late by accident: with a number of files for each batch the first ones of
+    a span would raise the watermark above the rows of its others. A closing row without a country, a month after the
+    last one, ends all windows.
+    """
+    spark, drop = rows.sparkSession, f"{folder}/drop"
+    stream = spark.readStream.schema(rows.schema).parquet
+    for _ in put_spans(rows, drop, 3):
+        yield stream(drop)
     if closing:
         end = rows.agg(
             (F.max("date") + F.expr("interval 31 days")).alias("date"), F.array(F.lit("end")).alias("themes")
@@ -51,17 +69,19 @@ def _drop(spark, sf, name: str, closing: bool = False):
                 ).alias(f.name) for f in rows.schema
             ]
         )
-        for _ in range(4):  # windows close in the batch after the one that ends them
-            empty.write.mode("append").parquet(f"{folder}/drop")
-    return folder, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/drop")
+        for _ in range(2):  # windows close in the batch after the one that ends them
+            empty.write.mode("append").parquet(drop)
+            yield stream(drop)
 
 
 @query(
     f"{_ROLL} SELECT country, audience_type, period_type, period_start, theme, article_count, bucket_total, share FROM rolled"
 )
 def stream_theme_rollup(spark, sf):
-    folder, rows = _drop(spark, sf, "rollup")
-    jobs.start_rollup(rows, f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    folder, rows = scratch_path(spark, "rollup"), _rows(spark, sf)
+    write_drop(rows, f"{folder}/drop")
+    drop = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/drop")
+    jobs.start_rollup(drop, f"{folder}/store", f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     table = spark.read.parquet(f"{folder}/table")
     return table.select(
         "country", "audience_type", "period_type", F.col("period_start").cast("date").alias("period_start"), "theme",
@@ -73,8 +93,9 @@ def stream_theme_rollup(spark, sf):
     f"WITH {d.ARTICLES_SQL} SELECT country, audience_type, day AS date, count(*) AS today_count FROM raw WHERE country <> 'UK' GROUP BY ALL"
 )
 def stream_daily_counts(spark, sf):
-    folder, rows = _drop(spark, sf, "counts")
-    jobs.start_daily_counts(rows, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    folder = scratch_path(spark, "counts")
+    for span in _replay(_rows(spark, sf), folder):
+        jobs.start_daily_counts(span, f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/table").select(
         "country", "audience_type", F.col("date").cast("date").alias("date"), "today_count"
     )
@@ -84,11 +105,11 @@ def stream_daily_counts(spark, sf):
  w AS (SELECT country, theme, time_bucket(INTERVAL 1 HOUR, date) - i * INTERVAL 1 HOUR AS window_start FROM m, range(24) t(i)), c AS (SELECT country, theme, window_start, count(*) AS article_count FROM w GROUP BY ALL)
  SELECT country, theme, window_start, article_count, round(article_count / baseline_mean, 6) AS ratio FROM c JOIN b USING (country, theme) WHERE article_count / baseline_mean >= 3.0""")
 def stream_surges(spark, sf):
-    folder, rows = _drop(spark, sf, "surges", closing=True)
-    counts = spark.read.parquet(f"{folder}/drop").select(
-        "country", F.explode("themes").alias("theme")
-    ).groupBy("country", "theme").agg((F.count("*") / 30.0).alias("baseline_mean"))
-    jobs.start_surges(rows, counts, f"{folder}/table", f"{folder}/checkpoint", surge=3.0).awaitTermination()
+    folder, rows = scratch_path(spark, "surges"), _rows(spark, sf)
+    counts = rows.select("country", F.explode("themes").alias("theme")).groupBy("country", "theme")
+    counts = written(counts.agg((F.count("*") / 30.0).alias("baseline_mean")), "baselines")
+    for span in _replay(rows, folder, closing=True):
+        jobs.start_surges(span, counts, f"{folder}/table", f"{folder}/checkpoint", surge=3.0).awaitTermination()
     return jobs.surges(spark, f"{folder}/table").select(
         "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
         F.round("ratio", 6).alias("ratio")
@@ -105,8 +126,8 @@ _HISTORY = """h AS (SELECT country, theme, CAST(day + INTERVAL 1 DAY AS TIMESTAM
  WHERE article_count / baseline_mean >= 2.0""")
 def stream_surges_as_of(spark, sf):
     """Closed windows against the mean of the days before them, from a history with a row for each day of a theme."""
-    folder, rows = _drop(spark, sf, "history", closing=True)
-    days = spark.read.parquet(f"{folder}/drop").where("country is not null").select(
+    folder, rows = scratch_path(spark, "history"), _rows(spark, sf)
+    days = rows.where("date is not null").select(
         "country", F.explode("themes").alias("theme"), F.to_date("date").alias("day")
     ).groupBy("country", "theme", "day").agg(F.count("*").alias("n"))
     so_far = Window.partitionBy("country", "theme").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
@@ -114,9 +135,9 @@ def stream_surges_as_of(spark, sf):
         "country", "theme", F.date_add("day", 1).cast("timestamp").alias("since"), F.avg("n").over(so_far).alias("baseline_mean")
     )
     history.write.parquet(f"{folder}/history")
-    jobs.start_surges(
-        rows, lambda s: s.read.parquet(f"{folder}/history"), f"{folder}/table", f"{folder}/checkpoint", surge=2.0
-    ).awaitTermination()
+    known = lambda s: s.read.parquet(f"{folder}/history")
+    for span in _replay(rows, folder, closing=True):
+        jobs.start_surges(span, known, f"{folder}/table", f"{folder}/checkpoint", surge=2.0).awaitTermination()
     return jobs.surges(spark, f"{folder}/table").select(
         "country", "theme", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "article_count",
         F.round("baseline_mean", 6).alias("baseline_mean")

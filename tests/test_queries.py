@@ -59,6 +59,30 @@ def test_a_month_without_surges_is_an_empty_table(spark, tmp_path, name):
     assert both(spark, name, str(tmp_path)) == ([], [])
 
 
+@pytest.mark.parametrize("name", ["stream_surges", "stream_surges_as_of", "stream_daily_counts"])
+def test_no_row_of_many_files_is_late(spark, sf, tmp_path, name):
+    spark.read.parquet(f"{sf}/events.parquet").repartition(12, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # each file is a task, and so a file of every span
+    try:
+        got, want = both(spark, name, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["stream_surges_as_of", "stream_theme_rollup"])
+def test_spans_without_rows(spark, sf, tmp_path, name):
+    events = spark.read.parquet(f"{sf}/events.parquet").where("ts not between '2024-01-08' and '2024-01-24'")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got, want = both(spark, name, str(tmp_path))
+    assert got == want and got
+
+
+def test_surges_of_no_events(spark, sf, tmp_path):
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    assert both(spark, "stream_surges_as_of", str(tmp_path)) == ([], [])
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
